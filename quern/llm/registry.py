@@ -1,9 +1,11 @@
 """Queries of this subpackage, for ``__spark_entry__``."""
 
+from .quality import op9_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
