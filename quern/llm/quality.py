@@ -5,7 +5,8 @@ over every document, the *trusted target* over documents labelled ``quality = 1
 (at most ``trusted_rows`` labelled ids, by hash order; the counts of the raw corpus have no bound).
 A document's verdict is ``sum(log p_target - log p_raw) / (n_grams + prior_grams) >= threshold``:
 the mean ratio, drawn to 0 for texts of a few grams.  Each document is decided on its own, without
-sampling.
+sampling.  The target is smoothed by ``PRIOR_COUNTS`` counts spread as the raw corpus is, so with few
+trusted documents ratios shrink to 0 rather than turn against what those documents happen to lack.
 
 Nulls: a null text has no words, fails the base rules and is not kept; a null id keeps its row (it
 can't be trusted).  Repeated rows get equal results.  Empty input gives empty output; without any
@@ -28,6 +29,7 @@ BUCKET_BITS = 16
 TRUSTED_ROWS = 20_000
 THRESHOLD = -0.05
 PRIOR_GRAMS = 32.0
+PRIOR_COUNTS = 32_768.0
 CHUNK = 1024
 
 _SYMBOL = np.zeros(256, bool)
@@ -140,8 +142,9 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
     table[counts["kind"].to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"].to_numpy()
     if not table[1].sum():
         return np.zeros(table.shape[1])
-    raw, target = (np.log((c + 1) / (c.sum() + len(c))) for c in table)
-    return target - raw
+    raw = (table[0] + 1) / (table[0].sum() + table.shape[1])
+    target = (table[1] + PRIOR_COUNTS * raw) / (table[1].sum() + PRIOR_COUNTS)
+    return np.log(target) - np.log(raw)
 
 
 def verdicts(t: Texts, table: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
