@@ -1,10 +1,12 @@
 """Queries of this subpackage, for ``__spark_entry__``."""
 
+from .language_id import op8_language_id
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 
