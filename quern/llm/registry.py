@@ -1,11 +1,13 @@
 """Queries of this subpackage, for ``__spark_entry__``."""
 
+from .bpe import op6_bpe
 from .language_id import op8_language_id
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
