@@ -4,10 +4,12 @@ from .bpe import op6_bpe
 from .language_id import op8_language_id
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
+from .token_counts import op7_token_counts
 
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_bpe": op6_bpe,
+    "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
