@@ -5,8 +5,10 @@ from .language_id import op8_language_id
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
 from .token_counts import op7_token_counts
+from .token_store import op3_token_store
 
 QUERIES = {
+    "op3_token_store": op3_token_store,
     "op4_sharding": op4_sharding,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
