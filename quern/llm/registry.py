@@ -2,6 +2,7 @@
 
 from .bpe import op6_bpe
 from .language_id import op8_language_id
+from .near_dup import op5_near_dup
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
 from .token_counts import op7_token_counts
@@ -10,6 +11,7 @@ from .token_store import op3_token_store
 QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_sharding": op4_sharding,
+    "op5_near_dup": op5_near_dup,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
