@@ -1,6 +1,7 @@
 """Queries of this subpackage, for ``__spark_entry__``."""
 
 from .bpe import op6_bpe
+from .decontaminate import op2_decontaminate
 from .language_id import op8_language_id
 from .near_dup import op5_near_dup
 from .quality import op9_quality_rules
@@ -9,6 +10,7 @@ from .token_counts import op7_token_counts
 from .token_store import op3_token_store
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_store": op3_token_store,
     "op4_sharding": op4_sharding,
     "op5_near_dup": op5_near_dup,

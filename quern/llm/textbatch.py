@@ -24,6 +24,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: ASCII letters and digits, and all bytes of other characters: words without ASCII punctuation.
+IS_ALNUM = np.zeros(256, dtype=bool)
+IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -95,8 +98,8 @@ class Words:
     first: np.ndarray  # of each text, the index of its first word; one more entry at the end
 
 
-def words_of(t: Texts) -> Words:
-    inside = IS_WORD[t.data]
+def words_of(t: Texts, kind: np.ndarray = IS_WORD) -> Words:
+    inside = kind[t.data]
     n = len(inside)
     if not n:
         none = np.zeros(0, np.int64)
