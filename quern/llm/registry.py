@@ -3,6 +3,8 @@
 from .bpe import op6_bpe
 from .decontaminate import op2_decontaminate
 from .language_id import op8_language_id
+from .licenses import ORACLE as OP1_ORACLE
+from .licenses import op1_license_scan
 from .near_dup import op5_near_dup
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
@@ -10,6 +12,7 @@ from .token_counts import op7_token_counts
 from .token_store import op3_token_store
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_store": op3_token_store,
     "op4_sharding": op4_sharding,
@@ -20,4 +23,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": OP1_ORACLE,
+}
