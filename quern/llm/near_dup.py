@@ -11,10 +11,11 @@ one shingle; without words there is none, and the document is linked with nothin
 4. Each class is tried against the smallest class of each of its buckets: registers and set sizes give the
    maximum-likelihood similarity, the likeliest partner is verified on full sets, and verified links are
    contracted into components.
-5. Classes that still share a bucket but not a component are tried pair by pair (only those outside
-   the bucket's largest component, against the rest), estimated and verified in the same way.  So every pair
-   that meets in a bucket and passes the estimate is in one component or was verified; copies
-   aren't expanded into pairs, and no bucket is capped.
+5. Of classes that share a bucket but not a component, those outside a bucket's largest component are
+   tried against the others wherever two hold a rare enough shingle in common (``rare_meetings``), and
+   these pairs are estimated and verified in the same way.  So every pair that meets in a bucket is in one
+   component, was verified, or can't reach 0.75 by its estimate or its rarest shingles; copies aren't
+   expanded into pairs, and no bucket is capped.
 
 An estimate below ``ESTIMATE_FLOOR`` (more than 4.5 standard deviations under 0.75) ends a pair's trial.
 
@@ -29,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, workspace
@@ -171,6 +172,43 @@ def components(edges: DataFrame, work: _Work) -> DataFrame:
             return labels
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        nodes = batch.column(0).to_pylist()
+        for lo in range(0, len(nodes), 256):
+            sets = list(shingle_sets(batch.column(1).slice(lo, 256)))
+            owner = np.repeat(np.array(nodes[lo : lo + 256], np.int64), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+
+
+def rare_meetings(whole: DataFrame, texts: DataFrame, work: _Work) -> DataFrame:
+    """(a, b), a > b, of different components, where a ``minor`` class could reach 0.75 with another class.
+
+    Shingles are ordered by how many of these classes hold them, rarest first.  Sets of sizes m and n with
+    similarity 0.75 share at least 3/7 (m + n) shingles, so the first shared one stands at most that far from either
+    set's end.  Classes whose differences are all their own therefore meet nowhere, however many they are.
+    """
+    held = work.keep(texts.mapInArrow(_shingle_rows, "node long, shingle long").distinct(), "held")
+    spread = work.keep(held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "spread")
+    common = work.keep(held.join(spread, "shingle"), "common")
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    placed = common.join(whole, "node").withColumn("shared", F.count("*").over(Window.partitionBy("node"))).withColumn("at", F.row_number().over(order) - 1)
+    placed = placed.withColumn("at", F.col("at") + F.col("n") - F.col("shared")).where("4 * (n - at) >= 3 * n")
+    placed = work.keep(placed.select("shingle", "node", "n", "label", "minor", "at"), "placed")
+    x, y = placed.where("minor").alias("x"), placed.alias("y")
+    return (
+        x.join(
+            y,
+            F.expr(
+                "x.shingle = y.shingle and x.label <> y.label and (not y.minor or x.node < y.node)"
+                " and 7 * (x.n - x.at) >= 3 * (x.n + y.n) and 7 * (y.n - y.at) >= 3 * (x.n + y.n)"
+            ),
+        )
+        .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     spark = docs.sparkSession
@@ -208,9 +246,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     class_text = None
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def texts() -> DataFrame:
+        """Texts of the classes that met others, one row for each class."""
         nonlocal class_text
-        if class_text is None:  # texts of the classes that met others, one row for each class
+        if class_text is None:
             wanted = met.select("node").distinct()
             told = docs.withColumn("node", F.col("doc_id")).where("doc_id is not null").select("node", "text").join(wanted, "node", "left_semi")
             null_ids = docs.where("doc_id is null")
@@ -218,8 +257,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 marked = null_ids.mapInArrow(_null_nodes, "node long, text string")
                 told = told.unionAll(marked.join(wanted, "node", "left_semi"))
             class_text = work.keep(told.withColumn("h", F.xxhash64("text")).dropDuplicates(["node", "h"]).drop("h"), "texts")
-        left = class_text.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = class_text.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        return class_text
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        left = texts().select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts().select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         held = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return work.keep(held.mapInArrow(_linked, "a long, b long").distinct(), name)
 
@@ -237,18 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = apart.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     main = work.keep(main, "main")
     sided = work.keep(apart.join(main, "bucket").withColumn("minor", F.col("label") != F.col("main")).drop("main"), "sided")
-    x, y = sided.where("minor").alias("x"), sided.alias("y")
-    rest = (
-        x.join(
-            y,
-            F.expr(
-                "x.bucket = y.bucket and x.label <> y.label and (not y.minor or x.node < y.node)"
-                " and 100 * x.n >= 75 * y.n and 100 * y.n >= 75 * x.n"
-            ),
-        )
-        .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-        .distinct()
-    )
+    # of each class, whether some bucket holds it outside its largest component
+    whole = work.keep(sided.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("minor").alias("minor")), "whole")
+    rest = rare_meetings(whole, texts().join(whole.select("node"), "node", "left_semi"), work)
     unlike = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # stars that the estimate ended or verification refused needn't be tried again; likely ones that weren't first must be
     done = unlike.join(likely.select("a", "b"), ["a", "b"], "left_anti").unionAll(first.select("a", "b"))
