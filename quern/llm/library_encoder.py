@@ -16,7 +16,6 @@ import re
 import numpy as np
 
 CACHE_PIECES = 1_000_000
-_UNSAFE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -27,74 +26,103 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        size = max([self.tokenizer.get_vocab_size(), *self.tokenizer.get_added_tokens_decoder()])
-        self.dtype = np.dtype("<u2" if size < 1 << 16 else "<u4")
-        self.ids: dict[str, bytes] = {}
-        self.spans: dict[str, tuple[int, bytes, bytes]] = {}
-
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces with their leading white space, or None if the text must be encoded whole."""
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        vocab = self.tokenizer.get_vocab()
+        size = max([*vocab.values(), 0]) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # a byte-level vocabulary has a character for each byte
+        self.n_bytes = np.zeros(size, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)
+        # by piece: pieces with a space or a break before them, and pieces as they are
+        self.ids: tuple[dict, dict] = {}, {}
+        self.spans: tuple[dict, dict] = {}, {}
+
+    def pieces(self, text: str) -> tuple[list[str], int] | None:
+        """Pieces of a text and how many of them are as they are; None if the text must be encoded whole.
+
+        After those, a piece that doesn't begin with a break has a space before it, which is left out.
+        """
         if any(s in text for s in self.special):
             return None
-        if _UNSAFE.search(text):
-            return _SAFE_CUT.split(text)
-        # a piece's leading space is left out and understood; a break is kept
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[0] == "\n" else " " + x for x in rest]]
-
-    def _encode(self, pieces: list[str]):
-        got = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        word = np.array(got.word_ids, np.int64) if len(got) else np.zeros(0, np.int64)
-        return got, np.searchsorted(word, np.arange(len(pieces) + 1))
-
-    def _new(self, texts: list[list[str] | None], known: dict) -> list[str]:
-        new = list({p for pieces in texts if pieces is not None for p in pieces if p not in known})
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list({p for pieces in texts if pieces is not None for p in pieces})
-        return new
+        found = text.replace("\n", " \n").split(" ")
+        if len(found) == len(text.split()):  # so white space stands singly, between words, and is spaces and breaks only
+            return found, 1
+        found = _SAFE_CUT.split(text)
+        return found, len(found)
+
+    def _learn(self, cut: list[tuple[list[str], int] | None], known: tuple[dict, dict], joined, single) -> None:
+        spaced, plain = known
+        for again in (False, True):
+            new_spaced, new_plain = set(), set()
+            for got in cut:
+                if got is not None:
+                    found, k = got
+                    new_plain.update(set(found[:k]).difference(plain))
+                    new_spaced.update(set(found[k:]).difference(spaced))
+            if again or len(spaced) + len(plain) + len(new_spaced) + len(new_plain) <= CACHE_PIECES:
+                break
+            spaced.clear()
+            plain.clear()
+        if new_spaced:
+            names = list(new_spaced)
+            spaced.update(zip(names, joined([x if x[0] == "\n" else " " + x for x in names]), strict=True))
+        for name in new_plain:
+            plain[name] = single(name)
+
+    def _joined_ids(self, pieces: list[str]) -> list[bytes]:
+        got = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in pieces])
+        stop = (np.searchsorted(np.cumsum(self.n_bytes[got]), ends) + 1) * self.dtype.itemsize
+        raw, start = got.astype(self.dtype).tobytes(), np.append(0, stop[:-1])
+        return [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+
+    def _single_ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _joined_spans(self, pieces: list[str]) -> list[tuple[int, bytes, bytes, int]]:
+        offsets = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        length = np.array([len(x) for x in pieces])
+        at = np.cumsum(length) - length
+        cut = np.append(np.searchsorted(offsets[:, 0], at), len(offsets))
+        own = offsets - np.repeat(at, np.diff(cut))[:, None]
+        starts, ends = own[:, 0].astype(np.int32).tobytes(), own[:, 1].astype(np.int32).tobytes()
+        return [(b - a, starts[4 * a : 4 * b], ends[4 * a : 4 * b], n) for a, b, n in zip(cut.tolist(), cut[1:].tolist(), length.tolist(), strict=False)]
+
+    def _single_spans(self, text: str) -> tuple[int, bytes, bytes, int]:
+        offsets = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
+        return len(offsets), offsets[:, 0].tobytes(), offsets[:, 1].tobytes(), len(text)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut, known = [self.pieces(t) for t in texts], self.ids
-        if new := self._new(cut, known):
-            got, at = self._encode(new)
-            raw, width = np.array(got.ids, self.dtype).tobytes(), self.dtype.itemsize
-            for piece, lo, hi in zip(new, (at * width).tolist(), (at[1:] * width).tolist(), strict=False):
-                known[piece] = raw[lo:hi]
+        cut, (spaced, plain) = [self.pieces(t) for t in texts], self.ids
+        self._learn(cut, self.ids, self._joined_ids, self._single_ids)
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype))
+        for text, got in zip(texts, cut, strict=True):
+            if got is None:
+                raw = self._single_ids(text)
             else:
-                out.append(np.frombuffer(b"".join([known[p] for p in pieces]), self.dtype))
+                found, k = got
+                raw = b"".join([*map(plain.__getitem__, found[:k]), *map(spaced.__getitem__, found[k:])])
+            out.append(np.frombuffer(raw, self.dtype))
         return out
 
     def spans_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Character starts and ends of each text's tokens; bytes of one character share its span."""
-        cut, known = [self.pieces(t) for t in texts], self.spans
-        if new := self._new(cut, known):
-            got, at = self._encode(new)
-            offsets = np.array(got.offsets, np.int32).reshape(-1, 2)
-            starts, ends = offsets[:, 0].tobytes(), offsets[:, 1].tobytes()
-            for piece, lo, hi in zip(new, at.tolist(), at[1:].tolist(), strict=False):
-                known[piece] = (hi - lo, starts[4 * lo : 4 * hi], ends[4 * lo : 4 * hi])
+        cut, (spaced, plain) = [self.pieces(t) for t in texts], self.spans
+        self._learn(cut, self.spans, self._joined_spans, self._single_spans)
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                offsets = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-                out.append((offsets[:, 0], offsets[:, 1]))
-                continue
-            got = [known[p] for p in pieces]
-            length = np.array([len(p) for p in pieces], np.int64)
-            base = np.repeat(np.cumsum(length) - length, np.array([g[0] for g in got], np.int64))
-            out.append(
-                (
-                    base + np.frombuffer(b"".join([g[1] for g in got]), np.int32),
-                    base + np.frombuffer(b"".join([g[2] for g in got]), np.int32),
-                )
-            )
+        for text, got in zip(texts, cut, strict=True):
+            if got is None:
+                parts = [self._single_spans(text)]
+            else:
+                found, k = got
+                parts = [*map(plain.__getitem__, found[:k]), *map(spaced.__getitem__, found[k:])]
+            counts, starts, ends, lengths = zip(*parts, strict=True)
+            length = np.array(lengths, np.int64)
+            base = np.repeat(np.cumsum(length) - length, counts)
+            out.append((base + np.frombuffer(b"".join(starts), np.int32), base + np.frombuffer(b"".join(ends), np.int32)))
         return out
 
 
