@@ -5,6 +5,7 @@ from .decontaminate import op2_decontaminate
 from .language_id import op8_language_id
 from .licenses import ORACLE as OP1_ORACLE
 from .licenses import op1_license_scan
+from .lm_score import op10_lm_score
 from .near_dup import op5_near_dup
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {
