@@ -1,10 +1,25 @@
-"""Stages of ``corpus_pipeline``; each takes (spark, docs, sf_dir)."""
+"""Stages of ``corpus_pipeline``; each takes (spark, docs, sf_dir) and works on all that the one before kept.
+
+Quality rules drop documents; language ID drops those in no determined language; near-dedup leaves one document
+of each component; decontamination drops those that hold a benchmark item; the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
+from .bpe import bpe_stage
 from .common import documents, materialise, workspace
+from .decontaminate import decontaminate_stage
+from .language_id import language_stage
+from .near_dup import near_dup_stage
+from .quality import quality_stage
 
-STAGES = []
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("language_id", language_stage),
+    ("near_dup", near_dup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("bpe", bpe_stage),
+]
 
 
 def run(spark, sf_dir):
