@@ -3,10 +3,11 @@
 Two multinomials over hashed word uni- and bigrams (A-Z lower-cased) are counted: the *raw corpus*
 over every document, the *trusted target* over documents labelled ``quality = 1 and toxic = 0``
 (at most ``trusted_rows`` labelled ids, by hash order; the counts of the raw corpus have no bound).
-A document's verdict is ``sum(log p_target - log p_raw) / (n_grams + prior_grams) >= threshold``:
-the mean ratio, drawn to 0 for texts of a few grams.  Each document is decided on its own, without
-sampling.  The target is smoothed by ``PRIOR_COUNTS`` counts spread as the raw corpus is, so with few
-trusted documents ratios shrink to 0 rather than turn against what those documents happen to lack.
+A bucket's log ratio is ``log((c + PRIOR) / (e + PRIOR))``, c its count in the target and e the count there
+if the target were like the raw corpus: what neither has often says nothing, so clean documents with words of
+their own aren't held against the few that have labels.
+A document's verdict is ``sum(ratios) / (n_grams + PRIOR_GRAMS) >= threshold``: the mean log-likelihood
+ratio, drawn to 0 for texts of a few grams.  Each document is decided on its own, without sampling.
 
 Nulls: a null text has no words, fails the base rules and is not kept; a null id keeps its row (it
 can't be trusted).  Repeated rows get equal results.  Empty input gives empty output; without any
@@ -27,9 +28,9 @@ from .textbatch import LOWER, U64, Texts, Words, mix64, span_hashes, sum_by, tex
 
 BUCKET_BITS = 16
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.05
+THRESHOLD = -0.15
 PRIOR_GRAMS = 32.0
-PRIOR_COUNTS = 32_768.0
+PRIOR = 10.0
 CHUNK = 1024
 
 _SYMBOL = np.zeros(256, bool)
@@ -120,7 +121,7 @@ def _count_grams(batches):
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
-    """log p_target - log p_raw of each bucket; the table has 2 ** BUCKET_BITS entries whatever the corpus."""
+    """The log ratio of each bucket; the table has 2 ** BUCKET_BITS entries whatever the corpus."""
     trusted = (
         labels.where("quality = 1 and toxic = 0 and doc_id is not null")
         .select(F.col("doc_id").alias("trusted_id"))
@@ -142,9 +143,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
     table[counts["kind"].to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"].to_numpy()
     if not table[1].sum():
         return np.zeros(table.shape[1])
-    raw = (table[0] + 1) / (table[0].sum() + table.shape[1])
-    target = (table[1] + PRIOR_COUNTS * raw) / (table[1].sum() + PRIOR_COUNTS)
-    return np.log(target) - np.log(raw)
+    expected = table[1].sum() * table[0] / table[0].sum()
+    return np.log(table[1] + PRIOR) - np.log(expected + PRIOR)
 
 
 def verdicts(t: Texts, table: np.ndarray, threshold: float) -> dict[str, np.ndarray]:

