@@ -43,10 +43,12 @@ def overlap_share(claim: Column, evidence: Column) -> Column:
 
 def entities(text: Column, dedup: bool = False) -> Column:
     """array of struct(type, entity), as a bag in pattern order."""
-    kinds = []
-    for kind, pattern in lx.ENTITY_PATTERNS:
+
+    def typed(kind: str, pattern: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        kinds.append((kind, F.transform(found, lambda e, k=kind: F.struct(F.lit(k).alias("type"), F.trim(e).alias("entity")))))
+        return F.transform(found, lambda e: F.struct(F.lit(kind).alias("type"), F.trim(e).alias("entity")))
+
+    kinds = [(kind, typed(kind, pattern)) for kind, pattern in lx.ENTITY_PATTERNS]
     cities = F.transform(
         F.filter(F.array(*[F.lit(c) for c in lx.CITIES]), lambda c: text.contains(c)), lambda c: F.struct(F.lit("LOCATION").alias("type"), c.alias("entity"))
     )
@@ -139,7 +141,7 @@ def clean_answer(answer: Column) -> Column:
         start,
         lambda acc, x: F.when(keep(acc, x), F.struct(F.concat(acc["lines"], F.array(x)).alias("lines"), F.concat(acc["seen"], F.array(key(x))).alias("seen"))).otherwise(acc),
     )
-    text = F.regexp_replace(F.array_join(out["lines"], "\n"), r"(?i)\s*\(?score\s*:\s*[0-9.]+\)?", "")
+    text = F.regexp_replace(F.array_join(out["lines"], "\n"), r"(?i)[ \t]*\(?score\s*:\s*[0-9.]+\)?", "")
     text = F.regexp_replace(text, r"\[(?!Source|UNVERIFIED)([^\]]*)\]", "$1")
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 

@@ -22,7 +22,8 @@ MIN_SECTION_WORDS = 10
 def parse_sections(text: Column, fallback_source: Column) -> Column:
     """array of struct(title, source, body) of a sectioned text; a text without one is a section of its own."""
     header = lambda part, name: F.trim(F.regexp_extract(part, rf"(?m)^{name}: (.*)$", 1))
-    body = lambda part: F.trim(F.regexp_replace(part, r"(?m)^(Title: .*|URL: .*|---)$\n?", ""))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    body = lambda part: bare(F.regexp_replace(part, r"(?m)^(Title: .*|URL: .*|---)$\n?", ""))
     parts = F.transform(
         F.split(text, RULE),
         lambda p: F.struct(
@@ -30,7 +31,7 @@ def parse_sections(text: Column, fallback_source: Column) -> Column:
         ),
     )
     kept = F.filter(parts, lambda s: n_words(s["body"]) >= MIN_SECTION_WORDS)
-    whole = F.array(F.struct(F.lit("").alias("title"), fallback_source.alias("source"), F.trim(text).alias("body")))
+    whole = F.array(F.struct(F.lit("").alias("title"), fallback_source.alias("source"), bare(text).alias("body")))
     return F.when(F.size(kept) > 0, kept).when(n_words(text) >= MIN_SECTION_WORDS, whole).otherwise(F.slice(kept, 1, 0))
 
 
