@@ -321,3 +321,18 @@ def near_dup_stage(spark, docs, sf_dir):
     single = docs.join(ids.where("rows = 1 or n = 0 or kept_id is null"), on, "left_semi")
     repeated = docs.join(ids.where("rows > 1 and n > 0 and kept_id is not null"), on, "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(repeated)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS c, s FROM s WHERE len(s) > 0 GROUP BY s),
+e AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS x FROM c),
+p AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.x = b.x AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(c, m) AS (SELECT c, c FROM c UNION SELECT l.b, r.m FROM r JOIN l ON r.c = l.a),
+m AS (SELECT c, min(m) AS m FROM r GROUP BY c)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(m.m, s.doc_id) AS component_id, s.doc_id = coalesce(m.m, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.c = c.c
+"""

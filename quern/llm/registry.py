@@ -6,6 +6,7 @@ from .language_id import op8_language_id
 from .licenses import ORACLE as OP1_ORACLE
 from .licenses import op1_license_scan
 from .lm_score import op10_lm_score
+from .near_dup import ORACLE as OP5_ORACLE
 from .near_dup import op5_near_dup
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
@@ -27,4 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": OP1_ORACLE,
+    "op5_near_dup": OP5_ORACLE,
 }

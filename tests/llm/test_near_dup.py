@@ -97,3 +97,13 @@ def test_sketches():
     assert (nd.merge(nd.registers(a), nd.registers(b)) == nd.registers(np.union1d(a, b))).all()
     sets = list(nd.shingle_sets(pa.array(["a b c d e f", None, "a b"], pa.string())))
     assert [len(s) for s in sets] == [2, 0, 1]
+
+
+def test_sql_agrees():
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = sorted(((d, n, c) for d, n, c, _ in con.execute(nd.ORACLE).fetchall()), key=repr)
+    assert got == brute([(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()])
