@@ -16,6 +16,7 @@ import re
 import numpy as np
 
 CACHE_PIECES = 1_000_000
+_CLOSING = ".,;:!?|"
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -37,6 +38,7 @@ class LibraryEncoder:
             self.n_bytes[i] = len(token)
         # by piece: pieces with a space or a break before them, and pieces as they are
         self.ids: tuple[dict, dict] = {}, {}
+        self.bases: dict[str, bytes] = {}  # pieces without their closing marks
         self.spans: tuple[dict, dict] = {}, {}
 
     def pieces(self, text: str) -> tuple[list[str], int] | None:
@@ -47,7 +49,8 @@ class LibraryEncoder:
         if any(s in text for s in self.special):
             return None
         found = text.replace("\n", " \n").split(" ")
-        if len(found) == len(text.split()):  # so white space stands singly, between words, and is spaces and breaks only
+        # so white space stands singly, between words, and is spaces and breaks only
+        if len(found) == len(text.split()):
             return found, 1
         found = _SAFE_CUT.split(text)
         return found, len(found)
@@ -72,11 +75,28 @@ class LibraryEncoder:
             plain[name] = single(name)
 
     def _joined_ids(self, pieces: list[str]) -> list[bytes]:
-        got = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in pieces])
-        stop = (np.searchsorted(np.cumsum(self.n_bytes[got]), ends) + 1) * self.dtype.itemsize
-        raw, start = got.astype(self.dtype).tobytes(), np.append(0, stop[:-1])
-        return [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        """Ids of pieces with leading white space. Closing marks after a letter or digit are a match of their own."""
+        bases, ends = [], []
+        for x in pieces:
+            base = x.rstrip(_CLOSING)
+            if len(base) == len(x) or not base[-1:].isalnum():
+                base = x
+            bases.append(base)
+            ends.append(x[len(base) :])
+        plain, known = self.ids[1], self.bases
+        for end in set(ends):
+            if end not in plain:
+                plain[end] = self._single_ids(end)
+        if len(known) > CACHE_PIECES // 4:
+            known.clear()
+        new = [b for b in dict.fromkeys(bases) if b not in known]
+        if new:
+            got = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, np.int64)
+            bytes_to = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in new])
+            stop = (np.searchsorted(np.cumsum(self.n_bytes[got]), bytes_to) + 1) * self.dtype.itemsize
+            raw, start = got.astype(self.dtype).tobytes(), np.append(0, stop[:-1])
+            known.update((x, raw[i:j]) for x, i, j in zip(new, start.tolist(), stop.tolist(), strict=True))
+        return [known[b] + plain[e] if e else known[b] for b, e in zip(bases, ends, strict=True)]
 
     def _single_ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()

@@ -35,7 +35,7 @@ from .common import documents, workspace
 from .library_encoder import library_encoder
 from .textbatch import U64, mix64
 
-WINDOW = 8
+WINDOW = 4
 MEAN_BITS = 8  # a boundary about every 2 ** MEAN_BITS ids
 MIN_CHUNK, MAX_CHUNK = 64, 1024
 ADDRESS = 16
@@ -43,20 +43,29 @@ END_ID = 2
 OBJECTS = "kind string, doc_id long, n long, address binary, payload binary"
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of a stream's chunks."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n] if n else []
-    h = mix64(ids.astype(np.uint64) + U64(0x9E3779B97F4A7C15))
-    rolled = np.zeros(n - WINDOW + 1, np.uint64)
-    for j in range(WINDOW):  # the oldest id of the window has the highest rotation
-        r = U64(WINDOW - 1 - j) * U64(7)
-        x = h[j : j + len(rolled)]
-        rolled ^= (x << r) | (x >> (U64(64) - r)) if r else x
-    marks = np.flatnonzero((rolled >> U64(64 - MEAN_BITS)) == 0) + WINDOW
+@lru_cache(2)
+def _id_codes(size: int) -> np.ndarray:
+    return mix64(np.arange(size, dtype=np.uint64) + U64(0x9E3779B97F4A7C15))
+
+
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places of a stream after which the hash of the last WINDOW ids asks for a cut."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
+    codes = _id_codes(1 << 16)
+    h = codes[ids] if ids.dtype.itemsize == 2 else mix64(ids.astype(np.uint64) + U64(0x9E3779B97F4A7C15))
+    n = len(ids) - WINDOW + 1
+    rolled = h[WINDOW - 1 :].copy()
+    for j in range(1, WINDOW):  # older ids have higher rotations
+        x, r = h[WINDOW - 1 - j : WINDOW - 1 - j + n], U64(j * 13)
+        rolled ^= (x << r) | (x >> (U64(64) - r))
+    return np.flatnonzero((rolled >> U64(64 - MEAN_BITS)) == 0) + WINDOW
+
+
+def ends_between(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids, from its marks, within the least and the greatest length."""
     ends, last = [], 0
-    for mark in marks.tolist():
+    for mark in marks:
         while mark - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
@@ -71,6 +80,23 @@ def boundaries(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def boundaries(ids: np.ndarray) -> list[int]:
+    """Ends of a stream's chunks."""
+    return ends_between(cut_marks(ids).tolist(), len(ids))
+
+
+def boundaries_of(streams: list[np.ndarray]) -> list[list[int]]:
+    """The same for many streams, hashed in one go; marks whose window spans two streams are left out."""
+    first = np.cumsum([0, *(len(x) for x in streams)])
+    marks = cut_marks(np.concatenate(streams)) if streams else np.zeros(0, np.int64)
+    owner = np.searchsorted(first, marks, side="left") - 1
+    ok = marks - first[owner] >= WINDOW
+    marks, owner = marks[ok] - first[owner[ok]], owner[ok]
+    cut = np.searchsorted(owner, np.arange(len(streams) + 1))
+    marks = marks.tolist()
+    return [ends_between(marks[a:b], len(x)) for a, b, x in zip(cut.tolist(), cut[1:].tolist(), streams, strict=False)]
+
+
 def address(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=ADDRESS).digest()
 
@@ -96,10 +122,11 @@ def _encode(definition, end_id: int):
             for at in range(0, batch.num_rows, 128):
                 doc_ids = batch.column(0).slice(at, 128).to_pylist()
                 rows = []
-                for doc_id, ids in zip(doc_ids, encoder.encode_batch([x or "" for x in batch.column(1).slice(at, 128).to_pylist()]), strict=True):
-                    ids, last, recipe = np.concatenate([ids, end]), 0, []
-                    for stop in boundaries(ids):
-                        payload = ids[last:stop].tobytes()
+                streams = [np.concatenate([x, end]) for x in encoder.encode_batch([x or "" for x in batch.column(1).slice(at, 128).to_pylist()])]
+                for doc_id, ids, stops in zip(doc_ids, streams, boundaries_of(streams), strict=True):
+                    raw, width, last, recipe = ids.tobytes(), ids.itemsize, 0, []
+                    for stop in stops:
+                        payload = raw[last * width : stop * width]
                         recipe.append(key := address(payload))
                         if key not in seen:
                             seen.add(key)

@@ -53,6 +53,8 @@ def test_chunking():
     moved = ts.boundaries(np.concatenate([ids[:37], ids]))
     assert len({e - 37 for e in moved} & set(ends)) > 0.9 * len(ends)  # cuts follow the content
     assert ts.boundaries(np.zeros(5000, int))[-1] == 5000
+    streams = [ids[a:b].astype("<u2") for a, b in ((0, 1), (1, 4), (4, 2000), (2000, 2000 + 64), (2064, 9000), (9000, 20000))]
+    assert ts.boundaries_of(streams) == [ts.boundaries(x) for x in streams]
 
 
 def test_crc_join():
