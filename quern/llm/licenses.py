@@ -4,6 +4,7 @@ Units are each line of a text, each of its paragraphs (between blank lines) of m
 whole text where it has more than one paragraph or line.  A unit is normalised to lower-case words of ASCII
 letters and digits.  For a unit of ``a`` distinct bigrams, a template of ``b`` can reach the
 threshold ``t`` only if ``t / (2 - t) <= a / b <= (2 - t) / t``; other templates are skipped.
+Texts and units that hold none of ``anchor_words`` can reach it with no template, and are skipped before that.
 Only DataFrame functions are used; nothing is shuffled.
 
 Result: one row per unit with a template at or above the threshold: doc_id, unit, position, the best license
@@ -15,7 +16,9 @@ match nothing.  Repeated rows give repeated rows; empty input gives none.
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +103,30 @@ def template_bigrams(templates: list[tuple[str, str]]) -> list[tuple[str, list[s
     return out
 
 
+def anchor_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which a unit must hold at least one to reach the threshold with any template.
+
+    A template of b bigrams can miss at most ``b - ceil(b * t / (2 - t))`` of them, so words that stand in more than
+    that many can't all be absent. Long words are taken first, as they are rare.
+    """
+    chosen: list[str] = []
+    for _, bigrams in template_bigrams(templates):
+        pairs = [b.split(" ") for b in bigrams]
+        need = len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9) + 1
+        mine = [w for w in chosen if any(w in p for p in pairs)]
+        while pairs and sum(any(w in p for w in mine) for p in pairs) < need:
+            left = [p for p in pairs if not any(w in p for w in mine)]
+            mine.append(min({w for p in left for w in p}, key=lambda w: (len(w) < 6, -sum(w in p for p in left), w)))
+        chosen += [w for w in mine if w not in chosen]
+    return chosen
+
+
+def once(**column: Column) -> Column:
+    """A column made by a generator of one row, which the optimizer doesn't merge into what follows."""
+    ((name, value),) = column.items()
+    return F.explode(F.array(value)).alias(name)
+
+
 def _template_column(templates: list[tuple[str, str]]) -> Column:
     """Templates as one literal array of (license, hashed bigrams), in name order."""
     return F.array(
@@ -121,22 +148,25 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
         F.when(F.size(paragraphs) > 1, F.filter(F.transform(paragraphs, unit("paragraph")), lambda u: u["body"].contains("\n"))).otherwise(F.array()),
         F.when(F.size(lines) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("position"), text.alias("body")))).otherwise(F.array()),
     )
-    smallest = min((len(b) for _, b in template_bigrams(templates) if b), default=0)
-    largest = max((len(b) for _, b in template_bigrams(templates)), default=0)
+    sizes = [len(b) for _, b in template_bigrams(templates) if b]
+    smallest, largest = min(sizes, default=0), max(sizes, default=0)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    anchors = anchor_words(templates, threshold)
+    named = lambda c: reduce(lambda x, y: x | y, [F.contains(F.lower(c), F.lit(w)) for w in anchors], F.lit(False))
+    # each ``once`` keeps an expression from being copied into the filters after it
     worded = (
-        docs.select("doc_id", F.explode(units).alias("u"))
-        .select("doc_id", "u.unit", "u.position", F.split(F.trim(F.regexp_replace(F.lower("u.body"), "[^a-z0-9]+", " ")), " ").alias("words"))
-        .where(F.size("words") - 1 >= F.lit(low * smallest))
+        docs.where(named(text))
+        .select("doc_id", F.explode(units).alias("u"))
+        .where(named(F.col("u.body")))
+        .select("doc_id", "u.unit", "u.position", once(words=F.split(F.trim(F.regexp_replace(F.lower("u.body"), "[^a-z0-9]+", " ")), " ")))
+        .where((F.size("words") - 1 >= F.lit(low * smallest)) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in anchors]).cast("array<string>")))
+    )
+    pairs = F.zip_with(
+        F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b))
+    )
+    grams = worded.select("doc_id", "unit", "position", once(bigrams=F.array_distinct(pairs))).where(
+        F.size("bigrams").between(F.lit(low * smallest), F.lit(high * largest))
     )
-    grams = worded.select(
-        "doc_id",
-        "unit",
-        "position",
-        F.array_distinct(
-            F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
-        ).alias("bigrams"),
-    ).where(F.size("bigrams").between(F.lit(low * smallest), F.lit(high * largest)))
 
     known = _template_column(templates)
     a = F.size("bigrams")
@@ -153,7 +183,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
         lambda acc, x: F.when(x["dice"] > acc["dice"], x).otherwise(acc),
     )
     return (
-        grams.select("doc_id", "unit", "position", best.alias("best"))
+        grams.select("doc_id", "unit", "position", once(best=best))
         .where(F.col("best.dice") >= threshold)
         .select("doc_id", "unit", "position", "best.license", "best.dice")
     )

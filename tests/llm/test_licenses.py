@@ -48,3 +48,10 @@ def test_whole_table(spark):
 def test_only_jvm_operators(spark):
     plan = li.op1_license_scan(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange|Cartesian|NestedLoop", plan)
+
+
+def test_anchors_are_needed():
+    anchors = li.anchor_words(li.TEMPLATES, li.THRESHOLD)
+    for _, bigrams in li.template_bigrams(li.TEMPLATES):
+        spared = [b for b in bigrams if not set(b.split()) & set(anchors)]
+        assert len(spared) < li.THRESHOLD / (2 - li.THRESHOLD) * len(bigrams)
