@@ -18,6 +18,8 @@ import numpy as np
 CACHE_PIECES = 1_000_000
 _CLOSING = ".,;:!?|"
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: white space that str.split() cuts at besides spaces and breaks
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class LibraryEncoder:
@@ -49,8 +51,8 @@ class LibraryEncoder:
         if any(s in text for s in self.special):
             return None
         found = text.replace("\n", " \n").split(" ")
-        # so white space stands singly, between words, and is spaces and breaks only
-        if len(found) == len(text.split()):
+        # white space is spaces and breaks only, so equal numbers say that it stands singly, between words
+        if len(found) == len(text.split()) and not any(c in text for c in _OTHER_SPACE):
             return found, 1
         found = _SAFE_CUT.split(text)
         return found, len(found)

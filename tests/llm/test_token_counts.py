@@ -10,6 +10,9 @@ LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 EDGE = [None, "", " ", "\n", "\n\n\n", " lead", "trail ", "trail\n", "a  b", "a\n\nb\n \nc", "don't we'll", "日本語 テスト🙂\n🙂🙂", "x<|endoftext|>y z",
         "tab\there\r\nthere", " a  b", "word " * 3000 + "x", "y" * 4000, "a\x1cb \x1c c"]
 
+# a surplus space or break beside other white space, so that cuts at spaces and cuts at white space are equally many
+MIXED = ["x y\tz", "a b\u00a0c", "a\u00a0b ", " a\u3000b", "a  b\tc", "a\n\n\nb\u00a0c\u00a0d", "a\n\nb\u2003c", "a\r\n\nb\x1cc ", "\na\x85b", "a \n b\x0bc\td"]
+
 
 def texts():
     return EDGE + pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60]
@@ -50,3 +53,16 @@ def test_fields(spark):
     rows = field_token_counts(df, "k", ["title", "body", "field"]).collect()
     assert len(rows) == 9
     assert sorted(r.n_tokens for r in rows if r.field == "title") == [0, 2, 2]
+
+
+def test_mixed_white_space_is_the_library(spark):
+    encoder = LibraryEncoder(tokenizer_definition(None, "byte_bpe_50k.json"))
+    for text in MIXED:
+        want = LIBRARY.encode(text, add_special_tokens=False)
+        ((starts, ends),) = encoder.spans_batch([text])
+        assert encoder.encode_batch([text])[0].tolist() == want.ids, text
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets, text
+    docs, got = spark.createDataFrame(list(enumerate(MIXED)), "doc_id long, text string"), {}
+    for r in section_token_counts(docs).orderBy("doc_id", "section").collect():
+        got.setdefault(r.doc_id, []).append(r.n_tokens)
+    assert got == {i: brute(t) for i, t in enumerate(MIXED)}

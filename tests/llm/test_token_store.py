@@ -40,6 +40,12 @@ def test_round_trip(spark, tmp_path):
         ts.verify(spark, f"file://{tmp_path}/broken").collect()
 
 
+def test_mixed_white_space(spark, tmp_path):
+    texts = ["x y\tz", "a b\u00a0c", "a\u00a0b ", "a\n\n\nb\u00a0c\u00a0d", "a  b\tc", "a\n\nb\u2003c"]
+    path = ts.write_store(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA), f"file://{tmp_path}/store")
+    assert [tuple(r) for r in ts.verify(spark, path).orderBy("start").collect()] == brute(list(enumerate(texts)))
+
+
 def test_empty(spark, tmp_path):
     path = ts.write_store(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/store")
     assert ts.verify(spark, path).count() == 0 and ts.read_documents(spark, path).count() == 0
