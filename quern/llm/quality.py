@@ -9,9 +9,14 @@ their own aren't held against the few that have labels.
 A document's verdict is ``sum(ratios) / (n_grams + PRIOR_GRAMS) >= threshold``: the mean log-likelihood
 ratio, drawn to 0 for texts of a few grams.  Each document is decided on its own, without sampling.
 
+A mean hides a handful of insults in ordinary prose, so evidence is also taken where it stands.  Over labelled
+documents (``toxic = 1`` against the trusted target, at most ``trusted_rows`` ids each) the *documents* that hold a gram
+are counted in a finer table; grams of log ratio ``TOXIC_RATIO`` or less are toxic.  A document is not kept if
+``TOXIC_HITS`` toxic grams stand within ``TOXIC_WORDS`` words.
+
 Nulls: a null text has no words, fails the base rules and is not kept; a null id keeps its row (it
 can't be trusted).  Repeated rows get equal results.  Empty input gives empty output; without any
-trusted document all ratios are 0 and only the base rules decide.
+trusted document all ratios are 0 and only the base rules decide; without a toxic one no gram is toxic.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, drop_path, materialise, workspace
 from .textbatch import LOWER, U64, Texts, Words, mix64, span_hashes, sum_by, texts_of, window_hashes, words_of
 
 BUCKET_BITS = 16
@@ -32,6 +37,9 @@ THRESHOLD = -0.15
 PRIOR_GRAMS = 32.0
 PRIOR = 10.0
 CHUNK = 1024
+TOXIC_BITS = 20
+TOXIC_RATIO = -1.5
+TOXIC_HITS, TOXIC_WORDS = 2, 64
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -40,6 +48,7 @@ _STARTS_CHARACTER[0x80:0xC0] = False
 _WORD_CHARACTER = _STARTS_CHARACTER.copy()
 _WORD_CHARACTER[[9, 10, 11, 12, 13, 32]] = False
 
+TRUSTED = "quality = 1 and toxic = 0"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
@@ -90,13 +99,15 @@ def measure(t: Texts, w: Words) -> dict[str, np.ndarray]:
     }
 
 
-def gram_buckets(t: Texts, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of every word and every two words in a row."""
-    shift = U64(64 - BUCKET_BITS)
+def gram_hashes(t: Texts, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, first word) of every word and every two words in a row."""
     h = span_hashes(LOWER[t.data], w.start, w.end)
-    yield (h >> shift).astype(np.int64), w.doc
-    pair, at = window_hashes(h, w.first, 2)
-    yield (pair >> shift).astype(np.int64), w.doc[at]
+    yield h, np.arange(len(h))
+    yield window_hashes(h, w.first, 2)
+
+
+def buckets(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64)
 
 
 def _count_grams(batches):
@@ -105,7 +116,9 @@ def _count_grams(batches):
         trusted = batch.column(1).to_numpy(zero_copy_only=False)
         for t in texts_of(batch.column(0)):
             is_trusted = trusted[t.lo : t.hi]
-            for bucket, doc in gram_buckets(t, words_of(t)):
+            w = words_of(t)
+            for h, at in gram_hashes(t, w):
+                bucket, doc = buckets(h, BUCKET_BITS), w.doc[at]
                 counts[0] += np.bincount(bucket, minlength=counts.shape[1])
                 counts[1] += np.bincount(bucket[is_trusted[doc]], minlength=counts.shape[1])
     for kind in (0, 1):
@@ -120,15 +133,15 @@ def _count_grams(batches):
         )
 
 
+def labelled_ids(labels: DataFrame, condition: str, name: str, rows: int) -> DataFrame:
+    """At most ``rows`` ids of labels that meet a condition, by hash order."""
+    ids = labels.where(f"{condition} and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return ids.orderBy(F.xxhash64(name), name).limit(rows)
+
+
 def fit_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
     """The log ratio of each bucket; the table has 2 ** BUCKET_BITS entries whatever the corpus."""
-    trusted = (
-        labels.where("quality = 1 and toxic = 0 and doc_id is not null")
-        .select(F.col("doc_id").alias("trusted_id"))
-        .distinct()
-        .orderBy(F.xxhash64("trusted_id"), "trusted_id")
-        .limit(trusted_rows)
-    )
+    trusted = labelled_ids(labels, TRUSTED, "trusted_id", trusted_rows)
     flagged = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
     counts = (
         flagged.select("text", F.col("trusted_id").isNotNull().alias("trusted"))
@@ -147,27 +160,93 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
     return np.log(table[1] + PRIOR) - np.log(expected + PRIOR)
 
 
-def verdicts(t: Texts, table: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+def _count_documents(batches):
+    """Of each bucket, the clean and the toxic documents that hold it; bucket -1 has all of them."""
+    counts, n = np.zeros((2, 1 << TOXIC_BITS), np.int64), np.zeros(2, np.int64)
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False)
+        for t in texts_of(batch.column(0)):
+            w, kind = words_of(t), toxic[t.lo : t.hi].astype(np.int64)
+            n += np.bincount(kind, minlength=2)
+            cells = [(w.doc[at].astype(np.int64) << TOXIC_BITS) | buckets(h, TOXIC_BITS) for h, at in gram_hashes(t, w)]
+            cells = np.unique(np.concatenate(cells))
+            np.add.at(counts, (kind[cells >> TOXIC_BITS], cells & ((1 << TOXIC_BITS) - 1)), 1)
+    held = np.flatnonzero(counts.any(axis=0))
+    bucket, both = np.append(held, -1), np.append(counts[:, held], n[:, None], axis=1)
+    for lo in range(0, len(bucket), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[part].astype(np.int32)), pa.array(both[0, part]), pa.array(both[1, part])], ["bucket", "clean", "toxic"]
+        )
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
+    """Which of the 2 ** TOXIC_BITS buckets are toxic."""
+    toxic = labelled_ids(labels, "toxic = 1", "toxic_id", trusted_rows)
+    # an id with labels of both kinds counts as toxic
+    clean = labelled_ids(labels, TRUSTED, "id", trusted_rows).join(F.broadcast(toxic), F.col("id") == F.col("toxic_id"), "left_anti")
+    sides = toxic.select(F.col("toxic_id").alias("id"), F.lit(True).alias("toxic")).union(clean.select("id", F.lit(False)))
+    counts = (
+        docs.select("doc_id", "text")
+        .where("text is not null")
+        .join(F.broadcast(sides), F.col("doc_id") == F.col("id"))
+        .select("text", "toxic")
+        .mapInArrow(_count_documents, "bucket int, clean bigint, toxic bigint")
+        .groupBy("bucket")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .where("bucket < 0 or toxic > 1")  # one document is no evidence
+    )
+    path = workspace(docs.sparkSession, "toxic-grams")
+    counts = materialise(counts, path)
+    table, total = np.zeros(1 << TOXIC_BITS, bool), counts.where("bucket < 0").first()
+    if total and total["toxic"]:
+        expected = F.col("toxic") * (total["clean"] / total["toxic"])
+        found = counts.where(F.col("bucket") >= 0).where(F.log((F.col("clean") + PRIOR) / (expected + PRIOR)) <= TOXIC_RATIO)
+        table[[r["bucket"] for r in found.select("bucket").collect()]] = True
+    drop_path(docs.sparkSession, path)
+    return table
+
+
+def locally_toxic(hits: list[np.ndarray], w: Words) -> np.ndarray:
+    """Texts with enough toxic grams close together; ``hits`` has the first words of toxic words and word pairs."""
+    hit = np.zeros(len(w.start) + 1, bool)
+    hit[hits[0]] = True
+    # a pair with a toxic word in it is no further evidence
+    hit[hits[1][~hit[hits[1]] & ~hit[hits[1] + 1]]] = True
+    at = np.flatnonzero(hit)
+    near = at[TOXIC_HITS - 1 :] - at[: len(at) - TOXIC_HITS + 1] < TOXIC_WORDS
+    doc = w.doc[at]
+    near &= doc[TOXIC_HITS - 1 :] == doc[: len(doc) - TOXIC_HITS + 1]
+    return np.bincount(doc[TOXIC_HITS - 1 :][near], minlength=len(w.first) - 1) > 0
+
+
+def verdicts(t: Texts, table: np.ndarray, toxic: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
     """The base columns, the ratio and the verdict of each text."""
     w = words_of(t)
     out = measure(t, w)
-    total, grams = np.zeros(len(t)), np.zeros(len(t))
-    for bucket, doc in gram_buckets(t, w):
-        total += np.bincount(doc, table[bucket], len(t))
+    total, grams, hits = np.zeros(len(t)), np.zeros(len(t)), []
+    for h, at in gram_hashes(t, w):
+        doc = w.doc[at]
+        total += np.bincount(doc, table[buckets(h, BUCKET_BITS)], len(t))
         grams += np.bincount(doc, minlength=len(t))
+        hits.append(at[toxic[buckets(h, TOXIC_BITS)]])
     out["llr"] = total / (grams + PRIOR_GRAMS)
-    out["kept"] = ~out["base_failed"] & (out["llr"] >= threshold)
+    out["kept"] = ~out["base_failed"] & (out["llr"] >= threshold) & ~locally_toxic(hits, w)
     return out
 
 
+def fit_tables(docs: DataFrame, labels: DataFrame, trusted_rows: int):
+    return docs.sparkSession.sparkContext.broadcast((fit_ratio(docs, labels, trusted_rows), fit_toxic(docs, labels, trusted_rows)))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base columns, ``llr`` and ``kept``."""
-    ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, trusted_rows))
+    tables = fit_tables(docs, labels, trusted_rows)
 
     def score(batches):
         for batch in batches:
             for t in texts_of(batch.column(1)):
-                out = verdicts(t, ratio.value, threshold)
+                out = verdicts(t, *tables.value, threshold)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(t.lo, len(t)), *(pa.array(x) for x in out.values())], ["doc_id", *out]
                 )
@@ -177,13 +256,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """The kept rows of ``docs`` with all their columns: decided where the row is, so nothing is joined back."""
-    ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, trusted_rows))
+    tables = fit_tables(docs, labels, trusted_rows)
     at = docs.columns.index("text")
 
     def keep(batches):
         for batch in batches:
             for t in texts_of(batch.column(at)):
-                kept = verdicts(t, ratio.value, threshold)["kept"]
+                kept = verdicts(t, *tables.value, threshold)["kept"]
                 yield batch.slice(t.lo, len(t)).filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)

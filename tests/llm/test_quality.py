@@ -63,3 +63,33 @@ def test_clean_documents_without_a_label_stay(spark):
     rows = {r.doc_id: r.kept for r in quality_rules(docs, seen).collect() if not r.base_failed}
     hidden = [rows[d] for d in hidden if d in rows]
     assert sum(hidden) > 0.99 * len(hidden)
+
+
+def test_rejects_toxic_but_not_clean_without_a_label(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    insult = re.compile(r"\b(trash|pathetic|idiot|disgusting|worthless|clown|loser|scum|stupid|moron)\b", re.I)
+    everyone = labels.collect()
+    for odd in (0, 1):
+        kept = {r.doc_id: r.kept for r in quality_rules(docs, labels.where(f"doc_id % 2 != {odd}")).collect() if not r.base_failed}
+        hidden = [x for x in everyone if x.doc_id in kept and x.doc_id % 2 == odd and x.quality == 1]
+        clean = [kept[x.doc_id] for x in hidden if x.toxic == 0]
+        toxic = [kept[x.doc_id] for x in hidden if x.toxic == 1 and len(insult.findall(texts[x.doc_id])) > 1]
+        assert sum(clean) > 0.99 * len(clean) and toxic and sum(toxic) < 0.2 * len(toxic)
+    seen = {r.doc_id: r.kept for r in quality_rules(docs, labels).collect() if not r.base_failed}
+    toxic = [seen[x.doc_id] for x in everyone if x.doc_id in seen and x.toxic == 1 and x.quality == 1 and insult.search(texts[x.doc_id])]
+    assert toxic and sum(toxic) < 0.1 * len(toxic)
+
+
+def test_toxic_words_count_where_they_stand(spark):
+    plain = "river stone cloud tree under over light field morning evening paper window garden table silver road"
+    words = [f"{x}{i}" for i in range(40) for x in plain.split()]
+    far = " ".join(["idiot", *words[:300], "idiot"])
+    near = " ".join([*words[:300], "idiot", *words[300:330], "idiot"])
+    rows = [(i, " ".join(words[i : i + 40])) for i in range(300)] + [(300 + i, " ".join([*words[i : i + 40], "idiot"])) for i in range(60)] + [(900, far), (901, near)]
+    labels = [(i, 1, int(i >= 300)) for i in range(360)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality_rules(docs, labels, threshold=-9).collect()}
+    assert kept[900] and not kept[901]
+    assert {r.kept for r in quality_rules(docs, labels.where("toxic = 0"), threshold=-9).collect()} == {True}
