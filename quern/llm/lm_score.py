@@ -8,9 +8,9 @@ vocabulary, and an end id.  The model is one head of causal attention over windo
 and p(next id) = p(class) p(id | class), the latter from smoothed counts over all training texts.  E and the
 start of U come from all training bigrams (id, next class): the leading directions of their log ratios.
 Classes are ids that are followed alike (k-means over those directions), apart for ids that end a word.
-Wq, Wk, Wv, Wo, P, U and b are then trained on every ``TRAIN_EVERY``-th window of all training texts:
-each task runs Adam steps over its windows from common parameters, and Spark averages what tasks end with,
-``ROUNDS`` times.  Windows overlap: the first scores all its ids, the next ones those after their
+Wq, Wk, Wv, Wo, P, U and b are then trained on every window of all training texts, in ``ROUNDS`` rounds that
+each take their share of the windows by hash: each task runs Adam steps over its windows from common parameters,
+and Spark averages what tasks end with.  Windows overlap: the first scores all its ids, the next ones those after their
 first ``WINDOW - STRIDE``, so each id is scored once, with that much context at least.
 
 The score of a text is that of its tokens: a word's probability is ``1 - WORD_SHARE`` of the product of its ids'
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from .bpe import coder, tokenizer_definition
 from .common import documents, materialise, workspace
-from .textbatch import LOWER, span_hashes, texts_of, words_of
+from .textbatch import LOWER, U64, mix64, span_hashes, texts_of, words_of
 
 BLOCK_BYTES = 4 << 20
 CACHE_WORDS = 400_000
 WINDOW, STRIDE = 32, 24
 DIM, CLASSES = 16, 64
-TRAIN_EVERY, ROUNDS, BATCH = 32, 2, 64
+ROUNDS, BATCH = 2, 64
 WORD_SHARE = 0.5
 START, END = 49_406, 49_407
 IDS = 49_408
@@ -374,6 +374,22 @@ def _streams(batch, names=("n_words", "codes", "sub_ids", "sub_counts")):
         yield i, Stream(batch.column(at[0])[i].values.to_numpy(zero_copy_only=False), *(batch.column(j)[i].as_buffer() for j in at[1:]))
 
 
+def training_windows(batches, r: int):
+    """Batches of (ids, targets, scored) of the windows of training texts that are in round ``r``; each is in one round."""
+    for batch in batches:
+        held, block = (batch.column(batch.schema.get_field_index(n)) for n in ("held", "block"))
+        for i, s in _streams(batch):
+            mine = ~held[i].values.to_numpy(zero_copy_only=False).astype(bool)
+            start, stop, k = s.windows()
+            text = np.searchsorted(s.first, start, side="right") - 1
+            at_round = mix64(mix64(np.array([block[i].as_py()], np.uint64)) + np.arange(len(start), dtype=np.uint64)) % U64(ROUNDS)
+            chosen = np.flatnonzero(mine[text] & (at_round == r))
+            for lo in range(0, len(chosen), BATCH):
+                at = chosen[lo : lo + BATCH]
+                place, scored = _gather(s, start[at], stop[at], k[at])
+                yield s.before[place], s.target[place], scored
+
+
 def fit_model(blocks: DataFrame, ends_word: np.ndarray) -> dict:
     """Counts, classes, bigrams and rounds of training over all training texts; tables are bounded by the vocabulary."""
     sc, used = blocks.sparkSession.sparkContext, ["held", "n_words", "codes", "sub_ids", "sub_counts"]
@@ -416,25 +432,12 @@ def fit_model(blocks: DataFrame, ends_word: np.ndarray) -> dict:
         shared = sc.broadcast(model)
 
         def train(batches, r=r, shared=shared):
-            def windows():
-                for batch in batches:
-                    for i, s in _streams(batch):
-                        mine = ~batch.column(0)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                        start, stop, k = s.windows()
-                        text = np.searchsorted(s.first, start, side="right") - 1
-                        chosen = np.flatnonzero(mine[text])
-                        chosen = chosen[(np.arange(len(chosen)) * 2654435761 + r * 97) % (1 << 32) < (1 << 32) // TRAIN_EVERY]
-                        for lo in range(0, len(chosen), BATCH):
-                            at = chosen[lo : lo + BATCH]
-                            place, scored = _gather(s, start[at], stop[at], k[at])
-                            yield s.before[place], s.target[place], scored
-
-            got, places = train_windows(shared.value, windows())
+            got, places = train_windows(shared.value, training_windows(batches, r))
             flat = np.concatenate([got[n].ravel() for n in SHAPES]).astype(float)
             if places:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * places), pa.array(np.full(len(flat), places, float))], ["i", "v", "w"])
 
-        mean = blocks.select(used).mapInArrow(train, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
+        mean = blocks.select(*used, "block").mapInArrow(train, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
         if len(mean):
             flat = mean.sort_values("i")["v"].to_numpy().astype(np.float32)
             cuts = np.cumsum([np.prod(s) for s in SHAPES.values()])[:-1]

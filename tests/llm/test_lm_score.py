@@ -99,3 +99,14 @@ def test_subwords(monkeypatch):
     for part in (words, words[:4], words[3:]):
         got = [np.frombuffer(x, "<u2").tolist() for x in ids.of([w.encode() for w in part])]
         assert got == [want[words.index(w)] for w in part]
+
+
+def test_each_training_window_is_in_one_round(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    batches = lm.encode_blocks(docs).toArrow().to_batches()
+    scored = [sum(int(m.sum()) for _, _, m in lm.training_windows(batches, r)) for r in range(lm.ROUNDS)]
+    want = 0
+    for batch in batches:
+        for i, s in lm._streams(batch):
+            want += int(s.lengths[~batch.column(2)[i].values.to_numpy(zero_copy_only=False).astype(bool)].sum())
+    assert sum(scored) == want and min(scored) > want / lm.ROUNDS * 0.8
