@@ -1,25 +1,42 @@
 """Whole texts through the tokenizers library, each distinct piece once.
 
-A byte-level pattern never matches across a place where a single space or line break stands between
-two characters that aren't white space, except that the space leads the match after it.  So a text
-cut just before each such place encodes to the ids of its pieces in a row.  The library encodes
-pieces that a worker hasn't met; the rest are looked up.  Texts with other runs of white space are
-cut at the safe places only; texts with a special token's string go to the library whole.
-The lookup table is emptied at ``CACHE_PIECES`` pieces; that changes no result.
+Texts are cut into pieces with numpy, at places that no match of a byte-level pattern crosses and at which a
+new match begins: before a single space or line break between two characters that aren't white space, and
+between an ASCII letter or digit and an ASCII mark after it.  So a text encodes to the ids of its pieces in a
+row.  Pieces are known by 64-bit hashes in a table of fixed size (``TABLE_BITS``); the library encodes those that
+are new.  A full table is emptied, which changes no result, and no Python object is kept for a piece, so a
+worker's table never holds more than about 30 MB.  Texts with the string of a special token go to the library whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
+import pyarrow as pa
 
-CACHE_PIECES = 1_000_000
-_CLOSING = ".,;:!?|"
-_SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: white space that str.split() cuts at besides spaces and breaks
-_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+from .piece_table import ALNUM, BREAK, MARK, PieceTable, Values
+from .textbatch import Texts, span_hashes, texts_of
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: other characters that str.isspace() holds for, as bytes
+_WIDE_SPACE = [chr(c).encode() for c in range(128, 0x3001) if chr(c).isspace()]
+
+
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of a white-space character."""
+    out = _SPACE[data]
+    for lead in {c[0] for c in _WIDE_SPACE}:
+        at = np.flatnonzero(data == lead)
+        for c in _WIDE_SPACE:
+            if c[0] == lead and len(at):
+                here = at[at + len(c) <= len(data)]
+                for i in range(1, len(c)):
+                    here = here[data[here + i] == c[i]]
+                for i in range(len(c)):
+                    out[here + i] = True
+    return out
 
 
 class LibraryEncoder:
@@ -30,7 +47,7 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
+        self.special = [t.content.encode() for t in added.values() if t.content]
         vocab = self.tokenizer.get_vocab()
         size = max([*vocab.values(), 0]) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -38,115 +55,128 @@ class LibraryEncoder:
         self.n_bytes = np.zeros(size, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
-        # by piece: pieces with a space or a break before them, and pieces as they are
-        self.ids: tuple[dict, dict] = {}, {}
-        self.bases: dict[str, bytes] = {}  # pieces without their closing marks
-        self.spans: tuple[dict, dict] = {}, {}
-
-    def pieces(self, text: str) -> tuple[list[str], int] | None:
-        """Pieces of a text and how many of them are as they are; None if the text must be encoded whole.
-
-        After those, a piece that doesn't begin with a break has a space before it, which is left out.
-        """
-        if any(s in text for s in self.special):
-            return None
-        found = text.replace("\n", " \n").split(" ")
-        # white space is spaces and breaks only, so equal numbers say that it stands singly, between words
-        if len(found) == len(text.split()) and not any(c in text for c in _OTHER_SPACE):
-            return found, 1
-        found = _SAFE_CUT.split(text)
-        return found, len(found)
-
-    def _learn(self, cut: list[tuple[list[str], int] | None], known: tuple[dict, dict], joined, single) -> None:
-        spaced, plain = known
+        self.ids = PieceTable(), Values(self.dtype)
+        self.spans = PieceTable(), Values(np.int32, np.int32)
+
+    def whole(self, t: Texts) -> np.ndarray:
+        """Which texts may hold a special token's string."""
+        out = np.zeros(len(t), bool)
+        for s in self.special:
+            at = np.flatnonzero(t.data == s[0])
+            if len(s) > 1:
+                at = at[at + 1 < len(t.data)]
+                at = at[t.data[at + 1] == s[1]]
+            out[np.searchsorted(t.bounds, at, side="right") - 1] = True
+        return out
+
+    @staticmethod
+    def pieces(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of pieces, and which may stand in a row with others of the kind, to be encoded together."""
+        data, n = t.data, len(t.data)
+        blank = white(data)
+        begins = np.zeros(n, bool)
+        first = t.bounds[:-1][np.diff(t.bounds) > 0]
+        if n > 2:
+            begins[1:-1] = BREAK[data[1:-1]] & ~blank[:-2] & ~blank[2:]
+        if n > 1:
+            # a break that ends its text isn't before a character of that text
+            ends_text = t.bounds[1:-1] - 1
+            begins[ends_text[ends_text >= 0]] = False
+            begins[1:] |= MARK[data[1:]] & ALNUM[data[:-1]]
+        spaced = begins & BREAK[data]
+        begins[first], spaced[first] = True, False
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], n) if len(start) else start
+        return start, end, spaced[start] & ~blank[end - 1]
+
+    def _numbers(self, t: Texts, kept, learn_joined, learn_single) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of pieces and their numbers in a table that holds them all."""
+        table, values = kept
+        start, end, joinable = self.pieces(t)
+        h = span_hashes(t.data, start, end)
+        numbers = table.find(h)
         for again in (False, True):
-            new_spaced, new_plain = set(), set()
-            for got in cut:
-                if got is not None:
-                    found, k = got
-                    new_plain.update(set(found[:k]).difference(plain))
-                    new_spaced.update(set(found[k:]).difference(spaced))
-            if again or len(spaced) + len(plain) + len(new_spaced) + len(new_plain) <= CACHE_PIECES:
+            missing = np.flatnonzero(numbers < 0)
+            if not len(missing):
+                return start, numbers
+            new, at = np.unique(h[missing], return_index=True)
+            if again or table.n + len(new) <= table.room:
                 break
-            spaced.clear()
-            plain.clear()
-        if new_spaced:
-            names = list(new_spaced)
-            spaced.update(zip(names, joined([x if x[0] == "\n" else " " + x for x in names]), strict=True))
-        for name in new_plain:
-            plain[name] = single(name)
-
-    def _joined_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces with leading white space. Closing marks after a letter or digit are a match of their own."""
-        bases, ends = [], []
-        for x in pieces:
-            base = x.rstrip(_CLOSING)
-            if len(base) == len(x) or not base[-1:].isalnum():
-                base = x
-            bases.append(base)
-            ends.append(x[len(base) :])
-        plain, known = self.ids[1], self.bases
-        for end in set(ends):
-            if end not in plain:
-                plain[end] = self._single_ids(end)
-        if len(known) > CACHE_PIECES // 4:
-            known.clear()
-        new = [b for b in dict.fromkeys(bases) if b not in known]
-        if new:
-            got = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, np.int64)
-            bytes_to = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in new])
-            stop = (np.searchsorted(np.cumsum(self.n_bytes[got]), bytes_to) + 1) * self.dtype.itemsize
-            raw, start = got.astype(self.dtype).tobytes(), np.append(0, stop[:-1])
-            known.update((x, raw[i:j]) for x, i, j in zip(new, start.tolist(), stop.tolist(), strict=True))
-        return [known[b] + plain[e] if e else known[b] for b, e in zip(bases, ends, strict=True)]
-
-    def _single_ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _joined_spans(self, pieces: list[str]) -> list[tuple[int, bytes, bytes, int]]:
-        offsets = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-        length = np.array([len(x) for x in pieces])
+            table.clear()
+            values.clear()
+            numbers[:] = -1
+        if len(new) > table.room:  # one huge text: a table for it alone
+            table.__init__(int(np.ceil(np.log2(len(new) * 2))))
+            values.clear()
+        at = missing[at]
+        for together in (True, False):
+            mine = np.flatnonzero(joinable[at] == together)
+            raw = [t.data[a:b].tobytes() for a, b in zip(start[at[mine]].tolist(), end[at[mine]].tolist(), strict=True)]
+            if raw:
+                values.add(*(learn_joined if together else learn_single)(raw))
+                table.add(new[mine])
+        numbers[missing] = table.find(h[missing])
+        return start, numbers
+
+    def _joined_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of pieces that begin with a break and end without one."""
+        got = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, np.int64)
+        stop = np.searchsorted(np.cumsum(self.n_bytes[got]), np.cumsum([len(x) for x in pieces])) + 1
+        return np.diff(stop, prepend=0), got.astype(self.dtype)
+
+    def _single_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        return np.array([len(x) for x in got]), np.array([i for x in got for i in x], self.dtype)
+
+    def _joined_spans(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = [x.decode() for x in pieces]
+        offsets = np.array(self.tokenizer.encode("".join(names), add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        length = np.array([len(x) for x in names])
         at = np.cumsum(length) - length
-        cut = np.append(np.searchsorted(offsets[:, 0], at), len(offsets))
-        own = offsets - np.repeat(at, np.diff(cut))[:, None]
-        starts, ends = own[:, 0].astype(np.int32).tobytes(), own[:, 1].astype(np.int32).tobytes()
-        return [(b - a, starts[4 * a : 4 * b], ends[4 * a : 4 * b], n) for a, b, n in zip(cut.tolist(), cut[1:].tolist(), length.tolist(), strict=False)]
+        counts = np.diff(np.append(np.searchsorted(offsets[:, 0], at), len(offsets)))
+        own = offsets - np.repeat(at, counts)[:, None]
+        return counts, own[:, 0], own[:, 1]
 
-    def _single_spans(self, text: str) -> tuple[int, bytes, bytes, int]:
-        offsets = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
-        return len(offsets), offsets[:, 0].tobytes(), offsets[:, 1].tobytes(), len(text)
+    def _single_spans(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = [x.offsets for x in self.tokenizer.encode_batch([x.decode() for x in pieces], add_special_tokens=False)]
+        flat = np.array([o for x in got for o in x], np.int64).reshape(-1, 2)
+        return np.array([len(x) for x in got]), flat[:, 0], flat[:, 1]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def ids_of(self, t: Texts) -> list[np.ndarray]:
         """Ids of each text."""
-        cut, (spaced, plain) = [self.pieces(t) for t in texts], self.ids
-        self._learn(cut, self.ids, self._joined_ids, self._single_ids)
-        out = []
-        for text, got in zip(texts, cut, strict=True):
-            if got is None:
-                raw = self._single_ids(text)
-            else:
-                found, k = got
-                raw = b"".join([*map(plain.__getitem__, found[:k]), *map(spaced.__getitem__, found[k:])])
-            out.append(np.frombuffer(raw, self.dtype))
+        start, numbers = self._numbers(t, self.ids, self._joined_ids, self._single_ids)
+        counts, at = self.ids[1].of(numbers)
+        flat = self.ids[1].flat[0][at]
+        cut = np.append(0, np.cumsum(counts))[np.searchsorted(start, t.bounds)].tolist()
+        out = [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        for i in np.flatnonzero(self.whole(t)).tolist():
+            text = t.data[t.bounds[i] : t.bounds[i + 1]].tobytes().decode()
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         return out
 
-    def spans_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def spans_of(self, t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
         """Character starts and ends of each text's tokens; bytes of one character share its span."""
-        cut, (spaced, plain) = [self.pieces(t) for t in texts], self.spans
-        self._learn(cut, self.spans, self._joined_spans, self._single_spans)
-        out = []
-        for text, got in zip(texts, cut, strict=True):
-            if got is None:
-                parts = [self._single_spans(text)]
-            else:
-                found, k = got
-                parts = [*map(plain.__getitem__, found[:k]), *map(spaced.__getitem__, found[k:])]
-            counts, starts, ends, lengths = zip(*parts, strict=True)
-            length = np.array(lengths, np.int64)
-            base = np.repeat(np.cumsum(length) - length, counts)
-            out.append((base + np.frombuffer(b"".join(starts), np.int32), base + np.frombuffer(b"".join(ends), np.int32)))
+        start, numbers = self._numbers(t, self.spans, self._joined_spans, self._single_spans)
+        counts, at = self.spans[1].of(numbers)
+        characters = np.append(0, np.cumsum((t.data & 0xC0) != 0x80))
+        of_piece = np.searchsorted(start, t.bounds)
+        own = characters[start] - np.repeat(characters[t.bounds[:-1]], np.diff(of_piece))
+        base = np.repeat(own, counts)
+        starts, ends = (base + x[at] for x in self.spans[1].flat)
+        cut = np.append(0, np.cumsum(counts))[of_piece].tolist()
+        out = [(starts[a:b], ends[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        for i in np.flatnonzero(self.whole(t)).tolist():
+            text = t.data[t.bounds[i] : t.bounds[i + 1]].tobytes().decode()
+            offsets = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+            out[i] = offsets[:, 0], offsets[:, 1]
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [x for t in texts_of(pa.array(texts, pa.string())) for x in self.ids_of(t)]
+
+    def spans_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [x for t in texts_of(pa.array(texts, pa.string())) for x in self.spans_of(t)]
+
 
 _encoders: dict[str, LibraryEncoder] = {}
 

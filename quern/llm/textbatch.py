@@ -118,10 +118,25 @@ def words_of(t: Texts, kind: np.ndarray = IS_WORD) -> Words:
     return Words(start, end, doc, first)
 
 
+#: bytes of prefix sums at a time, so that tables of powers don't follow the longest text
+STRETCH = 1 << 21
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+    """A 64-bit hash of each span of bytes; starts are in order."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    if len(data) > 2 * STRETCH and len(start) > 1:
+        cut = np.unique(np.searchsorted(start, np.arange(0, len(data), STRETCH)))
+        parts = []
+        for a, b in zip(cut, np.append(cut[1:], len(start)), strict=False):
+            lo, hi = start[a], end[a:b].max()
+            parts.append(_span_hashes(data[lo:hi], start[a:b] - lo, end[a:b] - lo))
+        return np.concatenate(parts)
+    return _span_hashes(data, start, end)
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _powers.upto(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])

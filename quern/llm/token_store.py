@@ -7,11 +7,12 @@ stored once.  A document's recipe lists its chunks' addresses; its root is a Mer
 Layout under the store's path (Parquet, zstd):
 
 * ``objects``  kind ``chunk``: address, n ids, payload (little-endian ids, 2 or 4 bytes each)
-* ``recipes``  in ascending doc_id order: part, doc_id, start, n_tokens, root, recipe (16-byte addresses)
-* ``manifest`` per part of recipes: n_docs, start, n_tokens, Merkle root over its documents' roots
+* ``recipes``  in ascending doc_id order: ordinal, doc_id, start, n_tokens, root, recipe (16-byte addresses)
+* ``manifest`` per ``PART`` neighbouring documents, and again per ``PART`` such nodes up to one: level, node, n_docs, start,
+  n_tokens, Merkle root over the roots below; no row gathers more than ``PART`` of them
 
 ``read_documents`` rebuilds ids; ``verify`` checks every chunk against its address, every recipe against
-its root and every part against the manifest, and gives each document's CRC-32, combined from those of its
+its root and every node against the manifest, and gives each document's CRC-32, combined from those of its
 chunks (each chunk is read once, however many documents hold it).
 
 Nulls: a null text is an empty text (only the end id); a null id sorts first.  Rows with equal ids
@@ -28,17 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from .bpe import tokenizer_definition
 from .common import documents, workspace
 from .library_encoder import library_encoder
-from .textbatch import U64, mix64
+from .textbatch import U64, mix64, texts_of
 
 WINDOW = 4
 MEAN_BITS = 8  # a boundary about every 2 ** MEAN_BITS ids
 MIN_CHUNK, MAX_CHUNK = 64, 1024
 ADDRESS = 16
+SEEN = 200_000  # addresses that a task remembers having sent
+PART = 1024  # documents, or nodes below, of a manifest row
 END_ID = 2
 OBJECTS = "kind string, doc_id long, n long, address binary, payload binary"
 
@@ -119,16 +121,17 @@ def _encode(definition, end_id: int):
         encoder = library_encoder(definition.value)
         end, seen = np.array([end_id], encoder.dtype), set()  # a task sends a chunk at most once
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                doc_ids = batch.column(0).slice(at, 128).to_pylist()
-                rows = []
-                streams = [np.concatenate([x, end]) for x in encoder.encode_batch([x or "" for x in batch.column(1).slice(at, 128).to_pylist()])]
+            for t in texts_of(batch.column(1)):
+                doc_ids, rows = batch.column(0).slice(t.lo, len(t)).to_pylist(), []
+                streams = [np.concatenate([x, end]) for x in encoder.ids_of(t)]
                 for doc_id, ids, stops in zip(doc_ids, streams, boundaries_of(streams), strict=True):
                     raw, width, last, recipe = ids.tobytes(), ids.itemsize, 0, []
                     for stop in stops:
                         payload = raw[last * width : stop * width]
                         recipe.append(key := address(payload))
                         if key not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
                             seen.add(key)
                             rows.append(("chunk", None, stop - last, key, payload))
                         last = stop
@@ -180,14 +183,15 @@ def write_store(docs: DataFrame, path: str, *, end_id: int = END_ID, tokenizer_p
         .write.parquet(staged)
     )
     placed = spark.read.parquet(staged)
-    sizes = placed.groupBy("part").agg(F.sum("n_tokens").alias("size"))  # a row per file
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("part", before.alias("before"))
-    running = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = placed.groupBy("part").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("rows"))  # a row per file
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("size", "rows")])
+    running = Window.partitionBy("part").orderBy("doc_id", "root")
     (
         placed.join(sizes, "part")
-        .withColumn("start", F.col("before") + running - F.col("n_tokens"))
-        .select("part", "doc_id", "start", "n_tokens", "root", "recipe")
+        .withColumn("start", F.col("size_before") + F.sum("n_tokens").over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+        .withColumn("ordinal", F.col("rows_before") + F.row_number().over(running) - 1)
+        .select("ordinal", "doc_id", "start", "n_tokens", "root", "recipe")
         .write.option("compression", "zstd")
         .parquet(f"{path}/recipes")
     )
@@ -195,24 +199,39 @@ def write_store(docs: DataFrame, path: str, *, end_id: int = END_ID, tokenizer_p
     return path
 
 
-@F.udf(BinaryType())
-def _root_of(roots):
-    return merkle_root([bytes(x) for x in roots])
-
-
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes")
 
 
+NODE = "level int, node long, n_docs long, start long, n_tokens long, root binary"
+
+
+def _roots(batches):
+    for batch in batches:
+        roots = [merkle_root([x["root"] for x in below]) for below in batch.column(5).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(roots, pa.binary())], ["level", "node", "n_docs", "start", "n_tokens", "root"])
+
+
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """From the recipes as they are on disk; a part is one range of ids."""
-    roots = F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
-    return (
-        _recipes(spark, path)
-        .groupBy("part")
-        .agg(F.count("*").alias("n_docs"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), roots.alias("roots"))
-        .select("part", "n_docs", "start", "n_tokens", _root_of("roots").alias("root"))
-    )
+    """From the recipes as they are on disk: level 1 has a node per ``PART`` documents, each next level one per ``PART`` nodes."""
+    below = _recipes(spark, path).select(F.col("ordinal").alias("node"), F.lit(1).cast("long").alias("n_docs"), "start", "n_tokens", "root")
+    n_nodes, level, out = below.count(), 0, None
+    while n_nodes > 1 or not level:
+        level, n_nodes = level + 1, -(-n_nodes // PART)
+        above = (
+            below.groupBy(F.floor(F.col("node") / PART).alias("node"))
+            .agg(
+                F.sum("n_docs").alias("n_docs"),
+                F.min("start").alias("start"),
+                F.sum("n_tokens").alias("n_tokens"),
+                F.sort_array(F.collect_list(F.struct(F.col("node").alias("place"), "root"))).alias("below"),
+            )
+            .select(F.lit(level).alias("level"), "node", "n_docs", "start", "n_tokens", "below")
+            .mapInArrow(_roots, NODE)
+        )
+        out = above if out is None else out.unionAll(above)
+        below = above.drop("level")
+    return out
 
 
 def _links(spark: SparkSession, path: str) -> DataFrame:
