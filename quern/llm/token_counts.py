@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .bpe import tokenizer_definition
 from .common import documents
 from .library_encoder import library_encoder
+from .textbatch import texts_of
 
 
 def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +55,11 @@ def section_token_counts(docs: DataFrame, tokenizer_path: str | None = None) ->
     def run(batches):
         encoder = library_encoder(definition.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                ids = batch.column(0).slice(at, 128)
-                texts = [x or "" for x in batch.column(1).slice(at, 128).to_pylist()]
+            for t in texts_of(batch.column(1)):
+                ids = batch.column(0).slice(t.lo, len(t))
+                texts = [x or "" for x in batch.column(1).slice(t.lo, len(t)).to_pylist()]
                 lines, los, his, counts, crossing, totals = [], [], [], [], [], []
-                for text, (starts, ends) in zip(texts, encoder.spans_batch(texts), strict=True):
+                for text, (starts, ends) in zip(texts, encoder.spans_of(t), strict=True):
                     lo, hi = line_sections(text)
                     section, crosses = attribute(starts, ends, lo, hi)
                     lines.append(np.arange(len(lo), dtype=np.int32))

@@ -1,9 +1,12 @@
+import random
+
 import public_tokenizers
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from quern.llm.bpe import tokenizer_definition
 from quern.llm.library_encoder import LibraryEncoder
+from quern.llm.piece_table import PieceTable
 from quern.llm.token_counts import field_token_counts, section_token_counts
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -66,3 +69,21 @@ def test_mixed_white_space_is_the_library(spark):
     for r in section_token_counts(docs).orderBy("doc_id", "section").collect():
         got.setdefault(r.doc_id, []).append(r.n_tokens)
     assert got == {i: brute(t) for i, t in enumerate(MIXED)}
+
+
+def test_random_white_space_is_the_library():
+    encoder, rng = LibraryEncoder(tokenizer_definition(None, "byte_bpe_50k.json")), random.Random(1)
+    alphabet = [*"ab9Z.,-(_|\n\n\t\r\x00\x0b\x1c\x85  　​﻿́", " ", " ", " ", "'s", "'ll", "12", "é", "日", "ß²", "🙂", "<|", "<|endoftext|>"]
+    for _ in range(40):
+        batch = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(500)]
+        for text, ids, (starts, ends) in zip(batch, encoder.encode_batch(batch), encoder.spans_batch(batch), strict=True):
+            want = LIBRARY.encode(text, add_special_tokens=False)
+            assert ids.tolist() == want.ids, repr(text)
+            assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets, repr(text)
+
+
+def test_a_full_table_changes_nothing():
+    encoder = LibraryEncoder(tokenizer_definition(None, "byte_bpe_50k.json"))
+    encoder.ids = PieceTable(6), encoder.ids[1]
+    for text in [t or "" for t in texts()] * 2:
+        assert encoder.encode_batch([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
