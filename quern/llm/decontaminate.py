@@ -2,8 +2,9 @@
 
 The inverted index is over benchmark items; every passage of every training document is a query.  An
 item's impacts are divided by its own total, so a score is the share of the item's BM25 mass that a
-passage covers, and one threshold serves all items.  A passage is two neighbouring chunks of words, each as
-long as the longest item, so an item that is copied anywhere lies wholly in some passage.
+passage covers, and one threshold serves all items.  Items are indexed by length class: at most ``WIDTH`` words, four
+times as many, and so on.  A passage of a class is two neighbouring chunks of as many words as its longest items may
+have, so an item that is copied anywhere lies wholly in some passage, and no item widens another's passages.
 
 Retrieval returns every (passage, item) of at least ``threshold``, in two exact steps.  For groups of
 neighbouring items the largest impact of each term is kept, and the sum of these over a passage's distinct
@@ -32,11 +33,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise, workspace
 from .textbatch import IS_ALNUM, LOWER, Texts, Words, span_hashes, texts_of, words_of
 
 K1, B = 1.2, 0.75
 THRESHOLD, MIN_OVERLAP = 0.5, 0.5
+WIDTH = 64  # words of the first length class
 BLOCK = 8  # postings of a block
 GROUPS = 32  # of items in a slice
 NGRAM = 3
@@ -75,14 +77,20 @@ class PostingList:
     most: float
 
 
+def width_class(length: int) -> int:
+    """Words of a chunk for items of a length."""
+    width = WIDTH
+    while width < length:
+        width *= 4
+    return width
+
+
 class Index:
-    """A slice of the benchmark, with impacts in shares of an item's total."""
+    """Items of one length class in a slice of the benchmark, with impacts in shares of an item's total."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_length: float, longest: int):
-        hashed = [(i, word_hashes(text), text) for i, text in items]
-        hashed = [(i, h, text) for i, h, text in hashed if len(h)]
+    def __init__(self, hashed: list[tuple[int, np.ndarray, str]], df: dict[int, int], n_items: int, mean_length: float, width: int):
         self.ids = [i for i, _, _ in hashed]
-        self.chunk = max(16, longest)
+        self.chunk = width
         self.parts = [tuple(word_hashes(p) for p in split_item(text)) for _, _, text in hashed]
         rows = []
         for at, (_, h, _) in enumerate(hashed):
@@ -119,6 +127,16 @@ class Index:
         return np.where(self.terms[at] == h, at, -1)
 
 
+def index_slice(items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_length: float) -> list[Index]:
+    """An index for each length class among the items."""
+    classes: dict[int, list] = {}
+    for i, text in items:
+        h = word_hashes(text)
+        if len(h):
+            classes.setdefault(width_class(len(h)), []).append((i, h, text))
+    return [Index(hashed, df, n_items, mean_length, width) for width, hashed in sorted(classes.items())]
+
+
 def block_max_wand(lists: list[PostingList], threshold: float, lo: int, hi: int) -> list[tuple[int, float]]:
     """All items in [lo, hi) whose impacts over ``lists`` reach ``threshold``, with their scores."""
     slack = threshold - 1e-9
@@ -177,12 +195,12 @@ def block_max_wand(lists: list[PostingList], threshold: float, lo: int, hi: int)
     return found
 
 
-def retrieve(t: Texts, w: Words, index: Index, threshold: float):
-    """(text, first word, stop word, item, score) of every passage and item of at least ``threshold``."""
+def retrieve(t: Texts, w: Words, h: np.ndarray, index: Index, threshold: float):
+    """(text, first word, stop word, item, score) of every passage and item of at least ``threshold``; ``h`` has the hashes of words."""
     n = len(w.start)
     if not n or not index.ids:
         return
-    term = index.term_ids(span_hashes(LOWER[t.data], w.start, w.end))
+    term = index.term_ids(h)
     size = index.chunk
     chunks = -(-np.diff(w.first) // size)  # of each text
     chunk_base = np.concatenate([[0], np.cumsum(chunks)])
@@ -227,70 +245,73 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return len(mine & grams(passage, n)) / len(mine) if mine else 1.0
 
 
-def leaks(t: Texts, index: Index, threshold: float, min_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """(text, item): best score, question and answer overlap, of verified passages."""
+def leaks(t: Texts, indexes: list[Index], threshold: float, min_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(text, item id): best score, question and answer overlap, of verified passages."""
     w, best = words_of(t, IS_ALNUM), {}
-    for i, first, stop, item, score in retrieve(t, w, index, threshold):
-        passage = span_hashes(LOWER[t.data], w.start[first:stop], w.end[first:stop])
-        question, answer = (overlap(p, passage) for p in index.parts[item])
-        if question >= min_overlap and answer >= min_overlap:
-            best[i, item] = max(best.get((i, item), (0.0,)), (score, question, answer))
+    h = span_hashes(LOWER[t.data], w.start, w.end)
+    for index in indexes:
+        for i, first, stop, item, score in retrieve(t, w, h, index, threshold):
+            question, answer = (overlap(p, h[first:stop]) for p in index.parts[item])
+            if question >= min_overlap and answer >= min_overlap:
+                key = i, index.ids[item]
+                best[key] = max(best.get(key, (0.0,)), (score, question, answer))
     return best
 
 
 def build_indexes(benchmark: DataFrame, slice_items: int = 4096, slice_words: int = 1 << 20):
-    """Indexes of slices of the benchmark, one at a time; what the driver holds is bounded by a slice."""
-    items = benchmark.select("item_id", "text").where("text is not null")
+    """Indexes of slices of the benchmark, one slice at a time; what the driver holds is bounded by a slice."""
+    spark = benchmark.sparkSession
 
     def count(batches):
         for batch in batches:
-            lengths, terms = [], []
-            for t in texts_of(batch.column(0)):
+            for t in texts_of(batch.column(1)):
                 w = words_of(t, IS_ALNUM)
                 h = span_hashes(LOWER[t.data], w.start, w.end)
-                for i in range(len(t)):
-                    own = h[w.first[i] : w.first[i + 1]]
-                    lengths.append(len(own))
-                    terms.append(np.unique(own).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["length", "terms"])
-
-    counted = items.select("text").mapInArrow(count, "length long, terms array<long>").where("length > 0")
-    n_items, n_words, longest = counted.agg(F.count("*"), F.sum("length"), F.max("length")).first()
+                terms = [np.unique(h[a:b]).view(np.int64) for a, b in zip(w.first.tolist(), w.first[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(t.lo, len(t)) for i in (0, 1)), pa.array(np.diff(w.first)), pa.array(terms, pa.list_(pa.int64()))],
+                    ["item_id", "text", "length", "terms"],
+                )
+
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
+    counted = items.mapInArrow(count, "item_id long, text string, length long, terms array<long>").where("length > 0")
+    # read and hashed once; equal items are told apart by a row number, so they spread over slices
+    counted = materialise(counted.withColumn("row", F.monotonically_increasing_id()), workspace(spark, "benchmark"))
+    n_items, n_words = counted.agg(F.count("*"), F.sum("length")).first()
     if not n_items:
         return
     n_slices = max(1, -(-n_items // slice_items), -(-n_words // slice_words))
     frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    slice_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices))
+    if n_slices > 1:
+        frequency = materialise(frequency, workspace(spark, "benchmark-terms"))
     for k in range(n_slices):
-        part = items.where(slice_of == k)
-        rows = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        part = counted.where(F.pmod(F.xxhash64("row"), F.lit(n_slices)) == k)
+        rows = sorted(((r[0], r[1]) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         mine = frequency
         if n_slices > 1:
-            own = part.select("text").mapInArrow(count, "length long, terms array<long>").select(F.explode("terms").alias("term")).distinct()
-            mine = frequency.join(own, "term", "left_semi")
+            mine = frequency.join(part.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
         df = {r[0] & 0xFFFFFFFFFFFFFFFF: r[1] for r in mine.collect()}
-        yield Index(rows, df, n_items, n_words / n_items, longest)
+        yield index_slice(rows, df, n_items, n_words / n_items)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP, **slices) -> DataFrame:
     """A row per leaked (document, item): doc_id, item_id, score, question_overlap, answer_overlap."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    for index in build_indexes(benchmark, **slices):
-        shared = spark.sparkContext.broadcast(index)
+    for indexes in build_indexes(benchmark, **slices):
+        shared = spark.sparkContext.broadcast(indexes)
 
         def search(batches, shared=shared):
-            index = shared.value
             for batch in batches:
                 ids = batch.column(0)
                 for t in texts_of(batch.column(1)):
-                    found = leaks(t, index, threshold, min_overlap)
+                    found = leaks(t, shared.value, threshold, min_overlap)
                     if found:
                         scores = list(zip(*found.values(), strict=True))
                         yield pa.RecordBatch.from_arrays(
                             [
                                 ids.take(pa.array([t.lo + i for i, _ in found])),
-                                pa.array([index.ids[k] for _, k in found], pa.int64()),
+                                pa.array([k for _, k in found], pa.int64()),
                                 *(pa.array(s, pa.float64()) for s in scores),
                             ],
                             ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
@@ -304,8 +325,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP, **slices) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns: decided where the row is."""
     at = docs.columns.index("text")
-    for index in build_indexes(benchmark, **slices):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in build_indexes(benchmark, **slices):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def keep(batches, shared=shared):
             for batch in batches:

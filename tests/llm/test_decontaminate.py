@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from quern.llm import decontaminate as dc
-from quern.llm.textbatch import IS_ALNUM, texts_of, words_of
+from quern.llm.textbatch import IS_ALNUM, LOWER, span_hashes, texts_of, words_of
 
 WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 SF = "/root/testdata/sf0.01"
@@ -21,14 +22,15 @@ def brute_scores(texts, items, threshold):
     """Every (text, passage start, item) of at least the threshold, scored in full."""
     bags = [(i, Counter(tokens(t)), len(tokens(t))) for i, t in items]
     df = Counter(w for _, bag, _ in bags for w in bag)
-    mean, longest = sum(n for *_, n in bags) / len(bags), max(16, *(n for *_, n in bags))
+    mean = sum(n for *_, n in bags) / len(bags)
+    widths = [64 if n <= 64 else 256 if n <= 256 else 1024 for *_, n in bags]
     out = {}
-    for d, text in enumerate(texts):
+    for (d, text), width in itertools.product(enumerate(texts), sorted(set(widths))):
         words = tokens(text)
-        starts = range(0, max(1, len(words) - longest) if len(words) > longest else 1, longest) if words else []
+        starts = range(0, max(1, len(words) - width) if len(words) > width else 1, width) if words else []
         for first in starts:
-            passage = set(words[first : first + 2 * longest])
-            for i, bag, n in bags:
+            passage = set(words[first : first + 2 * width])
+            for i, bag, n in [b for b, w in zip(bags, widths, strict=True) if w == width]:
                 impact = {w: math.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) for w, tf in bag.items()}
                 score = sum(v for w, v in impact.items() if w in passage) / sum(impact.values())
                 if score >= threshold:
@@ -39,12 +41,14 @@ def brute_scores(texts, items, threshold):
 @pytest.mark.parametrize("threshold", [0.25, 0.5])
 def test_retrieval_is_exhaustive(spark, threshold):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
-    texts = [None, "", "a"] + pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:150] + [items[3][1] + " x " + items[5][1]]
-    (index,) = dc.build_indexes(spark.createDataFrame(items, "item_id long, text string"))
+    items += [(900, " ".join(x[1] for x in items[:4])), (901, " ".join(x[1] for x in items[7:17]))]  # of longer classes
+    texts = [None, "", "a", items[-2][1], "x " * 100 + items[-1][1]] + pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:150] + [items[3][1] + " x " + items[5][1]]
+    (indexes,) = dc.build_indexes(spark.createDataFrame(items, "item_id long, text string"))
+    assert len(indexes) == 3
     got = {}
-    for t in texts_of(pa.array(texts, pa.string())):
+    for t, index in ((t, x) for t in texts_of(pa.array(texts, pa.string())) for x in indexes):
         w = words_of(t, IS_ALNUM)
-        for i, first, _, item, score in dc.retrieve(t, w, index, threshold):
+        for i, first, _, item, score in dc.retrieve(t, w, span_hashes(LOWER[t.data], w.start, w.end), index, threshold):
             got[t.lo + i, first - int(w.first[i]), index.ids[item]] = score
     want = brute_scores(texts, items, threshold)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
@@ -73,3 +77,15 @@ def test_edges_and_slices(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
     assert dc.find_leaks(docs.limit(0), bench).count() == 0 and dc.find_leaks(docs, bench.limit(0)).count() == 0
     assert dc.drop_leaked(docs, bench.limit(0)).count() == len(data)
+
+
+def test_a_long_item_changes_no_other_verdict(spark):
+    question, answer = "Which of the seven hills did the old shepherd climb before dawn?", "He climbed the steep hill by the broken mill."
+    bench = [(1, f"{question} {answer}"), (2, "What else is there? Nothing but rain on the roof today.")]
+    far = [(1, f"{question} " + "filler " * 1500 + answer)]
+    docs = spark.createDataFrame(far, "doc_id long, text string")
+    long_item = [(3, " ".join(f"w{i}" for i in range(3000)))]
+    for items in (bench, bench + long_item):
+        assert dc.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    copied = spark.createDataFrame([(7, "x " * 777 + long_item[0][1] + " y" * 50)], "doc_id long, text string")
+    assert [r.item_id for r in dc.find_leaks(copied, spark.createDataFrame(bench + long_item, "item_id long, text string")).collect()] == [3]
