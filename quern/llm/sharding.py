@@ -7,8 +7,10 @@ bytes is a unit of its own (there are at most ``n_shards * units_per_shard`` of
 groups are bundled by (power-of-two size class, hash) into at most ``classes * bundles_per_class``
 units of groups of like size.  Bundles of the small classes come last and level what is left.
 
-Nulls: a null text counts no bytes and is a group of its own.  Empty texts are equal texts.
-Repeated rows and repeated ids keep a row each.  Empty input gives empty output.
+Nulls: a null text counts no bytes; null texts are a group by id.  Empty texts are equal texts.  Repeated rows and
+repeated ids keep a row each.  Rows without an id have the last slots of their shard, in any order.  Ties of sizes go
+by the key of the unit, then to the lowest shard, so the same rows get the same shards and slots again.  A very long
+text is one unit.  Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, workspace
 
+NULL_BUCKETS = 64  # over which rows without an id are dealt
+
 
 def lpt_schedule(units: list[tuple[str, int]], n_shards: int) -> dict[str, int]:
     """Largest unit first, each to the least-loaded shard (ties: unit key, then lowest shard)."""
@@ -54,7 +58,7 @@ def shard_documents(
         (F.coalesce(F.octet_length(text), F.lit(0)) + row_overhead).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.when(text.isNotNull(), F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)))
-        .otherwise(F.unhex(F.substring(F.sha2(F.concat(F.lit("null text "), F.uuid()).cast("binary"), 256), 1, 32)))
+        .otherwise(F.unhex(F.substring(F.sha2(F.concat(F.lit("null text "), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"), 256), 1, 32)))
         .alias("group_key"),
     )
     rows = materialise(rows, workspace(spark, "shard-rows"))
@@ -75,12 +79,15 @@ def shard_documents(
         list(placed.items()), "unit string, shard int"
     )  # at most n_shards * units_per_shard + 64 * bundles_per_class rows
     assigned = groups.join(F.broadcast(unit_shard), "unit").select("group_key", "unit", "shard")
-    placed_rows = materialise(rows.join(assigned, "group_key"), workspace(spark, "shard-placed"))
+    placed_rows = rows.join(assigned, "group_key").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(NULL_BUCKETS)))
+    placed_rows = materialise(placed_rows, workspace(spark, "shard-placed"))
 
     n_rows = placed_rows.count()
     buckets = max(1, -(-n_rows // (rows_per_slot_bucket * n_shards)))
     key = F.struct("doc_id", "group_key")
-    bucketed = placed_rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
+    by_hash = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
+    # rows without an id come after the others, where any order will do, so equal ones can be dealt out
+    bucketed = placed_rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(buckets) + by_hash * NULL_BUCKETS + F.col("salt")).otherwise(by_hash))
     before = (
         bucketed.groupBy("shard", "bucket")
         .count()

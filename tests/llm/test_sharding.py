@@ -50,3 +50,34 @@ def test_whole_table_is_level(spark):
         loads[r["shard"]] += r["size"]
     assert set(loads) == set(range(24))
     assert max(loads.values()) - min(loads.values()) < 0.01 * max(loads.values())
+
+
+def test_nulls_get_the_same_places_again(spark):
+    data = [(i % 40, None if i % 2 else f"text {i % 7} " * (i % 5), "x") for i in range(400)] + [(None, None, "y")] * 30 + [(900 + i, "big " * 4000, "z") for i in range(6)]
+    runs = []
+    for parts in (2, 5):
+        rows = collected(shard_documents(spark.createDataFrame(data, SCHEMA).repartition(parts), 4))
+        runs.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_crc32"] or -1, r["shard"], r["slot"]) for r in rows))
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert runs[0] == runs[1] and len(runs[0]) == len(data)
+    assert len({s for null, d, _, s, _ in runs[0] if not null and d >= 900}) == 1  # one group, larger than a shard's share
+
+
+def test_whole_query_is_the_heap_over_groups(spark):
+    """On a table small enough that each group is a unit: the plain schedule over groups of equal texts."""
+    texts = ["", "a", "bb" * 9, "same text", "same text", "same text", "é" * 11, "x" * 200, "x" * 200, "long " * 100]
+    rows = collected(shard_documents(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA), 3))
+    sizes, members = defaultdict(int), defaultdict(set)
+    for r in rows:
+        sizes[r["unit"]] += r["size"]
+        members[texts[r["doc_id"]]].add(r["unit"])
+    assert all(len(u) == 1 for u in members.values()) and len(sizes) == len(members)
+    loads, placed = [0] * 3, {}
+    for unit in sorted(sizes, key=lambda u: (-sizes[u], u)):
+        placed[unit] = min(range(3), key=lambda k: (loads[k], k))
+        loads[placed[unit]] += sizes[unit]
+    assert all(r["shard"] == placed[r["unit"]] for r in rows)
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in enumerate(texts)}
