@@ -6,8 +6,8 @@ all trigrams of the whole text; a language's prototype bundles those of all its
 A document gets the language whose prototype has the largest cosine, ties to the smaller name.
 
 Letters are case-folded; a-z have an index each, all other letters share ``OTHER`` indexes by hash, and a
-run of non-letters is one separator, so there are ``A ** 3`` trigrams whatever the corpus.  Training
-counts are summed in Spark; the driver gets at most ``max_languages * A ** 3`` of them.
+run of non-letters is one separator, so there are ``A ** 3`` trigrams whatever the corpus.  Tasks bundle
+their training texts and Spark adds the sums; the driver gets ``DIMENSIONS`` numbers for each of at most ``max_languages``.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; a null ``lang`` or id is never
 learned from (a null id counts as held out).  Repeated rows get equal results; empty input gives empty
@@ -112,19 +112,32 @@ def profiles(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, has_letter
 
 
-def _count_trigrams(batches):
+def _bundle(batches):
+    """Sums of trigram vectors by language; trigrams of a few languages are counted first, then bound once each."""
     counts: dict[str, np.ndarray] = {}
+    sums: dict[str, np.ndarray] = {}
+
+    def fold():
+        for lang, n in counts.items():
+            at, total = np.flatnonzero(n), sums.setdefault(lang, np.zeros(DIMENSIONS))
+            for lo in range(0, len(at), 8192):
+                total += n[at[lo : lo + 8192]] @ trigram_vectors(at[lo : lo + 8192])
+        counts.clear()
+
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
         for t in texts_of(batch.column(0)):
             first, code, count, _ = trigrams(t)
             for lang in set(langs[t.lo : t.hi]):
                 mine = np.repeat(langs[t.lo : t.hi] == lang, np.diff(first))
-                counts.setdefault(lang, np.zeros(A**3, np.int64))
-                counts[lang] += np.bincount(code[mine], count[mine], A**3).astype(np.int64)
-    for lang, n in counts.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "code", "n"])
+                counts.setdefault(lang, np.zeros(A**3))
+                counts[lang] += np.bincount(code[mine], count[mine], A**3)
+                if len(counts) > 32:
+                    fold()
+    fold()
+    for lang, v in sums.items():
+        at = np.arange(DIMENSIONS, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS, pa.string()), pa.array(at), pa.array(v.astype(np.int64))], ["lang", "at", "v"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -133,23 +146,19 @@ def held_out(id_col: str = "doc_id"):
 
 def fit_prototypes(docs: DataFrame, max_languages: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages in name order and their unit prototypes, from documents that aren't held out."""
-    counts = (
+    sums = (
         docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
         .select("text", "lang")
-        .mapInArrow(_count_trigrams, "lang string, code int, n bigint")
-        .groupBy("lang", "code")
-        .agg(F.sum("n").alias("n"))
+        .mapInArrow(_bundle, "lang string, at int, v bigint")
+        .groupBy("lang", "at")
+        .agg(F.sum("v").alias("v"))
     )
-    found = counts.limit(max_languages * A**3 + 1).toPandas()
-    if len(found) > max_languages * A**3:
+    found = sums.limit(max_languages * DIMENSIONS + 1).toPandas()
+    if len(found) > max_languages * DIMENSIONS:
         raise ValueError(f"over {max_languages} languages")
     langs = sorted(found["lang"].unique())
     prototypes = np.zeros((len(langs), DIMENSIONS), np.float64)
-    for i, lang in enumerate(langs):
-        mine = found[found["lang"] == lang].sort_values("code")
-        codes, n = mine["code"].to_numpy(np.int64), mine["n"].to_numpy(np.float64)
-        for lo in range(0, len(codes), 8192):
-            prototypes[i] += n[lo : lo + 8192] @ trigram_vectors(codes[lo : lo + 8192])
+    prototypes[np.searchsorted(langs, found["lang"].to_numpy(str)), found["at"].to_numpy(int)] = found["v"].to_numpy(float)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)
     return langs, prototypes.astype(np.float32)
 
