@@ -8,18 +8,19 @@ vocabulary, and an end id.  The model is one head of causal attention over windo
 and p(next id) = p(class) p(id | class), the latter from smoothed counts over all training texts.  E and the
 start of U come from all training bigrams (id, next class): the leading directions of their log ratios.
 Classes are ids that are followed alike (k-means over those directions), apart for ids that end a word.
-Wq, Wk, Wv, Wo, P, U and b are then trained on every window of all training texts, in ``ROUNDS`` rounds that
+Wq, Wk, Wv, Wo, P, U and b are then trained on every window of all training texts (end to end), in ``ROUNDS`` rounds that
 each take their share of the windows by hash: each task runs Adam steps over its windows from common parameters,
 and Spark averages what tasks end with.  Windows overlap: the first scores all its ids, the next ones those after their
 first ``WINDOW - STRIDE``, so each id is scored once, with that much context at least.
 
 The score of a text is that of its tokens: a word's probability is ``1 - WORD_SHARE`` of the product of its ids'
 probabilities and ``WORD_SHARE`` of its share of the training tokens, so words that were seen whole keep what
-counts say of them and others are spelled by the attention model.
+counts say of them and others are spelled by attention.  ``attention_score`` is the spelling alone.
 
 Texts are read once into blocks of about ``BLOCK_BYTES``, each with a dictionary of its distinct words, their
 subword ids and the stream of word codes.  Word counts of the base score are summed over blocks in
-Spark by word hash and sent back to the blocks that hold the word; no task or driver holds the vocabulary.
+Spark by word hash, and sent back to the blocks that hold the word where other blocks have it too; no task or driver
+holds the vocabulary.  A text longer than a block is a block.
 
 Nulls: a null text is empty (only the end).  A null id is held out.  Repeated rows get equal results.
 Empty input gives empty output; without training texts all counts are 0 and the model is uniform.
@@ -32,15 +33,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coder, tokenizer_definition
 from .common import documents, materialise, workspace
+from .piece_table import TABLE_BITS, PieceTable, Values
 from .textbatch import LOWER, U64, mix64, span_hashes, texts_of, words_of
 
 BLOCK_BYTES = 4 << 20
-CACHE_WORDS = 400_000
 WINDOW, STRIDE = 32, 24
 DIM, CLASSES = 16, 64
 ROUNDS, BATCH = 2, 64
@@ -52,7 +53,6 @@ BLOCK_SCHEMA = (
     "block long, doc_ids array<bigint>, held array<boolean>, n_words array<int>,"
     " codes binary, sub_ids binary, sub_counts binary, hashes binary, train_counts binary"
 )
-_SEEN = np.tri(WINDOW, dtype=np.float32)
 _MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
 
 
@@ -64,7 +64,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 class SubwordIds:
-    """Ids of words by the tokenizers library, a bounded table of words keeps theirs; special tokens' strings are text."""
+    """Ids of words by the tokenizers library, each once while a table of fixed size holds it; special tokens' strings are text."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -73,23 +73,24 @@ class SubwordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def of(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 16-bit ids of each word."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        extra = {}
-        for lo in range(0, len(new), 8192):
-            part = new[lo : lo + 8192]
-            got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(got.ids, "<u2"), np.array(got.word_ids, np.int64)
-            cut, raw = (np.searchsorted(owner, np.arange(len(part) + 1)) * 2).tolist(), ids.tobytes()
-            extra.update((w, raw[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
-        out = [known[w] if w in known else extra[w] for w in words]
-        # a full table keeps what it has: frequent words come first
-        known.update(list(extra.items())[: CACHE_WORDS - len(known)])
-        return out
+        self.table, self.values = PieceTable(), Values(np.uint16)
+
+    def of(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of distinct words has, and all ids in a row; ``word(i)`` gives the bytes of the i-th."""
+        numbers = self.table.find(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if self.table.n + len(missing) > self.table.room:
+            missing = np.arange(len(hashes))
+            self.table = PieceTable(max(TABLE_BITS, int(np.ceil(np.log2(2 * len(missing))))))
+            self.values = Values(np.uint16)
+        for lo in range(0, len(missing), 8192):
+            part = missing[lo : lo + 8192]
+            names = [word(i).decode("utf-8", "replace") for i in part.tolist()]
+            got = self.tokenizer.encode(names, is_pretokenized=True, add_special_tokens=False)
+            self.values.add(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)), np.array(got.ids, np.uint16))
+            self.table.add(hashes[part])
+        counts, at = self.values.of(self.table.find(hashes))
+        return counts, self.values.flat[0][at]
 
 
 _subwords: dict[str, SubwordIds] = {}
@@ -116,11 +117,13 @@ def _make_blocks(definition):
             training = ~np.repeat(np.array(held, bool), doc_words)
             part_start = np.cumsum([0, *(len(p[3]) for p in parts)])
             part = np.searchsorted(part_start, first, side="right") - 1
-            words = []
-            for k, i in zip(part.tolist(), (first - part_start[part]).tolist(), strict=True):
-                _, _, _, _, data, start, end = parts[k]
-                words.append(data[start[i] : end[i]].tobytes())
-            ids = subwords.of(words)
+            at = first - part_start[part]
+
+            def word(i):
+                _, _, _, _, data, start, end = parts[part[i]]
+                return data[start[at[i]] : end[at[i]]].tobytes()
+
+            counts, ids = subwords.of(own, word)
             seen += 1
             row = [
                 TaskContext.get().partitionId() << 32 | seen,
@@ -128,8 +131,8 @@ def _make_blocks(definition):
                 held,
                 doc_words.astype(np.int32),
                 codes.astype("<u4").tobytes(),
-                b"".join(ids),
-                np.array([len(x) // 2 for x in ids], "<u4").tobytes(),
+                ids.astype("<u2").tobytes(),
+                counts.astype("<u4").tobytes(),
                 own.tobytes(),
                 np.bincount(codes[training], minlength=len(own)).astype("<u4").tobytes(),
             ]
@@ -252,72 +255,83 @@ def fit_start(counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray) -> dic
     return model | {"P": np.zeros(SHAPES["P"], np.float32), "U": directions.astype(np.float32), "b": share.astype(np.float32)}
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product of matrices."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+
+
+def exp_rows(z: np.ndarray) -> np.ndarray:
+    """Exponentials of ``z`` in place, and their sums by row; rows are shifted by their maximum only if a sum would leave the range."""
+    ones = np.ones(z.shape[-1], z.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        sums = e @ ones
+    if not (sums.min(initial=1) > 1e-20 and sums.max(initial=1) < 1e20):
+        z -= z.max(axis=-1, keepdims=True)
+        e = np.exp(z)
+        sums = e @ ones
+    z[...] = e
+    return sums
+
+
 def forward(model: dict, ids: np.ndarray) -> dict[str, np.ndarray]:
     """All inner values for windows of ids (rows)."""
     x = model["E"][ids] + model["P"]
-    q, k, v = (x @ model[w] for w in ("Wq", "Wk", "Wv"))
+    q, k, v = (times(x, model[w]) for w in ("Wq", "Wk", "Wv"))
     a = q @ k.transpose(0, 2, 1)
     a *= np.float32(DIM**-0.5)
     a += _MASK
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a *= (1 / exp_rows(a))[..., None]
     o = a @ v
-    h = x + o @ model["Wo"]
-    z = h @ model["U"] + model["b"]
-    z -= z.max(axis=2, keepdims=True)
+    h = x + times(o, model["Wo"])
+    z = times(h, model["U"])
+    z += model["b"]
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "z": z}
 
 
 def gradients(model: dict, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Gradients and value of the mean class loss over scored places."""
     f = forward(model, ids)
-    p = np.exp(f["z"])
-    p /= p.sum(axis=2, keepdims=True)
-    cls = model["classes"][targets]
-    picked = np.take_along_axis(p, cls[..., None], axis=2)[..., 0]
-    n = max(1, scored.sum())
-    loss = float(-(np.log(np.maximum(picked, 1e-30)) * scored).sum() / n)
-    g = p
-    np.put_along_axis(g, cls[..., None], picked[..., None] - 1, axis=2)
-    g *= (scored / n).astype(np.float32)[..., None]
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    dh = g @ model["U"].T
-    do = dh @ model["Wo"].T
-    da = do @ f["v"].transpose(0, 2, 1)
+    p, cls, place = flat(f["z"]), model["classes"][targets].ravel(), np.arange(targets.size)
+    p *= (1 / exp_rows(p))[:, None]
+    picked, weight, n = p[place, cls], scored.ravel(), max(1, scored.sum())
+    loss = float(-(np.log(np.maximum(picked, 1e-30)) * weight).sum() / n)
+    p[place, cls] -= 1
+    if not weight.all():
+        p *= weight[:, None]
+    p *= np.float32(1 / n)
+    dh = (p @ model["U"].T).reshape(f["h"].shape)
+    do = times(dh, model["Wo"].T)
+    ds = do @ f["v"].transpose(0, 2, 1)
     dv = f["a"].transpose(0, 2, 1) @ do
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
+    ds -= ((do * f["o"]) @ np.ones(DIM, do.dtype))[..., None]  # the same as of ds * a over a row
+    ds *= f["a"]
+    ds *= np.float32(DIM**-0.5)
     dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    out = {"U": flat(f["h"]).T @ flat(g), "b": flat(g).sum(axis=0), "Wo": flat(f["o"]).T @ flat(dh)}
+    out = {"U": flat(f["h"]).T @ p, "b": p.sum(axis=0), "Wo": flat(f["o"]).T @ flat(dh)}
     dx = dh.copy()
     for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
         out[name] = flat(f["x"]).T @ flat(d)
-        dx += d @ model[name].T
+        dx += times(d, model[name].T)
     out["P"] = dx.sum(axis=0)
     return out, loss
 
 
-def _gather(stream: Stream, start: np.ndarray, stop: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of windows (the last one again after a text's end) and which of them the window scores."""
-    place = start[:, None] + np.arange(WINDOW)
-    scored = (place < stop[:, None]) & ((np.arange(WINDOW) >= WINDOW - STRIDE) | (k == 0)[:, None])
-    return np.minimum(place, stop[:, None] - 1), scored
-
-
 def class_scores(model: dict, ids: np.ndarray, tail: int) -> np.ndarray:
     """Class logits at the last ``tail`` places of windows, as ``forward`` gives them up to a shift."""
     x = model["E"][ids] + model["P"]
     last = x[:, WINDOW - tail :]
-    a = (last @ model["Wq"]) @ (x @ model["Wk"]).transpose(0, 2, 1)
+    a = times(last, model["Wq"]) @ times(x, model["Wk"]).transpose(0, 2, 1)
     a *= np.float32(DIM**-0.5)
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN[WINDOW - tail :]
-    a /= a.sum(axis=2, keepdims=True)
-    return (last + (a @ (x @ model["Wv"])) @ model["Wo"]) @ model["U"] + model["b"]
+    a += _MASK[WINDOW - tail :]
+    a *= (1 / exp_rows(a))[..., None]
+    z = times(last + times(a @ times(x, model["Wv"]), model["Wo"]), model["U"])
+    z += model["b"]
+    return z
 
 
-def score_stream(model: dict, stream: Stream, chunk: int = 256) -> np.ndarray:
+def score_stream(model: dict, stream: Stream, chunk: int = 64) -> np.ndarray:
     """Natural log of the attention model's probability of each id."""
     logp = np.zeros(len(stream.target))
     start, stop, k = stream.windows()
@@ -328,26 +342,28 @@ def score_stream(model: dict, stream: Stream, chunk: int = 256) -> np.ndarray:
             held = np.minimum(place, end[lo : lo + chunk, None] - 1)
             z = class_scores(model, stream.before[held], tail)
             target = stream.target[held[:, WINDOW - tail :]]
-            np.minimum(z, 80, out=z)
-            value = np.take_along_axis(z, model["classes"][target][..., None], axis=2)[..., 0]
-            value -= np.log(np.exp(z).sum(axis=2))
+            sums = exp_rows(z)
+            value = np.log(np.take_along_axis(z, model["classes"][target][..., None], axis=2)[..., 0])
+            value -= np.log(sums)
             value += model["inner"][target]
             scored = (place < end[lo : lo + chunk, None])[:, WINDOW - tail :]
             logp[place[:, WINDOW - tail :][scored]] = value[scored]
     return logp
 
 
-def token_scores(logp: np.ndarray, stream: Stream, count: np.ndarray, n_all: int) -> np.ndarray:
-    """log10 probability of each text: each word is the attention model's or a unigram's, in shares ``1 - WORD_SHARE`` and ``WORD_SHARE``.
+def token_scores(logp: np.ndarray, stream: Stream, count: np.ndarray, n_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each text by the model, and by its attention part alone.
 
-    ``count`` has the training count of each token (words of a text, then its end).
+    Each word is spelled by attention or is one of the words seen in training, in shares ``1 - WORD_SHARE`` and
+    ``WORD_SHARE``.  ``count`` has the training count of each token (words of a text, then its end).
     """
     sums = np.concatenate([[0.0], np.cumsum(logp)])[stream.token_ends]
-    own = np.diff(sums, prepend=0.0)
+    spelled = np.diff(sums, prepend=0.0)
+    own = spelled
     if n_all:
         with np.errstate(divide="ignore"):
             own = np.logaddexp(np.log(1 - WORD_SHARE) + own, np.log(WORD_SHARE * count / n_all))
-    return np.diff(np.concatenate([[0.0], np.cumsum(own)])[stream.first_token]) / np.log(10)
+    return tuple(np.diff(np.concatenate([[0.0], np.cumsum(x)])[stream.first_token]) / np.log(10) for x in (own, spelled))
 
 
 def train_windows(model: dict, windows, rate: float = 2e-3) -> tuple[dict, int]:
@@ -375,22 +391,27 @@ def _streams(batch, names=("n_words", "codes", "sub_ids", "sub_counts")):
 
 
 def training_windows(batches, r: int):
-    """Batches of (ids, targets, scored) of the windows of training texts that are in round ``r``; each is in one round."""
+    """Batches of (ids, targets, scored) of the windows of training texts that are in round ``r``; each is in one round.
+
+    Training windows stand end to end, so that each id of each training text is learned from once.
+    """
     for batch in batches:
         held, block = (batch.column(batch.schema.get_field_index(n)) for n in ("held", "block"))
         for i, s in _streams(batch):
-            mine = ~held[i].values.to_numpy(zero_copy_only=False).astype(bool)
-            start, stop, k = s.windows()
-            text = np.searchsorted(s.first, start, side="right") - 1
+            mine = np.flatnonzero(~held[i].values.to_numpy(zero_copy_only=False).astype(bool))
+            n_windows = -(-s.lengths[mine] // WINDOW)
+            text = np.repeat(mine, n_windows)
+            start = s.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * WINDOW
             at_round = mix64(mix64(np.array([block[i].as_py()], np.uint64)) + np.arange(len(start), dtype=np.uint64)) % U64(ROUNDS)
-            chosen = np.flatnonzero(mine[text] & (at_round == r))
+            chosen = np.flatnonzero(at_round == r)
             for lo in range(0, len(chosen), BATCH):
                 at = chosen[lo : lo + BATCH]
-                place, scored = _gather(s, start[at], stop[at], k[at])
-                yield s.before[place], s.target[place], scored
+                place, stop = start[at, None] + np.arange(WINDOW), s.first[text[at] + 1, None]
+                held_in = np.minimum(place, stop - 1)
+                yield s.before[held_in], s.target[held_in], place < stop
 
 
-def fit_model(blocks: DataFrame, ends_word: np.ndarray) -> dict:
+def fit_model(blocks: DataFrame, ends_word: np.ndarray, rounds: int = ROUNDS) -> dict:
     """Counts, classes, bigrams and rounds of training over all training texts; tables are bounded by the vocabulary."""
     sc, used = blocks.sparkSession.sparkContext, ["held", "n_words", "codes", "sub_ids", "sub_counts"]
 
@@ -428,7 +449,7 @@ def fit_model(blocks: DataFrame, ends_word: np.ndarray) -> dict:
     classes = regroup(counts, ends_word, follow(classes))
     model = fit_start(counts, classes, follow(classes))
 
-    for r in range(ROUNDS):
+    for r in range(rounds):
         shared = sc.broadcast(model)
 
         def train(batches, r=r, shared=shared):
@@ -470,21 +491,20 @@ def _requests(batches):
 
 
 def score_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score."""
     spark = docs.sparkSession
     path = workspace(spark, "lm-score")
     encoded = encode_blocks(docs, tokenizer_path)
     encoded.write.option("compression", "zstd").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
 
-    # a word's rows number at most the blocks that hold it
+    # totals of words by partial sums; only words of several blocks are joined back, where a word of all blocks can be split
     asked = blocks.select("block", "hashes", "train_counts").mapInArrow(_requests, "block long, at int, hash long, n long")
-    total = F.sum("n").over(Window.partitionBy("hash"))
-    last = F.lead("hash").over(Window.partitionBy("hash").orderBy("block")).isNull()
-    told = materialise(asked.select("block", "at", total.alias("c"), last.alias("last")), f"{path}/told")
-    n_words, n_distinct = told.where("last and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    totals = materialise(asked.groupBy("hash").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), f"{path}/totals")
+    n_words, n_distinct = totals.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = blocks.select(F.explode("held").alias("held")).where("not held").count()
     n_all, n_kinds = n_words + ends, n_distinct + (ends > 0)
+    told = asked.join(totals.where("blocks > 1 and c > 0").select("hash", "c"), "hash").where("c > n").select("block", "at", "c")
     answers = told.groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("answers"))
 
     definition = tokenizer_definition(tokenizer_path, "word_bpe_49k.json")
@@ -496,9 +516,9 @@ def score_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataF
             for i, s in _streams(batch):
                 n_words = batch.column(3)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
                 codes = np.frombuffer(batch.column(4)[i].as_buffer(), "<u4")
-                count = np.zeros(len(batch.column(6)[i].as_buffer()) // 4, np.int64)
-                if batch.column(7)[i].is_valid:
-                    pairs = batch.column(7)[i].values
+                count = np.frombuffer(batch.column(7)[i].as_buffer(), "<u4").astype(np.int64)  # of this block, unless others have more
+                if batch.column(8)[i].is_valid:
+                    pairs = batch.column(8)[i].values
                     count[pairs.field("at").to_numpy()] = pairs.field("c").to_numpy()
                 c = np.full(len(s.is_word), ends)
                 c[s.is_word] = count[codes]
@@ -511,14 +531,14 @@ def score_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataF
                     pa.array(np.diff(known)),
                     pa.array(np.full(len(n_words), n_all, np.int64)),
                     pa.array(np.diff(base)),
-                    pa.array(token_scores(score_stream(model.value, s), s, c, n_all)),
+                    *map(pa.array, token_scores(score_stream(model.value, s), s, c, n_all)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score"])
 
     return (
-        blocks.select("block", "doc_ids", "held", "n_words", "codes", "sub_ids", "sub_counts")
+        blocks.select("block", "doc_ids", "held", "n_words", "codes", "sub_ids", "sub_counts", "train_counts")
         .join(answers, "block", "left")
-        .mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, attention_score double")
     )
 
 

@@ -39,8 +39,9 @@ def test_each_id_is_scored_once_in_its_window():
     docs = [rng.integers(0, 49000, n).tolist() for n in (0, 1, 30, 31, 32, 33, 55, 56, 57, 200)]
     s = stream(docs)
     logp = lm.score_stream(model, s, chunk=3)
-    got = lm.token_scores(logp, s, np.zeros(0), 0)
-    mixed = lm.token_scores(logp, s, np.full(len(s.is_word), 7), 70)
+    got, _ = lm.token_scores(logp, s, np.zeros(0), 0)
+    mixed, spelled = lm.token_scores(logp, s, np.full(len(s.is_word), 7), 70)
+    assert np.allclose(spelled, got)
     by_hand = [sum(np.log10(0.5 * np.exp(logp[i]) + 0.05) for i in range(a, b)) for a, b in zip(s.first, s.first[1:], strict=False)]
     assert np.allclose(mixed, by_hand)
     for d, value in zip(docs, got, strict=True):
@@ -89,19 +90,52 @@ def test_documents(spark):
     assert len(alone) == 1 and alone[0].n_known == 0 and alone[0].train_tokens == 0
 
 
-def test_subwords(monkeypatch):
+def test_subwords():
     definition = tokenizer_definition(None, "word_bpe_49k.json")
     words = ["hello", "the,", "d'été", "日本", "<|endoftext|>", "\x85", "x" * 300, "ÀÉ", "don't"]
     want = [coder(definition).encode_piece(w) for w in words]
     assert want[0] == [3306]
-    monkeypatch.setattr(lm, "CACHE_WORDS", 6)
     ids = lm.SubwordIds(definition)
+    ids.table = lm.PieceTable(3)  # has room for five words
     for part in (words, words[:4], words[3:]):
-        got = [np.frombuffer(x, "<u2").tolist() for x in ids.of([w.encode() for w in part])]
-        assert got == [want[words.index(w)] for w in part]
+        hashes = np.array([zlib.crc32(w.encode()) for w in part], np.uint64)
+        counts, flat = ids.of(hashes, lambda i, part=part: part[i].encode())
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [want[words.index(w)] for w in part]
+
+
+def test_extreme_logits_stay_finite():
+    model = model_for_test()
+    ids = np.random.default_rng(4).integers(0, 49000, (2, lm.WINDOW))
+    for scale in (1, 300):
+        steep = model | {"U": model["U"] * np.float32(scale), "b": model["b"] - np.float32(200 * scale), "Wq": model["Wq"] * np.float32(scale)}
+        z = lm.class_scores(steep, ids, lm.WINDOW).astype(float)
+        want = z - z.max(axis=2, keepdims=True)
+        want = np.exp(want) / np.exp(want).sum(axis=2, keepdims=True)
+        x = z.astype(np.float32)
+        p = x.copy()
+        sums = lm.exp_rows(p)
+        assert np.isfinite(sums).all() and np.allclose(p / sums[..., None], want, atol=1e-4)
+
+
+def test_training_lowers_held_out_loss_and_order_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    definition = tokenizer_definition(None, "word_bpe_49k.json")
+    blocks = lm.encode_blocks(docs)
+    started, rounds = lm.fit_model(blocks, lm.word_ends(definition), rounds=0), lm.fit_model(blocks, lm.word_ends(definition))
+    losses = [[], []]
+    for batch in blocks.toArrow().to_batches():
+        for i, s in lm._streams(batch):
+            held = np.repeat(batch.column(2)[i].values.to_numpy(zero_copy_only=False).astype(bool), s.lengths)
+            for k, model in enumerate((started, rounds)):
+                losses[k].append(-lm.score_stream(model, s)[held])
+    before, after = (np.concatenate(x).mean() for x in losses)
+    assert after < before - 0.05
+    words = [3306, 1200, 900, 17000, 4000, 300, 25000]
+    there, back = (lm.token_scores(lm.score_stream(rounds, s), s, np.zeros(0), 0)[0] for s in (stream([words]), stream([words[::-1]])))
+    assert abs(there[0] - back[0]) > 1e-3
 
 
-def test_each_training_window_is_in_one_round(spark):
+def test_each_training_id_is_in_one_round(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     batches = lm.encode_blocks(docs).toArrow().to_batches()
     scored = [sum(int(m.sum()) for _, _, m in lm.training_windows(batches, r)) for r in range(lm.ROUNDS)]
