@@ -11,8 +11,10 @@ ratio, drawn to 0 for texts of a few grams.  Each document is decided on its own
 
 A mean hides a handful of insults in ordinary prose, so evidence is also taken where it stands.  Over labelled
 documents (``toxic = 1`` against the trusted target, at most ``trusted_rows`` ids each) the *documents* that hold a gram
-are counted in a finer table; grams of log ratio ``TOXIC_RATIO`` or less are toxic.  A document is not kept if
-``TOXIC_HITS`` toxic grams stand within ``TOXIC_WORDS`` words.
+are counted in a finer table, equal texts once.  Toxic are words and word pairs of log ratio ``TOXIC_RATIO`` or less in
+``TOXIC_SHARE`` of the toxic documents, and, as insults are inflected, first four letters of words of log ratio
+``STEM_RATIO`` or less in ``STEM_SHARE`` of them (what only near copies share is in fewer).  A document is not kept
+if ``TOXIC_HITS`` toxic grams stand within ``TOXIC_WORDS`` words.
 
 Nulls: a null text has no words, fails the base rules and is not kept; a null id keeps its row (it
 can't be trusted).  Repeated rows get equal results.  Empty input gives empty output; without any
@@ -39,6 +41,10 @@ PRIOR = 10.0
 CHUNK = 1024
 TOXIC_BITS = 20
 TOXIC_RATIO = -1.5
+TOXIC_SHARE = 0.1
+STEM, STEM_BITS = 4, 18
+STEM_RATIO, STEM_SHARE = -3.0, 0.05
+TOXIC_CELLS = (1 << TOXIC_BITS) + (1 << STEM_BITS)  # of words and pairs, then of first letters
 TOXIC_HITS, TOXIC_WORDS = 2, 64
 
 _SYMBOL = np.zeros(256, bool)
@@ -110,6 +116,17 @@ def buckets(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U64(64 - bits)).astype(np.int64)
 
 
+def toxic_cells(t: Texts, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cell, first word) of words, of pairs, and of the first ``STEM`` characters of words that have as many."""
+    for h, at in gram_hashes(t, w):
+        yield buckets(h, TOXIC_BITS), at
+    character = np.append(0, np.cumsum(_STARTS_CHARACTER[t.data]))
+    place = np.append(np.flatnonzero(_STARTS_CHARACTER[t.data]), len(t.data))
+    at = np.flatnonzero(character[w.end] - character[w.start] >= STEM)
+    h = span_hashes(LOWER[t.data], w.start[at], place[character[w.start[at]] + STEM])
+    yield (1 << TOXIC_BITS) + buckets(h, STEM_BITS), at
+
+
 def _count_grams(batches):
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for batch in batches:
@@ -162,15 +179,14 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
 
 def _count_documents(batches):
     """Of each bucket, the clean and the toxic documents that hold it; bucket -1 has all of them."""
-    counts, n = np.zeros((2, 1 << TOXIC_BITS), np.int64), np.zeros(2, np.int64)
+    counts, n = np.zeros((2, TOXIC_CELLS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         for t in texts_of(batch.column(0)):
             w, kind = words_of(t), toxic[t.lo : t.hi].astype(np.int64)
             n += np.bincount(kind, minlength=2)
-            cells = [(w.doc[at].astype(np.int64) << TOXIC_BITS) | buckets(h, TOXIC_BITS) for h, at in gram_hashes(t, w)]
-            cells = np.unique(np.concatenate(cells))
-            np.add.at(counts, (kind[cells >> TOXIC_BITS], cells & ((1 << TOXIC_BITS) - 1)), 1)
+            cells = np.unique(np.concatenate([w.doc[at].astype(np.int64) * TOXIC_CELLS + cell for cell, at in toxic_cells(t, w)]))
+            np.add.at(counts, (kind[cells // TOXIC_CELLS], cells % TOXIC_CELLS), 1)
     held = np.flatnonzero(counts.any(axis=0))
     bucket, both = np.append(held, -1), np.append(counts[:, held], n[:, None], axis=1)
     for lo in range(0, len(bucket), 1 << 16):
@@ -181,7 +197,7 @@ def _count_documents(batches):
 
 
 def fit_toxic(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
-    """Which of the 2 ** TOXIC_BITS buckets are toxic."""
+    """Which of the ``TOXIC_CELLS`` cells are toxic."""
     toxic = labelled_ids(labels, "toxic = 1", "toxic_id", trusted_rows)
     # an id with labels of both kinds counts as toxic
     clean = labelled_ids(labels, TRUSTED, "id", trusted_rows).join(F.broadcast(toxic), F.col("id") == F.col("toxic_id"), "left_anti")
@@ -191,6 +207,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
         .where("text is not null")
         .join(F.broadcast(sides), F.col("doc_id") == F.col("id"))
         .select("text", "toxic")
+        .dropDuplicates()  # of at most twice ``trusted_rows`` ids
         .mapInArrow(_count_documents, "bucket int, clean bigint, toxic bigint")
         .groupBy("bucket")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -198,19 +215,22 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
     )
     path = workspace(docs.sparkSession, "toxic-grams")
     counts = materialise(counts, path)
-    table, total = np.zeros(1 << TOXIC_BITS, bool), counts.where("bucket < 0").first()
+    table, total = np.zeros(TOXIC_CELLS, bool), counts.where("bucket < 0").first()
     if total and total["toxic"]:
         expected = F.col("toxic") * (total["clean"] / total["toxic"])
-        found = counts.where(F.col("bucket") >= 0).where(F.log((F.col("clean") + PRIOR) / (expected + PRIOR)) <= TOXIC_RATIO)
+        ratio, share = F.log((F.col("clean") + PRIOR) / (expected + PRIOR)), F.col("toxic") / total["toxic"]
+        stem = F.col("bucket") >= (1 << TOXIC_BITS)
+        strong = F.when(stem, (ratio <= STEM_RATIO) & (share >= STEM_SHARE)).otherwise((ratio <= TOXIC_RATIO) & (share >= TOXIC_SHARE))
+        found = counts.where((F.col("bucket") >= 0) & strong)
         table[[r["bucket"] for r in found.select("bucket").collect()]] = True
     drop_path(docs.sparkSession, path)
     return table
 
 
 def locally_toxic(hits: list[np.ndarray], w: Words) -> np.ndarray:
-    """Texts with enough toxic grams close together; ``hits`` has the first words of toxic words and word pairs."""
+    """Texts with enough toxic grams close together; ``hits`` has the first words of toxic words, pairs and first letters."""
     hit = np.zeros(len(w.start) + 1, bool)
-    hit[hits[0]] = True
+    hit[hits[0]] = hit[hits[2]] = True
     # a pair with a toxic word in it is no further evidence
     hit[hits[1][~hit[hits[1]] & ~hit[hits[1] + 1]]] = True
     at = np.flatnonzero(hit)
@@ -224,12 +244,12 @@ def verdicts(t: Texts, table: np.ndarray, toxic: np.ndarray, threshold: float) -
     """The base columns, the ratio and the verdict of each text."""
     w = words_of(t)
     out = measure(t, w)
-    total, grams, hits = np.zeros(len(t)), np.zeros(len(t)), []
+    total, grams = np.zeros(len(t)), np.zeros(len(t))
     for h, at in gram_hashes(t, w):
         doc = w.doc[at]
         total += np.bincount(doc, table[buckets(h, BUCKET_BITS)], len(t))
         grams += np.bincount(doc, minlength=len(t))
-        hits.append(at[toxic[buckets(h, TOXIC_BITS)]])
+    hits = [at[toxic[cell]] for cell, at in toxic_cells(t, w)]
     out["llr"] = total / (grams + PRIOR_GRAMS)
     out["kept"] = ~out["base_failed"] & (out["llr"] >= threshold) & ~locally_toxic(hits, w)
     return out
