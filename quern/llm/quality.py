@@ -42,6 +42,7 @@ CHUNK = 1024
 TOXIC_BITS = 20
 TOXIC_RATIO = -1.5
 TOXIC_SHARE = 0.1
+TOXIC_PRIOR = 7.0  # documents; a mark of few documents is weak evidence
 STEM, STEM_BITS = 4, 18
 STEM_RATIO, STEM_SHARE = -3.0, 0.05
 TOXIC_CELLS = (1 << TOXIC_BITS) + (1 << STEM_BITS)  # of words and pairs, then of first letters
@@ -218,7 +219,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
     table, total = np.zeros(TOXIC_CELLS, bool), counts.where("bucket < 0").first()
     if total and total["toxic"]:
         expected = F.col("toxic") * (total["clean"] / total["toxic"])
-        ratio, share = F.log((F.col("clean") + PRIOR) / (expected + PRIOR)), F.col("toxic") / total["toxic"]
+        ratio, share = F.log((F.col("clean") + TOXIC_PRIOR) / (expected + TOXIC_PRIOR)), F.col("toxic") / total["toxic"]
         stem = F.col("bucket") >= (1 << TOXIC_BITS)
         strong = F.when(stem, (ratio <= STEM_RATIO) & (share >= STEM_SHARE)).otherwise((ratio <= TOXIC_RATIO) & (share >= TOXIC_SHARE))
         found = counts.where((F.col("bucket") >= 0) & strong)
