@@ -65,7 +65,8 @@ class Engine:
         asked = scratch.keep(self.understand(questions))
         hits = scratch.keep(self.retrieve(questions).where(F.col("rank") <= lx.FINAL_K))
         context = index.context_of(hits, "query_id").join(hits.groupBy("query_id").agg(F.max("rerank").alias("top_rerank")), "query_id")
-        rows = asked.join(context, "query_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+        chunks = hits.groupBy("query_id").agg(F.collect_list("text").alias("chunks"))  # at most ``FINAL_K``
+        rows = asked.join(context.join(chunks, "query_id"), "query_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
         rows = rows.withColumn("route", F.when(F.col("top_rerank") < lx.OOS_RERANK, "abstain").otherwise(agent.route(F.col("n_chunks"), F.col("flags"))))
         said = self.scorers.generate(F.col("text"), F.regexp_replace("context", r"\[Source:[^\]]*\]", ""))
         legal = F.when(F.col("flags.LEGAL"), F.concat(F.lit("\n"), message("legal", F.col("language")))).otherwise("")
@@ -75,7 +76,7 @@ class Engine:
             .otherwise(F.concat(said, legal))
         )
         rows = rows.withColumn("answer", answer).withColumn("claims", g.split_claims(F.col("answer"))).withColumn("found", g.entities(F.col("answer")))
-        grounded = F.transform("claims", lambda c: (self.scorers.entail(c, F.coalesce(F.col("context"), F.lit(""))) >= lx.CLAIM_GROUNDED).cast("int"))
+        grounded = F.transform("claims", lambda c: (g.best_overlap(c, F.col("chunks"), self.scorers.entail) >= lx.CLAIM_GROUNDED).cast("int"))
         rows = rows.withColumn("claim_ratio", F.coalesce(F.try_divide(F.aggregate(grounded, F.lit(0), lambda a, x: a + x), F.size("claims")), F.lit(0.0)))
         rows = rows.withColumn("entity_ratio", g.entity_match_ratio(F.col("found"), F.coalesce("context", F.lit(""))))
         rows = rows.withColumn("cfi", g.fidelity(F.col("claim_ratio"), F.col("entity_ratio"), F.size("found"), F.lit(True)))

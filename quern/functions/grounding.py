@@ -41,11 +41,33 @@ def overlap_share(claim: Column, evidence: Column) -> Column:
     return F.when(F.size(mine) == 0, 1.0).otherwise(F.size(F.array_intersect(mine, content_words(evidence))) / F.size(mine))
 
 
+def best_overlap(claim: Column, chunks: Column, share=overlap_share) -> Column:
+    """The largest share over single chunks (an array of texts); words scattered over several chunks don't add up."""
+    none = F.when(F.size(claim_words(claim)) == 0, 1.0).otherwise(0.0)
+    return F.coalesce(F.array_max(F.transform(chunks, lambda c: share(claim, c))), none)
+
+
+def chain_verified(claims: Column, chunks: Column, is_multihop: Column) -> Column:
+    """Whether every intermediate claim is grounded; always so for questions of one step."""
+    return ~is_multihop | F.forall(F.coalesce(claims, F.array().cast("array<string>")), lambda c: best_overlap(c, chunks) >= lx.CLAIM_GROUNDED)
+
+
+def entity_sources(found: Column, chunks: Column) -> Column:
+    """Of each entity whether some chunk holds it and the source of the first that does; chunks are struct(source, text) in rank order."""
+
+    def first(e: Column) -> Column:
+        key = match_text(e["entity"])
+        return F.try_element_at(F.filter(chunks, lambda c: match_text(c["text"]).contains(key) & (key != "")), F.lit(1))
+
+    return F.transform(found, lambda e: F.struct(e["type"].alias("type"), e["entity"].alias("entity"), first(e).isNotNull().alias("matched"), first(e)["source"].alias("source")))
+
+
 def entities(text: Column, dedup: bool = False) -> Column:
     """array of struct(type, entity), as a bag in pattern order."""
 
     def typed(kind: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        # case, digits and word boundaries of all scripts
+        found = F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(0))
         return F.transform(found, lambda e: F.struct(F.lit(kind).alias("type"), F.trim(e).alias("entity")))
 
     kinds = [(kind, typed(kind, pattern)) for kind, pattern in lx.ENTITY_PATTERNS]

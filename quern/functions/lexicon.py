@@ -103,23 +103,24 @@ _LATIN_UNITS = "(?:jours?|semaines?|mois|ans?|années?|heures?|days?|weeks?|mont
 _ARABIC_UNITS = "(?:يوم(?:ًا|اً|ا)?|أيام|أسبوع(?:ًا|اً)?|أسابيع|شهر(?:ًا|اً|ا)?|أشهر|سنة|سنوات|سنوية|عام(?:ًا|اً)?|أعوام|ساعة|ساعات)"
 #: (type, pattern), in the order in which entities are listed.
 ENTITY_PATTERNS = [
-    ("DATE", r"\b20[0-9]{2}\b"),
-    ("DATE", r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-]20[0-9]{2}\b"),
+    ("DATE", r"\b20\d{2}\b"),
+    ("DATE", r"\b\d{1,2}[/-]\d{1,2}[/-]20\d{2}\b"),
     ("DATE", r"[٠-٩]{4}"),
     ("DATE", r"[٠-٩]{1,2}/[٠-٩]{1,2}/[٠-٩]{4}"),
-    ("AMOUNT", r"(?i)\b[0-9]+(?:[,\.][0-9]+)?\s*(?:MAD|DH|درهم|dirhams?)"),
-    ("AMOUNT", r"(?i)(?:درهم|dirhams?)\s*[0-9]+(?:[,\.][0-9]+)?\b"),
-    ("DURATION", rf"(?i)\b[0-9]+\s*{_LATIN_UNITS}\b"),
-    ("DURATION", rf"[0-9٠-٩]+\s*{_ARABIC_UNITS}"),
+    ("AMOUNT", r"\b\d+(?:[,\.]\d+)?\s*(?:MAD|DH|درهم|dirhams?)\b"),
+    ("AMOUNT", r"\b(?:درهم|dirhams?)\s*\d+(?:[,\.]\d+)?\b"),
+    ("DURATION", rf"\b\d+\s*{_LATIN_UNITS}\b"),
+    ("DURATION", rf"\d+\s*{_ARABIC_UNITS}"),
     ("DURATION", rf"[٠-٩]+\s*{_ARABIC_UNITS}"),
-    ("LEGAL_REF", r"(?:مرسوم|قانون|قرار|ظهير|منشور|دورية)\s*(?:ملكي\s*)?(?:شريف\s*)?(?:رقم\s*)?[0-9٠-٩][0-9٠-٩./\-]*"),
-    ("LEGAL_REF", r"(?i)(?:décret|loi|arrêté|dahir|circulaire)\s*(?:royal\s*)?n\s*[°ºo]?\s*[0-9][0-9./\-]*"),
+    ("LEGAL_REF", r"(?:مرسوم|قانون|قرار|ظهير|منشور|دورية)\s*(?:ملكي\s*)?(?:شريف\s*)?(?:رقم\s*)?[\d٠-٩][\d٠-٩./\-]*"),
+    ("LEGAL_REF", r"(?:décret|loi|arrêté|dahir|circulaire)\s*(?:royal\s*)?n\s*[°ºo]?\s*\d[\d./\-]*"),
 ]
 CITIES = [
     "Rabat", "Casablanca", "Fès", "Fes", "Marrakech", "Tanger", "Agadir", "Meknès", "Oujda", "Kenitra", "Tétouan", "الرباط", "الدار البيضاء",
     "فاس", "مراكش", "طنجة", "أكادير", "مكناس", "وجدة", "القنيطرة", "تطوان",
 ]
-CLAIM_STOPWORDS = "the a an is in on at to of و في من على أن إلى هذا هذه le la les de du des en un une".split()
+DIALECT_STOPWORDS = "واش غادي كاين كاينة بزاف شوية غير حتى راه راك راها داك ديك هاد ليكان ماكاينش ماشي هوما دابا".split()
+CLAIM_STOPWORDS = "the a an is in on at to of و في من على أن إلى هذا هذه le la les de du des en un une".split() + DIALECT_STOPWORDS
 CLAIM_GROUNDED, RATIO_GROUNDED, CFI_GROUNDED = 0.30, 0.80, 0.70
 W_CLAIM, W_ENTITY, W_RELATION = 0.5, 0.3, 0.2
 
@@ -166,3 +167,4 @@ CONTENT_SELECTORS = [
 ]
 MEMORY_CHUNKS, MEMORY_PER_SOURCE, MEMORY_MIN_SCORE = 12, 5, 0.001
 MAX_STEPS = 3
+DOCUMENTS_HEADING = "الوثائق المطلوبة"

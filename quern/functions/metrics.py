@@ -86,7 +86,7 @@ def utilisation(answer: Column, contexts: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[0-9][0-9,.]*\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\b\d[\d,.]*\b"), F.lit(0)))
 
 
 def invented_numbers(answer: Column, context: Column) -> Column:
@@ -95,9 +95,14 @@ def invented_numbers(answer: Column, context: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_except(mine, numbers(context))), F.size(mine)), F.lit(0.0))
 
 
+def any_keyword(text: Column, keywords: Column) -> Column:
+    held = metric_text(text)
+    return F.exists(keywords, lambda k: held.contains(metric_text(k)))
+
+
 def dialect_match(answer: Column, language: Column) -> Column:
+    """Ten Arabic characters; for Arabizi, letters with digits among them will do."""
+    arabic = F.regexp_count(answer, F.lit(r"[\x{0600}-\x{06FF}]")) >= 10
     return (
-        F.when(language.isin("Darija", "arabic_msa"), F.regexp_count(answer, F.lit(r"[\x{0600}-\x{06FF}]")) >= 10)
-        .when(language == "Arabizi", answer.rlike("[a-zA-Z][2379]|[2379][a-zA-Z]"))
-        .cast("double")
+        F.when(language.isin("Darija", "arabic_msa"), arabic).when(language == "Arabizi", arabic | answer.rlike("[a-zA-Z][2379]|[2379][a-zA-Z]")).cast("double")
     )

@@ -122,14 +122,14 @@ def deloop(text: Column) -> Column:
 
 
 def article_number(text: Column) -> Column:
-    arabic = F.regexp_extract(text, r"(?:المادة|الفصل)\s+([0-9٠-٩]+(?:\s*مكرر)?)", 1)
-    french = F.regexp_extract(text, r"(?i)\b(?:article|art\.?)\s+([0-9]+(?:\s*bis)?)", 1)
+    arabic = F.regexp_extract(text, r"(?U)(?:المادة|الفصل|الباب|القسم)\s+(\d+(?:\s*مكرر)?)", 1)
+    french = F.regexp_extract(text, r"(?iU)(?:Article|ART)\.?\s*(\d+(?:\s*bis)?)", 1)
     return F.coalesce(F.nullif(arabic, F.lit("")), french)
 
 
 def law_name(text: Column) -> Column:
-    arabic = F.regexp_extract(text, r"((?:قانون|ظهير|مرسوم)[^\n.،]{0,60}?رقم\s*[0-9٠-٩][0-9٠-٩./\-]*)", 1)
-    french = F.regexp_extract(text, r"(?i)((?:loi|décret|arrêté)\s*n\s*[°ºo]?\s*[0-9][0-9./\-]*)", 1)
+    arabic = F.regexp_extract(text, r"(?U)(?:قانون|ظهير|مرسوم)\s+(?:رقم|شريف)?\s*[\d.\-]+", 0)
+    french = F.regexp_extract(text, r"(?iU)(?:loi|décret|arrêté)\s+n[°.]?\s*[\d\-]+", 0)
     return F.coalesce(F.nullif(arabic, F.lit("")), french)
 
 

@@ -54,11 +54,12 @@ def chunk_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     kept = pages.where(n_words(F.col("text")) >= lx.MIN_PAGE_WORDS)
     arabic = chunk_language(F.col("text")).isin("arabic_msa", "mixed")
     segments = kept.select(id_col, arabic.alias("arabic"), F.posexplode(article_segments(F.col("text"), arabic)).alias("seg", "segment"))
+    # number and law are those of the whole segment, so later chunks of a long article keep them
+    segments = segments.select("*", article_number(F.col("segment")).alias("article_number"), law_name(F.col("segment")).alias("law_name"))
     packed = F.pandas_udf(_packed_series, ArrayType(StringType()))
-    chunks = segments.select(id_col, "seg", F.posexplode(packed("segment", "arabic")).alias("pos", "text"))
+    chunks = segments.select(id_col, "seg", "article_number", "law_name", F.posexplode(packed("segment", "arabic")).alias("pos", "text"))
     return chunks.select(
-        id_col, "seg", "pos", "text", chunk_language(F.col("text")).alias("language"), article_number(F.col("text")).alias("article_number"),
-        law_name(F.col("text")).alias("law_name"),
+        id_col, "seg", "pos", "text", chunk_language(F.col("text")).alias("language"), "article_number", "law_name",
     ).withColumn("lang_bucket", language_bucket(F.col("language")))
 
 

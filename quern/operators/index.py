@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.text import is_garbage, render_context
+from ..session import Scratch
 
 
 def postings(chunks: DataFrame, tokens: Column, id_col: str = "chunk_id") -> DataFrame:
-    """(id, term, tf, dl): a row per chunk and distinct token; counted within the row, so nothing is shuffled."""
+    """(id, dl, term, tf): a row per chunk and distinct token; counts are summed in the task that reads the chunk before their shuffle."""
     t = chunks.select(F.col(id_col), tokens.alias("tokens")).where(F.size("tokens") > 0)
     return t.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
 
@@ -24,25 +25,42 @@ def term_idf(post: DataFrame, n: int, epsilon: float = lx.BM25_EPSILON) -> DataF
     return df.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, tokens, query_tokens, *, id_col: str, query_col: str, k: int | None = lx.RETRIEVE_K) -> DataFrame:
-    """(query, id, bm25, rank): Okapi scores with the multiplicity of query tokens; ties go to the larger id.
+def write_lexical(chunks: DataFrame, tokens, path: str, id_col: str) -> str:
+    """Keep postings, terms and statistics of chunks as tables under ``path``; texts are tokenised once."""
+    spark = chunks.sparkSession
+    counted = chunks.select(id_col, tokens.alias("tokens"))
+    postings(counted, F.col("tokens"), id_col).write.mode("overwrite").parquet(f"{path}/postings")
+    post = spark.read.parquet(f"{path}/postings")
+    n, words = chunks.count(), post.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    spark.createDataFrame([(n, words)], "n long, words long").write.mode("overwrite").parquet(f"{path}/statistics")
+    term_idf(post, n).write.mode("overwrite").parquet(f"{path}/terms")
+    return path
 
-    Only postings of query terms are scored. A chunk that matches no term has no row.
-    """
-    lengths = chunks.select(F.size(tokens).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    n, mean = lengths[0], lengths[1] or 1.0
-    post = postings(chunks, tokens, id_col)
+
+def search_lexical(spark, path: str, queries: DataFrame, query_tokens, *, id_col: str, query_col: str, k: int | None = lx.RETRIEVE_K) -> DataFrame:
+    """(query, id, bm25, rank) from kept tables; only postings of query terms are read into the join. No rows for a query whose best score isn't positive."""
+    n, words = spark.read.parquet(f"{path}/statistics").select("n", "words").first()
+    mean = words / n if words else 1.0
     asked = queries.select(F.col(query_col), F.explode(query_tokens).alias("term")).groupBy(query_col, "term").agg(F.count("*").alias("qtf"))
-    idf = term_idf(post, n).join(asked.select("term").distinct(), "term", "left_semi")
+    idf = spark.read.parquet(f"{path}/terms").join(asked.select("term").distinct(), "term", "left_semi")
     k1, b = lx.BM25_K1, lx.BM25_B
     impact = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scored = post.join(idf, "term").select("term", id_col, impact.alias("impact")).join(asked, "term")
+    scored = spark.read.parquet(f"{path}/postings").join(idf, "term").select("term", id_col, impact.alias("impact")).join(asked, "term")
     out = scored.groupBy(query_col, id_col).agg(F.sum(F.col("impact") * F.col("qtf")).alias("bm25"))
-    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc(F.round("bm25", 9)), F.desc(id_col)))
-    out = out.withColumn("rank", rank)
+    best = Window.partitionBy(query_col).orderBy(F.desc(F.round("bm25", 9)), F.desc(id_col))
+    out = out.withColumn("rank", F.row_number().over(best)).withColumn("most", F.first("bm25").over(best)).where("most > 0").drop("most")
     return out.where(F.col("rank") <= k) if k else out
 
 
+def bm25(chunks: DataFrame, queries: DataFrame, tokens, query_tokens, *, id_col: str, query_col: str, k: int | None = lx.RETRIEVE_K) -> DataFrame:
+    """(query, id, bm25, rank): Okapi scores with the multiplicity of query tokens; ties go to the larger id.
+
+    The tables of ``write_lexical`` are made in the work folder. A chunk that matches no term has no row.
+    """
+    path = write_lexical(chunks, tokens, Scratch(chunks.sparkSession, "lexical").path, id_col)
+    return search_lexical(chunks.sparkSession, path, queries, query_tokens, id_col=id_col, query_col=query_col, k=k)
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, k: int, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): exact inner products, queries in blocks of bounded size against all rows.
 

@@ -631,3 +631,6 @@ def abstain_markers(spark, sf):
 for _name, (_run, _sql) in relational.PACK.items():
     QUERIES[_name] = _run
     ORACLES[_name] = _sql
+
+
+from . import suites  # noqa: E402, F401  it registers more queries
