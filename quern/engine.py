@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import grounding as g
 from .functions import language as la
 from .functions import lexicon as lx
 from .functions.metrics import metric_tokens
 from .functions.scorers import Scorers, message
 from .functions.text import bm25_tokens, french_tokens
-from .operators import agent, chunking, index
+from .operators import agent, chunking, index, verify
 from .session import Scratch
 
 
@@ -19,26 +18,35 @@ class Engine:
     """Questions come as (query_id, text); each step is one plan over all of them."""
 
     def __init__(self, spark: SparkSession, scorers: Scorers | None = None):
-        self.spark, self.scorers, self.chunks = spark, scorers or Scorers(), None
+        self.spark, self.scorers, self.chunks, self.path = spark, scorers or Scorers(), None, None
 
     def build_index(self, pages: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-        """Chunk ``pages`` (id, text, source, page) and write them by language bucket."""
+        """Chunk ``pages`` (id, text, source, page); write the chunks by language bucket, and their postings, terms and statistics."""
         chunks = chunking.number_chunks(chunking.chunk_pages(pages, id_col), id_col)
         chunks = chunks.join(pages.select(id_col, "source", "page"), id_col)
-        chunks.write.mode("overwrite").partitionBy("lang_bucket").parquet(path)
-        return self.load(path)
-
-    def load(self, path: str) -> DataFrame:
-        self.chunks = self.spark.read.parquet(path)
+        chunks.write.mode("overwrite").partitionBy("lang_bucket").parquet(f"{path}/chunks")
+        written = self.spark.read.parquet(f"{path}/chunks")
+        index.write_lexical(written, bm25_tokens(F.col("text"), F.col("language")), f"{path}/lexical", "chunk_id")
+        self.load(path)
         return self.chunks
 
+    def load(self, path: str) -> bool:
+        """Open an index; False where its chunks or its lexical tables aren't there."""
+        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for part in ("chunks", "lexical/terms"):
+            at = jvm_path(f"{path}/{part}/_SUCCESS")
+            if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+                return False
+        self.path, self.chunks = path, self.spark.read.parquet(f"{path}/chunks")
+        return True
+
     def status(self) -> DataFrame:
         return self.chunks.groupBy("lang_bucket").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"))
 
     def retrieve(self, questions: DataFrame, k: int = lx.RETRIEVE_K) -> DataFrame:
         """(query_id, chunk_id, rrf, rank, rerank, text, source, page, language): fused, filtered, reranked."""
         c = self.chunks
-        sparse = index.bm25(c, questions, bm25_tokens(F.col("text"), F.col("language")), french_tokens(F.col("text")), id_col="chunk_id", query_col="query_id", k=k)
+        sparse = index.search_lexical(self.spark, f"{self.path}/lexical", questions, french_tokens(F.col("text")), id_col="chunk_id", query_col="query_id", k=k)
         tokens = lambda df, i: df.select(i, F.explode(F.array_distinct(metric_tokens(F.col("text")))).alias("term"))
         share = tokens(c, "chunk_id").join(tokens(questions, "query_id"), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id"))
@@ -59,27 +67,40 @@ class Engine:
     def plan(self, understood: DataFrame) -> DataFrame:
         return agent.fallback_plan(understood.select("query_id", F.col("flags.intents").alias("intents")), "query_id")
 
+    def _scored(self, questions: DataFrame) -> DataFrame:
+        return self.retrieve(questions).withColumn("score", F.col("rerank"))
+
     def ask(self, questions: DataFrame) -> DataFrame:
-        """One row per question: answer, route, fidelity and decision; a refusal or abstention where that is due."""
-        scratch = Scratch(self.spark, "ask")
-        asked = scratch.keep(self.understand(questions))
-        hits = scratch.keep(self.retrieve(questions).where(F.col("rank") <= lx.FINAL_K))
+        """One row per question: answer, route, verification and decision; a refusal or abstention where that is due.
+
+        Questions of several steps go through plan, execution, memory and reflection (``agent.run``); all answers are
+        verified against the chunks of every retrieval made for them.
+        """
+        keep = Scratch(self.spark, "ask").keep
+        asked = keep(self.understand(questions))
+        hits = keep(self.retrieve(questions).where(F.col("rank") <= lx.FINAL_K))
         context = index.context_of(hits, "query_id").join(hits.groupBy("query_id").agg(F.max("rerank").alias("top_rerank")), "query_id")
-        chunks = hits.groupBy("query_id").agg(F.collect_list("text").alias("chunks"))  # at most ``FINAL_K``
-        rows = asked.join(context.join(chunks, "query_id"), "query_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
-        rows = rows.withColumn("route", F.when(F.col("top_rerank") < lx.OOS_RERANK, "abstain").otherwise(agent.route(F.col("n_chunks"), F.col("flags"))))
-        said = self.scorers.generate(F.col("text"), F.regexp_replace("context", r"\[Source:[^\]]*\]", ""))
+        rows = asked.join(context, "query_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+        rows = keep(rows.withColumn("route", F.when(F.col("top_rerank") < lx.OOS_RERANK, "abstain").otherwise(agent.route(F.col("n_chunks"), F.col("flags")))))
+        several = rows.where("route = 'multihop'").select("query_id", "text", "language", "flags")
+        plan = keep(self.plan(several))
+        reasoned, self.trace, evidence = agent.run(several.drop("flags"), plan, self._scored, self.scorers.generate, keep)
+        more = evidence.join(self.chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "source", "text", (F.col("place") + lx.FINAL_K + 1).alias("rank"))
+        every = hits.select("query_id", "chunk_id", "source", "text", "rank").unionByName(more)
+        first = every.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.first("source").alias("source"), F.first("text").alias("text"))
+        chunks = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source", "text"))).alias("c"))  # of a few retrievals and a bounded memory
+        chunks = chunks.select("query_id", F.transform("c", lambda x: F.struct(x["source"].alias("source"), x["text"].alias("text"))).alias("chunks"))
+        facts = F.filter(F.transform("facts", lambda f: f["fact"]), lambda x: x != "")
+        rows = rows.join(chunks, "query_id", "left").join(reasoned.select("query_id", facts.alias("intermediate"), F.col("answer").alias("reasoned")), "query_id", "left")
+        said = F.coalesce(F.nullif("reasoned", F.lit("")), self.scorers.generate(F.col("text"), F.regexp_replace("context", r"\[Source:[^\]]*\]", "")), F.lit(""))
+        rows = rows.withColumns({"answer": said, "is_multihop": F.col("route") == "multihop"})
+        rows = verify.verify(rows, message("abstain", F.col("language")), self.scorers.entail)
         legal = F.when(F.col("flags.LEGAL"), F.concat(F.lit("\n"), message("legal", F.col("language")))).otherwise("")
         answer = (
             F.when(F.col("route") == "refuse", message("refuse", F.col("language")))
-            .when(F.col("route") == "abstain", message("abstain", F.col("language")))
-            .otherwise(F.concat(said, legal))
+            .when((F.col("route") == "abstain") | F.col("is_abstained"), message("abstain", F.col("language")))
+            .otherwise(F.concat("answer", legal))
         )
-        rows = rows.withColumn("answer", answer).withColumn("claims", g.split_claims(F.col("answer"))).withColumn("found", g.entities(F.col("answer")))
-        grounded = F.transform("claims", lambda c: (g.best_overlap(c, F.col("chunks"), self.scorers.entail) >= lx.CLAIM_GROUNDED).cast("int"))
-        rows = rows.withColumn("claim_ratio", F.coalesce(F.try_divide(F.aggregate(grounded, F.lit(0), lambda a, x: a + x), F.size("claims")), F.lit(0.0)))
-        rows = rows.withColumn("entity_ratio", g.entity_match_ratio(F.col("found"), F.coalesce("context", F.lit(""))))
-        rows = rows.withColumn("cfi", g.fidelity(F.col("claim_ratio"), F.col("entity_ratio"), F.size("found"), F.lit(True)))
-        decided = g.is_grounded(F.col("claim_ratio"), F.col("entity_ratio"), F.col("cfi")) & F.col("route").isin("direct", "multihop")
-        return rows.select("query_id", F.col("text").alias("question"), "language", "route", "answer", "n_chunks", "claim_ratio", "entity_ratio", "cfi", decided.alias("grounded"),
-                           F.lit(self.scorers.methods["generate"]).alias("method"))
+        decided = F.col("is_grounded") & F.col("route").isin("direct", "multihop")
+        return rows.select("query_id", F.col("text").alias("question"), "language", "route", answer.alias("answer"), "n_chunks", "claim_ratio", "entity_ratio", "chain_verified", "cfi",
+                           decided.alias("grounded"), "is_abstained", "warnings", "entities", "intermediate", F.lit(self.scorers.methods["generate"]).alias("method"))

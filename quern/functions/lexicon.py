@@ -168,3 +168,4 @@ CONTENT_SELECTORS = [
 MEMORY_CHUNKS, MEMORY_PER_SOURCE, MEMORY_MIN_SCORE = 12, 5, 0.001
 MAX_STEPS = 3
 DOCUMENTS_HEADING = "الوثائق المطلوبة"
+MORE_DETAILS, MORE_DETAILS_ARABIC = "détails supplémentaires", "تفاصيل إضافية"

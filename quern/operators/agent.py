@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.text import add_workdays, contains_any
+from ..functions.text import add_workdays, contains_any, n_words
 
 
 def tool_for(intent: Column) -> Column:
@@ -109,36 +110,71 @@ def reflect(answer: Column, n_chunks: Column) -> Column:
     return F.when((n_chunks == 0) | (words < 10) | contains_any(F.lower(answer), lx.ABSTAIN_MARKERS), "not_found").otherwise("complete")
 
 
-def execute(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], plan: DataFrame, query_col: str, max_steps: int = lx.MAX_STEPS) -> DataFrame:
-    """Tool calls of all questions: one retrieval per plan step, over every question that has the step.
-
-    ``retrieve`` maps (query, text) to (query, chunk_id, source, text, score, rank).
-    """
-    out = None
-    for step in range(max_steps):
-        now = plan.where(F.col("step") == step).join(questions, query_col)
-        phrase = F.create_map(*[F.lit(x) for i, p in lx.INTENT_PHRASES.items() for x in (i, p[1])])
-        text = F.concat_ws(" ", F.try_element_at(phrase, F.col("intent")), F.col("text"))
-        found = retrieve(now.select(query_col, text.alias("text"))).withColumn("step", F.lit(step))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def union_contexts(*contexts: Column) -> Column:
     """Contexts in order of first appearance."""
     return F.array_distinct(F.concat(*contexts))
 
 
-#: What each comparison strategy does before it answers: retrievals, and how their queries come about.
-STRATEGIES = {
-    "naive": ["question"],
-    "react": ["question", "observation", "observation"],
-    "adaptive": ["question", "sub_question", "sub_question", "sub_question"],
-    "hyde": ["hypothetical", "question"],
-    "self_rag": ["question", "rephrased"],
-    "flare": ["question", "uncertain_sentence", "uncertain_sentence", "uncertain_sentence"],
-    "crag": ["question", "rephrased"],
-}
+def direct_or_abstain(context: Column, said: Column, abstain: Column, least_words: int = 20) -> Column:
+    """A direct answer needs some context."""
+    return F.when(n_words(F.coalesce(context, F.lit(""))) < least_words, abstain).otherwise(F.coalesce(F.nullif(F.trim(said), F.lit("")), abstain))
+
+
+def rephrased(sub_question: Column, language: Column) -> Column:
+    return F.concat_ws(" ", sub_question, F.when(language.isin("arabic_msa", "Darija"), lx.MORE_DETAILS_ARABIC).otherwise(lx.MORE_DETAILS))
+
+
+def run(
+    questions: DataFrame, plan: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generate: Callable[[Column, Column], Column], keep: Callable[[DataFrame], DataFrame],
+    max_steps: int = lx.MAX_STEPS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plan, execute and reflect over all questions at once: (answers, trace, evidence).
+
+    ``questions``: query_id, text, language; ``plan``: query_id, step, intent, tool. Each step retrieves for every question
+    that has it, answers from its first three chunks (400 characters each), and looks once more with other words, for
+    three more chunks, where the answer isn't complete. A question's evidence is held in a bounded ``memory``; the final
+    answer is made from facts and memory, and is an empty string where both say too little. ``keep`` ends lineage after a step.
+
+    answers: query_id, facts array<struct<step, intent, fact>>, answer, n_steps; trace: query_id, step, intent, tool, call,
+    n_hits, reflection; evidence: query_id, chunk_id, source, score, place.
+    """
+    traces, facts, hits = [], [], []
+    columns = ["query_id", "chunk_id", "source", "text", "score", "rank"]
+    phrase = F.try_element_at(F.create_map(*[x for i, p in lx.INTENT_PHRASES.items() for x in (F.lit(i), F.array(F.lit(p[0]), F.lit(p[1])))]), F.col("intent"))
+    phrase = F.get(phrase, F.when(F.col("language").isin("arabic_msa", "Darija"), 0).otherwise(1))
+    for step in range(max_steps):
+        now = plan.where(F.col("step") == step).join(questions, "query_id")
+        asked = now.withColumn("sub_question", F.concat_ws(" ", phrase, F.col("text")))
+        found = keep(retrieve(asked.select("query_id", F.col("sub_question").alias("text"))).select(*columns))
+        seen = found.groupBy("query_id").agg(
+            F.count("*").alias("n_hits"),
+            F.sort_array(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", F.substring("text", 1, 400).alias("text"))))).alias("top"),
+        )
+        context = F.array_join(F.transform("top", lambda c: c["text"]), "\n\n")
+        said = asked.join(seen, "query_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
+        said = said.withColumn("fact", F.when(F.col("n_hits") > 0, generate(F.col("sub_question"), context)).otherwise(""))
+        said = keep(said.withColumn("reflection", reflect(F.col("fact"), F.col("n_hits"))).drop("top"))
+        again = said.where("reflection <> 'complete'").select("query_id", rephrased(F.col("sub_question"), F.col("language")).alias("text"))
+        extra = keep(retrieve(again).where(F.col("rank") <= 3).select(*columns))
+        n_extra = again.select("query_id").join(extra.groupBy("query_id").agg(F.count("*").alias("n_hits")), "query_id", "left")
+        traces.append(said.select("query_id", "step", "intent", "tool", F.lit("plan").alias("call"), "n_hits", "reflection"))
+        traces.append(
+            said.drop("n_hits").join(n_extra, "query_id").select("query_id", "step", "intent", F.lit("retrieve_kb").alias("tool"), F.lit("retry").alias("call"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "reflection")
+        )
+        facts.append(said.select("query_id", "step", "intent", "fact"))
+        hits += [found.withColumn("order", F.lit(2 * step)), extra.withColumn("order", F.lit(2 * step + 1))]
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    trace, every = union(traces), union(hits)
+    evidence = keep(memory(every, query_col="query_id", order=["order", "rank"]))
+    texts = every.groupBy("chunk_id").agg(F.first("text").alias("text"))
+    held = evidence.join(texts, "chunk_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("held"))
+    told = union(facts).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("step", "intent", "fact"))).alias("facts"), F.count("*").alias("n_steps"))
+    rows = questions.join(told, "query_id").join(held, "query_id", "left")
+    context = F.array_join(F.transform("held", lambda c: c["text"]), "\n")
+    known = F.array_join(F.filter(F.transform("facts", lambda f: f["fact"]), lambda f: f != ""), "\n")
+    synthesis = F.coalesce(generate(F.col("text"), F.concat_ws("\n", known, context)), F.lit(""))
+    answer = F.when((known != "") & (F.length(synthesis) >= 20), synthesis).otherwise(direct_or_abstain(context, generate(F.col("text"), context), F.lit("")))
+    return rows.select("query_id", "facts", answer.alias("answer"), "n_steps"), trace, evidence
 
 
 def crag_verdict(reply: Column) -> Column:

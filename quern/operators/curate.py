@@ -112,6 +112,15 @@ def token_classes(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return least.join(keyed, ["key", id_col]).select(id_col, "tokens", F.size("tokens").alias("n"), "copies").dropDuplicates([id_col])
 
 
+def kept_rows(df: DataFrame, id_col: str, text: Column, kept: DataFrame) -> DataFrame:
+    """(id, kept) of every row: copies of an earlier token set go, the first of a set follows ``kept`` (from ``greedy_keep``), rows without a token stay."""
+    key = F.sha2(F.array_join(F.array_sort(F.array_distinct(metric_tokens(text))), " ").cast("binary"), 256)
+    rows = df.select(id_col, F.when(F.size(metric_tokens(text)) > 0, key).alias("key"))
+    first = rows.where("key is not null").groupBy("key").agg(F.min(id_col).alias("first"))
+    decided = first.join(kept.select(F.col(id_col).alias("first"), "kept"), "first", "left")
+    return rows.join(decided, "key", "left").select(id_col, (F.col("key").isNull() | ((F.col(id_col) == F.col("first")) & F.coalesce("kept", F.lit(True)))).alias("kept"))
+
+
 def overlap_pairs(classes: DataFrame, id_col: str, threshold: float = lx.DEDUP_OVERLAP) -> DataFrame:
     """(a, b, overlap), a < b: pairs of token sets with |A & B| / max(|A|, |B|) at the threshold or above.
 

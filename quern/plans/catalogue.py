@@ -416,7 +416,17 @@ def rouge_l(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", r6(m.rouge_l(m.metric_tokens(t.strip_citations(a)), m.metric_tokens(q))).alias("rouge_l"))
 
 
-@query()
+def _sql_arabizi(c):
+    out = rf"regexp_replace(regexp_replace(translate(lower({c}), '372985', 'ahqakh'), '[0-9]', '', 'g'), '[^a-z]+', ' ', 'g')"
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        out = f"regexp_replace({out}, '{letter}+', '{letter}', 'g')"
+    return f"list_distinct(list_filter(string_split(regexp_replace({out}, '[aeiouy]', '', 'g'), ' '), lambda x: len(x) >= 2))"
+
+
+@query(
+    f"""WITH {TURNS}, s AS (SELECT conv_id, turn, {_sql_arabizi('answer')} AS a, {_sql_arabizi('question')} AS q FROM turns)
+    SELECT conv_id, turn, round(coalesce(2.0 * len(list_intersect(a, q)) / nullif(len(a) + len(q), 0), 0), 6) AS arabizi_f1 FROM s"""
+)
 def arabizi_f1(spark, sf):
     a, q = F.col("answer"), F.col("question")
     return turns(spark, sf).select("conv_id", "turn", r6(m.arabizi_f1(a, q)).alias("arabizi_f1"))
@@ -533,7 +543,7 @@ def near_dup_pairs(spark, sf):
 def near_dup_greedy(spark, sf):
     """Order-dependent removal: dropped items don't drop others."""
     classes, pairs = _near(spark, sf)
-    return curate.greedy_keep(classes, pairs, "doc_id")
+    return curate.kept_rows(table(spark, sf, "documents"), "doc_id", F.col("text"), curate.greedy_keep(classes, pairs, "doc_id"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(text)")

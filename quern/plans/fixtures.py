@@ -98,3 +98,34 @@ def values(rows, schema: str) -> str:
     names = ", ".join(n for n, _ in fields)
     body = ", ".join("(" + ", ".join(_literal(v, k) for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS fixture({names}))"
+
+ASKED_SCHEMA = "query_id string, text string, language string, intents array<string>, parts string, made_up string"
+ASKED = [
+    ("q1", "carte et passeport", "french", ["DOCUMENTS", "COST"], "1. la carte nationale\n2. le passeport bleu", "la carte demande deux photos"),
+    ("q2", "visa", "french", ["DEADLINE"], None, "un visa et un timbre"),
+    ("q3", "البطاقة ثم الجواز", "arabic_msa", ["DOCUMENTS", "DOCUMENTS", "LEGAL", "COST", "DEADLINE"], "1. ما هي البطاقة\n2. كيف الجواز اليوم", None),
+    ("q4", "rien du tout", "french", ["UNKNOWN"], "", "rien"),
+]
+KEYED_SCHEMA = "key string, chunk_id string, source string, body string, score double"
+KEYED = [
+    ("carte", "c1", "carte.pdf", "La carte nationale demande deux photos et un extrait de naissance au bureau de la commune", 0.9),
+    ("passeport", "c2", "passeport.pdf", "Le passeport demande un timbre de cinq cents dirhams et une photo récente du demandeur", 0.5),
+    ("visa", "c3", "visa.pdf", "Le visa est délivré en dix jours par le consulat après dépôt du dossier complet", 0.2),
+    ("timbre", "c4", "timbre.pdf", "Le timbre fiscal se paie en ligne", 0.4),
+    ("photos", "c5", "photos.pdf", "Les photos sont récentes", 0.3),
+    ("البطاقة", "c6", "بطاقة.pdf", "البطاقة تتطلب صورتين وعقد الازدياد وشهادة السكنى مع طلب خطي موقع من المعني بالأمر", 0.8),
+    ("الجواز", "c7", "جواز.pdf", "الجواز", 0.6),
+]
+
+
+def look_up(keyed):
+    """Retrieval over the inline chunks: those whose key is a word of the query, best first."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    def retrieve(asked):
+        words = asked.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("key"))
+        found = words.join(keyed, "key").select("query_id", "chunk_id", "source", F.col("body").alias("text"), "score", F.col("score").alias("rerank"))
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+
+    return retrieve

@@ -8,7 +8,9 @@ from ..functions import grounding as g
 from ..functions import lexicon as lx
 from ..functions import metrics as m
 from ..functions import text as t
-from ..operators import evaluate, gold
+from ..functions.scorers import extractive_answer
+from ..operators import agent, evaluate, gold, strategies, verify
+from ..session import Scratch
 from . import fixtures as fx
 from .catalogue import query, r6, sql_norm, sql_strings, sql_strip, table
 
@@ -304,3 +306,113 @@ _PROC, _DOCS, _ADMIN = "procedure_id string, body string, administration_id stri
 def enrich_procedures(spark, sf):
     f = fx.frame
     return gold.enrich(f(spark, _PROCEDURES, _PROC), f(spark, _DOCUMENTS, _DOCS), f(spark, _ADMINISTRATIONS, _ADMIN))
+
+
+# ---- agent and strategies over inline chunks
+
+_ASKED, _KEYED = fx.values(fx.ASKED, fx.ASKED_SCHEMA), fx.values(fx.KEYED, fx.KEYED_SCHEMA)
+
+
+def _asked(spark):
+    return fx.frame(spark, fx.ASKED, fx.ASKED_SCHEMA), fx.look_up(fx.frame(spark, fx.KEYED, fx.KEYED_SCHEMA))
+
+
+def _agent_run(spark):
+    asked, retrieve = _asked(spark)
+    plan = agent.fallback_plan(asked.select("query_id", "intents"), "query_id")
+    return agent.run(asked.select("query_id", "text", "language"), plan, retrieve, extractive_answer, Scratch(spark, "agent").keep)
+
+
+_PHRASE = "CASE intent " + " ".join(f"WHEN '{i}' THEN CASE WHEN language IN ('arabic_msa', 'Darija') THEN '{p[0]}' ELSE '{p[1]}' END" for i, p in lx.INTENT_PHRASES.items()) + " END"
+_TOOL = "CASE intent " + " ".join(f"WHEN '{i}' THEN '{tool}'" for i, tool in lx.INTENT_TOOLS.items()) + " ELSE 'retrieve_kb' END"
+
+
+@query(
+    rf"""WITH u AS (SELECT query_id, text, language, list_filter(intents, lambda x, i: list_position(intents, x) = i)[1:3] AS steps FROM {_ASKED}),
+    p AS (SELECT query_id, text, language, CAST(unnest(range(len(steps))) AS INTEGER) AS step, unnest(steps) AS intent FROM u),
+    w AS (SELECT query_id, step, intent, {_TOOL} AS tool, list_distinct(string_split_regex(lower(concat_ws(' ', {_PHRASE}, text)), '\s+')) AS words FROM p)
+    SELECT query_id, step, intent, tool, (SELECT count(*) FROM {_KEYED} k WHERE list_contains(words, k.key)) AS n_hits FROM w"""
+)
+def agent_tool_calls(spark, sf):
+    """The planned tool calls of every question and how many chunks each found."""
+    _, trace, _ = _agent_run(spark)
+    return trace.where("call = 'plan'").select("query_id", "step", "intent", "tool", "n_hits")
+
+
+@query()
+def agent_answers(spark, sf):
+    """Answers after plan, tools, memory and reflection; checked against plain Python in the tests."""
+    answers, _, _ = _agent_run(spark)
+    return answers.select("query_id", "n_steps", "answer", F.size(F.filter("facts", lambda f: f["fact"] != "")).alias("n_facts"))
+
+
+def _found(words, sources="k"):
+    return f"list_filter((SELECT list(key ORDER BY score DESC, chunk_id) FROM {_KEYED}), lambda x: list_contains({words}, x))"
+
+
+def _words(c):
+    return rf"string_split_regex(lower({c}), '\s+')"
+
+
+_STRATEGY = f"""f AS (SELECT query_id, {_found(_words('text'))} AS mine, {_found(_words("coalesce(made_up, '')"))} AS made, made_up,
+    (SELECT max(score) FROM {_KEYED} k WHERE list_contains({_words('text')}, k.key)) AS top FROM {_ASKED})"""
+
+
+@query(
+    f"""WITH {_STRATEGY} SELECT 'naive' AS strategy, query_id, len(mine) AS n_contexts, 1 AS n_retrievals FROM f
+    UNION ALL SELECT 'hyde', query_id, len(list_distinct(list_concat(made, mine))), CASE WHEN coalesce(made_up, '') = '' THEN 1 ELSE 2 END FROM f
+    UNION ALL SELECT 'crag', query_id, len(mine), CASE WHEN top >= 0.7 THEN 1 ELSE 2 END FROM f"""
+)
+def strategy_retrievals(spark, sf):
+    """Contexts and retrievals of three comparison strategies."""
+    asked, retrieve = _asked(spark)
+    s = strategies.Strategies(retrieve)
+    runs = {"naive": s.naive(asked), "hyde": s.hyde(asked, F.col("made_up")), "crag": s.crag(asked)}
+    out = None
+    for name, rows in runs.items():
+        part = rows.select(F.lit(name).alias("strategy"), "query_id", F.size("contexts").alias("n_contexts"), "n_retrievals")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def strategy_answers(spark, sf):
+    """Answers of the four strategies whose further queries depend on what was found; checked against plain Python in the tests."""
+    asked, retrieve = _asked(spark)
+    s = strategies.Strategies(retrieve)
+    runs = {"react": s.react(asked), "adaptive": s.adaptive(asked, F.col("parts")), "self_rag": s.self_rag(asked), "flare": s.flare(asked)}
+    out = None
+    for name, rows in runs.items():
+        part = rows.select(F.lit(name).alias("strategy"), "query_id", F.size("contexts").alias("n_contexts"), "n_retrievals", "answer")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_CHECKED_SCHEMA = "id int, answer string, chunks array<struct<source: string, text: string>>, intermediate array<string>, is_multihop boolean"
+_CHECKED = [
+    (1, "La carte coûte 75 DH à Rabat.", [("carte.pdf", "la carte nationale coûte 75 DH partout"), ("rabat.pdf", "le bureau de Rabat est ouvert")], None, False),
+    (2, "La carte coûte 99 DH.", [("carte.pdf", "la carte nationale coûte 75 DH partout")], ["le timbre est rouge vif."], True),
+    (3, "Une réponse sans aucune preuve.", [], None, False),
+    (4, "البطاقة تكلف 75 درهم", [("بطاقة.pdf", "البطاقة تكلف 75 درهم في الرباط")], ["البطاقة تكلف 75 درهم"], True),
+    (5, None, None, None, False),
+]
+_ENTITY_SQL = f"""SELECT * FROM (VALUES (1, 'AMOUNT', '75 DH', TRUE, 'carte.pdf'), (1, 'LOCATION', 'Rabat', TRUE, 'rabat.pdf'), (2, 'AMOUNT', '99 DH', FALSE, NULL), (4, 'AMOUNT', '75 درهم', TRUE, 'بطاقة.pdf'))
+    AS expected(id, type, entity, matched, source)"""
+
+
+@query(_ENTITY_SQL)
+def entity_sources(spark, sf):
+    """Entities of answers and the first chunk that holds each; the SQL states the rows."""
+    rows = fx.frame(spark, _CHECKED, _CHECKED_SCHEMA).where("answer is not null and size(chunks) > 0")
+    return rows.select("id", F.explode(g.entity_sources(g.entities(F.col("answer")), F.col("chunks"))).alias("e")).select("id", "e.type", "e.entity", "e.matched", "e.source")
+
+
+@query(
+    """SELECT id, CAST(claim_ratio AS DOUBLE) AS claim_ratio, CAST(entity_ratio AS DOUBLE) AS entity_ratio, chain_verified, CAST(cfi AS DOUBLE) AS cfi, is_grounded, is_abstained, warnings FROM (VALUES (1, 1.0, 1.0, TRUE, 1.0, TRUE, FALSE, ''), (2, 1.0, 0.0, FALSE, 0.6, FALSE, FALSE, 'entities,fidelity,chain'),
+    (3, 0.0, 1.0, TRUE, 0.2857, FALSE, TRUE, ''), (4, 1.0, 1.0, TRUE, 1.0, TRUE, FALSE, ''), (5, 0.0, 1.0, TRUE, 0.2857, FALSE, TRUE, ''))
+    AS expected(id, claim_ratio, entity_ratio, chain_verified, cfi, is_grounded, is_abstained, warnings)"""
+)
+def verified_answers(spark, sf):
+    """All layers of verification over answers in two languages; the SQL states the rows."""
+    v = verify.verify(fx.frame(spark, _CHECKED, _CHECKED_SCHEMA), F.lit("-"))
+    return v.select("id", r6("claim_ratio").alias("claim_ratio"), r6("entity_ratio").alias("entity_ratio"), "chain_verified", r6("cfi").alias("cfi"), "is_grounded", "is_abstained", F.array_join("warnings", ",").alias("warnings"))

@@ -184,3 +184,38 @@ def test_streaming(spark, tmp_path):
     events.run_to_end(events.tumbling(events.read_events(spark, str(src))), str(tmp_path / "out"), str(tmp_path / "ck"))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() > 0 and out.groupBy("start", "event_type").count().where("count > 1").count() == 0
+
+
+def test_agent_answers_and_strategies(spark):
+    from quern.plans import catalogue, fixtures
+
+    keyed = {k: (c, body, score) for k, c, _, body, score in fixtures.KEYED}
+    answers = {r.query_id: r for r in catalogue.QUERIES["agent_answers"](spark, "").collect()}
+    for query_id, text, _, intents, _, _ in fixtures.ASKED:
+        steps = list(dict.fromkeys(intents))[:3]
+        held = sorted((keyed[w] for w in text.split() if w in keyed), key=lambda x: -x[2])
+        got = answers[query_id]
+        assert got.n_steps == len(steps) and got.n_facts == (len(steps) if held else 0)
+        assert got.answer == (held[0][1] if held else "")  # no other sentence shares more words with the question
+    rows = {(r.strategy, r.query_id): r for r in catalogue.QUERIES["strategy_answers"](spark, "").collect()}
+    assert {s for s, _ in rows} == {"react", "adaptive", "self_rag", "flare"}
+    assert all(rows["react", q[0]].n_retrievals == 3 for q in fixtures.ASKED)
+    assert [rows["adaptive", q].n_retrievals for q in ("q1", "q2", "q3", "q4")] == [2, 1, 2, 1]
+    assert rows["self_rag", "q4"].n_retrievals == 2 and rows["self_rag", "q4"].n_contexts == 0 and rows["react", "q1"].n_contexts == 3
+
+
+def test_debug_report_and_audit(spark):
+    from quern.operators import verify
+    from quern.plans import suites
+
+    v = verify.verify(spark.createDataFrame(suites._CHECKED, suites._CHECKED_SCHEMA), F.lit("-"))
+    passed = {(r.id, r.layer): r.passed for r in verify.debug_report(v, "id").collect()}
+    assert passed[1, "claims"] and not passed[1, "citations"] and not passed[2, "entities"] and not passed[2, "chain"] and len(passed) == 5 * len(verify.LAYERS)
+    audits = {r.id: r for r in verify.audit_rows(v, "id").collect()}
+    assert audits[1].answer == "La carte coûte 75 DH à Rabat." and audits[3].answer == "-" and audits[2].n_claims == 1  # a short line gets no citation
+
+
+def test_an_index_that_is_not_there(spark, tmp_path):
+    from quern.engine import Engine
+
+    assert Engine(spark).load(str(tmp_path / "none")) is False
