@@ -1,6 +1,7 @@
 """License scans: texts compared with licence templates by Dice coefficient over word bigrams.
 
-Units are each line of a text, each of its paragraphs (between blank lines) of more than one line, and the
+Units are each line of a text, each of its paragraphs (between blank lines) of more than one line, each run of 2 to
+``RUN`` paragraphs that is not the whole text and whose first and last paragraphs hold an anchor word (below), and the
 whole text where it has more than one paragraph or line.  A unit is normalised to lower-case words of ASCII
 letters and digits.  For a unit of ``a`` distinct bigrams, a template of ``b`` can reach the
 threshold ``t`` only if ``t / (2 - t) <= a / b <= (2 - t) / t``; other templates are skipped.
@@ -8,7 +9,7 @@ Texts and units that hold none of ``anchor_words`` can reach it with no template
 Only DataFrame functions are used; nothing is shuffled.
 
 Result: one row per unit with a template at or above the threshold: doc_id, unit, position, the best license
-(ties: the first by name) and its coefficient, rounded to 6 digits.
+(ties: the first by name) and its coefficient, rounded to 6 digits, and the number of paragraphs (of runs; else 1).
 
 Nulls: a null text has no units; a null id keeps its rows.  Units of fewer than two words have no bigrams and
 match nothing.  Repeated rows give repeated rows; empty input gives none.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents
 
 THRESHOLD = 0.8
+RUN = 8  # paragraphs of the longest run: more than any template is commonly set in, with its headings
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -142,29 +144,39 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
     text = F.col("text")
     lines = F.split(text, "\n")
     paragraphs = F.split(text, r"\n[ \t]*\n\s*")
-    unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("position"), x.alias("body"))
+    anchors = anchor_words(templates, threshold)
+    named = lambda c: reduce(lambda x, y: x | y, [F.contains(F.lower(c), F.lit(w)) for w in anchors], F.lit(False))
+    unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("position"), x.alias("body"), F.lit(1).alias("paragraphs"))
+    n = F.size("cut")
+
+    def runs_from(is_named, i):
+        lengths = F.filter(F.sequence(F.lit(2), F.least(F.lit(RUN), n - i)), lambda k: F.get("named", i + k - 1) & (k < n))
+        run = lambda k: F.struct(F.lit("run").alias("unit"), i.alias("position"), F.concat_ws("\n", F.slice("cut", i + 1, k)).alias("body"), k.alias("paragraphs"))
+        return F.when(is_named & (i < n - 1), F.transform(lengths, run)).otherwise(F.array())
+
     units = F.concat(
         F.transform(lines, unit("line")),
-        F.when(F.size(paragraphs) > 1, F.filter(F.transform(paragraphs, unit("paragraph")), lambda u: u["body"].contains("\n"))).otherwise(F.array()),
-        F.when(F.size(lines) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("position"), text.alias("body")))).otherwise(F.array()),
+        F.when(n > 1, F.filter(F.transform("cut", unit("paragraph")), lambda u: u["body"].contains("\n"))).otherwise(F.array()),
+        F.when(n > 2, F.flatten(F.transform("named", runs_from))).otherwise(F.array()),
+        F.when(F.size(lines) > 1, F.array(unit("text")(text, F.lit(0)))).otherwise(F.array()),
     )
     sizes = [len(b) for _, b in template_bigrams(templates) if b]
     smallest, largest = min(sizes, default=0), max(sizes, default=0)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    anchors = anchor_words(templates, threshold)
-    named = lambda c: reduce(lambda x, y: x | y, [F.contains(F.lower(c), F.lit(w)) for w in anchors], F.lit(False))
     # each ``once`` keeps an expression from being copied into the filters after it
     worded = (
         docs.where(named(text))
+        .select("doc_id", "text", once(cut=paragraphs))
+        .select("doc_id", "text", "cut", once(named=F.transform("cut", named)))
         .select("doc_id", F.explode(units).alias("u"))
         .where(named(F.col("u.body")))
-        .select("doc_id", "u.unit", "u.position", once(words=F.split(F.trim(F.regexp_replace(F.lower("u.body"), "[^a-z0-9]+", " ")), " ")))
+        .select("doc_id", "u.unit", "u.position", "u.paragraphs", once(words=F.split(F.trim(F.regexp_replace(F.lower("u.body"), "[^a-z0-9]+", " ")), " ")))
         .where((F.size("words") - 1 >= F.lit(low * smallest)) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in anchors]).cast("array<string>")))
     )
     pairs = F.zip_with(
         F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b))
     )
-    grams = worded.select("doc_id", "unit", "position", once(bigrams=F.array_distinct(pairs))).where(
+    grams = worded.select("doc_id", "unit", "position", "paragraphs", once(bigrams=F.array_distinct(pairs))).where(
         F.size("bigrams").between(F.lit(low * smallest), F.lit(high * largest))
     )
 
@@ -183,9 +195,9 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
         lambda acc, x: F.when(x["dice"] > acc["dice"], x).otherwise(acc),
     )
     return (
-        grams.select("doc_id", "unit", "position", once(best=best))
+        grams.select("doc_id", "unit", "position", "paragraphs", once(best=best))
         .where(F.col("best.dice") >= threshold)
-        .select("doc_id", "unit", "position", "best.license", "best.dice")
+        .select("doc_id", "unit", "position", "best.license", "best.dice", "paragraphs")
     )
 
 
@@ -195,21 +207,26 @@ def op1_license_scan(spark, sf_dir):
 
 def _oracle(templates: list[tuple[str, str]], threshold: float) -> str:
     quoted = ", ".join(f"('{n}', [{', '.join(repr(b) for b in bs)}])" for n, bs in sorted(template_bigrams(templates)) if bs)
+    named = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in anchor_words(templates, threshold)) + ")"
     return rf"""
 WITH templates(license, tb) AS (VALUES {quoted}),
 lines AS (SELECT doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS position, unnest(string_split(text, chr(10))) AS body FROM documents WHERE text IS NOT NULL),
 cut AS (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n\s*') AS p FROM documents WHERE text IS NOT NULL),
 paragraphs AS (SELECT doc_id, 'paragraph' AS unit, unnest(range(len(p))) AS position, unnest(p) AS body FROM cut WHERE len(p) > 1),
+spans AS (SELECT doc_id, p, i, unnest(range(2, {RUN} + 1)) AS k FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM cut WHERE len(p) > 2) WHERE {named("p[i + 1]")}),
+runs AS (
+  SELECT doc_id, 'run' AS unit, i AS position, array_to_string(p[i + 1:i + k], chr(10)) AS body, k AS paragraphs
+  FROM spans WHERE i + k <= len(p) AND k < len(p) AND {named("p[i + k]")}),
 units AS (
-  SELECT * FROM lines UNION ALL SELECT * FROM paragraphs WHERE contains(body, chr(10))
-  UNION ALL SELECT doc_id, 'text', 0, text FROM documents WHERE contains(text, chr(10))),
-worded AS (SELECT doc_id, unit, position, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, unit, position, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM worded WHERE len(w) > 1),
+  SELECT *, 1 AS paragraphs FROM lines UNION ALL SELECT *, 1 FROM paragraphs WHERE contains(body, chr(10)) UNION ALL SELECT * FROM runs
+  UNION ALL SELECT doc_id, 'text', 0, text, 1 FROM documents WHERE contains(text, chr(10))),
+worded AS (SELECT doc_id, unit, position, paragraphs, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
+grams AS (SELECT doc_id, unit, position, paragraphs, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM worded WHERE len(w) > 1),
 scored AS (
-  SELECT doc_id, unit, position, license, round(2 * len(list_intersect(b, tb)) / (len(b) + len(tb)), 6) AS dice
+  SELECT doc_id, unit, position, paragraphs, license, round(2 * len(list_intersect(b, tb)) / (len(b) + len(tb)), 6) AS dice
   FROM grams JOIN templates ON list_has_any(b, tb)),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, position ORDER BY dice DESC, license) AS r FROM scored)
-SELECT doc_id, unit, CAST(position AS INTEGER) AS position, license, dice FROM best WHERE r = 1 AND dice >= {threshold}
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, position, paragraphs ORDER BY dice DESC, license) AS r FROM scored)
+SELECT doc_id, unit, CAST(position AS INTEGER) AS position, license, dice, CAST(paragraphs AS INTEGER) AS paragraphs FROM best WHERE r = 1 AND dice >= {threshold}
 """
 
 

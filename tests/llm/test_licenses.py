@@ -6,22 +6,28 @@ import pyarrow.parquet as pq
 from quern.llm import licenses as li
 
 SF = "/root/testdata/sf0.01"
+ANCHORS = li.anchor_words(li.TEMPLATES, li.THRESHOLD)
 
 
 def brute(doc_id, text, threshold=li.THRESHOLD):
     if text is None:
         return []
     lines, paragraphs, out = text.split("\n"), re.split(r"\n[ \t]*\n\s*", text), []
-    units = [("line", i, x) for i, x in enumerate(lines)]
-    units += [("paragraph", i, x) for i, x in enumerate(paragraphs) if len(paragraphs) > 1 and "\n" in x]
-    units += [("text", 0, text)] * (len(lines) > 1)
-    for unit, at, body in units:
+    units = [("line", i, x, 1) for i, x in enumerate(lines)]
+    units += [("paragraph", i, x, 1) for i, x in enumerate(paragraphs) if len(paragraphs) > 1 and "\n" in x]
+    anchored = [any(w in x.lower() for w in ANCHORS) for x in paragraphs]
+    for i in range(len(paragraphs)):
+        for k in range(2, min(li.RUN, len(paragraphs) - i, len(paragraphs) - 1) + 1):
+            if anchored[i] and anchored[i + k - 1]:
+                units.append(("run", i, "\n".join(paragraphs[i : i + k]), k))
+    units += [("text", 0, text, 1)] * (len(lines) > 1)
+    for unit, at, body, n in units:
         words = re.findall("[a-z0-9]+", body.lower())
         mine = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
         if mine:
             dice, name = min((-round(2 * len(mine & set(b)) / (len(mine) + len(b)), 6), n) for n, b in li.template_bigrams(li.TEMPLATES))
             if -dice >= threshold:
-                out.append((doc_id, unit, at, name, -dice))
+                out.append((doc_id, unit, at, name, -dice, n))
     return out
 
 
@@ -36,6 +42,18 @@ def test_edges(spark):
     assert li.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_of_several_paragraphs_in_a_longer_text(spark):
+    mit = next(t for n, t in li.TEMPLATES if n == "MIT" and len(t) > 200)
+    for cut in ("The above copyright", "THE SOFTWARE IS PROVIDED"):
+        mit = mit.replace(cut, "\n \n" + cut)
+    prose = " ".join(f"word{i}" for i in range(400))
+    texts = [f"{prose}\n\nCopyright 2020 A. B.\n\n{mit}\n\n{prose}", f"{mit}\n\n{prose}", mit, f"{prose}\n\n" + "license\n\n" * 12]
+    got = [tuple(r) for r in li.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(b for d, t in enumerate(texts) for b in brute(d, t))
+    assert {(0, "run", 2, "MIT", 3), (1, "run", 0, "MIT", 3), (2, "text", 0, "MIT", 1)} <= {(*g[:4], g[5]) for g in got}
+    assert not [g for g in got if g[0] == 3]
+
+
 def test_whole_table(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     got = sorted(tuple(r) for r in li.op1_license_scan(spark, SF).collect())
