@@ -7,6 +7,7 @@ Words get 64-bit hashes: a polynomial over random byte codes, taken from prefix
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,6 +58,18 @@ class _Powers:
 
 _powers = _Powers()
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not the C library of GNU
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back: the allocators of a worker that Spark keeps would hold the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
 
 @dataclass
 class Texts:
@@ -72,7 +85,7 @@ class Texts:
 
 
 def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[Texts]:
-    """Pieces of about ``limit`` bytes, each of whole texts; a null is an empty text."""
+    """Pieces of about ``limit`` bytes, each of whole texts; a null is an empty text. Freed memory goes back after a large column."""
     column = column.fill_null("").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -88,6 +101,8 @@ def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[Texts]:
         hi = min(hi, n)
         yield Texts(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    if offsets[-1] - offsets[0] >= limit:
+        release()
 
 
 @dataclass
@@ -119,7 +134,7 @@ def words_of(t: Texts, kind: np.ndarray = IS_WORD) -> Words:
 
 
 #: bytes of prefix sums at a time, so that tables of powers don't follow the longest text
-STRETCH = 1 << 21
+STRETCH = 1 << 18
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
