@@ -143,6 +143,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return np.zeros(0, np.uint64)
     if len(data) > 2 * STRETCH and len(start) > 1:
         cut = np.unique(np.searchsorted(start, np.arange(0, len(data), STRETCH)))
+        cut = cut[cut < len(start)]  # no span may begin in the last stretches
         parts = []
         for a, b in zip(cut, np.append(cut[1:], len(start)), strict=False):
             lo, hi = start[a], end[a:b].max()
