@@ -1,5 +1,6 @@
 """Queries of this subpackage, for ``__spark_entry__``."""
 
+from .ann import op11_ann
 from .bpe import op6_bpe
 from .decontaminate import op2_decontaminate
 from .language_id import op8_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op11_ann": op11_ann,
 }
 
 ORACLES: dict[str, str] = {
