@@ -11,6 +11,7 @@ from .near_dup import ORACLE as OP5_ORACLE
 from .near_dup import op5_near_dup
 from .quality import op9_quality_rules
 from .sharding import op4_sharding
+from .spelling import op12_spelling_groups
 from .token_counts import op7_token_counts
 from .token_store import op3_token_store
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
     "op11_ann": op11_ann,
+    "op12_spelling_groups": op12_spelling_groups,
 }
 
 ORACLES: dict[str, str] = {
