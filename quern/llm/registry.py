@@ -10,6 +10,8 @@ from .lm_score import op10_lm_score
 from .near_dup import ORACLE as OP5_ORACLE
 from .near_dup import op5_near_dup
 from .quality import op9_quality_rules
+from .ranked_search import ORACLE as OP13_ORACLE
+from .ranked_search import op13_ranked_search
 from .sharding import op4_sharding
 from .spelling import op12_spelling_groups
 from .token_counts import op7_token_counts
@@ -28,9 +30,11 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
     "op11_ann": op11_ann,
     "op12_spelling_groups": op12_spelling_groups,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": OP1_ORACLE,
     "op5_near_dup": OP5_ORACLE,
+    "op13_ranked_search": OP13_ORACLE,
 }
