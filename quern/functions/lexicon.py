@@ -20,6 +20,11 @@ DENSE_FLOOR, OOS_RRF, OOS_RERANK = 0.20, 0.002, 0.12
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 ARABIC_ARTICLE = r"(?:^|\n)\s*(?:المادة|الفصل|الباب|القسم)\s+[0-9٠-٩]+"
 FRENCH_ARTICLE = r"(?i)(?:^|\n)\s*(?:article|art\.?|chapitre|titre|section)\s+[0-9]+"
+# numbers of articles and names of laws; both are matched with Unicode classes, the French ones in any case
+ARABIC_NUMBER = r"(?:المادة|الفصل|الباب|القسم)\s+(\d+(?:\s*مكرر)?)"
+FRENCH_NUMBER = r"(?:Article|ART)\.?\s*(\d+(?:\s*bis)?)"
+ARABIC_LAW = r"(?:قانون|ظهير|مرسوم)\s+(?:رقم|شريف)?\s*[\d.\-]+"
+FRENCH_LAW = r"(?:loi|décret|arrêté)\s+n[°.]?\s*[\d\-]+"
 
 # Language and question markers.
 DARIJA_MARKERS = (
@@ -96,6 +101,10 @@ INTENT_TOOLS = {
     "DOCUMENTS": "retrieve_kb", "COST": "search_by_amount", "DEADLINE": "calculate_deadline", "PROCEDURE": "retrieve_kb",
     "ELIGIBILITY": "check_eligibility", "LEGAL": "retrieve_kb", "COMPARISON": "retrieve_kb",
 }
+TOOLS = ("retrieve_kb", "lookup_article", "calculate_deadline", "check_eligibility", "search_by_amount")
+ARTICLE_WORD = "المادة"
+DEADLINE_NOTE = "[Délai calculé / المدة المحسوبة: ", " jours ouvrables → "
+PRIOR_STEPS = "ملخص الخطوات السابقة:", "Résumé des étapes précédentes:"
 ELIGIBILITY_WORDS = ["سن", "سنة", "مواطن", "أجنبي", "قاصر", "âge", "ans", "citoyen", "étranger", "mineur"]
 
 # Grounding.

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grounding as g
 from . import lexicon as lx
+from .embedding import hashed_vectors
 from .metrics import metric_tokens
 from .text import words
 
@@ -66,8 +67,9 @@ class Scorers:
     rerank: Callable[[Column, Column], Column] = overlap_rerank
     entail: Callable[[Column, Column], Column] = g.overlap_share
     generate: Callable[[Column, Column], Column] = extractive_answer
-    enrich: Callable[[Column], Column] = lambda text: text
-    methods: dict[str, str] = field(default_factory=lambda: {"rerank": "overlap", "entail": "word_overlap", "generate": "extractive"})
+    enrich: Callable[[Column], Column] = lambda text: text  # the text a chunk is embedded by
+    embed: Callable[[DataFrame, str, Column], DataFrame] = hashed_vectors  # (rows, id column, tokens) to (id, vector)
+    methods: dict[str, str] = field(default_factory=lambda: {"rerank": "overlap", "entail": "word_overlap", "generate": "extractive", "embed": "hashed_tokens"})
 
 
 MESSAGES = {

@@ -122,15 +122,11 @@ def deloop(text: Column) -> Column:
 
 
 def article_number(text: Column) -> Column:
-    arabic = F.regexp_extract(text, r"(?U)(?:المادة|الفصل|الباب|القسم)\s+(\d+(?:\s*مكرر)?)", 1)
-    french = F.regexp_extract(text, r"(?iU)(?:Article|ART)\.?\s*(\d+(?:\s*bis)?)", 1)
-    return F.coalesce(F.nullif(arabic, F.lit("")), french)
+    return F.coalesce(F.nullif(F.regexp_extract(text, "(?U)" + lx.ARABIC_NUMBER, 1), F.lit("")), F.regexp_extract(text, "(?iU)" + lx.FRENCH_NUMBER, 1))
 
 
 def law_name(text: Column) -> Column:
-    arabic = F.regexp_extract(text, r"(?U)(?:قانون|ظهير|مرسوم)\s+(?:رقم|شريف)?\s*[\d.\-]+", 0)
-    french = F.regexp_extract(text, r"(?iU)(?:loi|décret|arrêté)\s+n[°.]?\s*[\d\-]+", 0)
-    return F.coalesce(F.nullif(arabic, F.lit("")), french)
+    return F.coalesce(F.nullif(F.regexp_extract(text, "(?U)" + lx.ARABIC_LAW, 0), F.lit("")), F.regexp_extract(text, "(?iU)" + lx.FRENCH_LAW, 0))
 
 
 def short_source(source: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from ..functions import lexicon as lx
 from ..functions.metrics import metric_tokens
 from ..functions.text import ARABIC, contains_any, count, n_words, script_of
 from ..session import Scratch
+from .chunking import numbered
+
+log = logging.getLogger(__name__)
 
 
 def audit_codes(language, expected, question, answer, keywords, should_abstain) -> Column:
@@ -87,9 +94,9 @@ def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def next_ids(items: DataFrame, category: str, order: list[str], taken: dict[str, int] | None = None) -> DataFrame:
     """An id of prefix and number for each item, from the largest number taken in its prefix."""
     prefix = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in lx.CATEGORY_PREFIX.items() for x in kv]), F.col(category)), F.substring(category, 1, 1))
-    numbered = items.withColumn("prefix", prefix).withColumn("_n", F.row_number().over(Window.partitionBy("prefix").orderBy(*order)))
+    placed = numbered(items.withColumn("prefix", prefix), order, ["prefix"], "_n")
     base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (taken or {"": 0}).items() for x in kv]), F.col("prefix")), F.lit(0))
-    return numbered.withColumn("item_key", F.concat("prefix", (F.col("_n") + base).cast("string"))).drop("_n", "prefix")
+    return placed.withColumn("item_key", F.concat("prefix", (F.col("_n") + 1 + base).cast("string"))).drop("_n", "prefix")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: Column, quota: int, seed: str = "") -> DataFrame:
@@ -104,35 +111,69 @@ def divides(df: DataFrame, group: str, member: str, required: list[str]) -> Data
     return held.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") == len(set(required))).select(group)
 
 
-def token_classes(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, tokens, n, copies): one row per distinct token set, under its smallest id."""
-    sets = df.select(id_col, F.array_sort(F.array_distinct(metric_tokens(text))).alias("tokens")).where(F.size("tokens") > 0)
-    keyed = sets.withColumn("key", F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
-    least = keyed.groupBy("key").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
-    return least.join(keyed, ["key", id_col]).select(id_col, "tokens", F.size("tokens").alias("n"), "copies").dropDuplicates([id_col])
+def token_sets(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, tokens, n, key) of every row, written once; the key is null without a token."""
+    sets = df.select(F.col(id_col), F.array_sort(F.array_distinct(F.coalesce(metric_tokens(text), F.array().cast("array<string>")))).alias("tokens"))
+    key = F.when(F.size("tokens") > 0, F.unhex(F.sha2(F.array_join("tokens", " ").cast("binary"), 256)))
+    return Scratch(df.sparkSession, "token-sets").keep(sets.select(id_col, "tokens", F.size("tokens").alias("n"), key.alias("key")))
+
+
+def set_classes(sets: DataFrame, id_col: str) -> DataFrame:
+    """(key, first, copies): a row per distinct token set, with its smallest id."""
+    return Scratch(sets.sparkSession, "set-classes").keep(sets.where("key is not null").groupBy("key").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")))
 
 
-def kept_rows(df: DataFrame, id_col: str, text: Column, kept: DataFrame) -> DataFrame:
+def class_sets(sets: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """(id, tokens, n) of the first row of each class; of rows that repeat an id, one."""
+    first = sets.join(classes.select(F.col("first").alias(id_col), F.col("key")), [id_col, "key"], "left_semi")
+    return Scratch(sets.sparkSession, "class-sets").keep(first.dropDuplicates([id_col, "key"]).select(id_col, "tokens", "n"))
+
+
+def kept_rows(sets: DataFrame, classes: DataFrame, id_col: str, kept: DataFrame) -> DataFrame:
     """(id, kept) of every row: copies of an earlier token set go, the first of a set follows ``kept`` (from ``greedy_keep``), rows without a token stay."""
-    key = F.sha2(F.array_join(F.array_sort(F.array_distinct(metric_tokens(text))), " ").cast("binary"), 256)
-    rows = df.select(id_col, F.when(F.size(metric_tokens(text)) > 0, key).alias("key"))
-    first = rows.where("key is not null").groupBy("key").agg(F.min(id_col).alias("first"))
-    decided = first.join(kept.select(F.col(id_col).alias("first"), "kept"), "first", "left")
-    return rows.join(decided, "key", "left").select(id_col, (F.col("key").isNull() | ((F.col(id_col) == F.col("first")) & F.coalesce("kept", F.lit(True)))).alias("kept"))
+    decided = classes.select("key", "first").join(kept.select(F.col(id_col).alias("first"), "kept"), "first", "left")
+    rows = sets.select(id_col, "key").join(decided, "key", "left")
+    return rows.select(id_col, (F.col("key").isNull() | ((F.col(id_col) == F.col("first")) & F.coalesce("kept", F.lit(True)))).alias("kept"))
+
+
+COMMON_SHARE = 1000  # a token in more than a thousandth of the sets (and in over 100) is common
+
+
+def _prefixes(common, threshold: float):
+    """(id, n, token) of the tokens each set is looked up under: those that aren't common first, then by frequency."""
+    def run(batches):
+        hashes, rank = common.value
+        for batch in batches:
+            n, lists = batch.column(1).to_numpy(), batch.column(2)
+            size = lists.value_lengths().to_numpy()
+            row, token = np.repeat(np.arange(len(n)), size), lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(hashes, token), max(0, len(hashes) - 1))
+            place = np.where(hashes[at] == token, rank[at], 0) if len(hashes) else np.zeros(len(token), np.int64)
+            order = np.lexsort((token, place, row))
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            kept = order[nth < (n - np.ceil(threshold * n - 1e-9) + 1)[row]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[kept])), pa.array(n[row[kept]]), pa.array(token[kept])], [batch.schema.names[0], "n", "token"])
+
+    return run
 
 
 def overlap_pairs(classes: DataFrame, id_col: str, threshold: float = lx.DEDUP_OVERLAP) -> DataFrame:
     """(a, b, overlap), a < b: pairs of token sets with |A & B| / max(|A|, |B|) at the threshold or above.
 
-    Such a pair shares at least ``threshold * max`` tokens, so each set need only be looked up under its rarest
-    ``n - ceil(threshold * n) + 1`` tokens; pairs that meet under one of them are then counted in full.
+    Such a pair shares at least ``threshold * max`` tokens, so each set need only be looked up under the first
+    ``n - ceil(threshold * n) + 1`` of its tokens in any order that all sets share; pairs that meet are then counted in full.
+    The order has common tokens last: they number at most ``COMMON_SHARE`` times the mean size of a set, and are broadcast.
     """
-    exploded = classes.select(id_col, "n", F.explode("tokens").alias("token"))
-    spread = exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    kept = exploded.join(spread, "token")
-    shared = F.count("*").over(Window.partitionBy(id_col))
-    at = F.row_number().over(Window.partitionBy(id_col).orderBy("df", "token")) + F.col("n") - shared
-    prefix = kept.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    spark = classes.sparkSession
+    hashed = classes.select(id_col, "n", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    n = classes.count()
+    often = hashed.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > max(100, n // COMMON_SHARE)).orderBy("token").toArrow()
+    df = often.column("count").to_numpy()
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(1, len(df) + 1)
+    common = spark.sparkContext.broadcast((often.column("token").to_numpy(), rank))
+    prefix = hashed.mapInArrow(_prefixes(common, threshold), f"{id_col} {classes.schema[id_col].dataType.simpleString()}, n int, token long")
+    prefix = Scratch(spark, "prefixes").keep(prefix)
     x = prefix.select(F.col(id_col).alias("a"), F.col("n").alias("na"), "token")
     y = prefix.select(F.col(id_col).alias("b"), F.col("n").alias("nb"), "token")
     near = F.expr(f"a < b and na >= {threshold} * nb - 1e-9 and nb >= {threshold} * na - 1e-9")
@@ -144,18 +185,43 @@ def overlap_pairs(classes: DataFrame, id_col: str, threshold: float = lx.DEDUP_O
     return both.select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= threshold - 1e-12)
 
 
-def greedy_keep(ids: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
+AT_ONCE = 1 << 18  # pairs that one task settles
+
+
+def _settle(batches):
+    """Ids dropped, from pairs in order of (b, a)."""
+    dropped, last, hit = set(), None, False
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if b != last:
+                last, hit = b, False
+            if not hit and a not in dropped:  # an earlier one that stays
+                hit = True
+                dropped.add(b)
+        kind = batch.column(0).type
+    if dropped:
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(dropped), kind)], ["id"])
+
+
+def greedy_keep(ids: DataFrame, pairs: DataFrame, id_col: str, at_once: int = AT_ONCE) -> DataFrame:
     """(id, kept): in id order an item goes if it is near an earlier kept one.
 
-    Rounds over all items: one whose earlier neighbours are all dropped is kept, one with a kept earlier neighbour
-    is dropped; the rounds number at most the longest chain.  Each round's table is written to the checkpoint folder.
+    While over ``at_once`` pairs are open, rounds settle them: an item with no open earlier neighbour stays, those near
+    it go, and their pairs close. One task settles a remainder of that bounded size. Each round is logged.
     """
-    cut = Scratch(ids.sparkSession, "greedy").keep
-    near = cut(pairs.select("a", "b"))
-    state = cut(ids.select(id_col).distinct().join(near.select(F.col("b").alias(id_col)).distinct().withColumn("open", F.lit(True)), id_col, "left").select(id_col, F.when(F.col("open"), "open").otherwise("kept").alias("state")))
-    while state.where("state = 'open'").limit(1).count():
-        before = near.join(state.select(F.col(id_col).alias("a"), F.col("state").alias("of_a")), "a")
-        seen = before.groupBy(F.col("b").alias(id_col)).agg(F.bool_or(F.col("of_a") == "kept").alias("hit"), F.bool_and(F.col("of_a") == "dropped").alias("free"))
-        new = F.when(F.col("state") != "open", F.col("state")).when(F.col("hit"), "dropped").when(F.col("free"), "kept").otherwise("open")
-        state = cut(state.join(seen, id_col, "left").select(id_col, new.alias("state")))
-    return state.select(id_col, (F.col("state") == "kept").alias("kept"))
+    cut, kind = Scratch(ids.sparkSession, "greedy").keep, ids.schema[id_col].dataType.simpleString()
+    open_pairs, gone, turn = cut(pairs.select("a", "b").distinct()), [], 0
+    while (left := open_pairs.count()) > at_once:
+        turn += 1
+        log.info("round %d: %d pairs are open", turn, left)
+        heads = open_pairs.select("a").distinct().join(open_pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        dropped = cut(open_pairs.join(heads, "a").select(F.col("b").alias("id")).distinct())
+        gone.append(dropped)
+        rest = open_pairs.join(dropped.withColumnRenamed("id", "b"), "b", "left_anti").join(dropped.withColumnRenamed("id", "a"), "a", "left_anti")
+        open_pairs = cut(rest.select("a", "b"))
+    gone.append(open_pairs.repartition(1).sortWithinPartitions("b", "a").mapInArrow(_settle, f"id {kind}"))
+    dropped = gone[0]
+    for more in gone[1:]:
+        dropped = dropped.unionAll(more)
+    dropped = cut(dropped.withColumnRenamed("id", id_col).withColumn("dropped", F.lit(True)))
+    return ids.select(id_col).distinct().join(dropped, id_col, "left").select(id_col, F.col("dropped").isNull().alias("kept"))

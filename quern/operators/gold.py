@@ -84,7 +84,3 @@ def enrich(procedures: DataFrame, documents: DataFrame, administrations: DataFra
     rows = procedures.join(named, "procedure_id", "left").join(administrations.select("administration_id", F.col("name").alias("administration")), "administration_id", "left")
     body = F.when(is_enriched(F.col("body")) | F.col("listed").isNull(), F.col("body")).otherwise(F.concat("body", F.lit(f"\n\n{lx.DOCUMENTS_HEADING}:\n"), "listed"))
     return rows.select("procedure_id", body.alias("body"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("administration", F.lit("")).alias("administration"))
-
-
-def missing_intents(intents: Column, covered: Column) -> Column:
-    return F.array_except(intents, covered)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,44 +19,203 @@ def postings(chunks: DataFrame, tokens: Column, id_col: str = "chunk_id") -> Dat
     return t.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def term_idf(post: DataFrame, n: int, epsilon: float = lx.BM25_EPSILON) -> DataFrame:
-    """(term, df, idf): negative idf is raised to ``epsilon`` times the mean over the vocabulary."""
-    df = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw")).first()[0] or 0.0
-    return df.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
+# ---- a lexical index: blocks of documents with their lists in order of impact
+
+BLOCK_TOKENS = 1 << 18
+SLICE_TERMS = 1 << 18
+_RAW = "rows long, tokens long, ids array<{id}>, sizes array<int>, kinds array<int>, terms array<string>, starts array<int>, places binary, tf binary"
+_BLOCKS = "ids array<{id}>, kinds array<int>, terms array<string>, starts array<int>, most array<double>, places binary, parts binary"
+
+
+def _type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _raw_blocks(batches):
+    ids, sizes, parts, rows, held = [], [], [], 0, 0
+
+    def block():
+        coded = pa.concat_arrays([pa.array([], pa.string()), *parts]).dictionary_encode()
+        length = np.array(sizes, np.int64)
+        n, place = len(length), np.repeat(np.arange(len(length)), length)
+        key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + place, return_counts=True)
+        values = [
+            rows, held, ids, sizes, np.bincount(key % n, minlength=n), coded.dictionary.to_pylist(), np.searchsorted(key, np.arange(len(coded.dictionary) + 1) * n),
+            (key % n).astype("<u4").tobytes(), tf.astype("<i4").tobytes(),
+        ]
+        kinds = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["rows", "tokens", "ids", "sizes", "kinds", "terms", "starts", "places", "tf"])
+
+    for batch in batches:
+        id_type, lists = batch.column(0).type, batch.column(1)
+        length = lists.value_lengths().fill_null(0).to_numpy()
+        ends = np.cumsum(length)
+        lo = 0
+        while lo < len(length):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_TOKENS - held, side="right")))
+            some = lists.slice(lo, hi - lo)
+            has = np.flatnonzero(length[lo:hi])
+            ids += batch.column(0).slice(lo, hi - lo).take(pa.array(has)).to_pylist()
+            sizes += length[lo:hi][has].tolist()
+            parts.append(some.flatten())
+            rows, held, lo = rows + hi - lo, held + int(length[lo:hi].sum()), hi
+            if held >= BLOCK_TOKENS:
+                yield block()
+                ids, sizes, parts, rows, held = [], [], [], 0, 0
+    if rows:
+        yield block()
+
+
+def _document_counts(batches):
+    for batch in batches:
+        for terms, starts in zip(batch.column(0), batch.column(1), strict=True):
+            yield pa.RecordBatch.from_arrays([terms.values, pa.array(np.diff(starts.values.to_numpy()).astype(np.int64))], ["term", "df"])
+
+
+def _by_impact(mean: float):
+    """Lists of blocks ordered by their part of the score (without idf), largest first, and each list's largest."""
+    k1, b = lx.BM25_K1, lx.BM25_B
+
+    def run(batches):
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                starts = column["starts"][i].values.to_numpy()
+                place, tf = (np.frombuffer(column[n][i].as_buffer(), kind) for n, kind in (("places", "<u4"), ("tf", "<i4")))
+                size = column["sizes"][i].values.to_numpy()
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[place] / mean)) if len(tf) else np.zeros(0)
+                order = np.lexsort((place, -part, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+                most = part[order][starts[:-1]] if len(tf) else part
+                own = [column[n].slice(i, 1) for n in ("ids", "kinds", "terms", "starts")]
+                made = [pa.array([most.tolist()], pa.list_(pa.float64())), pa.array([place[order].tobytes()], pa.binary()), pa.array([part[order].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(own + made, ["ids", "kinds", "terms", "starts", "most", "places", "parts"])
+
+    return run
 
 
 def write_lexical(chunks: DataFrame, tokens, path: str, id_col: str) -> str:
-    """Keep postings, terms and statistics of chunks as tables under ``path``; texts are tokenised once."""
-    spark = chunks.sparkSession
-    counted = chunks.select(id_col, tokens.alias("tokens"))
-    postings(counted, F.col("tokens"), id_col).write.mode("overwrite").parquet(f"{path}/postings")
-    post = spark.read.parquet(f"{path}/postings")
-    n, words = chunks.count(), post.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    """Keep a lexical index under ``path``: ``blocks`` of documents, ``terms`` with their idf, and ``statistics``.
+
+    A block holds about ``BLOCK_TOKENS`` tokens of whole documents, with a list for each of its terms in order of impact.
+    Texts are tokenised once, in the tasks that read them; only the terms of each block are shuffled, for their counts.
+    Negative idf is raised to ``BM25_EPSILON`` times the mean over the vocabulary.
+    """
+    spark, id_type = chunks.sparkSession, _type_of(chunks, id_col)
+    chunks.select(F.col(id_col), tokens.alias("tokens")).mapInArrow(_raw_blocks, _RAW.format(id=id_type)).write.mode("overwrite").parquet(f"{path}/raw")
+    raw = spark.read.schema(_RAW.format(id=id_type)).parquet(f"{path}/raw")
+    n, words = raw.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     spark.createDataFrame([(n, words)], "n long, words long").write.mode("overwrite").parquet(f"{path}/statistics")
-    term_idf(post, n).write.mode("overwrite").parquet(f"{path}/terms")
+    counts = raw.select("terms", "starts").mapInArrow(_document_counts, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counts.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).write.mode("overwrite").parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
+    mean = counts.agg(F.avg("raw")).first()[0] or 0.0
+    terms = counts.select("term", "df", F.when(F.col("raw") < 0, F.lit(lx.BM25_EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    used = raw.select("ids", "sizes", "kinds", "terms", "starts", "places", "tf")
+    used.mapInArrow(_by_impact(words / n if words else 1.0), _BLOCKS.format(id=id_type)).write.mode("overwrite").parquet(f"{path}/blocks")
     return path
 
 
-def search_lexical(spark, path: str, queries: DataFrame, query_tokens, *, id_col: str, query_col: str, k: int | None = lx.RETRIEVE_K) -> DataFrame:
-    """(query, id, bm25, rank) from kept tables; only postings of query terms are read into the join. No rows for a query whose best score isn't positive."""
-    n, words = spark.read.parquet(f"{path}/statistics").select("n", "words").first()
-    mean = words / n if words else 1.0
+def best_first(rows: list[tuple], k: int, descending: bool) -> list[tuple]:
+    """The k best of (rounded score, id, score); ties by id. Ids may be numbers or strings."""
+    return sorted(sorted(rows, key=lambda r: r[1], reverse=descending), key=lambda r: -r[0])[:k]
+
+
+def _search_blocks(shared, k: int, query_col: str, id_col: str, by_share: bool):
+    """Each task's best k of every question: a row for each of them, whatever the number of its documents.
+
+    A block whose largest possible score can't reach a question's k-th so far isn't read for it.
+    """
+
+    def run(batches):
+        questions, terms = shared.value  # [(question, places of its terms, weights)], the slice's terms
+        best: list[list[tuple]] = [[] for _ in questions]
+        kind = None
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            kind = column["ids"].type.value_type
+            for i in range(batch.num_rows):
+                at = pc.index_in(terms, value_set=column["terms"][i].values).fill_null(-1).to_numpy()
+                if (at < 0).all():
+                    continue
+                starts, most = column["starts"][i].values.to_numpy(), column["most"][i].values.to_numpy()
+                place, part = (np.frombuffer(column[n][i].as_buffer(), t) for n, t in (("places", "<u4"), ("parts", float)))
+                ids, n_docs = column["ids"][i].values, len(column["ids"][i])
+                share = 1 / column["kinds"][i].values.to_numpy()
+                order = pc.sort_indices(ids).to_numpy()
+                rank = np.empty(n_docs, np.int64)
+                rank[order] = np.arange(n_docs) if by_share else -np.arange(n_docs)
+                for (_, places, weights), mine, q in zip(questions, best, range(len(best)), strict=True):
+                    lists, has = at[places], at[places] >= 0
+                    lists, weight = lists[has], weights[has]
+                    if not len(lists):
+                        continue
+                    least = mine[-1][0] if len(mine) == k else -np.inf
+                    if not by_share and np.maximum(weight, 0) @ most[lists] < least - 1e-8:
+                        continue
+                    size = starts[lists + 1] - starts[lists]
+                    where = np.repeat(starts[lists] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    docs = place[where]
+                    score = np.bincount(docs, share[docs] if by_share else np.repeat(weight, size) * part[where], n_docs)
+                    met = np.unique(docs)
+                    rounded = np.round(score[met], 9)
+                    if len(met) > k:
+                        least = max(least, np.partition(rounded, -k)[-k])
+                    met, rounded = met[rounded >= least], rounded[rounded >= least]
+                    top = np.lexsort((rank[met], -rounded))[:k]
+                    if len(top):
+                        found = zip(rounded[top].tolist(), ids.take(pa.array(met[top])).to_pylist(), score[met[top]].tolist(), strict=True)
+                        best[q] = best_first(mine + list(found), k, not by_share)
+        rows = [(q, *r) for (q, _, _), mine in zip(questions, best, strict=True) for r in mine]
+        if rows:
+            asked, _, ids, score = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids, kind), pa.array(score)], [query_col, id_col, "score"])
+
+    return run
+
+
+def _best_of_tasks(spark, path: str, asked: DataFrame, *, id_col: str, query_col: str, k: int, by_share: bool) -> DataFrame:
+    """``asked`` (question, term, weight) is broadcast in slices of about ``SLICE_TERMS`` rows; each slice reads the blocks once."""
+    blocks = spark.read.parquet(f"{path}/blocks")
+    schema = f"{query_col} {_type_of(asked, query_col)}, {id_col} {blocks.schema['ids'].dataType.elementType.simpleString()}, score double"
+    asked = Scratch(spark, "asked").keep(asked.select(F.col(query_col).alias("q"), "term", "weight"))
+    n_slices, out = max(1, -(-asked.count() // SLICE_TERMS)), spark.createDataFrame([], schema)
+    for s in range(n_slices):
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_slices)) == s).orderBy("q", "term").toArrow()
+        if not rows.num_rows:
+            continue
+        coded = rows.column("term").combine_chunks().dictionary_encode()
+        codes, weight, q = coded.indices.to_numpy().astype(np.int64), rows.column("weight").to_numpy(), rows.column("q").to_pylist()
+        cuts = [0, *(i for i in range(1, len(q)) if q[i] != q[i - 1]), len(q)]
+        questions = [(q[a], codes[a:b], weight[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        shared = spark.sparkContext.broadcast((questions, coded.dictionary))
+        out = out.unionAll(blocks.mapInArrow(_search_blocks(shared, k, query_col, id_col, by_share), schema))
+    return out
+
+
+def search_lexical(spark, path: str, queries: DataFrame, query_tokens, *, id_col: str, query_col: str, k: int = lx.RETRIEVE_K) -> DataFrame:
+    """(query, id, bm25, rank) from a kept index, ties to the larger id. No rows for a query whose best score isn't positive."""
     asked = queries.select(F.col(query_col), F.explode(query_tokens).alias("term")).groupBy(query_col, "term").agg(F.count("*").alias("qtf"))
-    idf = spark.read.parquet(f"{path}/terms").join(asked.select("term").distinct(), "term", "left_semi")
-    k1, b = lx.BM25_K1, lx.BM25_B
-    impact = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scored = spark.read.parquet(f"{path}/postings").join(idf, "term").select("term", id_col, impact.alias("impact")).join(asked, "term")
-    out = scored.groupBy(query_col, id_col).agg(F.sum(F.col("impact") * F.col("qtf")).alias("bm25"))
-    best = Window.partitionBy(query_col).orderBy(F.desc(F.round("bm25", 9)), F.desc(id_col))
-    out = out.withColumn("rank", F.row_number().over(best)).withColumn("most", F.first("bm25").over(best)).where("most > 0").drop("most")
-    return out.where(F.col("rank") <= k) if k else out
+    asked = asked.join(spark.read.parquet(f"{path}/terms"), "term").withColumn("weight", F.col("idf") * F.col("qtf"))
+    found = _best_of_tasks(spark, path, asked, id_col=id_col, query_col=query_col, k=k, by_share=False)
+    order = Window.partitionBy(query_col).orderBy(F.desc(F.round("score", 9)), F.desc(id_col))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    most = F.max("score").over(Window.partitionBy(query_col))
+    return ranked.withColumn("most", most).where("most > 0").select(query_col, id_col, F.col("score").alias("bm25"), "rank")
+
 
+def search_share(spark, path: str, queries: DataFrame, query_tokens, *, id_col: str, query_col: str, k: int = lx.RETRIEVE_K) -> DataFrame:
+    """(query, id, score, rank): the share of a document's distinct tokens that are asked for, from a kept index; ties to the smaller id."""
+    asked = queries.select(F.col(query_col), F.explode(F.array_distinct(query_tokens)).alias("term")).withColumn("weight", F.lit(1.0))
+    found = _best_of_tasks(spark, path, asked, id_col=id_col, query_col=query_col, k=k, by_share=True)
+    order = Window.partitionBy(query_col).orderBy(F.desc(F.round("score", 9)), id_col)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def bm25(chunks: DataFrame, queries: DataFrame, tokens, query_tokens, *, id_col: str, query_col: str, k: int | None = lx.RETRIEVE_K) -> DataFrame:
+
+def bm25(chunks: DataFrame, queries: DataFrame, tokens, query_tokens, *, id_col: str, query_col: str, k: int = lx.RETRIEVE_K) -> DataFrame:
     """(query, id, bm25, rank): Okapi scores with the multiplicity of query tokens; ties go to the larger id.
 
-    The tables of ``write_lexical`` are made in the work folder. A chunk that matches no term has no row.
+    The index of ``write_lexical`` is made in the work folder. A chunk that matches no term has no row.
     """
     path = write_lexical(chunks, tokens, Scratch(chunks.sparkSession, "lexical").path, id_col)
     return search_lexical(chunks.sparkSession, path, queries, query_tokens, id_col=id_col, query_col=query_col, k=k)
@@ -78,17 +238,15 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
 
         def search(batches, shared=shared):
             qs, m = shared.value
-            best = np.full((len(qs), 0), 0.0)
-            ids = np.zeros((len(qs), 0), np.int64)
+            best, ids = np.zeros((len(qs), 0)), np.zeros((len(qs), 0), np.int64)
             for batch in batches:
-                keep = batch.filter(batch.column(1).is_valid())
-                if not keep.num_rows:
-                    continue
-                v = np.array(keep.column(1).to_pylist(), np.float64)
-                best = np.concatenate([best, m @ v.T], axis=1)
-                ids = np.concatenate([ids, np.broadcast_to(keep.column(0).to_numpy(), (len(qs), len(v)))], axis=1)
-                at = np.lexsort((ids, -np.round(best, 9)), axis=1)[:, :k]
-                best, ids = np.take_along_axis(best, at, axis=1), np.take_along_axis(ids, at, axis=1)
+                kept = batch.filter(batch.column(1).is_valid())
+                for lo in range(0, kept.num_rows, 512):  # a matrix has 2048 * 512 numbers at most
+                    some = kept.slice(lo, 512)
+                    v = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)
+                    best = np.concatenate([best, m @ v.T], axis=1)
+                    ids = np.concatenate([ids, np.broadcast_to(some.column(0).to_numpy(), (len(qs), len(v)))], axis=1)
+                    best, ids = keep_best(best, ids, k)
             if best.size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, best.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], ["query_id", id_col, "score"])
 
@@ -100,6 +258,20 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def keep_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row by (score to nine places, smaller id); those beyond the k-th score aren't sorted."""
+    if score.shape[1] <= k:
+        return score, ids
+    rounded = np.round(score, 9)
+    least = np.partition(rounded, -k, axis=1)[:, -k]
+    out_score, out_ids = np.empty((len(score), k)), np.empty((len(score), k), ids.dtype)
+    for i, low in enumerate(least):
+        at = np.flatnonzero(rounded[i] >= low)
+        at = at[np.lexsort((ids[i, at], -rounded[i, at]))[:k]]
+        out_score[i], out_ids[i] = score[i, at], ids[i, at]
+    return out_score, out_ids
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, *, query_col: str, id_col: str) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists, in one aggregation; order: score, dense list first, rank."""
     part = lambda df, w, order: df.select(query_col, id_col, F.lit(order).alias("list"), "rank", (w / (lx.RRF_K + F.col("rank"))).alias("part"))

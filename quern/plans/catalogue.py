@@ -10,7 +10,7 @@ from ..functions import language as la
 from ..functions import lexicon as lx
 from ..functions import metrics as m
 from ..functions import text as t
-from ..operators import agent, chunking, curate, evaluate, index, relational
+from ..operators import agent, chunking, curate, evaluate, index, relational, vectors
 from ..session import Scratch
 from ..sources import files
 
@@ -120,6 +120,25 @@ def dense_topk(spark, sf):
     return _dense(spark, sf).select("query_id", "vec_id", r6("score").alias("score"), "rank")
 
 
+def _kept_vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    path = vectors.write_vectors(e, Scratch(spark, "vectors").path, "vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.search_vectors(spark, path, asked, query_col="query_id", vec_col="embedding", id_col="vec_id", k=10)
+
+
+@query(f"WITH {DENSE} SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def vector_index_topk(spark, sf):
+    """The same neighbours from a kept index of cells, read as far as radius bounds ask."""
+    return _kept_vectors(spark, sf)[0].select("query_id", "vec_id", r6("score").alias("score"), "rank")
+
+
+@query()
+def vector_index_reading(spark, sf):
+    """Blocks that each query read of those the index has."""
+    return _kept_vectors(spark, sf)[1]
+
+
 @query(
     f"""WITH {DENSE}, kept AS (SELECT * FROM r WHERE rank <= 10 AND score >= 0.2),
     b AS (SELECT query_id, count(*) AS n, CAST(max(rank) AS INTEGER) AS last_rank, round(min(score), 6) AS least FROM kept GROUP BY query_id) SELECT * FROM b"""
@@ -141,13 +160,11 @@ fr AS MATERIALIZED (SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY
 
 
 def _fused(spark, sf):
-    terms = lambda name, i: table(spark, sf, name).select(i, F.array_distinct(t.french_tokens(F.col("text"))).alias("ts"))
-    docs = terms("documents", "doc_id").select("doc_id", F.size("ts").alias("nd"), F.explode("ts").alias("term"))
-    asked = terms("benchmark", "item_id").select("item_id", F.explode("ts").alias("term"))
-    lead = docs.join(asked, "term").groupBy("item_id", "doc_id").agg((F.count("*") / F.max("nd")).alias("overlap"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("overlap", 9)), "doc_id"))
-    lead = lead.withColumn("rank", rank).where("rank <= 10")
-    return index.fuse(lead, _bm25(spark, sf), query_col="item_id", id_col="doc_id")
+    """Both lists come from one index."""
+    items, tokens = table(spark, sf, "benchmark"), t.french_tokens(F.col("text"))
+    path = index.write_lexical(table(spark, sf, "documents"), tokens, Scratch(spark, "lexical").path, "doc_id")
+    found = [f(spark, path, items, tokens, id_col="doc_id", query_col="item_id") for f in (index.search_share, index.search_lexical)]
+    return index.fuse(*found, query_col="item_id", id_col="doc_id")
 
 
 @query(f"WITH {FUSED} SELECT item_id, doc_id, round(rrf, 6) AS rrf, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10")
@@ -521,29 +538,47 @@ def relational_division(spark, sf):
     return curate.divides(table(spark, sf, "documents"), "source", "lang", ["en", "fr", "de", "es"])
 
 
-CLASSES = f"""c0 AS (SELECT doc_id, list_sort(list_distinct({sql_metric_tokens('text')})) AS tk FROM documents),
-c AS (SELECT min(doc_id) AS doc_id, tk FROM c0 WHERE len(tk) > 0 GROUP BY tk),
+CLASSES = f"""c0 AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct({sql_metric_tokens('text')})) AS tk FROM documents),
+c AS MATERIALIZED (SELECT min(doc_id) AS doc_id, tk FROM c0 WHERE len(tk) > 0 GROUP BY tk),
 e AS (SELECT doc_id, len(tk) AS n, unnest(tk) AS w FROM c),
-near AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / greatest(any_value(x.n), any_value(y.n)) AS overlap FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY 1, 2)"""
+near AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / greatest(any_value(x.n), any_value(y.n)) AS overlap FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY 1, 2)"""
 
 
 def _near(spark, sf):
-    scratch = Scratch(spark, "near")
-    classes = scratch.keep(curate.token_classes(table(spark, sf, "documents"), "doc_id", F.col("text")))
-    return classes, curate.overlap_pairs(classes, "doc_id")
+    sets = curate.token_sets(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    classes = curate.set_classes(sets, "doc_id")
+    firsts = curate.class_sets(sets, classes, "doc_id")
+    return sets, classes, firsts, curate.overlap_pairs(firsts, "doc_id")
 
 
 @query(f"WITH {CLASSES} SELECT a, b, round(overlap, 6) AS overlap FROM near WHERE overlap >= 0.85")
 def near_dup_pairs(spark, sf):
-    """Pairs of distinct token sets that overlap by 0.85 of the larger one."""
-    return _near(spark, sf)[1].select("a", "b", r6("overlap").alias("overlap"))
+    """Pairs of distinct token sets that overlap by 0.85 of the larger one; ``near_dup_members`` has the rows of each set."""
+    return _near(spark, sf)[3].select("a", "b", r6("overlap").alias("overlap"))
 
 
-@query()
+@query(
+    f"""WITH c0 AS (SELECT doc_id, list_sort(list_distinct({sql_metric_tokens('text')})) AS tk FROM documents)
+    SELECT doc_id, CASE WHEN len(tk) > 0 THEN min(doc_id) OVER (PARTITION BY tk) END AS class_id FROM c0"""
+)
+def near_dup_members(spark, sf):
+    """The token set of every row, named by its first row: membership for ``near_dup_pairs``."""
+    sets = curate.token_sets(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return sets.join(curate.set_classes(sets, "doc_id"), "key", "left").select("doc_id", F.col("first").alias("class_id"))
+
+
+@query(
+    f"""WITH RECURSIVE {CLASSES}, b AS (SELECT b AS id, list(a) AS before FROM near WHERE overlap >= 0.85 - 1e-12 GROUP BY b),
+    o AS (SELECT id, before, row_number() OVER (ORDER BY id) AS i FROM b),
+    g(i, dropped) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+      SELECT o.i, CASE WHEN len(list_filter(o.before, lambda x: NOT list_contains(g.dropped, x))) > 0 THEN list_append(g.dropped, o.id) ELSE g.dropped END FROM g JOIN o ON o.i = g.i + 1),
+    last AS (SELECT dropped FROM g ORDER BY i DESC LIMIT 1)
+    SELECT doc_id, len(tk) = 0 OR (doc_id = min(doc_id) OVER (PARTITION BY tk) AND NOT list_contains(dropped, doc_id)) AS kept FROM c0, last"""
+)
 def near_dup_greedy(spark, sf):
     """Order-dependent removal: dropped items don't drop others."""
-    classes, pairs = _near(spark, sf)
-    return curate.kept_rows(table(spark, sf, "documents"), "doc_id", F.col("text"), curate.greedy_keep(classes, pairs, "doc_id"))
+    sets, classes, firsts, pairs = _near(spark, sf)
+    return curate.kept_rows(sets, classes, "doc_id", curate.greedy_keep(firsts, pairs, "doc_id"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(text)")

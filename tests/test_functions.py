@@ -139,10 +139,13 @@ def test_memory():
 def test_greedy_and_overlap(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
     ids = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
+    for at_once in (0, 1, 100):  # by rounds, by both, by one task
+        assert sorted(r.id for r in curate.greedy_keep(ids, pairs, "id", at_once).where("kept").collect()) == [1, 3, 4, 5, 7]
     assert sorted(r.id for r in curate.greedy_keep(ids, pairs, "id").where("kept").collect()) == [1, 3, 4, 5, 7]
     base = [f"w{i}" for i in range(20)]
     texts = [(1, " ".join(base)), (2, " ".join(base[:17])), (3, " ".join(base[:16])), (4, " ".join(reversed(base))), (5, "")]
-    classes = curate.token_classes(spark.createDataFrame(texts, "id long, text string"), "id", F.col("text"))
+    sets = curate.token_sets(spark.createDataFrame(texts, "id long, text string"), "id", F.col("text"))
+    classes = curate.class_sets(sets, curate.set_classes(sets, "id"), "id")
     got = {(r.a, r.b): round(r.overlap, 3) for r in curate.overlap_pairs(classes, "id").collect()}
     assert got == {(1, 2): 0.85, (2, 3): 0.941}
 
