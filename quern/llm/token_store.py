@@ -155,6 +155,19 @@ def _once(batches):
         yield batch.filter(pa.array(keep))
 
 
+STAGED = "doc_id long, n_tokens long, root binary, recipe binary, part int, at long, first long"
+
+
+def _number(batches):
+    """Rows of a range, in order, with their place in it and the ids before them in it."""
+    at = first = 0
+    for batch in batches:
+        n = batch.column(1).to_numpy()
+        before = first + np.cumsum(n) - n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at + np.arange(len(n))), pa.array(before)], [c.split()[0] for c in STAGED.split(", ")])
+        at, first = at + len(n), first + int(n.sum())
+
+
 def write_store(docs: DataFrame, path: str, *, end_id: int = END_ID, tokenizer_path: str | None = None) -> str:
     """Encode whole texts with the tokenizers library, append ``end_id`` to each, and store the ids."""
     spark = docs.sparkSession
@@ -180,18 +193,19 @@ def write_store(docs: DataFrame, path: str, *, end_id: int = END_ID, tokenizer_p
         .repartitionByRange("doc_id", "root")
         .sortWithinPartitions("doc_id", "root")
         .withColumn("part", F.spark_partition_id())
-        .write.parquet(staged)
+        .mapInArrow(_number, STAGED)
+        .write.option("compression", "zstd")
+        .parquet(staged)
     )
-    placed = spark.read.parquet(staged)
-    sizes = placed.groupBy("part").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("rows"))  # a row per file
+    placed = spark.read.schema(STAGED).parquet(staged)
+    sizes = placed.groupBy("part").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("rows"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("size", "rows")])
-    running = Window.partitionBy("part").orderBy("doc_id", "root")
     (
-        placed.join(sizes, "part")
-        .withColumn("start", F.col("size_before") + F.sum("n_tokens").over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-        .withColumn("ordinal", F.col("rows_before") + F.row_number().over(running) - 1)
-        .select("ordinal", "doc_id", "start", "n_tokens", "root", "recipe")
+        placed.join(F.broadcast(sizes), "part")  # a row for each range
+        .select((F.col("rows_before") + F.col("at")).alias("ordinal"), "doc_id", (F.col("size_before") + F.col("first")).alias("start"), "n_tokens", "root", "recipe")
+        .repartitionByRange("ordinal")
+        .sortWithinPartitions("ordinal")  # so files in the order of their names are in ascending doc_id order
         .write.option("compression", "zstd")
         .parquet(f"{path}/recipes")
     )
@@ -337,8 +351,9 @@ def _check_documents(batches):
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of ids as 32-bit integers); raises if the store isn't whole."""
-    stored = spark.read.parquet(f"{path}/manifest")
-    if stored.exceptAll(_manifest(spark, path)).count():
+    sides = [spark.read.parquet(f"{path}/manifest").select("*", F.lit(1).alias("side")), _manifest(spark, path).select("*", F.lit(-1).alias("side"))]
+    met = sides[0].unionByName(sides[1]).groupBy("level", "node", "n_docs", "start", "n_tokens", "root").agg(F.sum("side").alias("side"))
+    if met.where("side <> 0").limit(1).count():  # a node that only one of them has
         raise ValueError("the recipes don't match the manifest")
     chunks = _chunks(spark, path).mapInArrow(_check_chunks, "address binary, n long, crc long")
     return (

@@ -33,6 +33,13 @@ def test_round_trip(spark, tmp_path):
     recipes = spark.read.parquet(f"{path}/recipes").orderBy("start").collect()
     assert len({r.recipe for r in recipes if r.doc_id in (0, 9005)}) == 1  # equal texts, equal chunks
 
+    smaller = f"file://{tmp_path}/smaller"
+    for name in ("objects", "recipes"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{smaller}/{name}")
+    spark.read.parquet(f"{path}/manifest").limit(0).write.parquet(f"{smaller}/manifest")
+    with pytest.raises(ValueError, match="manifest"):
+        ts.verify(spark, smaller)
+
     (spark.read.parquet(f"{path}/objects").where("kind = 'recipe' or n > 64").write.parquet(f"file://{tmp_path}/broken/objects"))
     for name in ("recipes", "manifest"):
         spark.read.parquet(f"{path}/{name}").write.parquet(f"file://{tmp_path}/broken/{name}")
@@ -66,3 +73,21 @@ def test_chunking():
 def test_crc_join():
     a, b = b"left part", b"the right part" * 9
     assert ts.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_files_in_ascending_order(spark, tmp_path):
+    ids = np.random.default_rng(5).permutation(700).tolist()
+    docs = spark.createDataFrame([(i, f"text number {i} " * (1 + i % 7), "x") for i in ids], SCHEMA).repartition(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        path = ts.write_store(docs, f"file://{tmp_path}/store")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = sorted((tmp_path / "store" / "recipes").glob("*.parquet"))
+    rows = [r for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 4 and [r["ordinal"] for r in rows] == list(range(700)) and [r["doc_id"] for r in rows] == sorted(ids)
+    starts = np.cumsum([0, *(r["n_tokens"] for r in rows)])
+    assert [r["start"] for r in rows] == starts[:-1].tolist()
