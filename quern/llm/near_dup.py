@@ -316,10 +316,10 @@ def near_dup_stage(spark, docs, sf_dir):
     """One document of each component stays: the one with the smallest id (of repeated rows, one)."""
     kept = materialise(near_duplicates(docs).where("kept").select("doc_id", "n_shingles"), workspace(spark, "near-dup-kept"))
     ids = kept.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
-    ids = ids.withColumnRenamed("doc_id", "kept_id")
-    on = docs["doc_id"].eqNullSafe(F.col("kept_id"))
-    single = docs.join(ids.where("rows = 1 or n = 0 or kept_id is null"), on, "left_semi")
-    repeated = docs.join(ids.where("rows > 1 and n > 0 and kept_id is not null"), on, "left_semi").dropDuplicates(["doc_id"])
+    whole = ids.where("rows = 1 or n = 0 or doc_id is null")
+    several = ids.where("rows > 1 and n > 0 and doc_id is not null")
+    single = docs.join(whole, docs["doc_id"].eqNullSafe(whole["doc_id"]), "left_semi")
+    repeated = docs.join(several, docs["doc_id"] == several["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(repeated)
 
 

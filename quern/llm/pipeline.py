@@ -2,6 +2,11 @@
 
 Quality rules drop documents; language ID drops those in no determined language; near-dedup leaves one document
 of each component; decontamination drops those that hold a benchmark item; the last stage encodes what is left.
+
+All but the last keep the columns of their input, whatever they are named.  Nulls: a null, empty or wordless text goes
+with the first stage (fewer than ten words); a row with a null id is judged by its text like any other, and near-dedup
+keeps it, as it names no class.  Repeated rows: one stays.  Ties: the smallest id of a class stays.  A very long text is
+one document.  Empty tables of documents, benchmark or labels give empty output, or no rejections on their account.
 """
 
 from __future__ import annotations
