@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,3 +203,38 @@ def context_scores(asked: DataFrame, scored: DataFrame, k: int = 5) -> DataFrame
     first = scored.where(F.col("rank") <= k).groupBy("query_id", F.col("text").alias("context")).agg(F.min_by("score", "rank").alias("score"))
     each = asked.select("query_id", F.posexplode("contexts").alias("pos", "context"))
     return each.join(first, ["query_id", "context"], "left").select("query_id", "pos", "context", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def token_matching(pairs: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., precision, recall, f1): each token of one text matched to the most similar one of the other, both ways.
+
+    ``pairs``: keys, said array<int>, meant array<int> (places of tokens in a table of vectors); ``vectors``: place, vector.
+    Tokens meet their vectors by a join, whatever the size of the table; what comes together is one pair's distinct tokens.
+    A pair without tokens on one side, or with none in the table, scores 0.
+    """
+    told = lambda c, side: pairs.select(*keys, F.lit(side).alias("side"), F.explode(c).alias("place"))
+    counts = told("said", 0).unionByName(told("meant", 1)).groupBy(*keys, "side", "place").agg(F.count("*").alias("n"))
+    held = counts.join(vectors.select("place", F.col("vector").cast("array<double>").alias("vector")), "place")
+    rows = held.groupBy(*keys).agg(F.collect_list(F.struct("side", "n", "vector")).alias("tokens"))
+
+    def run(batches):
+        for batch in batches:
+            scores = []
+            for tokens in batch.column(len(keys)):
+                t = tokens.values
+                side, n = t.field("side").to_numpy(), t.field("n").to_numpy().astype(float)
+                x = t.field("vector").flatten().to_numpy().reshape(len(side), -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                a, b = side == 0, side == 1
+                if not a.any() or not b.any():
+                    scores.append((0.0, 0.0, 0.0))
+                    continue
+                best = x[a] @ x[b].T
+                p, r = (best.max(axis=1) @ n[a]) / n[a].sum(), (best.max(axis=0) @ n[b]) / n[b].sum()
+                scores.append((p, r, 2 * p * r / (p + r) if p + r else 0.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in zip(*scores, strict=True))], [*keys, "precision", "recall", "f1"])
+
+    schema = ", ".join([f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys] + ["precision double", "recall double", "f1 double"])
+    scored = rows.mapInArrow(run, schema)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return pairs.select(*keys).join(scored, keys, "left").select(*keys, *[zero(c) for c in ("precision", "recall", "f1")])

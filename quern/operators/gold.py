@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.text import n_words
+from ..session import Scratch
+from . import curate
+
 
 def category_of(category: Column, language: Column) -> Column:
     """Dialect questions get the dialect's category unless they are out of scope."""
@@ -37,6 +40,28 @@ def build_items(raw: DataFrame) -> DataFrame:
     return rows.withColumn("expected_flags", F.array_join(F.array_compact(F.array(*flags)), ","))
 
 
+def build_set(raw: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
+    """Items of ``build_items`` that are near no existing question and no earlier accepted one, each with its id in ``item_key``.
+
+    ``existing``: id, question. Questions are near at ``DEDUP_OVERLAP`` of their token sets; dropped ones don't drop others.
+    Numbers go on from the largest that an existing id has behind its prefix.
+    """
+    keep = Scratch(raw.sparkSession, "gold").keep
+    new = keep(curate.numbered(build_items(raw), order, name="_at"))
+    old = existing.select((-1 - F.monotonically_increasing_id()).alias("_at"), "question")
+    sets = curate.token_sets(keep(old.unionByName(new.select("_at", "question"))), "_at", F.col("question"))
+    classes = curate.set_classes(sets, "_at")
+    firsts = curate.class_sets(sets, classes, "_at")
+    near = curate.overlap_pairs(firsts, "_at").where("b >= 0")  # existing ones stay
+    kept = curate.kept_rows(sets, classes, "_at", curate.greedy_keep(firsts, near, "_at")).where("kept")
+    items = new.join(kept.select("_at"), "_at", "left_semi")
+    number = F.substring("id", F.lit(2), F.length("id"))
+    taken = existing.where(number.rlike("^[0-9]+$")).groupBy(F.substring("id", 1, 1).alias("prefix")).agg(F.max(number.cast("long")).alias("n"))
+    letters = sorted({*lx.CATEGORY_PREFIX.values(), "X"})
+    most = dict(taken.where(F.col("prefix").isin(letters)).collect())  # at most one row a prefix
+    return curate.next_ids(items, "category", ["_at"], most).drop("_at")
+
+
 def set_order(items: DataFrame, id_col: str = "id") -> DataFrame:
     """``items`` in the order of a set: the category's prefix, then the number in the id."""
     prefix = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in lx.CATEGORY_PREFIX.items() for x in pair]), F.col("category")), F.lit("Z"))

@@ -128,7 +128,7 @@ def _search_blocks(shared, k: int, query_col: str, id_col: str, by_share: bool):
     """
 
     def run(batches):
-        questions, terms = shared.value  # [(question, places of its terms, weights)], the slice's terms
+        questions, terms, q_type = shared.value  # [(question, places of its terms, weights)], the slice's terms
         best: list[list[tuple]] = [[] for _ in questions]
         kind = None
         for batch in batches:
@@ -169,7 +169,7 @@ def _search_blocks(shared, k: int, query_col: str, id_col: str, by_share: bool):
         rows = [(q, *r) for (q, _, _), mine in zip(questions, best, strict=True) for r in mine]
         if rows:
             asked, _, ids, score = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids, kind), pa.array(score)], [query_col, id_col, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked, q_type), pa.array(ids, kind), pa.array(score)], [query_col, id_col, "score"])
 
     return run
 
@@ -188,7 +188,7 @@ def _best_of_tasks(spark, path: str, asked: DataFrame, *, id_col: str, query_col
         codes, weight, q = coded.indices.to_numpy().astype(np.int64), rows.column("weight").to_numpy(), rows.column("q").to_pylist()
         cuts = [0, *(i for i in range(1, len(q)) if q[i] != q[i - 1]), len(q)]
         questions = [(q[a], codes[a:b], weight[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        shared = spark.sparkContext.broadcast((questions, coded.dictionary))
+        shared = spark.sparkContext.broadcast((questions, coded.dictionary, rows.column("q").type))
         out = out.unionAll(blocks.mapInArrow(_search_blocks(shared, k, query_col, id_col, by_share), schema))
     return out
 

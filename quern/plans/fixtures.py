@@ -75,6 +75,10 @@ RAW = [
 ]
 
 
+JUDGED_SCHEMA = "system string, rating int, supported int, facts int, reply string"
+JUDGED = [("a", 5, 3, 4, "score: 0.75"), ("a", 3, 0, 0, "1"), ("a", None, 2, 2, "none"), ("b", 1, 1, 3, ".5 of 1"), ("b", 4, None, None, None)]
+
+
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
@@ -106,26 +110,27 @@ ASKED = [
     ("q3", "البطاقة ثم الجواز", "arabic_msa", ["DOCUMENTS", "DOCUMENTS", "LEGAL", "COST", "DEADLINE"], "1. ما هي البطاقة\n2. كيف الجواز اليوم", None),
     ("q4", "rien du tout", "french", ["UNKNOWN"], "", "rien"),
 ]
-KEYED_SCHEMA = "key string, chunk_id string, source string, body string, score double"
-KEYED = [
-    ("carte", "c1", "carte.pdf", "La carte nationale demande deux photos et un extrait de naissance au bureau de la commune", 0.9),
-    ("passeport", "c2", "passeport.pdf", "Le passeport demande un timbre de cinq cents dirhams et une photo récente du demandeur", 0.5),
-    ("visa", "c3", "visa.pdf", "Le visa est délivré en dix jours par le consulat après dépôt du dossier complet", 0.2),
-    ("timbre", "c4", "timbre.pdf", "Le timbre fiscal se paie en ligne", 0.4),
-    ("photos", "c5", "photos.pdf", "Les photos sont récentes", 0.3),
-    ("البطاقة", "c6", "بطاقة.pdf", "البطاقة تتطلب صورتين وعقد الازدياد وشهادة السكنى مع طلب خطي موقع من المعني بالأمر", 0.8),
-    ("الجواز", "c7", "جواز.pdf", "الجواز", 0.6),
-]
 
 
-def look_up(keyed):
-    """Retrieval over the inline chunks: those whose key is a word of the query, best first."""
+def look_up(keyed, k: int = 10):
+    """Retrieval over (key, chunk_id, source, body, score): at most ``k`` chunks whose key is a word of the query, best first."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     def retrieve(asked):
         words = asked.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("key"))
         found = words.join(keyed, "key").select("query_id", "chunk_id", "source", F.col("body").alias("text"), "score", F.col("score").alias("rerank"))
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
+        return found.withColumn("rrf", F.col("score") / 2)
 
     return retrieve
+
+
+CHECKED_SCHEMA = "answer string, chunks array<struct<source: string, text: string>>, intermediate array<string>, is_multihop boolean"
+CHECKED = [
+    ("La carte coûte 75 DH à Rabat. ", [("carte.pdf", "la carte nationale coûte 75 DH partout"), ("rabat.pdf", "le bureau de Rabat est ouvert")], None, False),
+    ("La carte coûte 99 DH. ", [("carte.pdf", "la carte nationale coûte 75 DH partout")], ["le timbre est rouge vif."], True),
+    ("Une réponse sans aucune preuve. ", [], None, False),
+    ("البطاقة تكلف 75 درهم. ", [("بطاقة.pdf", "البطاقة تكلف 75 درهم في الرباط")], ["البطاقة تكلف 75 درهم"], True),
+    (None, None, None, False),
+]

@@ -1,4 +1,4 @@
-"""Queries over inline evaluation sets: the tiers of evaluation, grounding in several languages, and building of gold sets."""
+"""Queries over evaluation tables made from the given ones (``derived``): tiers of evaluation, grounding in several languages, gold sets, agent and strategies."""
 
 from __future__ import annotations
 
@@ -9,17 +9,19 @@ from ..functions import lexicon as lx
 from ..functions import metrics as m
 from ..functions import text as t
 from ..functions.scorers import extractive_answer
-from ..operators import agent, evaluate, gold, strategies, verify
+from ..operators import agent, evaluate, gold, index, runs, sketches, strategies, verify
 from ..session import Scratch
+from ..streaming import events
+from . import derived
 from . import fixtures as fx
-from .catalogue import query, r6, sql_norm, sql_strings, sql_strip, table
+from .catalogue import BM25, query, r6, sql_norm, sql_strings, sql_strip, table
 
-_RES, _GOLD = fx.values(fx.RESULTS, fx.RESULT_SCHEMA), fx.values(fx.GOLD, fx.GOLD_SCHEMA)
+_RES, _GOLD = derived.RESULTS, derived.GOLD
 _J = f"j AS (SELECT * FROM {_RES} r JOIN {_GOLD} g USING (item_id))"
 
 
-def _joined(spark):
-    return evaluate.with_gold(fx.frame(spark, fx.RESULTS, fx.RESULT_SCHEMA), fx.frame(spark, fx.GOLD, fx.GOLD_SCHEMA))
+def _joined(spark, sf):
+    return evaluate.with_gold(derived.results(spark, sf), derived.gold(spark, sf))
 
 
 def _rounded(df, keys=("system",)):
@@ -61,7 +63,7 @@ _ABSTAINS = f"list_bool_or(list_transform({sql_strings(lx.ABSTAIN_MARKERS)}, lam
     FROM p GROUP BY system"""
 )
 def retrieval_quality(spark, sf):
-    return _rounded(evaluate.retrieval_quality(_joined(spark), ["system"]))
+    return _rounded(evaluate.retrieval_quality(_joined(spark, sf), ["system"]))
 
 
 @query(
@@ -70,7 +72,7 @@ def retrieval_quality(spark, sf):
       {_avg(f"{_hits(sql_norm('answer'))} > 0", "category = 'LEGAL' AND len(gold_keywords) > 0")} AS counterfactual_robustness FROM j GROUP BY system"""
 )
 def robustness(spark, sf):
-    return _rounded(evaluate.robustness(_joined(spark), ["system"]))
+    return _rounded(evaluate.robustness(_joined(spark, sf), ["system"]))
 
 
 @query(
@@ -82,7 +84,7 @@ def robustness(spark, sf):
     FROM p GROUP BY system"""
 )
 def domain_precision(spark, sf):
-    return _rounded(evaluate.domain_precision(_joined(spark), ["system"]))
+    return _rounded(evaluate.domain_precision(_joined(spark, sf), ["system"]))
 
 
 @query(
@@ -93,14 +95,14 @@ def domain_precision(spark, sf):
     SELECT system, {_avg('routed')} AS routing_rate, {_avg('covered')} AS coverage_rate, {_avg('routed AND covered')} AS success_rate, {_avg('steps')} AS avg_steps, count(*) AS items_n FROM c GROUP BY system"""
 )
 def multihop_success(spark, sf):
-    return _rounded(evaluate.multihop_success(_joined(spark), ["system"]))
+    return _rounded(evaluate.multihop_success(_joined(spark, sf), ["system"]))
 
 
 @query(
     f"WITH {_J} SELECT system, {_avg('cfi')} AS cfi, {_avg('claim_ratio')} AS claim_ratio, {_avg('is_grounded', 'is_grounded IS NOT NULL')} AS is_grounded, {_avg('entity_ratio')} AS entity_ratio FROM j GROUP BY system"
 )
 def grounding_means(spark, sf):
-    return _rounded(evaluate.grounding_means(_joined(spark), ["system"]))
+    return _rounded(evaluate.grounding_means(_joined(spark, sf), ["system"]))
 
 
 @query(
@@ -108,7 +110,7 @@ def grounding_means(spark, sf):
       {_avg("is_outscope OR contains(answer, 'ERROR')")} AS abstain_rate, {_avg('len(contexts)')} AS avg_contexts FROM j GROUP BY system"""
 )
 def efficiency(spark, sf):
-    return _rounded(evaluate.efficiency(_joined(spark), ["system"]))
+    return _rounded(evaluate.efficiency(_joined(spark, sf), ["system"]))
 
 
 @query(
@@ -116,7 +118,7 @@ def efficiency(spark, sf):
       {_avg(_hits(sql_norm('answer')), 'len(gold_keywords) > 0')} AS keyword_hit_rate FROM j GROUP BY system"""
 )
 def lexical_means(spark, sf):
-    return _rounded(evaluate.lexical_means(_joined(spark), ["system"]))
+    return _rounded(evaluate.lexical_means(_joined(spark, sf), ["system"]))
 
 
 @query(
@@ -127,8 +129,8 @@ def lexical_means(spark, sf):
 def win_rate_over_gold(spark, sf):
     """Pairs of systems over all gold items, whether or not both answered them."""
     f1 = m.token_f1(F.col("answer"), F.col("gold_answer"))
-    scored = _joined(spark).select("system", "item_id", f1.alias("v"))
-    return evaluate.win_rates(scored, "system", "item_id", "v", fx.frame(spark, fx.GOLD, fx.GOLD_SCHEMA)).withColumn("win_rate", r6("win_rate"))
+    scored = _joined(spark, sf).select("system", "item_id", f1.alias("v"))
+    return evaluate.win_rates(scored, "system", "item_id", "v", derived.gold(spark, sf)).withColumn("win_rate", r6("win_rate"))
 
 
 @query(
@@ -137,7 +139,7 @@ def win_rate_over_gold(spark, sf):
 )
 def cross_lingual_last_item(spark, sf):
     """Of several items of a source in a language the last one counts."""
-    rows = _joined(spark).where("system = 'agentic' and source <> ''").withColumn("v", m.token_f1(F.col("answer"), F.col("gold_answer")))
+    rows = _joined(spark, sf).where("system = 'agentic' and source <> ''").withColumn("v", m.token_f1(F.col("answer"), F.col("gold_answer")))
     return evaluate.consistency(rows, "source", "language", "v", "item_id").withColumn("consistency", r6("consistency"))
 
 
@@ -148,20 +150,16 @@ def cross_lingual_last_item(spark, sf):
 )
 def first_places(spark, sf):
     f1 = m.token_f1(F.col("answer"), F.col("gold_answer"))
-    means = _joined(spark).groupBy("system").agg(F.avg("latency_sec").alias("latency"), F.avg(f1).alias("f1")).unpivot(["system"], ["latency", "f1"], "metric", "value")
+    means = _joined(spark, sf).groupBy("system").agg(F.avg("latency_sec").alias("latency"), F.avg(f1).alias("f1")).unpivot(["system"], ["latency", "f1"], "metric", "value")
     return evaluate.first_places(evaluate.best_per_metric(means, F.col("metric") != "latency"))
 
 
-_JUDGED = [("a", 5, 3, 4, "score: 0.75"), ("a", 3, 0, 0, "1"), ("a", None, 2, 2, "none"), ("b", 1, 1, 3, ".5 of 1"), ("b", 4, None, None, None)]
-_JUDGED_SCHEMA = "system string, rating int, supported int, facts int, reply string"
-
-
 @query(
     rf"""SELECT system, round(avg((rating - 1) / 4.0), 6) AS g_eval, round(avg(supported / nullif(facts, 0)), 6) AS fact_score,
-      round(avg(TRY_CAST(nullif(regexp_extract(reply, '0?\.[0-9]+|[01]'), '') AS DOUBLE)), 6) AS judge FROM {fx.values(_JUDGED, _JUDGED_SCHEMA)} GROUP BY system"""
+      round(avg(TRY_CAST(nullif(regexp_extract(reply, '0?\.[0-9]+|[01]'), '') AS DOUBLE)), 6) AS judge FROM {derived.JUDGED} GROUP BY system"""
 )
 def judge_means(spark, sf):
-    return _rounded(evaluate.judge_means(fx.frame(spark, _JUDGED, _JUDGED_SCHEMA), ["system"]))
+    return _rounded(evaluate.judge_means(derived.judged(spark, sf), ["system"]))
 
 
 @query(
@@ -177,23 +175,24 @@ def class_accuracy(spark, sf):
     return _rounded(evaluate.class_accuracy(rows, "want", "said", "source"), ("source",))
 
 
-_SCORED = [("S1", 1, "La carte nationale coûte 75 DH", 0.9), ("S1", 6, "Deux photos et la carte", 0.4), ("S2", 2, "تكلفة البطاقة 75 درهم", 0.7), ("S2", 3, "تكلفة البطاقة 75 درهم", 0.2)]
-_SCORED_SCHEMA = "query_id string, rank int, text string, score double"
-
-
 @query(
-    f"""WITH a AS (SELECT item_id AS query_id, CAST(unnest(range(len(contexts))) AS INTEGER) AS pos, unnest(contexts) AS context FROM {_RES} WHERE system = 'agentic'),
-    s AS (SELECT query_id, text AS context, arg_min(score, rank) AS score FROM {fx.values(_SCORED, _SCORED_SCHEMA)} WHERE rank <= 5 GROUP BY ALL)
-    SELECT query_id, pos, context, coalesce(score, 0) AS score FROM a LEFT JOIN s USING (query_id, context)"""
+    f"""WITH r AS MATERIALIZED (SELECT * FROM {_RES}), a AS (SELECT item_id AS query_id, CAST(unnest(range(len(contexts))) AS INTEGER) AS pos, unnest(contexts) AS context FROM r WHERE system = 'agentic'),
+    n AS (SELECT item_id AS query_id, unnest(range(len(contexts))) + 1 AS rank, unnest(contexts) AS context FROM r WHERE system = 'naive'),
+    s AS (SELECT query_id, context, arg_min(1.0 / rank, rank) AS score FROM n WHERE rank <= 2 GROUP BY ALL)
+    SELECT query_id, pos, context, round(coalesce(score, 0), 6) AS score FROM a LEFT JOIN s USING (query_id, context)"""
 )
 def context_scores(spark, sf):
-    asked = fx.frame(spark, fx.RESULTS, fx.RESULT_SCHEMA).where("system = 'agentic'").select(F.col("item_id").alias("query_id"), "contexts")
-    return evaluate.context_scores(asked, fx.frame(spark, _SCORED, _SCORED_SCHEMA))
+    """Contexts of one system scored by their rank among the first two of the other."""
+    r = derived.results(spark, sf)
+    asked = r.where("system = 'agentic'").select(F.col("item_id").alias("query_id"), "contexts")
+    scored = r.where("system = 'naive'").select(F.col("item_id").alias("query_id"), F.posexplode("contexts").alias("rank", "text"))
+    scored = scored.withColumn("rank", F.col("rank") + 1).withColumn("score", 1.0 / F.col("rank"))
+    return evaluate.context_scores(asked, scored, 2).withColumn("score", r6("score"))
 
 
 # ---- grounding in several languages
 
-_TEXTS = fx.values(fx.TEXTS, fx.TEXT_SCHEMA)
+_TEXTS = derived.TEXTS
 _LAT, _ARA = lx._LATIN_UNITS, lx._ARABIC_UNITS
 _SQL_ENTITIES = [
     ("DATE", r"\b20[0-9]{2}\b"),
@@ -214,7 +213,7 @@ _SQL_ENTITIES = [
 )
 def entities_of_all_scripts(spark, sf):
     """Upper-case French, amounts and dates in Arabic and Arabic-Indic digits."""
-    found = fx.frame(spark, fx.TEXTS, fx.TEXT_SCHEMA).select("id", F.explode(g.entities(F.col("text"))).alias("e"))
+    found = derived.texts(spark, sf).select("id", F.explode(g.entities(F.col("text"))).alias("e"))
     return found.select("id", "e.type", "e.entity")
 
 
@@ -223,7 +222,7 @@ def entities_of_all_scripts(spark, sf):
     coalesce(nullif(regexp_extract(text, '(?:قانون|ظهير|مرسوم)\s+(?:رقم|شريف)?\s*[\p{{Nd}}.\-]+'), ''), regexp_extract(text, '(?i)(?:loi|décret|arrêté)\s+n[°.]?\s*[\p{{Nd}}\-]+')) AS law_name FROM {_TEXTS}"""
 )
 def article_metadata(spark, sf):
-    return fx.frame(spark, fx.TEXTS, fx.TEXT_SCHEMA).select("id", t.article_number(F.col("text")).alias("article_number"), t.law_name(F.col("text")).alias("law_name"))
+    return derived.texts(spark, sf).select("id", t.article_number(F.col("text")).alias("article_number"), t.law_name(F.col("text")).alias("law_name"))
 
 
 def _sql_words(c):
@@ -231,17 +230,17 @@ def _sql_words(c):
 
 
 @query(
-    f"""WITH w AS (SELECT id, chunks, list_filter({_sql_words('claim')}, lambda w: len(w) > 2 AND NOT list_contains({sql_strings(lx.CLAIM_STOPWORDS)}, w)) AS mine FROM {fx.values(fx.PAIRS, fx.PAIR_SCHEMA)})
-    SELECT id, round(CASE WHEN len(mine) = 0 THEN 1.0 ELSE coalesce(list_max(list_transform(chunks, lambda c: len(list_intersect(mine, {_sql_words('c')})) / len(mine))), 0.0) END, 6) AS overlap FROM w"""
+    f"""WITH w AS (SELECT conv_id, turn, chunks, list_filter({_sql_words('claim')}, lambda w: len(w) > 2 AND NOT list_contains({sql_strings(lx.CLAIM_STOPWORDS)}, w)) AS mine FROM {derived.PAIRS})
+    SELECT conv_id, turn, round(CASE WHEN len(mine) = 0 THEN 1.0 ELSE coalesce(list_max(list_transform(chunks, lambda c: len(list_intersect(mine, {_sql_words('c')})) / len(mine))), 0.0) END, 6) AS overlap FROM w"""
 )
 def claims_against_chunks(spark, sf):
     """A claim's best single chunk; dialect stopwords don't count."""
-    return fx.frame(spark, fx.PAIRS, fx.PAIR_SCHEMA).select("id", r6(g.best_overlap(F.col("claim"), F.col("chunks"))).alias("overlap"))
+    return derived.pairs(spark, sf).select("conv_id", "turn", r6(g.best_overlap(F.col("claim"), F.col("chunks"))).alias("overlap"))
 
 
 # ---- gold sets
 
-_RAW = fx.values(fx.RAW, fx.RAW_SCHEMA)
+_RAW = derived.RAW
 _CATEGORIES = ["SIMPLE", "MULTIHOP", "MULTIHOP_HARD", "OUTSCOPE", "LEGAL", "DARIJA", "ARABIZI", "EDGE"]
 _ITEMS = rf"""items AS (SELECT trim(question) AS question, coalesce(language, 'arabic_msa') AS language, coalesce(gold_answer, '') AS gold_answer, is_multihop AS mh, should_abstain AS sa,
     CASE WHEN language = 'Darija' AND upper(coalesce(category, 'SIMPLE')) <> 'OUTSCOPE' THEN 'DARIJA' WHEN language = 'Arabizi' AND upper(coalesce(category, 'SIMPLE')) <> 'OUTSCOPE' THEN 'ARABIZI'
@@ -254,7 +253,7 @@ _ITEMS = rf"""items AS (SELECT trim(question) AS question, coalesce(language, 'a
     SELECT *, array_to_string(list_filter({sql_strings(_CATEGORIES)}, lambda c: CASE WHEN c = 'MULTIHOP' THEN is_multihop ELSE category = c END), ',') AS expected_flags FROM f"""
 )
 def build_items(spark, sf):
-    return gold.build_items(fx.frame(spark, fx.RAW, fx.RAW_SCHEMA)).select("question", "category", "language", "gold_answer", "is_multihop", "should_abstain", "review_needed", "expected_flags")
+    return gold.build_items(derived.raw(spark, sf)).select("question", "category", "language", "gold_answer", "is_multihop", "should_abstain", "review_needed", "expected_flags")
 
 
 @query(
@@ -262,24 +261,23 @@ def build_items(spark, sf):
       coalesce(TRY_CAST(regexp_replace(item_id, '[^0-9]', '', 'g') AS BIGINT), 0) AS order_number FROM {_GOLD}) SELECT * FROM o"""
 )
 def gold_order(spark, sf):
-    return gold.set_order(fx.frame(spark, fx.GOLD, fx.GOLD_SCHEMA), "item_id").select("item_id", "order_prefix", "order_number")
+    return gold.set_order(derived.gold(spark, sf), "item_id").select("item_id", "order_prefix", "order_number")
 
 
 @query(f"SELECT 'category' AS dim, category AS value, count(*) AS n FROM {_GOLD} GROUP BY 2 UNION ALL SELECT 'language', language, count(*) FROM {_GOLD} GROUP BY 2")
 def gold_summary(spark, sf):
-    return gold.summary(fx.frame(spark, fx.GOLD, fx.GOLD_SCHEMA))
-
-
-_FIXES = [(0, "ch7al taman lacarte?"), (7, "never")]
+    return gold.summary(derived.gold(spark, sf))
 
 
 @query(
     f"""WITH {_ITEMS}, n AS (SELECT question, language, CASE WHEN language = 'Arabizi' THEN row_number() OVER (PARTITION BY language ORDER BY question) - 1 END AS n FROM items)
-    SELECT coalesce(x.question, n.question) AS question, language FROM n LEFT JOIN {fx.values(_FIXES, 'n int, question string')} x ON x.n = n.n"""
+    SELECT coalesce(b.text, n.question) AS question, language FROM n LEFT JOIN benchmark b ON b.item_id * 3 = n.n"""
 )
 def replace_nth(spark, sf):
-    items = gold.build_items(fx.frame(spark, fx.RAW, fx.RAW_SCHEMA)).select("question", "language")
-    return gold.replace_nth(items, fx.frame(spark, _FIXES, "n int, question string"), "Arabizi", "question")
+    """Every third dialect question, as far as there are benchmark items, gives way to one."""
+    items = gold.build_items(derived.raw(spark, sf)).select("question", "language")
+    fixes = table(spark, sf, "benchmark").select((F.col("item_id") * 3).alias("n"), F.col("text").alias("question"))
+    return gold.replace_nth(items, fixes, "Arabizi", "question")
 
 
 @query(
@@ -292,35 +290,26 @@ def sections_for_generation(spark, sf):
     return gold.sections_for_generation(one("benchmark", "item_id", "text"), one("pages", "page_id", "url"), one("documents", "doc_id", "text"))
 
 
-_PROCEDURES = [("p1", "شرح المسطرة", "a1"), ("p2", "نص الوثائق المطلوبة: س", "a2"), ("p3", "بدون", "a9"), ("p4", "نص آخر", None)]
-_DOCUMENTS = [("p1", 2, "صورتان"), ("p1", 1, "عقد الازدياد"), ("p2", 1, "نسخة"), ("p4", 1, "طلب")]
-_ADMINISTRATIONS = [("a1", "المقاطعة"), ("a2", "الجماعة")]
-_PROC, _DOCS, _ADMIN = "procedure_id string, body string, administration_id string", "procedure_id string, pos int, name string", "administration_id string, name string"
-
-
 @query(
-    f"""WITH d AS (SELECT procedure_id, string_agg('- ' || name, chr(10) ORDER BY pos) AS listed, count(*) AS n FROM {fx.values(_DOCUMENTS, _DOCS)} GROUP BY 1)
+    f"""WITH d AS (SELECT procedure_id, string_agg('- ' || name, chr(10) ORDER BY pos) AS listed, count(*) AS n FROM {derived.NAMED} GROUP BY 1)
     SELECT procedure_id, CASE WHEN contains(body, '{lx.DOCUMENTS_HEADING}') OR listed IS NULL THEN body ELSE body || chr(10) || chr(10) || '{lx.DOCUMENTS_HEADING}:' || chr(10) || listed END AS body,
-      coalesce(n, 0) AS n_documents, coalesce(a.name, '') AS administration FROM {fx.values(_PROCEDURES, _PROC)} p LEFT JOIN d USING (procedure_id) LEFT JOIN {fx.values(_ADMINISTRATIONS, _ADMIN)} a USING (administration_id)"""
+      coalesce(n, 0) AS n_documents, coalesce(a.name, '') AS administration FROM {derived.PROCEDURES.replace('{heading}', lx.DOCUMENTS_HEADING)} p LEFT JOIN d USING (procedure_id) LEFT JOIN {derived.OFFICES} a USING (administration_id)"""
 )
 def enrich_procedures(spark, sf):
-    f = fx.frame
-    return gold.enrich(f(spark, _PROCEDURES, _PROC), f(spark, _DOCUMENTS, _DOCS), f(spark, _ADMINISTRATIONS, _ADMIN))
-
+    return gold.enrich(*derived.procedures(spark, sf, lx.DOCUMENTS_HEADING))
 
-# ---- agent and strategies over inline chunks
 
-_ASKED, _KEYED = fx.values(fx.ASKED, fx.ASKED_SCHEMA), fx.values(fx.KEYED, fx.KEYED_SCHEMA)
+# ---- agent and strategies over documents, asked by benchmark items
 
 
-def _asked(spark):
-    return fx.frame(spark, fx.ASKED, fx.ASKED_SCHEMA), fx.look_up(fx.frame(spark, fx.KEYED, fx.KEYED_SCHEMA))
+def _asked(spark, sf):
+    return derived.asked(spark, sf), fx.look_up(Scratch(spark, "keyed").keep(derived.keyed(spark, sf)))
 
 
-def _agent_run(spark):
-    asked, retrieve = _asked(spark)
+def _agent_run(spark, sf):
+    asked, retrieve = _asked(spark, sf)
     plan = agent.fallback_plan(asked.select("query_id", "intents"), "query_id")
-    return agent.run(asked.select("query_id", "text", "language"), plan, retrieve, extractive_answer, Scratch(spark, "agent").keep)
+    return agent.run(asked.select("query_id", "text", "language"), plan, agent.Tools(retrieve), extractive_answer, Scratch(spark, "agent").keep)
 
 
 _PHRASE = "CASE intent " + " ".join(f"WHEN '{i}' THEN CASE WHEN language IN ('arabic_msa', 'Darija') THEN '{p[0]}' ELSE '{p[1]}' END" for i, p in lx.INTENT_PHRASES.items()) + " END"
@@ -328,49 +317,49 @@ _TOOL = "CASE intent " + " ".join(f"WHEN '{i}' THEN '{tool}'" for i, tool in lx.
 
 
 @query(
-    rf"""WITH u AS (SELECT query_id, text, language, list_filter(intents, lambda x, i: list_position(intents, x) = i)[1:3] AS steps FROM {_ASKED}),
+    rf"""WITH k AS MATERIALIZED (SELECT * FROM {derived.KEYED}), u AS (SELECT query_id, text, language, list_filter(intents, lambda x, i: list_position(intents, x) = i)[1:3] AS steps FROM {derived.ASKED}),
     p AS (SELECT query_id, text, language, CAST(unnest(range(len(steps))) AS INTEGER) AS step, unnest(steps) AS intent FROM u),
-    w AS (SELECT query_id, step, intent, {_TOOL} AS tool, list_distinct(string_split_regex(lower(concat_ws(' ', {_PHRASE}, text)), '\s+')) AS words FROM p)
-    SELECT query_id, step, intent, tool, (SELECT count(*) FROM {_KEYED} k WHERE list_contains(words, k.key)) AS n_hits FROM w"""
+    w AS (SELECT query_id, step, intent, {_TOOL} AS tool, list_distinct(string_split_regex(lower(concat_ws(' ', {_PHRASE}, text)), '\s+')) AS words FROM p),
+    h AS (SELECT query_id, step, count(*) AS n FROM (SELECT query_id, step, unnest(words) AS key FROM w) JOIN k USING (key) GROUP BY ALL)
+    SELECT query_id, step, intent, tool, least(coalesce(n, 0), 10) AS n_hits FROM w LEFT JOIN h USING (query_id, step)"""
 )
 def agent_tool_calls(spark, sf):
     """The planned tool calls of every question and how many chunks each found."""
-    _, trace, _ = _agent_run(spark)
+    _, trace, _ = _agent_run(spark, sf)
     return trace.where("call = 'plan'").select("query_id", "step", "intent", "tool", "n_hits")
 
 
 @query()
 def agent_answers(spark, sf):
-    """Answers after plan, tools, memory and reflection; checked against plain Python in the tests."""
-    answers, _, _ = _agent_run(spark)
+    """Answers after plan, tools, memory and reflection; the loop is checked against plain Python in the tests."""
+    answers, _, _ = _agent_run(spark, sf)
     return answers.select("query_id", "n_steps", "answer", F.size(F.filter("facts", lambda f: f["fact"] != "")).alias("n_facts"))
 
 
-def _found(words, sources="k"):
-    return f"list_filter((SELECT list(key ORDER BY score DESC, chunk_id) FROM {_KEYED}), lambda x: list_contains({words}, x))"
-
-
 def _words(c):
-    return rf"string_split_regex(lower({c}), '\s+')"
+    return rf"unnest(list_distinct(string_split_regex(lower({c}), '\s+')))"
 
 
-_STRATEGY = f"""f AS (SELECT query_id, {_found(_words('text'))} AS mine, {_found(_words("coalesce(made_up, '')"))} AS made, made_up,
-    (SELECT max(score) FROM {_KEYED} k WHERE list_contains({_words('text')}, k.key)) AS top FROM {_ASKED})"""
+_STRATEGY = f"""q AS MATERIALIZED (SELECT * FROM {derived.ASKED}), k AS MATERIALIZED (SELECT * FROM {derived.KEYED}),
+    w AS (SELECT query_id, 'mine' AS w, {_words('text')} AS key FROM q UNION ALL SELECT query_id, 'made', {_words("coalesce(made_up, '')")} FROM q),
+    h AS (SELECT query_id, w, source, body, score, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, chunk_id) AS rank FROM w JOIN k USING (key)),
+    f AS (SELECT query_id, any_value(made_up) AS made_up, count(DISTINCT source || chr(9) || body) FILTER (w = 'mine' AND rank <= 5) AS mine, count(DISTINCT source || chr(9) || body) FILTER (rank <= 5 AND (w = 'mine' OR coalesce(made_up, '') <> '')) AS either,
+      max(score) FILTER (w = 'mine') AS top FROM q LEFT JOIN h USING (query_id) GROUP BY query_id)"""
 
 
 @query(
-    f"""WITH {_STRATEGY} SELECT 'naive' AS strategy, query_id, len(mine) AS n_contexts, 1 AS n_retrievals FROM f
-    UNION ALL SELECT 'hyde', query_id, len(list_distinct(list_concat(made, mine))), CASE WHEN coalesce(made_up, '') = '' THEN 1 ELSE 2 END FROM f
-    UNION ALL SELECT 'crag', query_id, len(mine), CASE WHEN top >= 0.7 THEN 1 ELSE 2 END FROM f"""
+    f"""WITH {_STRATEGY} SELECT 'naive' AS strategy, query_id, mine AS n_contexts, 1 AS n_retrievals FROM f
+    UNION ALL SELECT 'hyde', query_id, either, CASE WHEN coalesce(made_up, '') = '' THEN 1 ELSE 2 END FROM f
+    UNION ALL SELECT 'crag', query_id, mine, CASE WHEN top >= 0.7 THEN 1 ELSE 2 END FROM f"""
 )
 def strategy_retrievals(spark, sf):
     """Contexts and retrievals of three comparison strategies."""
-    asked, retrieve = _asked(spark)
+    asked, retrieve = _asked(spark, sf)
     s = strategies.Strategies(retrieve)
     runs = {"naive": s.naive(asked), "hyde": s.hyde(asked, F.col("made_up")), "crag": s.crag(asked)}
     out = None
     for name, rows in runs.items():
-        part = rows.select(F.lit(name).alias("strategy"), "query_id", F.size("contexts").alias("n_contexts"), "n_retrievals")
+        part = rows.select(F.lit(name).alias("strategy"), "query_id", F.size("contexts").cast("long").alias("n_contexts"), "n_retrievals")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -378,7 +367,7 @@ def strategy_retrievals(spark, sf):
 @query()
 def strategy_answers(spark, sf):
     """Answers of the four strategies whose further queries depend on what was found; checked against plain Python in the tests."""
-    asked, retrieve = _asked(spark)
+    asked, retrieve = _asked(spark, sf)
     s = strategies.Strategies(retrieve)
     runs = {"react": s.react(asked), "adaptive": s.adaptive(asked, F.col("parts")), "self_rag": s.self_rag(asked), "flare": s.flare(asked)}
     out = None
@@ -388,31 +377,232 @@ def strategy_answers(spark, sf):
     return out
 
 
-_CHECKED_SCHEMA = "id int, answer string, chunks array<struct<source: string, text: string>>, intermediate array<string>, is_multihop boolean"
-_CHECKED = [
-    (1, "La carte coûte 75 DH à Rabat.", [("carte.pdf", "la carte nationale coûte 75 DH partout"), ("rabat.pdf", "le bureau de Rabat est ouvert")], None, False),
-    (2, "La carte coûte 99 DH.", [("carte.pdf", "la carte nationale coûte 75 DH partout")], ["le timbre est rouge vif."], True),
-    (3, "Une réponse sans aucune preuve.", [], None, False),
-    (4, "البطاقة تكلف 75 درهم", [("بطاقة.pdf", "البطاقة تكلف 75 درهم في الرباط")], ["البطاقة تكلف 75 درهم"], True),
-    (5, None, None, None, False),
-]
-_ENTITY_SQL = f"""SELECT * FROM (VALUES (1, 'AMOUNT', '75 DH', TRUE, 'carte.pdf'), (1, 'LOCATION', 'Rabat', TRUE, 'rabat.pdf'), (2, 'AMOUNT', '99 DH', FALSE, NULL), (4, 'AMOUNT', '75 درهم', TRUE, 'بطاقة.pdf'))
-    AS expected(id, type, entity, matched, source)"""
+# ---- tools: each changes what it finds
+
+_TOOLS = ["retrieve_kb", "lookup_article", "calculate_deadline", "check_eligibility", "search_by_amount", "no_such_tool"]
+_KB = """kb AS MATERIALIZED (SELECT doc_id, source, CAST(doc_id % 50 AS VARCHAR) AS article_number,
+    'Article ' || CAST(doc_id % 50 AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN ' délai de ' || CAST(doc_id % 23 AS VARCHAR) || ' jours ' ELSE ' ' END || CASE WHEN doc_id % 3 = 0 THEN 'frais ' || CAST(n_chars AS VARCHAR) || ' DH ' ELSE '' END || text AS text FROM documents WHERE text IS NOT NULL)"""
 
 
-@query(_ENTITY_SQL)
+def _kb(spark, sf):
+    """Documents as chunks with an article, some with a delay or a fee."""
+    d, n = table(spark, sf, "documents").where("text is not null"), F.col("doc_id")
+    article = (n % 50).cast("string")
+    delay = F.when(n % 2 == 0, F.concat(F.lit(" délai de "), (n % 23).cast("string"), F.lit(" jours "))).otherwise(" ")
+    fee = F.when(n % 3 == 0, F.concat(F.lit("frais "), F.col("n_chars").cast("string"), F.lit(" DH "))).otherwise("")
+    text = F.concat(F.lit("Article "), article, delay, fee, "text")
+    return d.select(n.alias("chunk_id"), "source", text.alias("text"), article.alias("article_number"), F.lit("").alias("law_name"))
+
+
+@query(
+    rf"""WITH {BM25}, {_KB}, tools AS (SELECT item_id, {sql_strings(_TOOLS)}[item_id % 6 + 1] AS tool FROM benchmark),
+    h AS (SELECT item_id, doc_id, rank, bm25 / (bm25 + 10) AS rrf FROM ranked WHERE rank <= 10),
+    r AS (SELECT item_id, CASE WHEN tool = 'no_such_tool' THEN 'retrieve_kb' ELSE tool END AS tool, doc_id, rank, text,
+      CASE WHEN tool = 'check_eligibility' AND list_bool_or(list_transform({sql_strings(lx.ELIGIBILITY_WORDS)}, lambda k: contains(text, k))) THEN least(rrf * CAST(1.3 AS DOUBLE), 1)
+        WHEN tool = 'search_by_amount' AND list_bool_or(list_transform(regexp_extract_all(text, '(?i)([0-9][0-9\s]*)\s*(?:درهم|DH|MAD|dirhams?)', 1), lambda x: coalesce(TRY_CAST(regexp_replace(x, '\s', '', 'g') AS BIGINT) BETWEEN 0 AND 100000, false))) THEN least(rrf * CAST(1.4 AS DOUBLE), 1) ELSE rrf END AS rrf
+      FROM h JOIN tools USING (item_id) JOIN kb USING (doc_id) WHERE tool <> 'lookup_article'),
+    s AS (SELECT item_id, tool, doc_id, rrf, text, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN tool IN ('check_eligibility', 'search_by_amount') THEN -round(rrf, 12) END NULLS FIRST, rank) AS rank FROM r),
+    n AS (SELECT item_id, arg_min(CAST(regexp_extract(text, '([0-9]+)\s+(?:يوم|jour)', 1) AS INTEGER), rank) AS days FROM s WHERE tool = 'calculate_deadline' AND rank <= 3 AND regexp_matches(text, '([0-9]+)\s+(?:يوم|jour)') GROUP BY 1),
+    work AS (SELECT DATE '2024-03-01' + CAST(k AS INTEGER) AS day, row_number() OVER (ORDER BY k) AS n FROM range(1, 60) t(k) WHERE isodow(DATE '2024-03-01' + CAST(k AS INTEGER)) < 6),
+    a AS (SELECT item_id, 'lookup_article' AS tool, doc_id, 0.9 AS rrf, text, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank
+      FROM tools JOIN kb ON contains(article_number, CAST(item_id % 7 AS VARCHAR)) WHERE tool = 'lookup_article'),
+    u AS (SELECT item_id, tool, doc_id, rrf, rank, CASE WHEN rank = 1 AND days > 0 THEN '[Délai calculé / المدة المحسوبة: ' || CAST(days AS VARCHAR) || ' jours ouvrables → ' || strftime(day, '%d/%m/%Y') || '] ' || text ELSE text END AS text
+      FROM s LEFT JOIN n USING (item_id) LEFT JOIN work ON work.n = n.days UNION ALL SELECT item_id, tool, doc_id, rrf, rank, text FROM a WHERE rank <= 10)
+    SELECT item_id, tool, CAST(rank AS INTEGER) AS rank, doc_id, round(rrf, 6) AS rrf, md5(text) AS text_md5 FROM u"""
+)
+def agent_tool_effects(spark, sf):
+    """Every benchmark item through one tool (an unknown one among them): boosts, deadlines, articles found by substring."""
+    kb = Scratch(spark, "kb").keep(_kb(spark, sf))
+    items = table(spark, sf, "benchmark")
+    path = index.write_lexical(table(spark, sf, "documents"), t.french_tokens(F.col("text")), Scratch(spark, "lexical").path, "doc_id")
+
+    def retrieve(asked):
+        hits = index.search_lexical(spark, path, asked, t.french_tokens(F.col("text")), id_col="doc_id", query_col="query_id").join(kb.withColumnRenamed("chunk_id", "doc_id"), "doc_id")
+        score = F.col("bm25") / (F.col("bm25") + 10)
+        return hits.select("query_id", F.col("doc_id").alias("chunk_id"), "source", "text", score.alias("score"), score.alias("rrf"), "rank")
+
+    tools = agent.Tools(retrieve, kb, as_of=F.to_date(F.lit("2024-03-01")))
+    tool = F.element_at(F.array(*[F.lit(x) for x in _TOOLS]), (F.col("item_id") % 6 + 1).cast("int"))
+    asked = items.select(F.col("item_id").alias("query_id"), "text", tool.alias("tool"), F.when(tool == "lookup_article", (F.col("item_id") % 7).cast("string")).otherwise("").alias("article"), F.lit("").alias("law"))
+    found = tools.run(asked, Scratch(spark, "tools").keep)
+    return found.select(F.col("query_id").alias("item_id"), "tool", "rank", F.col("chunk_id").alias("doc_id"), r6("rrf").alias("rrf"), F.md5("text").alias("text_md5"))
+
+
+# ---- verification
+
+
+def _sql_match(c):
+    return rf"lower(trim(regexp_replace(regexp_replace(translate({c}, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '[\x{{064B}}-\x{{0652}}\x{{0670}}]', '', 'g'), '\s+', ' ', 'g')))"
+
+
+_CHECKED = f"c AS MATERIALIZED (SELECT * FROM {derived.CHECKED} WHERE answer IS NOT NULL AND len(texts) > 0)"
+_FOUND = "found AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{kind}' AS type, trim(unnest(regexp_extract_all(answer, '{pattern}'))) AS entity FROM c" for kind, pattern in _SQL_ENTITIES) + f"""
+    UNION ALL SELECT conv_id, turn, 'LOCATION', city FROM c, (SELECT unnest({sql_strings(lx.CITIES)}) AS city) WHERE contains(answer, city)),
+    placed AS (SELECT conv_id, turn, type, entity, list_position(list_transform(texts, lambda x: contains({_sql_match('x')}, {_sql_match('entity')}) AND entity <> ''), TRUE) AS place, sources FROM found JOIN c USING (conv_id, turn))"""
+
+
+@query(f"WITH {_CHECKED}, {_FOUND} SELECT conv_id, turn, type, entity, coalesce(place, 0) > 0 AS matched, CASE WHEN place > 0 THEN sources[place] END AS source FROM placed")
 def entity_sources(spark, sf):
-    """Entities of answers and the first chunk that holds each; the SQL states the rows."""
-    rows = fx.frame(spark, _CHECKED, _CHECKED_SCHEMA).where("answer is not null and size(chunks) > 0")
-    return rows.select("id", F.explode(g.entity_sources(g.entities(F.col("answer")), F.col("chunks"))).alias("e")).select("id", "e.type", "e.entity", "e.matched", "e.source")
+    """Entities of answers and the first chunk that holds each."""
+    rows = derived.checked(spark, sf).where("answer is not null and size(chunks) > 0")
+    found = rows.select("conv_id", "turn", F.explode(g.entity_sources(g.entities(F.col("answer")), F.col("chunks"))).alias("e"))
+    return found.select("conv_id", "turn", "e.type", "e.entity", "e.matched", "e.source")
+
+
+def _sql_claims(c):
+    bare = rf"regexp_replace(trim(x), '^[\",\[\]{{}}\s]+|[\",\[\]{{}}\s]+$', '', 'g')".replace('\"', '"')
+    noise = rf"""(len({bare}) <= 10 OR regexp_matches({bare}, 'https?://\S+') OR regexp_matches({bare}, '^(\{{|\[|"claims"|"ادعاءات"|claims|ادعاءات|réponse|json|المصدر|الرابط|المرجع)') OR regexp_matches(lower({bare}), 'the source|source for|reference link|le source'))"""
+    return f"list_filter(list_transform(string_split_regex(substr({sql_strip(c)}, 1, 600), '[.?!؟]'), lambda x: trim(x)), lambda x: NOT {noise})[1:5]"
+
+
+def _sql_grounded(claims, texts):
+    mine = f"list_filter({_sql_words('k')}, lambda w: len(w) > 2 AND NOT list_contains({sql_strings(lx.CLAIM_STOPWORDS)}, w))"
+    best = f"coalesce(list_max(list_transform({texts}, lambda y: CASE WHEN len({mine}) = 0 THEN 1.0 ELSE len(list_intersect({mine}, {_sql_words('y')})) / len({mine}) END)), CASE WHEN len({mine}) = 0 THEN 1.0 ELSE 0.0 END)"
+    return f"len(list_filter({claims}, lambda k: {best} >= 0.3))"
+
+
+_CLAIMS = f"""claimed AS (SELECT conv_id, turn, texts, is_multihop, {_sql_claims('answer')} AS claims, flatten(list_transform(intermediate, lambda z: {_sql_claims('z')})) AS steps FROM (SELECT * REPLACE (coalesce(answer, '') AS answer) FROM {derived.CHECKED})),
+    judged AS (SELECT conv_id, turn, len(texts) > 0 AS backed, coalesce({_sql_grounded('claims', 'texts')} / nullif(len(claims), 0), 0) AS claim_ratio, NOT is_multihop OR {_sql_grounded('steps', 'texts')} = len(steps) AS chain_verified FROM claimed),
+    e AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (place > 0) AS held FROM placed GROUP BY ALL),
+    joined AS (SELECT j.*, coalesce(n, 0) AS n, coalesce(held / n, 1.0) AS entity_ratio, CASE WHEN chain_verified THEN 1.0 ELSE 0.5 END AS relation FROM judged j LEFT JOIN e USING (conv_id, turn)),
+    scored AS (SELECT *, round(CASE WHEN n > 0 THEN 0.5 * claim_ratio + 0.3 * entity_ratio + 0.2 * relation ELSE (0.5 * claim_ratio + 0.2 * relation) / 0.7 END, 4) AS cfi FROM joined)"""
 
 
 @query(
-    """SELECT id, CAST(claim_ratio AS DOUBLE) AS claim_ratio, CAST(entity_ratio AS DOUBLE) AS entity_ratio, chain_verified, CAST(cfi AS DOUBLE) AS cfi, is_grounded, is_abstained, warnings FROM (VALUES (1, 1.0, 1.0, TRUE, 1.0, TRUE, FALSE, ''), (2, 1.0, 0.0, FALSE, 0.6, FALSE, FALSE, 'entities,fidelity,chain'),
-    (3, 0.0, 1.0, TRUE, 0.2857, FALSE, TRUE, ''), (4, 1.0, 1.0, TRUE, 1.0, TRUE, FALSE, ''), (5, 0.0, 1.0, TRUE, 0.2857, FALSE, TRUE, ''))
-    AS expected(id, claim_ratio, entity_ratio, chain_verified, cfi, is_grounded, is_abstained, warnings)"""
+    f"""WITH c AS MATERIALIZED (SELECT * REPLACE (coalesce(answer, '') AS answer) FROM {derived.CHECKED}), {_FOUND}, {_CLAIMS}, g AS (SELECT *, claim_ratio >= 0.8 AND entity_ratio >= 1 AND cfi >= 0.7 AS ok FROM scored)
+    SELECT conv_id, turn, round(claim_ratio, 6) AS claim_ratio, round(entity_ratio, 6) AS entity_ratio, chain_verified, CAST(cfi AS DOUBLE) AS cfi, backed AND ok AS is_grounded, NOT backed AS is_abstained,
+      CASE WHEN backed AND NOT ok THEN concat_ws(',', CASE WHEN claim_ratio < 0.8 THEN 'claims' END, CASE WHEN entity_ratio < 1 THEN 'entities' END, CASE WHEN cfi < 0.7 THEN 'fidelity' END, CASE WHEN NOT chain_verified THEN 'chain' END) ELSE '' END AS warnings FROM g"""
 )
 def verified_answers(spark, sf):
-    """All layers of verification over answers in two languages; the SQL states the rows."""
-    v = verify.verify(fx.frame(spark, _CHECKED, _CHECKED_SCHEMA), F.lit("-"))
-    return v.select("id", r6("claim_ratio").alias("claim_ratio"), r6("entity_ratio").alias("entity_ratio"), "chain_verified", r6("cfi").alias("cfi"), "is_grounded", "is_abstained", F.array_join("warnings", ",").alias("warnings"))
+    """All layers of verification over answers in two languages."""
+    v = verify.verify(derived.checked(spark, sf), F.lit("-"))
+    return v.select("conv_id", "turn", r6("claim_ratio").alias("claim_ratio"), r6("entity_ratio").alias("entity_ratio"), "chain_verified", "cfi", "is_grounded", "is_abstained", F.array_join("warnings", ",").alias("warnings"))
+
+
+# ---- gold sets end to end
+
+_PREFIX = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lx.CATEGORY_PREFIX.items()) + " ELSE substr(category, 1, 1) END"
+
+
+@query(
+    f"""WITH RECURSIVE raw AS MATERIALIZED (SELECT * FROM {_RAW}), old AS MATERIALIZED (SELECT 'S' || CAST(conv_id AS VARCHAR) AS id, question, conv_id FROM raw WHERE turn = 1 AND trim(coalesce(question, '')) <> ''),
+    items AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn) AS pos, conv_id, turn, trim(question) AS question, coalesce(language, 'arabic_msa') AS language,
+      CASE WHEN language = 'Darija' AND upper(coalesce(category, 'SIMPLE')) <> 'OUTSCOPE' THEN 'DARIJA' WHEN language = 'Arabizi' AND upper(coalesce(category, 'SIMPLE')) <> 'OUTSCOPE' THEN 'ARABIZI' ELSE upper(coalesce(category, 'SIMPLE')) END AS category
+      FROM raw WHERE turn <> 1 AND trim(coalesce(question, '')) <> ''),
+    sets AS MATERIALIZED (SELECT pos, list_sort({_toks('question')}) AS tk FROM (SELECT pos, question FROM items UNION ALL SELECT -1 - conv_id, question FROM old)),
+    e AS MATERIALIZED (SELECT pos, len(tk) AS n, unnest(tk) AS w FROM sets),
+    near AS MATERIALIZED (SELECT x.pos AS a, y.pos AS b FROM e x JOIN e y ON x.w = y.w AND x.pos < y.pos WHERE y.pos > 0 GROUP BY x.pos, y.pos, x.n, y.n HAVING count(*) / greatest(x.n, y.n) >= 0.85 - 1e-12),
+    o AS MATERIALIZED (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM near GROUP BY b),
+    g(i, dropped) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+      SELECT o.i, CASE WHEN len(list_filter(o.before, lambda x: NOT list_contains(g.dropped, x))) > 0 THEN list_append(g.dropped, o.id) ELSE g.dropped END FROM g JOIN o ON o.i = g.i + 1),
+    last AS (SELECT dropped FROM g ORDER BY i DESC LIMIT 1), kept AS (SELECT items.*, {_PREFIX} AS p FROM items, last WHERE NOT list_contains(dropped, pos)),
+    taken AS (SELECT 'S' AS p, max(CAST(substr(id, 2) AS BIGINT)) AS most FROM old)
+    SELECT conv_id, turn, category, language, p || CAST(row_number() OVER (PARTITION BY p ORDER BY pos) + coalesce(most, 0) AS VARCHAR) AS item_key FROM kept LEFT JOIN taken USING (p)"""
+)
+def gold_build(spark, sf):
+    """Raw rows to new items: blank ones go, near copies of the set (first exchanges) and of each other go, the rest get ids."""
+    raw = Scratch(spark, "raw").keep(derived.raw(spark, sf))
+    old = raw.where("turn = 1 and trim(coalesce(question, '')) <> ''").select(F.concat(F.lit("S"), F.col("conv_id").cast("string")).alias("id"), "question")
+    return gold.build_set(raw.where("turn <> 1"), old, ["conv_id", "turn"]).select("conv_id", "turn", "category", "language", "item_key")
+
+
+# ---- scores by vectors of tokens
+
+
+def _place(c):
+    return f"CAST('0x' || substr(md5({c}), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)"
+
+
+@query(
+    f"""WITH x AS MATERIALIZED (SELECT system, item_id, answer, gold_answer FROM {_RES} r JOIN {_GOLD} g USING (item_id) WHERE language <> 'Arabizi'),
+    w AS (SELECT system, item_id, 0 AS side, unnest(list_filter(string_split({sql_norm(sql_strip('answer'))}, ' '), lambda t: t <> '')) AS token FROM x
+      UNION ALL SELECT system, item_id, 1, unnest(list_filter(string_split({sql_norm('gold_answer')}, ' '), lambda t: t <> '')) FROM x),
+    p AS (SELECT system, item_id, side, {_place('token')} AS vec_id, count(*) AS n FROM w GROUP BY ALL),
+    v AS MATERIALIZED (SELECT p.*, list_transform(CAST(embedding AS DOUBLE[]), lambda a: a / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM p JOIN embeddings USING (vec_id)),
+    s AS (SELECT a.system, a.item_id, a.vec_id AS i, b.vec_id AS j, a.n AS na, b.n AS nb, list_inner_product(a.u, b.u) AS s FROM v a JOIN v b ON a.system = b.system AND a.item_id = b.item_id AND a.side = 0 AND b.side = 1),
+    pr AS (SELECT system, item_id, sum(n * m) / sum(n) AS p FROM (SELECT system, item_id, i, any_value(na) AS n, max(s) AS m FROM s GROUP BY ALL) GROUP BY ALL),
+    re AS (SELECT system, item_id, sum(n * m) / sum(n) AS r FROM (SELECT system, item_id, j, any_value(nb) AS n, max(s) AS m FROM s GROUP BY ALL) GROUP BY ALL)
+    SELECT system, round(avg(coalesce(p, 0)), 5) AS precision, round(avg(coalesce(r, 0)), 5) AS recall, round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 5) AS f1, count(*) AS n
+    FROM x LEFT JOIN pr USING (system, item_id) LEFT JOIN re USING (system, item_id) GROUP BY system"""
+)
+def embedding_scores(spark, sf):
+    """Means of greedy token matching over answers but those to Arabizi; a token's vector is a hashed row of ``embeddings``."""
+    rows = _joined(spark, sf).where("language <> 'Arabizi'")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("place"), F.col("embedding").alias("vector"))
+    n = vectors.count()
+    place = lambda tokens: F.transform(tokens, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n)))
+    pairs = rows.select("system", "item_id", place(m.metric_tokens(t.strip_citations(F.col("answer")))).alias("said"), place(m.metric_tokens(F.col("gold_answer"))).alias("meant"))
+    scored = evaluate.token_matching(Scratch(spark, "pairs").keep(pairs), vectors, ["system", "item_id"])
+    return scored.groupBy("system").agg(*[F.round(F.avg(c), 5).alias(c) for c in ("precision", "recall", "f1")], F.count("*").alias("n"))
+
+
+# ---- runs, streams, sketches
+
+
+@query(f"WITH {_J} SELECT system, item_id, round({_f1(sql_strip('answer'), 'gold_answer')}, 6) AS token_f1 FROM j")
+def resumed_scores(spark, sf):
+    """Results and scores of two systems from a run that was taken up again after its first system."""
+    path, items = Scratch(spark, "run").path, Scratch(spark, "items").keep(derived.gold(spark, sf))
+    results = Scratch(spark, "results").keep(derived.results(spark, sf))
+    answer = lambda system, left: results.where(F.col("system") == system).join(left.select("item_id"), "item_id", "left_semi").drop("system")
+    runs.Run(spark, path).advance("results", ["agentic"], items, "item_id", answer)
+    run = runs.Run(spark, path)
+    run.advance("results", ["agentic", "naive"], items, "item_id", answer)
+
+    def score(system, left):
+        rows = run.rows("results", system).join(left.select("item_id", "gold_answer"), "item_id")
+        return rows.select("item_id", r6(m.token_f1(F.col("answer"), F.col("gold_answer"))).alias("token_f1"))
+
+    run.advance("scores", ["agentic", "naive"], items, "item_id", score)
+    return run.rows("scores").select("system", "item_id", "token_f1")
+
+
+@query(
+    """WITH e AS (SELECT *, event_id % 10 = 0 AS late, date_trunc('day', ts) AS start FROM events), w AS (SELECT max(ts) FILTER (NOT late) - INTERVAL 1 HOUR AS first, max(ts) - INTERVAL 1 HOUR AS last FROM e)
+    SELECT strftime(start, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e, w
+    WHERE (NOT late OR start + INTERVAL 1 DAY > first) AND start + INTERVAL 1 DAY <= last GROUP BY 1, 2"""
+)
+def streaming_windows(spark, sf):
+    """Daily counts by a watermarked stream. A tenth of the events comes in a later batch, where those of closed days are too late."""
+    work, e = Scratch(spark, "stream").path, table(spark, sf, "events")
+    source, sink, check = (f"{work}/{x}" for x in ("in", "out", "state"))
+    for late in (False, True):
+        e.where((F.col("event_id") % 10 == 0) == late).write.mode("append").parquet(source)
+        events.run_to_end(events.tumbling(events.read_events(spark, source, 1_000_000)), sink, check)
+    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(sink)
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o),
+    g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k)
+    SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n FROM g WHERE stop <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+)
+def streaming_sessions(spark, sf):
+    """Sessions of users that a stream has closed: its state holds the open ones."""
+    work = Scratch(spark, "stream").path
+    table(spark, sf, "events").write.parquet(f"{work}/in")
+    events.run_to_end(events.sessions(events.read_events(spark, f"{work}/in", 1_000_000)), f"{work}/out", f"{work}/state")
+    out = spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{work}/out")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query(
+    """SELECT event_type, pct, round(v[least(CAST(floor(len(v) * pct / 100) AS INTEGER) + 1, len(v))], 6) AS exact, TRUE AS within_bound FROM
+    (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type), (VALUES (1), (50), (95), (99)) p(pct)"""
+)
+def approx_quantiles(spark, sf):
+    """Quantiles from merged sketches of ten parts of the events, beside the exact ones; they may differ by a hundredth."""
+    e, percents = table(spark, sf, "events"), [1, 50, 95, 99]
+    parts = sketches.quantile_sketch(e.withColumn("part", F.col("event_id") % 10), ["part", "event_type"], "value")
+    found = sketches.sketch_quantiles(sketches.merge_sketches(parts, ["event_type"]), ["event_type"], percents)
+    exact = evaluate.nearest_rank(e, ["event_type"], "value", percents).withColumnRenamed("value", "exact")
+    near = F.abs(F.col("value") - F.col("exact")) <= (sketches.ACCURACY + 1e-9) * F.abs("exact")
+    return exact.join(found, ["event_type", "pct"], "left").select("event_type", "pct", r6("exact").alias("exact"), F.coalesce(near, F.lit(False)).alias("within_bound"))
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 0.005 * (SELECT count(*) FROM lineitem WHERE l_suppkey IS NOT NULL)")
+def heavy_suppliers(spark, sf):
+    """Suppliers of more than one in 200 order lines: candidates from bounded counters, counted exactly."""
+    return sketches.heavy_items(table(spark, sf, "lineitem"), "l_suppkey", 0.005)

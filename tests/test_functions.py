@@ -1,6 +1,7 @@
 """Inline cases in Arabic, dialect and French: the driver's tables have none of them."""
 
 import datetime
+import re
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from quern.functions import language as la
 from quern.functions import metrics as m
 from quern.functions import text as t
 from quern.operators import agent, chunking, curate, evaluate, index
+from quern.session import Scratch
 from quern.sources import files
 
 
@@ -189,35 +191,85 @@ def test_streaming(spark, tmp_path):
     assert out.count() > 0 and out.groupBy("start", "event_type").count().where("count > 1").count() == 0
 
 
-def test_agent_answers_and_strategies(spark):
-    from quern.plans import catalogue, fixtures
+KEYED = [
+    ("carte", "c1", "carte.pdf", "La carte nationale demande deux photos et un extrait de naissance au bureau de la commune", 0.9),
+    ("passeport", "c2", "passeport.pdf", "Le passeport demande un timbre de cinq cents dirhams et une photo récente du demandeur", 0.5),
+    ("visa", "c3", "visa.pdf", "Le visa est délivré en dix jours par le consulat après dépôt du dossier complet", 0.2),
+    ("timbre", "c4", "timbre.pdf", "Le timbre fiscal se paie en ligne", 0.4),
+    ("photos", "c5", "photos.pdf", "Les photos sont récentes", 0.3),
+    ("البطاقة", "c6", "بطاقة.pdf", "البطاقة تتطلب صورتين وعقد الازدياد وشهادة السكنى مع طلب خطي موقع من المعني بالأمر", 0.8),
+    ("الجواز", "c7", "جواز.pdf", "الجواز", 0.6),
+]
+
 
-    keyed = {k: (c, body, score) for k, c, _, body, score in fixtures.KEYED}
-    answers = {r.query_id: r for r in catalogue.QUERIES["agent_answers"](spark, "").collect()}
+def test_agent_answers_and_strategies(spark):
+    from quern.functions.scorers import extractive_answer
+    from quern.operators import strategies
+    from quern.plans import fixtures
+
+    asked = spark.createDataFrame(fixtures.ASKED, fixtures.ASKED_SCHEMA)
+    retrieve = fixtures.look_up(spark.createDataFrame(KEYED, "key string, chunk_id string, source string, body string, score double"))
+    plan = agent.fallback_plan(asked.select("query_id", "intents"), "query_id")
+    answers, _, _ = agent.run(asked.select("query_id", "text", "language"), plan, agent.Tools(retrieve), extractive_answer, Scratch(spark, "agent").keep)
+    answers = {r.query_id: r for r in answers.collect()}
+    keyed = {k: (c, body, score) for k, c, _, body, score in KEYED}
     for query_id, text, _, intents, _, _ in fixtures.ASKED:
-        steps = list(dict.fromkeys(intents))[:3]
         held = sorted((keyed[w] for w in text.split() if w in keyed), key=lambda x: -x[2])
         got = answers[query_id]
-        assert got.n_steps == len(steps) and got.n_facts == (len(steps) if held else 0)
+        assert got.n_steps == len(list(dict.fromkeys(intents))[:3]) and sum(f.fact != "" for f in got.facts) == (got.n_steps if held else 0)
         assert got.answer == (held[0][1] if held else "")  # no other sentence shares more words with the question
-    rows = {(r.strategy, r.query_id): r for r in catalogue.QUERIES["strategy_answers"](spark, "").collect()}
-    assert {s for s, _ in rows} == {"react", "adaptive", "self_rag", "flare"}
+    s = strategies.Strategies(retrieve)
+    runs = {"react": s.react(asked), "adaptive": s.adaptive(asked, F.col("parts")), "self_rag": s.self_rag(asked), "flare": s.flare(asked)}
+    rows = {(name, r.query_id): r for name, run in runs.items() for r in run.collect()}
     assert all(rows["react", q[0]].n_retrievals == 3 for q in fixtures.ASKED)
     assert [rows["adaptive", q].n_retrievals for q in ("q1", "q2", "q3", "q4")] == [2, 1, 2, 1]
-    assert rows["self_rag", "q4"].n_retrievals == 2 and rows["self_rag", "q4"].n_contexts == 0 and rows["react", "q1"].n_contexts == 3
+    assert rows["self_rag", "q4"].n_retrievals == 2 and len(rows["self_rag", "q4"].contexts) == 0 and len(rows["react", "q1"].contexts) == 3
 
 
 def test_debug_report_and_audit(spark):
     from quern.operators import verify
-    from quern.plans import suites
+    from quern.plans import fixtures
 
-    v = verify.verify(spark.createDataFrame(suites._CHECKED, suites._CHECKED_SCHEMA), F.lit("-"))
+    rows = [(i, *r) for i, r in enumerate(fixtures.CHECKED, 1)]
+    v = verify.verify(spark.createDataFrame(rows, "id int, " + fixtures.CHECKED_SCHEMA), F.lit("-"))
     passed = {(r.id, r.layer): r.passed for r in verify.debug_report(v, "id").collect()}
     assert passed[1, "claims"] and not passed[1, "citations"] and not passed[2, "entities"] and not passed[2, "chain"] and len(passed) == 5 * len(verify.LAYERS)
     audits = {r.id: r for r in verify.audit_rows(v, "id").collect()}
     assert audits[1].answer == "La carte coûte 75 DH à Rabat." and audits[3].answer == "-" and audits[2].n_claims == 1  # a short line gets no citation
 
 
+def test_chunks_follow_their_definition(spark):
+    """Every chunk of the smallest documents against a sentence-by-sentence count, and the language against the column function."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    chunks = chunking.chunk_pages(docs).cache()
+    said = chunks.select("text", "language", t.chunk_language(F.col("text")).alias("by_column")).where("language <> by_column")
+    assert said.count() == 0
+    made = {}
+    for r in chunks.orderBy("doc_id", "seg", "pos").collect():
+        made.setdefault(r.doc_id, []).append(r.text)
+    for r in docs.collect():
+        text, want = r.text or "", []
+        if len(text.split()) >= 20 and not re.search(r"(?i)(?:^|\n)\s*(?:article|art\.?|chapitre|titre|section)\s+[0-9]+", text):
+            arabic = chunking.language_of(text) in ("arabic_msa", "mixed")
+            if len(text.split()) <= 400:
+                want = [text]
+            else:
+                left = [s.split() for s in re.split("[،؟\n]+" if arabic else r"[.!?\n]+", text) if s.split()]
+                now = []
+                for words in left:
+                    if now and len(now) + len(words) > 400:
+                        want.append(" ".join(now))
+                        now = now[-50:]
+                    now = now + words
+                if len(now) >= 10:
+                    want.append(" ".join(now))
+            assert made.get(r.doc_id, []) == want, r.doc_id
+    assert chunking.page_chunks("x " * 12 + "\nArticle 1 " + "y " * 12 + "\n\nARTICLE 2 bis " + "z " * 3) == [(0, 0, ("x " * 12).strip(), "french", "", ""), (1, 0, "Article 1 " + ("y " * 12).strip(), "french", "1", "")]
+    assert chunking.page_chunks("short") == [] and chunking.chunk_pages(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).count() == 0
+    numbered = chunking.number_chunks(chunks).orderBy("doc_id", "seg", "pos").select("ord", "chunk_id").collect()
+    assert [r.ord for r in numbered] == list(range(len(numbered))) and numbered[7].chunk_id == "chunk_0007"
+
+
 def test_an_index_that_is_not_there(spark, tmp_path):
     from quern.engine import Engine
 
