@@ -4,6 +4,7 @@ Each letter has a random +1/-1 vector.  A trigram's vector binds (multiplies) it
 each rotated by its place: ``rot2(a) * rot1(b) * c``.  A document's vector bundles (adds) the vectors of
 all trigrams of the whole text; a language's prototype bundles those of all its training documents.
 A document gets the language whose prototype has the largest cosine, ties to the smaller name.
+A text is read between two separators, so texts of one or two letters have trigrams too (``_a_``; ``_ab``, ``ab_``).
 
 Letters are case-folded; a-z have an index each, all other letters share ``OTHER`` indexes by hash, and a
 run of non-letters is one separator, so there are ``A ** 3`` trigrams whatever the corpus.  Tasks bundle
@@ -84,14 +85,16 @@ def trigrams(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     starts_character = (t.data & 0xC0) != 0x80
     ends = np.concatenate([[0], np.cumsum(starts_character)])[t.bounds]
-    letter = letter_table()[points]
-    doc = np.repeat(np.arange(len(t)), np.diff(ends))
-    has_letter = np.bincount(doc, letter > 0, len(t)) > 0
-    again = (letter[1:] == 0) & (letter[:-1] == 0) & (doc[1:] == doc[:-1])
+    sizes = np.diff(ends)
+    doc = np.repeat(np.arange(len(t)), sizes)
+    has_letter = np.bincount(doc, letter_table()[points] > 0, len(t)) > 0
+    # every text stands between separators, so one letter is a trigram
+    letter = np.zeros(len(points) + 2 * len(t), np.int64)
+    letter[np.arange(len(points)) + 2 * doc + 1] = letter_table()[points]
+    doc = np.repeat(np.arange(len(t)), sizes + 2)
     keep = np.ones(len(letter), bool)
-    keep[1:] = ~again
-    letter, doc = letter[keep].astype(np.int64), doc[keep]
-    # every text is read between separators
+    keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0) | (doc[1:] != doc[:-1])
+    letter, doc = letter[keep], doc[keep]
     same = doc[2:] == doc[:-2]
     code = ((letter[:-2] * A + letter[1:-1]) * A + letter[2:])[same]
     key, count = np.unique(doc[:-2][same] * A**3 + code, return_counts=True)
