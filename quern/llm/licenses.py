@@ -1,18 +1,22 @@
 """License scans: texts compared with licence templates by Dice coefficient over word bigrams.
 
-Units are each line of a text, each of its paragraphs (between blank lines) of more than one line, each run of 2 to
-``RUN`` paragraphs that is not the whole text and whose first and last paragraphs hold an anchor word (below), and the
-whole text where it has more than one paragraph or line.  A unit is normalised to lower-case words of ASCII
-letters and digits.  For a unit of ``a`` distinct bigrams, a template of ``b`` can reach the
-threshold ``t`` only if ``t / (2 - t) <= a / b <= (2 - t) / t``; other templates are skipped.
-Texts and units that hold none of ``anchor_words`` can reach it with no template, and are skipped before that.
-Only DataFrame functions are used; nothing is shuffled.
-
-Result: one row per unit with a template at or above the threshold: doc_id, unit, position, the best license
-(ties: the first by name) and its coefficient, rounded to 6 digits, and the number of paragraphs (of runs; else 1).
-
-Nulls: a null text has no units; a null id keeps its rows.  Units of fewer than two words have no bigrams and
-match nothing.  Repeated rows give repeated rows; empty input gives none.
+A text is its lower-case words of ASCII letters and digits, so line ends of any kind, comment marks and wrapping don't
+matter.  For a template of ``m`` words every window of ``m`` words in the text is a unit (a shorter text is one itself),
+and a window of ``a`` distinct bigrams can reach the threshold ``t`` with a template of ``b`` only if
+``t / (2 - t) <= a / b <= (2 - t) / t``; others are skipped.  So are windows that hold none of ``anchor_words``, without
+which no template is reached, and texts without any.  Windows of long templates are looked at in two steps: every
+``m // 8``-th first, and all of those around one that comes within a fixed part of the threshold.
+
+Of windows that overlap, whatever their templates, the one with most shared bigrams is the match (then the larger
+coefficient, the earlier start, the first name); others that overlap a better one aren't reported.  A long text is cut
+into stretches of ``STRETCH`` words that see as much of their surroundings as windows reach.  Only DataFrame functions
+are used; nothing is shuffled.
+
+Result: one row per match: doc_id, start (the first word, from 0), n_words, the license and its coefficient, rounded to
+6 digits.
+
+Nulls: a null text has no words; a null id keeps its rows.  Texts of fewer than two words have no bigrams and match
+nothing.  Repeated rows give repeated rows; empty input gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import documents
 
 THRESHOLD = 0.8
-RUN = 8  # paragraphs of the longest run: more than any template is commonly set in, with its headings
+STRETCH = 2048  # words
+COARSE = 8  # windows of m words are first looked at every m // COARSE words
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -129,76 +134,90 @@ def once(**column: Column) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
-def _template_column(templates: list[tuple[str, str]]) -> Column:
-    """Templates as one literal array of (license, hashed bigrams), in name order."""
-    return F.array(
-        *[
-            F.struct(F.lit(name).alias("license"), F.array(*[F.xxhash64(F.lit(b)) for b in bigrams]).alias("bigrams"))
-            for name, bigrams in sorted(template_bigrams(templates))
-            if bigrams
-        ]
-    )
+def by_length(templates: list[tuple[str, str]]) -> dict[int, list[tuple[str, list[str]]]]:
+    """Templates by their number of words, each with its bigrams, in name order; those of one word are left out."""
+    out: dict[int, list] = {}
+    for (name, bigrams), (_, text) in zip(template_bigrams(templates), templates, strict=True):
+        if bigrams:
+            out.setdefault(len(re.findall("[a-z0-9]+", text.lower())), []).append((name, bigrams))
+    return {m: sorted(x) for m, x in sorted(out.items())}
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    text = F.col("text")
-    lines = F.split(text, "\n")
-    paragraphs = F.split(text, r"\n[ \t]*\n\s*")
-    anchors = anchor_words(templates, threshold)
-    named = lambda c: reduce(lambda x, y: x | y, [F.contains(F.lower(c), F.lit(w)) for w in anchors], F.lit(False))
-    unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("position"), x.alias("body"), F.lit(1).alias("paragraphs"))
-    n = F.size("cut")
-
-    def runs_from(is_named, i):
-        lengths = F.filter(F.sequence(F.lit(2), F.least(F.lit(RUN), n - i)), lambda k: F.get("named", i + k - 1) & (k < n))
-        run = lambda k: F.struct(F.lit("run").alias("unit"), i.alias("position"), F.concat_ws("\n", F.slice("cut", i + 1, k)).alias("body"), k.alias("paragraphs"))
-        return F.when(is_named & (i < n - 1), F.transform(lengths, run)).otherwise(F.array())
-
-    units = F.concat(
-        F.transform(lines, unit("line")),
-        F.when(n > 1, F.filter(F.transform("cut", unit("paragraph")), lambda u: u["body"].contains("\n"))).otherwise(F.array()),
-        F.when(n > 2, F.flatten(F.transform("named", runs_from))).otherwise(F.array()),
-        F.when(F.size(lines) > 1, F.array(unit("text")(text, F.lit(0)))).otherwise(F.array()),
-    )
-    sizes = [len(b) for _, b in template_bigrams(templates) if b]
-    smallest, largest = min(sizes, default=0), max(sizes, default=0)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    # each ``once`` keeps an expression from being copied into the filters after it
-    worded = (
-        docs.where(named(text))
-        .select("doc_id", "text", once(cut=paragraphs))
-        .select("doc_id", "text", "cut", once(named=F.transform("cut", named)))
-        .select("doc_id", F.explode(units).alias("u"))
-        .where(named(F.col("u.body")))
-        .select("doc_id", "u.unit", "u.position", "u.paragraphs", once(words=F.split(F.trim(F.regexp_replace(F.lower("u.body"), "[^a-z0-9]+", " ")), " ")))
-        .where((F.size("words") - 1 >= F.lit(low * smallest)) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in anchors]).cast("array<string>")))
-    )
-    pairs = F.zip_with(
-        F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b))
-    )
-    grams = worded.select("doc_id", "unit", "position", "paragraphs", once(bigrams=F.array_distinct(pairs))).where(
-        F.size("bigrams").between(F.lit(low * smallest), F.lit(high * largest))
-    )
+def coarse_threshold(m: int, threshold: float, bigrams: list[int]) -> float:
+    """What the nearest of every ``step``-th windows has at least, if a window between has the threshold.
 
-    known = _template_column(templates)
-    a = F.size("bigrams")
-    fits = lambda t: a.between(low * F.size(t["bigrams"]) - 1e-9, high * F.size(t["bigrams"]) + 1e-9)
-    scored = F.transform(
-        F.filter(known, fits),
-        lambda t: F.struct(
-            F.round(2 * F.size(F.array_intersect(t["bigrams"], F.col("bigrams"))) / (a + F.size(t["bigrams"])), 6).alias("dice"), t["license"].alias("license")
-        ),
-    )
-    best = F.aggregate(
-        scored,
-        F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("license")),
-        lambda acc, x: F.when(x["dice"] > acc["dice"], x).otherwise(acc),
-    )
-    return (
-        grams.select("doc_id", "unit", "position", "paragraphs", once(best=best))
-        .where(F.col("best.dice") >= threshold)
-        .select("doc_id", "unit", "position", "best.license", "best.dice", "paragraphs")
+    It lies ``d = ceil(step / 2)`` words off: it may lack d of the shared bigrams and hold d others, and the two sets
+    have ``b (1 + t / (2 - t))`` members at least.
+    """
+    step = max(1, m // COARSE)
+    d = -(-step // 2) if step > 1 else 0
+    return threshold - (2 + threshold) * d / ((1 + threshold / (2 - threshold)) * min(bigrams)) - 1e-6
+
+
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    anchors, classes = anchor_words(templates, threshold), by_length(templates)
+    reach = max(classes, default=0)  # as far as windows that overlap one can begin from it
+    hashed = lambda bigrams: F.array(*[F.xxhash64(F.lit(b)) for b in bigrams])
+    known = F.array(*[
+        F.struct(
+            F.lit(m).alias("m"), F.lit(max(1, m // COARSE)).alias("step"), F.lit(coarse_threshold(m, threshold, [len(b) for _, b in group])).alias("coarse"),
+            F.array(*[F.struct(F.lit(name).alias("license"), hashed(b).alias("bigrams")) for name, b in group]).alias("templates"),
+        )
+        for m, group in classes.items()
+    ])
+
+    named = reduce(lambda x, y: x | y, [F.contains(F.lower("text"), F.lit(w)) for w in anchors], F.lit(False))
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    # each ``once`` keeps an expression from being copied into what comes after it
+    texts = docs.where(named).select("doc_id", once(words=words)).where(F.size("words") > 1)
+    seen = lambda i: F.greatest(i - reach, F.lit(0))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH)),
+        lambda i: F.struct(i.alias("first"), seen(i).alias("seen"), F.slice("words", seen(i) + 1, F.lit(STRETCH + 3 * reach)).alias("words")),
     )
+    parts = texts.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.first", "c.seen", "c.words")
+    hits = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(anchors), i)))
+    parts = parts.select("doc_id", "first", "seen", "words", once(hits=hits)).where((F.size("hits") > 0) & (F.size("words") > 1))
+    n = F.size("words")
+    pairs = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
+    parts = parts.select("doc_id", "first", "seen", "hits", n.alias("n"), once(pairs=pairs))
+
+    last = lambda c: F.greatest(F.col("n") - c["m"], F.lit(0))
+
+    def every_step(c: Column) -> Column:
+        """Every ``step``-th window, and the last, that holds a hit or lies a step beside one that does."""
+        lo = lambda h: F.floor(F.greatest(h - c["m"] + 1 - c["step"], F.lit(0)) / c["step"]).cast("int")
+        hi = lambda h: F.ceil(F.least(h + c["step"], last(c)) / c["step"]).cast("int")
+        around = lambda h: F.when(hi(h) >= lo(h), F.transform(F.sequence(lo(h), hi(h)), lambda k: F.least(k * c["step"], last(c)))).otherwise(F.array(last(c)))
+        return F.array_distinct(F.flatten(F.transform("hits", around)))
+
+    def scored(c: Column, begins: Column, least: Column) -> Column:
+        """Windows with the best of the templates of their length, as far as they reach ``least``."""
+
+        def against(own: Column, start: Column) -> Column:
+            a = F.size(own)
+            share = least / (2 - least)
+            fits = F.filter(c["templates"], lambda t: (a >= share * F.size(t["bigrams"]) - 1e-9) & (F.size(t["bigrams"]) >= share * a - 1e-9))
+            each = F.transform(fits, lambda t: F.struct(F.size(F.array_intersect(t["bigrams"], own)).alias("shared"), (a + F.size(t["bigrams"])).alias("both"), t["license"].alias("license")))
+            none = F.struct(F.lit(0).alias("shared"), F.lit(1).alias("both"), F.lit("").alias("license"))
+            top = F.aggregate(each, none, lambda acc, x: F.when(x["shared"] * acc["both"] > acc["shared"] * x["both"], x).otherwise(acc))
+            return F.struct(
+                top["shared"].alias("shared"), F.round(2 * top["shared"] / top["both"], 6).alias("dice"), start.alias("start"), top["license"].alias("license"), F.least(c["m"], F.col("n")).alias("n_words")
+            )
+
+        windows = F.transform(begins, lambda i: F.struct(i.alias("start"), F.array_distinct(F.slice("pairs", i + 1, c["m"] - 1)).alias("own")))
+        return F.filter(F.transform(windows, lambda w: against(w["own"], w["start"])), lambda w: w["dice"] >= least)
+
+    near = F.transform(F.col("known"), lambda c: F.struct(c.alias("c"), scored(c, every_step(c), c["coarse"]).alias("near")))
+    parts = parts.withColumn("known", known).select("doc_id", "first", "seen", "n", "pairs", once(near=F.filter(near, lambda x: F.size(x["near"]) > 0))).where(F.size("near") > 0)
+    around = lambda c: lambda w: F.sequence(F.greatest(w["start"] - c["step"] + 1, F.lit(0)), F.least(w["start"] + c["step"] - 1, last(c)))
+    every = F.transform("near", lambda x: scored(x["c"], F.array_distinct(F.flatten(F.transform(x["near"], around(x["c"])))), F.lit(threshold)))
+    parts = parts.select("doc_id", "first", "seen", once(found=F.flatten(every))).where(F.size("found") > 0)
+    order = lambda w: F.struct(-w["shared"], -w["dice"], w["start"], w["license"], w["n_words"])
+    beats = lambda o, w: (o["start"] < w["start"] + w["n_words"]) & (w["start"] < o["start"] + o["n_words"]) & (order(o) < order(w))
+    best = F.filter("found", lambda w: ~F.exists("found", lambda o: beats(o, w)))
+    rows = parts.select("doc_id", "first", "seen", F.explode(best).alias("w")).withColumn("start", F.col("seen") + F.col("w.start"))
+    return rows.where((F.col("start") >= F.col("first")) & (F.col("start") < F.col("first") + STRETCH)).select("doc_id", "start", "w.n_words", "w.license", "w.dice")
 
 
 def op1_license_scan(spark, sf_dir):
@@ -206,27 +225,21 @@ def op1_license_scan(spark, sf_dir):
 
 
 def _oracle(templates: list[tuple[str, str]], threshold: float) -> str:
-    quoted = ", ".join(f"('{n}', [{', '.join(repr(b) for b in bs)}])" for n, bs in sorted(template_bigrams(templates)) if bs)
-    named = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in anchor_words(templates, threshold)) + ")"
+    quoted = ", ".join(f"({m}, '{n}', [{', '.join(repr(b) for b in bs)}])" for m, group in by_length(templates).items() for n, bs in group)
+    anchors = "[" + ", ".join(f"'{w}'" for w in anchor_words(templates, threshold)) + "]"
     return rf"""
-WITH templates(license, tb) AS (VALUES {quoted}),
-lines AS (SELECT doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS position, unnest(string_split(text, chr(10))) AS body FROM documents WHERE text IS NOT NULL),
-cut AS (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n\s*') AS p FROM documents WHERE text IS NOT NULL),
-paragraphs AS (SELECT doc_id, 'paragraph' AS unit, unnest(range(len(p))) AS position, unnest(p) AS body FROM cut WHERE len(p) > 1),
-spans AS (SELECT doc_id, p, i, unnest(range(2, {RUN} + 1)) AS k FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM cut WHERE len(p) > 2) WHERE {named("p[i + 1]")}),
-runs AS (
-  SELECT doc_id, 'run' AS unit, i AS position, array_to_string(p[i + 1:i + k], chr(10)) AS body, k AS paragraphs
-  FROM spans WHERE i + k <= len(p) AND k < len(p) AND {named("p[i + k]")}),
-units AS (
-  SELECT *, 1 AS paragraphs FROM lines UNION ALL SELECT *, 1 FROM paragraphs WHERE contains(body, chr(10)) UNION ALL SELECT * FROM runs
-  UNION ALL SELECT doc_id, 'text', 0, text, 1 FROM documents WHERE contains(text, chr(10))),
-worded AS (SELECT doc_id, unit, position, paragraphs, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, unit, position, paragraphs, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM worded WHERE len(w) > 1),
-scored AS (
-  SELECT doc_id, unit, position, paragraphs, license, round(2 * len(list_intersect(b, tb)) / (len(b) + len(tb)), 6) AS dice
-  FROM grams JOIN templates ON list_has_any(b, tb)),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, position, paragraphs ORDER BY dice DESC, license) AS r FROM scored)
-SELECT doc_id, unit, CAST(position AS INTEGER) AS position, license, dice, CAST(paragraphs AS INTEGER) AS paragraphs FROM best WHERE r = 1 AND dice >= {threshold}
+WITH templates(m, license, tb) AS (VALUES {quoted}),
+lengths AS (SELECT DISTINCT m FROM templates),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+hits AS (SELECT id, unnest(list_filter(range(len(w)), lambda i: list_contains({anchors}, w[i + 1]))) AS h FROM texts WHERE list_has_any(w, {anchors}) AND len(w) > 1),
+starts AS (SELECT DISTINCT id, m, unnest(range(greatest(0, least(h - m + 1, len(w) - m)), greatest(0, least(h, len(w) - m)) + 1)) AS start FROM hits JOIN texts USING (id), lengths),
+grams AS (SELECT id, doc_id, s.m, start, least(m, len(w)) AS n_words, list_distinct(list_transform(range(start + 1, least(start + m, len(w))), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM starts s JOIN texts USING (id)),
+scored AS (SELECT id, doc_id, g.m, start, n_words, license, len(list_intersect(b, tb)) AS shared, len(b) + len(tb) AS both_sizes FROM grams g JOIN templates t ON g.m = t.m),
+one AS (SELECT *, round(2 * shared / both_sizes, 6) AS dice, row_number() OVER (PARTITION BY id, m, start ORDER BY shared / both_sizes DESC, license) AS r FROM scored),
+f AS MATERIALIZED (SELECT id, doc_id, start, n_words, license, dice, shared FROM one WHERE r = 1 AND dice >= {threshold})
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER) AS n_words, license, dice FROM f w WHERE NOT EXISTS
+  (SELECT 1 FROM f o WHERE o.id = w.id AND o.start < w.start + w.n_words AND w.start < o.start + o.n_words
+   AND (-o.shared, -o.dice, o.start, o.license, o.n_words) < (-w.shared, -w.dice, w.start, w.license, w.n_words))
 """
 
 
