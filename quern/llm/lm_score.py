@@ -260,56 +260,63 @@ def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
-def exp_rows(z: np.ndarray) -> np.ndarray:
-    """Exponentials of ``z`` in place, and their sums by row; rows are shifted by their maximum only if a sum would leave the range."""
-    ones = np.ones(z.shape[-1], z.dtype)
+def exp_rows(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of ``z`` less a shift, their sums by row, and the shift: the rows' maxima if a sum would leave the range, else 0."""
+    ones, shift = np.ones(z.shape[-1], z.dtype), 0.0
     with np.errstate(over="ignore"):
         e = np.exp(z)
         sums = e @ ones
     if not (sums.min(initial=1) > 1e-20 and sums.max(initial=1) < 1e20):
-        z -= z.max(axis=-1, keepdims=True)
-        e = np.exp(z)
+        shift = z.max(axis=-1)
+        e = np.exp(z - shift[..., None])
         sums = e @ ones
-    z[...] = e
-    return sums
+    return e, sums, shift
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    """``h`` and a column of ones, so that one product gives h U + b, and another the gradients of both."""
+    out = np.empty((*h.shape[:-1], DIM + 1), h.dtype)
+    out[..., :DIM], out[..., DIM] = h, 1
+    return out
+
+
+def logits(model: dict, h1: np.ndarray) -> np.ndarray:
+    return times(h1, np.vstack([model["U"], model["b"]]))
 
 
 def forward(model: dict, ids: np.ndarray) -> dict[str, np.ndarray]:
     """All inner values for windows of ids (rows)."""
     x = model["E"][ids] + model["P"]
     q, k, v = (times(x, model[w]) for w in ("Wq", "Wk", "Wv"))
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(DIM**-0.5)
+    a = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
     a += _MASK
-    a *= (1 / exp_rows(a))[..., None]
+    a, sums, _ = exp_rows(a)
+    a *= (1 / sums)[..., None]
     o = a @ v
-    h = x + times(o, model["Wo"])
-    z = times(h, model["U"])
-    z += model["b"]
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "z": z}
+    h1 = with_one(x + times(o, model["Wo"]))
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h1": h1, "z": logits(model, h1)}
 
 
 def gradients(model: dict, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Gradients and value of the mean class loss over scored places."""
     f = forward(model, ids)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    p, cls, place = flat(f["z"]), model["classes"][targets].ravel(), np.arange(targets.size)
-    p *= (1 / exp_rows(p))[:, None]
-    picked, weight, n = p[place, cls], scored.ravel(), max(1, scored.sum())
-    loss = float(-(np.log(np.maximum(picked, 1e-30)) * weight).sum() / n)
-    p[place, cls] -= 1
-    if not weight.all():
-        p *= weight[:, None]
-    p *= np.float32(1 / n)
-    dh = (p @ model["U"].T).reshape(f["h"].shape)
+    cls, place = model["classes"][targets].ravel(), np.arange(targets.size)
+    weight = scored.ravel() * np.float32(1 / max(1, scored.sum()))
+    p, sums, _ = exp_rows(flat(f["z"]))
+    loss = float(-(np.log(np.maximum(p[place, cls] / sums, 1e-30)) * weight).sum())
+    p *= (weight / sums)[:, None]
+    p[place, cls] -= weight
+    dh = (p @ model["U"].T).reshape(f["x"].shape)
     do = times(dh, model["Wo"].T)
     ds = do @ f["v"].transpose(0, 2, 1)
     dv = f["a"].transpose(0, 2, 1) @ do
     ds -= ((do * f["o"]) @ np.ones(DIM, do.dtype))[..., None]  # the same as of ds * a over a row
     ds *= f["a"]
-    ds *= np.float32(DIM**-0.5)
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    out = {"U": flat(f["h"]).T @ p, "b": p.sum(axis=0), "Wo": flat(f["o"]).T @ flat(dh)}
+    scale = np.float32(DIM**-0.5)
+    dq, dk = ds @ (f["k"] * scale), ds.transpose(0, 2, 1) @ (f["q"] * scale)
+    last = flat(f["h1"]).T @ p
+    out = {"U": last[:DIM], "b": last[DIM], "Wo": flat(f["o"]).T @ flat(dh)}
     dx = dh.copy()
     for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
         out[name] = flat(f["x"]).T @ flat(d)
@@ -319,16 +326,15 @@ def gradients(model: dict, ids: np.ndarray, targets: np.ndarray, scored: np.ndar
 
 
 def class_scores(model: dict, ids: np.ndarray, tail: int) -> np.ndarray:
-    """Class logits at the last ``tail`` places of windows, as ``forward`` gives them up to a shift."""
+    """Class logits at the last ``tail`` places of windows, as ``forward`` gives them."""
     x = model["E"][ids] + model["P"]
     last = x[:, WINDOW - tail :]
-    a = times(last, model["Wq"]) @ times(x, model["Wk"]).transpose(0, 2, 1)
-    a *= np.float32(DIM**-0.5)
+    a = (times(last, model["Wq"]) * np.float32(DIM**-0.5)) @ times(x, model["Wk"]).transpose(0, 2, 1)
     a += _MASK[WINDOW - tail :]
-    a *= (1 / exp_rows(a))[..., None]
-    z = times(last + times(a @ times(x, model["Wv"]), model["Wo"]), model["U"])
-    z += model["b"]
-    return z
+    a, sums, _ = exp_rows(a)
+    o = a @ times(x, model["Wv"])
+    o *= (1 / sums)[..., None]
+    return logits(model, with_one(last + times(o, model["Wo"])))
 
 
 def score_stream(model: dict, stream: Stream, chunk: int = 64) -> np.ndarray:
@@ -342,9 +348,9 @@ def score_stream(model: dict, stream: Stream, chunk: int = 64) -> np.ndarray:
             held = np.minimum(place, end[lo : lo + chunk, None] - 1)
             z = class_scores(model, stream.before[held], tail)
             target = stream.target[held[:, WINDOW - tail :]]
-            sums = exp_rows(z)
-            value = np.log(np.take_along_axis(z, model["classes"][target][..., None], axis=2)[..., 0])
-            value -= np.log(sums)
+            value = np.take_along_axis(z, model["classes"][target][..., None], axis=2)[..., 0]
+            _, sums, shift = exp_rows(z)
+            value -= np.log(sums) + shift
             value += model["inner"][target]
             scored = (place < end[lo : lo + chunk, None])[:, WINDOW - tail :]
             logp[place[:, WINDOW - tail :][scored]] = value[scored]
@@ -366,18 +372,27 @@ def token_scores(logp: np.ndarray, stream: Stream, count: np.ndarray, n_all: int
     return tuple(np.diff(np.concatenate([[0.0], np.cumsum(x)])[stream.first_token]) / np.log(10) for x in (own, spelled))
 
 
+def flatten(values: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([values[n].ravel() for n in SHAPES])
+
+
+def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
+    cuts = np.cumsum([np.prod(s) for s in SHAPES.values()])[:-1]
+    return {n: v.reshape(s) for (n, s), v in zip(SHAPES.items(), np.split(flat, cuts), strict=True)}
+
+
 def train_windows(model: dict, windows, rate: float = 2e-3) -> tuple[dict, int]:
     """Adam steps over batches of (ids, targets, scored); the parameters it ends with and the number of places."""
-    model = {n: v.copy() if n in SHAPES else v for n, v in model.items()}
-    first, second = ({n: np.zeros(s) for n, s in SHAPES.items()} for _ in range(2))
+    own = flatten(model).astype(np.float32)
+    model = model | unflatten(own)  # parts of ``own``, which changes in place
+    first, second = np.zeros(len(own)), np.zeros(len(own))
     step = places = 0
     for ids, targets, scored in windows:
-        g, _ = gradients(model, ids, targets, scored)
+        g = flatten(gradients(model, ids, targets, scored)[0]).astype(float)
         step, places = step + 1, places + int(scored.sum())
-        for n in SHAPES:
-            first[n] = 0.9 * first[n] + 0.1 * g[n]
-            second[n] = 0.99 * second[n] + 0.01 * g[n] ** 2
-            model[n] -= (rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        first += 0.1 * (g - first)
+        second += 0.01 * (g**2 - second)
+        own -= (rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return model, places
 
 
@@ -454,15 +469,13 @@ def fit_model(blocks: DataFrame, ends_word: np.ndarray, rounds: int = ROUNDS) ->
 
         def train(batches, r=r, shared=shared):
             got, places = train_windows(shared.value, training_windows(batches, r))
-            flat = np.concatenate([got[n].ravel() for n in SHAPES]).astype(float)
+            flat = flatten(got).astype(float)
             if places:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * places), pa.array(np.full(len(flat), places, float))], ["i", "v", "w"])
 
         mean = blocks.select(*used, "block").mapInArrow(train, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
         if len(mean):
-            flat = mean.sort_values("i")["v"].to_numpy().astype(np.float32)
-            cuts = np.cumsum([np.prod(s) for s in SHAPES.values()])[:-1]
-            model |= {n: v.reshape(s) for (n, s), v in zip(SHAPES.items(), np.split(flat, cuts), strict=True)}
+            model |= unflatten(mean.sort_values("i")["v"].to_numpy().astype(np.float32))
         shared.unpersist()
     return model
 
