@@ -18,9 +18,9 @@ probabilities and ``WORD_SHARE`` of its share of the training tokens, so words t
 counts say of them and others are spelled by attention.  ``attention_score`` is the spelling alone.
 
 Texts are read once into blocks of about ``BLOCK_BYTES``, each with a dictionary of its distinct words, their
-subword ids and the stream of word codes.  Word counts of the base score are summed over blocks in
-Spark by word hash, and sent back to the blocks that hold the word where other blocks have it too; no task or driver
-holds the vocabulary.  A text longer than a block is a block.
+subword ids and the stream of word codes, written in buckets.  Word counts of the base score are summed over blocks in
+Spark by word hash, and sent back to the blocks that hold the word where other blocks have it too, while blocks stay where
+they are; no task or driver holds the vocabulary.  A text longer than a block is a block.
 
 Nulls: a null text is empty (only the end).  A null id is held out.  Repeated rows get equal results.
 Empty input gives empty output; without training texts all counts are 0 and the model is uniform.
@@ -29,6 +29,7 @@ Empty input gives empty output; without training texts all counts are 0 and the
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -503,13 +504,21 @@ def _requests(batches):
                 )
 
 
+def bucketed(df: DataFrame, path: str, key: str) -> DataFrame:
+    """``df`` written in buckets of ``key``: what is joined to it by the key later moves to it, and it doesn't move itself."""
+    spark, name = df.sparkSession, f"lm_score_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files and what ``written`` knows of them stay
+    return written
+
+
 def score_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score."""
     spark = docs.sparkSession
     path = workspace(spark, "lm-score")
-    encoded = encode_blocks(docs, tokenizer_path)
-    encoded.write.option("compression", "zstd").parquet(f"{path}/blocks")
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    blocks = bucketed(encode_blocks(docs, tokenizer_path), f"{path}/blocks", "block")
 
     # totals of words by partial sums; only words of several blocks are joined back, where a word of all blocks can be split
     asked = blocks.select("block", "hashes", "train_counts").mapInArrow(_requests, "block long, at int, hash long, n long")

@@ -144,3 +144,16 @@ def test_each_training_id_is_in_one_round(spark):
             want += int(s.lengths[~batch.column(2)[i].values.to_numpy(zero_copy_only=False).astype(bool)].sum())
     assert sum(scored) == want and min(scored) > want / lm.ROUNDS * 0.8
 
+
+def test_blocks_stay_where_they_are(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 5} other {i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = lm.score_documents(docs)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") >= 1 and "lm_score_" not in " ".join(r.tableName for r in spark.sql("SHOW TABLES").collect())
+        block_side = plan[plan.rindex("Bucketed: true") - 4000 :].split("FileScan")[0]
+        assert scored.count() == 40 and "Exchange" not in block_side.splitlines()[-2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
