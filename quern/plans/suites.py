@@ -199,7 +199,7 @@ _SQL_ENTITIES = [
     ("DATE", r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-]20[0-9]{2}\b"),
     ("DATE", "[٠-٩]{4}"),
     ("AMOUNT", r"(?i)\b[0-9]+(?:[,.][0-9]+)?\s*(?:(?:MAD|DH|dirhams?)\b|درهم)"),
-    ("DURATION", rf"(?i)\b[0-9]+\s*{_LAT}\b"),
+    ("DURATION", rf"(?i)((?:\b[0-9]+|[٠-٩]+)\s*{_LAT})(?:[^\p{{L}}\p{{N}}_]|$)"),  # \b knows ASCII letters only
     ("DURATION", rf"\p{{Nd}}+\s*{_ARA}"),
     ("DURATION", rf"[٠-٩]+\s*{_ARA}"),
     ("LEGAL_REF", r"(?:مرسوم|قانون|قرار|ظهير|منشور|دورية)\s*(?:ملكي\s*)?(?:شريف\s*)?(?:رقم\s*)?[0-9٠-٩][0-9٠-٩./\-]*"),
@@ -208,7 +208,7 @@ _SQL_ENTITIES = [
 
 
 @query(
-    " UNION ALL ".join(f"SELECT id, '{kind}' AS type, trim(unnest(regexp_extract_all(text, '{pattern}'))) AS entity FROM {_TEXTS}" for kind, pattern in _SQL_ENTITIES)
+    " UNION ALL ".join(f"SELECT id, '{kind}' AS type, trim(unnest(regexp_extract_all(text, '{pattern}', {int(pattern.endswith('|$)'))}))) AS entity FROM {_TEXTS}" for kind, pattern in _SQL_ENTITIES)
     + f" UNION ALL SELECT id, 'LOCATION', city FROM {_TEXTS}, (SELECT unnest({sql_strings(lx.CITIES)}) AS city) WHERE contains(text, city)"
 )
 def entities_of_all_scripts(spark, sf):
@@ -436,7 +436,7 @@ def _sql_match(c):
 
 
 _CHECKED = f"c AS MATERIALIZED (SELECT * FROM {derived.CHECKED} WHERE answer IS NOT NULL AND len(texts) > 0)"
-_FOUND = "found AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{kind}' AS type, trim(unnest(regexp_extract_all(answer, '{pattern}'))) AS entity FROM c" for kind, pattern in _SQL_ENTITIES) + f"""
+_FOUND = "found AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{kind}' AS type, trim(unnest(regexp_extract_all(answer, '{pattern}', {int(pattern.endswith('|$)'))}))) AS entity FROM c" for kind, pattern in _SQL_ENTITIES) + f"""
     UNION ALL SELECT conv_id, turn, 'LOCATION', city FROM c, (SELECT unnest({sql_strings(lx.CITIES)}) AS city) WHERE contains(answer, city)),
     placed AS (SELECT conv_id, turn, type, entity, list_position(list_transform(texts, lambda x: contains({_sql_match('x')}, {_sql_match('entity')}) AND entity <> ''), TRUE) AS place, sources FROM found JOIN c USING (conv_id, turn))"""
 
