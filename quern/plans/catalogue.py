@@ -614,28 +614,6 @@ def next_ids(spark, sf):
     return curate.next_ids(d, "category", ["doc_id"]).select("doc_id", "item_key")
 
 
-@query()
-def audit_codes(spark, sf):
-    """Turns as gold items of language french."""
-    a = turns(spark, sf)
-    codes = curate.audit_codes(F.lit("french"), F.lit("french"), F.col("question"), F.col("answer"), F.slice(m.metric_tokens(F.col("question")), 1, 3), F.lit(False))
-    return a.select("conv_id", "turn", F.array_join(codes, ",").alias("issues"))
-
-
-@query()
-def issue_counts(spark, sf):
-    a = turns(spark, sf)
-    codes = curate.audit_codes(F.lit("Arabizi"), F.lit("french"), F.col("question"), F.col("answer"), F.array().cast("array<string>"), F.col("turn") % 3 == 0)
-    return a.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-
-
-@query()
-def valid_items(spark, sf):
-    a = turns(spark, sf)
-    ok = curate.is_valid_item(F.lit("SIMPLE"), F.lit("french"), F.col("question"), F.col("answer"), F.slice(m.metric_tokens(F.col("question")), 1, 3), F.lit("x"))
-    return a.select("conv_id", "turn", ok.alias("valid"))
-
-
 @query()
 def memory_bounded(spark, sf):
     """Bounded memory fed with each passage's hits in rank order."""

@@ -167,3 +167,21 @@ def procedures(spark, sf, heading):
     d = read("documents").where("source is not null and n_chars is not null")
     d = d.select(name("p", F.floor(F.col("doc_id") / 3)).alias("procedure_id"), F.col("doc_id").alias("pos"), F.concat("source", F.lit(" "), F.col("n_chars").cast("string")).alias("name"))
     return p, d, read("nation").select(name("a", F.col("n_nationkey")).alias("administration_id"), F.col("n_name").alias("name"))
+
+
+_K = "(conv_id * 7 + turn)"
+AUDITED = f"""(SELECT conv_id, turn, category, language, CASE {_K} % 4 WHEN 0 THEN language WHEN 1 THEN 'french' WHEN 2 THEN '' ELSE 'Darija' END AS expected,
+    CASE WHEN {_K} % 6 = 0 THEN question || ' cette procédure ā' WHEN {_K} % 7 = 0 THEN question || ' المذكورة' ELSE question END AS question,
+    CASE WHEN {_K} % 9 = 0 THEN '' WHEN {_K} % 5 = 0 THEN 'غير متوفر' ELSE gold_answer END AS answer,
+    CASE {_K} % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['75 درهم', 'frais'] ELSE ['frais', 'photos'] END AS keywords, coalesce(should_abstain, FALSE) OR {_K} % 8 = 0 AS abstain FROM {RAW})"""
+
+
+def audited(spark, sf):
+    """Items with faults of every kind: wrong languages and scripts, empty or evasive answers, words that refer elsewhere."""
+    k, words = F.col("conv_id") * 7 + F.col("turn"), lambda *x: F.array(*[F.lit(w) for w in x]).cast("array<string>")
+    question = F.when(k % 6 == 0, F.concat("question", F.lit(" cette procédure ā"))).when(k % 7 == 0, F.concat("question", F.lit(" المذكورة"))).otherwise(F.col("question"))
+    return raw(spark, sf).select(
+        "conv_id", "turn", "category", "language", F.when(k % 4 == 0, F.col("language")).when(k % 4 == 1, "french").when(k % 4 == 2, "").otherwise("Darija").alias("expected"), question.alias("question"),
+        F.when(k % 9 == 0, "").when(k % 5 == 0, "غير متوفر").otherwise(F.col("gold_answer")).alias("answer"),
+        F.when(k % 3 == 0, words()).when(k % 3 == 1, words("75 درهم", "frais")).otherwise(words("frais", "photos")).alias("keywords"), (F.coalesce("should_abstain", F.lit(False)) | (k % 8 == 0)).alias("abstain"),
+    )

@@ -9,7 +9,7 @@ from ..functions import lexicon as lx
 from ..functions import metrics as m
 from ..functions import text as t
 from ..functions.scorers import extractive_answer
-from ..operators import agent, evaluate, gold, index, runs, sketches, strategies, verify
+from ..operators import agent, curate, evaluate, gold, index, runs, sketches, strategies, verify
 from ..session import Scratch
 from ..streaming import events
 from . import derived
@@ -606,3 +606,81 @@ def approx_quantiles(spark, sf):
 def heavy_suppliers(spark, sf):
     """Suppliers of more than one in 200 order lines: candidates from bounded counters, counted exactly."""
     return sketches.heavy_items(table(spark, sf, "lineitem"), "l_suppkey", 0.005)
+
+
+# ---- audits of items
+
+
+def _sql_any_of(c, items):
+    return f"list_bool_or(list_transform({sql_strings(items)}, lambda k: contains({c}, k)))"
+
+
+def _sql_script(c):
+    letters, arabic = rf"len(regexp_extract_all({c}, '\p{{L}}'))", rf"len(regexp_extract_all({c}, '[\x{{0620}}-\x{{064A}}\x{{066E}}-\x{{06D3}}]'))"
+    return f"CASE WHEN {letters} = 0 THEN 'none' WHEN {arabic} / {letters} > 0.6 THEN 'arabic' WHEN {arabic} / {letters} < 0.2 THEN 'latin' ELSE 'mixed' END"
+
+
+def _sql_has(c, pattern):
+    quoted = pattern.replace("'", "''")
+    return f"regexp_matches({c}, '{quoted}')"
+
+
+_AR = r"[\x{0600}-\x{06FF}]"
+_LATIN, _SCRIPTED = "coalesce(language IN ('Arabizi', 'french'), FALSE)", "coalesce(language IN ('arabic_msa', 'Darija'), FALSE)"
+_RULES = [
+    ("expected <> '' AND expected <> language", "LANG_FIELD_MISMATCH"),
+    (f"{_LATIN} AND {_sql_has('q', _AR)}", "Q_HAS_ARABIC"),
+    (f"{_SCRIPTED} AND {_sql_script('q')} = 'latin'", "Q_WRONG_SCRIPT"),
+    (f"NOT abstain AND {_LATIN} AND {_sql_script('a')} = 'arabic'", "A_IS_ARABIC"),
+    (f"NOT abstain AND {_LATIN} AND {_sql_script('a')} = 'mixed'", "A_MIXED_SCRIPT"),
+    (f"NOT abstain AND {_SCRIPTED} AND {_sql_script('a')} = 'latin'", "A_IS_LATIN"),
+    (f"len(keywords) > 0 AND {_LATIN} AND {_sql_has('kw', _AR)}", "KW_HAS_ARABIC"),
+    (f"len(keywords) > 0 AND {_SCRIPTED} AND {_sql_has('kw', '[a-zA-Z]')} AND NOT {_sql_has('kw', _AR)}", "KW_IS_LATIN"),
+    ("len(keywords) = 0 AND NOT abstain", "KW_EMPTY"),
+    (f"language = 'Arabizi' AND {_sql_has('lower(q)', f'[{lx.TRANSLITERATION_MARKS}]')}", "ARABIZI_IPA_IN_Q"),
+    (f"language = 'Arabizi' AND {_sql_has('lower(a)', f'[{lx.TRANSLITERATION_MARKS}]')}", "ARABIZI_IPA_IN_A"),
+    ("NOT abstain AND trim(a) = ''", "ANSWER_EMPTY"),
+    ("NOT abstain AND trim(a) <> '' AND says_so", "ANSWER_LOOKS_ABSTAIN"),
+    ("abstain AND trim(a) <> '' AND NOT says_so", "OUTSCOPE_NOT_ABSTAINING"),
+    (f"CASE WHEN {_LATIN} THEN {_sql_has('q', '(?i)' + '|'.join(lx.DANGLING['latin']))} ELSE {_sql_has('q', '|'.join(lx.DANGLING['arabic']))} END", "MAYBE_NOT_SELF_CONTAINED"),
+]
+_AUDIT = f"""x AS (SELECT *, coalesce(question, '') AS q, coalesce(answer, '') AS a, array_to_string(keywords, ' ') AS kw, {_sql_any_of("lower(coalesce(answer, ''))", lx.AUDIT_ABSTAIN_MARKERS)} AS says_so FROM {derived.AUDITED}),
+    codes AS (SELECT conv_id, turn, list_filter([{', '.join(f"CASE WHEN {rule} THEN '{code}' END" for rule, code in _RULES)}], lambda c: c IS NOT NULL) AS codes FROM x)"""
+
+
+def _codes(spark, sf):
+    rows = derived.audited(spark, sf)
+    return rows.select("conv_id", "turn", curate.audit_codes(F.col("language"), F.col("expected"), F.col("question"), F.col("answer"), F.col("keywords"), F.col("abstain")).alias("codes"))
+
+
+@query(f"WITH {_AUDIT} SELECT conv_id, turn, array_to_string(codes, ',') AS issues FROM codes")
+def audit_codes(spark, sf):
+    """Issue codes of every item, in the order of the rules."""
+    return _codes(spark, sf).select("conv_id", "turn", F.array_join("codes", ",").alias("issues"))
+
+
+@query(f"WITH {_AUDIT} SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM codes) GROUP BY code")
+def issue_counts(spark, sf):
+    return _codes(spark, sf).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def _sql_count_of(c, pattern):
+    return f"len(regexp_extract_all({c}, '{pattern}'))"
+
+
+_HEAD_AR, _HEAD_LA = _sql_count_of("substr(answer, 1, 80)", _AR), _sql_count_of("substr(answer, 1, 80)", "[A-Za-z]")
+_N = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
+
+
+@query(
+    f"""SELECT conv_id, turn, coalesce(category IS NOT NULL AND language IS NOT NULL AND question IS NOT NULL AND answer IS NOT NULL
+      AND NOT (contains(answer, '...') OR contains(question, '...') OR len(list_filter(keywords, lambda k: contains(k, '...'))) > 0) AND NOT (contains(answer, '[exact') OR contains(question, '[exact'))
+      AND NOT ({_sql_any_of('lower(question)', [p.lower() for p in lx.NON_ATOMIC])} OR {_sql_any_of('answer', ['باقي الوثائق المذكورة', 'الوثائق المذكورة أعلاه'])})
+      AND NOT (language IN ('Arabizi', 'Darija') AND ({_HEAD_LA} > {_HEAD_AR} OR {_HEAD_AR} < 5)) AND len(keywords) BETWEEN 1 AND 8 AND {_N.format('question')} >= 4
+      AND {_N.format('answer')} >= CASE WHEN upper(category) = 'OUTSCOPE' THEN 3 ELSE 10 END AND list_contains({sql_strings(list(lx.CATEGORY_PREFIX))}, upper(category)) AND list_contains({sql_strings(list(lx.EXPECTED_SCRIPT))}, language), FALSE) AS valid
+    FROM {derived.AUDITED}"""
+)
+def valid_items(spark, sf):
+    rows = derived.audited(spark, sf)
+    ok = curate.is_valid_item(F.col("category"), F.col("language"), F.col("question"), F.col("answer"), F.col("keywords"), F.lit("x"))
+    return rows.select("conv_id", "turn", ok.alias("valid"))
