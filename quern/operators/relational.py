@@ -39,7 +39,7 @@ def pricing_summary(spark, sf):
 
 def revenue_by_nation(spark, sf):
     li, o, c, n = (_t(spark, sf, x) for x in ("lineitem", "orders", "customer", "nation"))
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     return j.groupBy("n_name").agg(_r2(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), "revenue"))
 
 

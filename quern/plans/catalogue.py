@@ -267,14 +267,33 @@ def page_links(spark, sf):
     return found.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(F.lower("href").rlike(r"\.pdf([?#].*)?$")).alias("n_pdf"))
 
 
-@query()
-def crawl_depths(spark, sf):
-    """Pages within three links of each host's root, over the pages' own links."""
+_CRAWLED = r"""l AS (SELECT DISTINCT url AS src, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?href=["'']([^"'']+)["'']', 1)) AS href FROM pages)
+      WHERE starts_with(href, '/') AND NOT regexp_matches(lower(href), '(""" + "|".join(x.replace(".", "\\.") for x in lx.SKIP_SUFFIXES) + r""")([?#].*)?$')),
+    r(url, depth) AS (SELECT min(url), 0 FROM pages GROUP BY regexp_extract(url, '^(?i:https?)://([^/]+)', 1) UNION SELECT dst, depth + 1 FROM r JOIN l ON src = r.url WHERE depth < 3),
+    c AS (SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url)"""
+
+
+def _crawl(spark, sf, per_host=None):
     pages = table(spark, sf, "pages")
     hrefs = pages.select("url", F.explode(files.links(F.col("html"))).alias("href"))
     edges = hrefs.select(F.col("url").alias("src"), files.absolute(F.col("url"), F.col("href")).alias("dst"))
     seeds = pages.groupBy(t.short_source(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
-    return files.crawl(edges, seeds, 3, Scratch(spark, "crawl"))
+    return files.crawl(edges, seeds, 3, Scratch(spark, "crawl"), per_host)
+
+
+@query(f"WITH RECURSIVE {_CRAWLED} SELECT url, depth FROM c")
+def crawl_depths(spark, sf):
+    """Pages within three links of each host's root, over the pages' own links."""
+    return _crawl(spark, sf)
+
+
+@query(
+    f"""WITH RECURSIVE {_CRAWLED}, o AS (SELECT *, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1)
+      ORDER BY depth, NOT list_bool_or(list_transform({sql_strings(lx.FOLLOW_WORDS)}, lambda w: contains(lower(url), w))), url) AS r FROM c) SELECT url, depth FROM o WHERE r <= 4"""
+)
+def crawl_budget(spark, sf):
+    """The same with a budget of four pages a host."""
+    return _crawl(spark, sf, 4)
 
 
 @query(

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -72,18 +72,6 @@ def write_tsv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def append_missing(results: DataFrame, path: str, keys: list[str]) -> None:
-    """Add only rows whose keys the sink doesn't hold yet."""
-    spark = results.sparkSession
-    try:
-        done = spark.read.parquet(path).select(*keys).distinct()
-        results = results.join(done, keys, "left_anti")
-    except Exception as e:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    results.write.mode("append").parquet(path)
-
-
 class _Sections(HTMLParser):
     """Headed sections of a page's content; list items inside paragraphs count for both, as text of descendants does."""
 
@@ -193,8 +181,11 @@ def is_skipped_url(url: Column) -> Column:
     return F.lower(url).rlike("(" + "|".join(re.escape(s) for s in lx.SKIP_SUFFIXES) + r")([?#].*)?$")
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, scratch) -> DataFrame:
-    """(url, depth): pages within ``max_depth`` links of the seeds, same host, over a table of (src, dst) links."""
+def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, scratch, per_host: int | None = None) -> DataFrame:
+    """(url, depth): pages within ``max_depth`` links of the seeds, same host, over a table of (src, dst) links.
+
+    ``per_host`` is a crawl's budget of pages: nearer ones first, and of those at one depth pages that look like content.
+    """
     host = lambda c: F.regexp_extract(c, "^https?://([^/]+)", 1)
     inside = scratch.keep(edges.where((host("src") == host("dst")) & ~is_skipped_url(F.col("dst"))).distinct())
     seen = scratch.keep(seeds.select("url", F.lit(0).alias("depth")).distinct())
@@ -202,4 +193,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, scratch) -> DataFr
         front = seen.where(F.col("depth") == depth)
         new = inside.join(front, inside["src"] == front["url"]).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         seen = scratch.keep(seen.unionByName(new.withColumn("depth", F.lit(depth + 1))))
-    return seen
+    if per_host is None:
+        return seen
+    order = Window.partitionBy(host("url")).orderBy("depth", (~is_content_url(F.col("url"))).cast("int"), "url")
+    return seen.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_host).drop("_r")
