@@ -355,12 +355,6 @@ def script_marker_language(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", la.script_marker_language(F.col("text")).alias("language"))
 
 
-@query()
-def ensemble_language(spark, sf):
-    v = la.ensemble_language(table(spark, sf, "conversations"), "text")
-    return v.select("conv_id", "turn", "language", r6("confidence").alias("confidence"))
-
-
 @query()
 def multihop_votes(spark, sf):
     """Five signs of a multi-hop question (look-around)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grounding as g
+from ..functions import language as la
 from ..functions import lexicon as lx
 from ..functions import metrics as m
 from ..functions import text as t
@@ -684,3 +685,40 @@ def valid_items(spark, sf):
     rows = derived.audited(spark, sf)
     ok = curate.is_valid_item(F.col("category"), F.col("language"), F.col("question"), F.col("answer"), F.col("keywords"), F.lit("x"))
     return rows.select("conv_id", "turn", ok.alias("valid"))
+
+
+# ---- language by several votes
+
+
+def _sql_held(c, items):
+    return f"len(list_filter({sql_strings(items)}, lambda k: contains({c}, k)))"
+
+
+def _sql_ensemble(keys, source):
+    pick = lambda name: f"CASE WHEN sl = '{name}' THEN sc ELSE 0 END + 1.5 * CASE WHEN kl = '{name}' THEN kc ELSE 0 END"
+    count = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))"
+    return rf"""WITH c AS (SELECT {keys}, text, {count(r'[^\s0-9]')} AS n, {count(r'[\x{0600}-\x{06FF}]')} AS ar, {count('[A-Za-z]')} AS la, {_sql_held('text', lx.MSA_PHRASES)} AS ka, {_sql_held('lower(text)', lx.FRENCH_PHRASES)} AS kf,
+      {_sql_held('text', lx.ENSEMBLE_DARIJA)} AS darija, {_sql_held('lower(text)', lx.ENSEMBLE_ARABIZI)} AS arabizi FROM {source}),
+    r AS (SELECT *, ar / nullif(n, 0) AS a, la / nullif(n, 0) AS b FROM c),
+    v AS (SELECT *, CASE WHEN n < 3 THEN 'unknown' WHEN a > 0.55 THEN 'arabic_msa' WHEN b > 0.65 THEN 'french' WHEN a > b THEN 'arabic_msa' ELSE 'french' END AS sl,
+      CASE WHEN n < 3 THEN 0 WHEN a > 0.55 THEN least(1, (a - 0.55) / 0.45 + 0.5) WHEN b > 0.65 THEN least(1, (b - 0.65) / 0.35 + 0.5) ELSE 0.4 END AS sc,
+      CASE WHEN ka + kf = 0 THEN 'unknown' WHEN ka >= kf THEN 'arabic_msa' ELSE 'french' END AS kl, CASE WHEN ka + kf = 0 THEN 0 ELSE least(1, 0.5 + greatest(ka, kf) / (2.0 * (ka + kf))) END AS kc FROM r),
+    w AS (SELECT *, ({pick('arabic_msa')}) AS wa, ({pick('french')}) AS wb FROM v), s AS (SELECT *, wa / nullif(wa + wb, 0) AS share FROM w)
+    SELECT {keys}, CASE WHEN trim(text) = '' THEN 'unknown' WHEN darija >= 2 THEN 'Darija' WHEN arabizi >= 2 THEN 'Arabizi' WHEN share IS NULL THEN 'arabic_msa' WHEN share > 0.25 AND share < 0.75 THEN 'mixed' WHEN share >= 0.75 THEN 'arabic_msa' ELSE 'french' END AS language,
+      round(CAST(CASE WHEN trim(text) = '' THEN 0 WHEN darija >= 2 THEN least(0.85 + 0.03 * (darija - 2), 0.95) WHEN arabizi >= 2 THEN least(0.80 + 0.03 * (arabizi - 2), 0.92) WHEN share IS NULL THEN 0.3
+        WHEN share > 0.25 AND share < 0.75 THEN 2 * least(share, 1 - share) WHEN share >= 0.75 THEN share ELSE 1 - share END AS DOUBLE), 6) AS confidence FROM s"""
+
+
+@query(_sql_ensemble("conv_id, turn", "conversations"))
+def ensemble_language(spark, sf):
+    v = la.ensemble_language(table(spark, sf, "conversations"), "text")
+    return v.select("conv_id", "turn", "language", r6("confidence").alias("confidence"))
+
+
+@query(_sql_ensemble("conv_id, turn", f"(SELECT conv_id, turn, CASE WHEN turn = 1 THEN split_part(question, '?', 1) ELSE question END AS text FROM {_RAW} WHERE question IS NOT NULL)"))
+def ensemble_dialects(spark, sf):
+    """The same over raw questions in Arabic, dialect and French, some without the exchange's own words."""
+    rows = derived.raw(spark, sf).where("question is not null")
+    text = F.when(F.col("turn") == 1, F.split_part("question", F.lit("?"), F.lit(1))).otherwise(F.col("question"))
+    v = la.ensemble_language(rows.select("conv_id", "turn", text.alias("text")), "text")
+    return v.select("conv_id", "turn", "language", r6("confidence").alias("confidence"))
