@@ -1,9 +1,13 @@
+import math
+import random
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from quern.llm import quality as q
 from quern.llm.quality import keep_quality, measure, op9_quality_rules, quality_rules
 from quern.llm.textbatch import texts_of, words_of
 
@@ -93,3 +97,78 @@ def test_toxic_words_count_where_they_stand(spark):
     kept = {r.doc_id: r.kept for r in quality_rules(docs, labels, threshold=-9).collect()}
     assert kept[900] and not kept[901]
     assert {r.kept for r in quality_rules(docs, labels.where("toxic = 0"), threshold=-9).collect()} == {True}
+
+
+def cells_of(gram, kind):
+    """The bucket of one gram by itself: of the ratio's table, of toxic grams, of first letters."""
+    t = next(texts_of(pa.array([gram])))
+    w = words_of(t)
+    if kind == "stem":
+        return int(list(q.toxic_cells(t, w))[2][0][0])
+    h = list(q.gram_hashes(t, w))[len(gram.split()) - 1][0]
+    return int(q.buckets(h, q.BUCKET_BITS if kind == "ratio" else q.TOXIC_BITS)[0])
+
+
+def grams_of(text):
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(text or "")]
+    return words, [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def plain_verdicts(rows, labels, threshold):
+    """(llr, kept) of each row from dictionaries: the ratio of the two multinomials, and toxic grams close together."""
+    cell = lru_cache(None)(cells_of)
+    toxic_ids = {i for i, _, t in labels if t == 1}
+    trusted_ids = {i for i, quality, t in labels if quality == 1 and t == 0}
+    everything, trusted = Counter(), Counter()
+    for i, text in rows:
+        found = Counter(cell(g, "ratio") for part in grams_of(text) for g in part)
+        everything += found
+        trusted += found if i in trusted_ids else Counter()
+    n_all, n_trusted = sum(everything.values()), sum(trusted.values())
+    ratio = lambda g: math.log(trusted[cell(g, "ratio")] + q.PRIOR) - math.log(n_trusted * everything[cell(g, "ratio")] / n_all + q.PRIOR)
+
+    def marks(text):
+        words, pairs = grams_of(text)
+        return [cell(w, "toxic") for w in words], [cell(p, "toxic") for p in pairs], [cell(w, "stem") if len(w) >= q.STEM else None for w in words]
+
+    sides = {(text, i in toxic_ids) for i, text in rows if text is not None and (i in toxic_ids or i in trusted_ids)}
+    held = {True: Counter(), False: Counter()}
+    for text, is_toxic in sides:
+        held[is_toxic].update({c for part in marks(text) for c in part if c is not None})
+    n = Counter(is_toxic for _, is_toxic in sides)
+    bad = set()
+    for c, k in held[True].items():
+        strength = math.log((held[False][c] + q.TOXIC_PRIOR) / (k * n[False] / n[True] + q.TOXIC_PRIOR))
+        at_most, share = (q.STEM_RATIO, q.STEM_SHARE) if c >= 1 << q.TOXIC_BITS else (q.TOXIC_RATIO, q.TOXIC_SHARE)
+        if k > 1 and strength <= at_most and k / n[True] >= share:
+            bad.add(c)
+    out = []
+    for _, text in rows:
+        words, pairs = grams_of(text)
+        llr = sum(map(ratio, words + pairs)) / (len(words) + len(pairs) + q.PRIOR_GRAMS)
+        w, p, s = marks(text)
+        hit = [a in bad or b in bad for a, b in zip(w, s, strict=True)]
+        hit = [h or (i < len(p) and p[i] in bad and not hit[i] and not hit[i + 1]) for i, h in enumerate(hit)]
+        at = [i for i, h in enumerate(hit) if h]
+        close = any(b - a < q.TOXIC_WORDS for a, b in zip(at, at[q.TOXIC_HITS - 1 :], strict=False))
+        out.append((llr, not brute(text)[5] and llr >= threshold and not close))
+    return out
+
+
+def test_ratio_and_verdict_match_plain_dictionaries(spark):
+    rng = random.Random(7)
+    clean, junk, insults = [f"clean{i}" for i in range(60)], [f"junk{i}" for i in range(60)], ["idiot", "stupidly", "stupidest", "ab"]
+    rows = []
+    for i in range(240):
+        words = rng.choices(clean if i % 3 else junk + clean[:20], k=rng.randint(5, 90))
+        if i % 5 == 0:
+            for _ in range(rng.randint(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(insults).title())
+        rows.append((i, " ".join(words)))
+    rows += [(300, None), (301, ""), (302, rows[1][1]), (5, rows[5][1]), (None, rows[7][1])]
+    labels = [(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(0, 240) if i % 7]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), threshold=-0.05).collect()
+    want = Counter((i, round(llr, 9), kept) for (i, _), (llr, kept) in zip(rows, plain_verdicts(rows, labels, -0.05), strict=True))
+    assert Counter((r.doc_id, round(r.llr, 9), r.kept) for r in got) == want
+    assert 20 < sum(r.kept for r in got) < 200 and len({r.kept for r in got if r.doc_id is not None and r.doc_id % 5 == 0}) == 2
