@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.text import is_garbage, render_context
-from ..session import Scratch
+from ..session import LARGE_ROWS, Scratch, rows_at_once
 
 
 def postings(chunks: DataFrame, tokens: Column, id_col: str = "chunk_id") -> DataFrame:
@@ -22,6 +22,7 @@ def postings(chunks: DataFrame, tokens: Column, id_col: str = "chunk_id") -> Dat
 # ---- a lexical index: blocks of documents with their lists in order of impact
 
 BLOCK_TOKENS = 1 << 18
+TEXTS_AT_ONCE, BLOCKS_AT_ONCE = 1024, 2
 SLICE_TERMS = 1 << 18
 _RAW = "rows long, tokens long, ids array<{id}>, sizes array<int>, kinds array<int>, terms array<string>, starts array<int>, places binary, tf binary"
 _BLOCKS = "ids array<{id}>, kinds array<int>, terms array<string>, starts array<int>, most array<double>, places binary, parts binary"
@@ -101,18 +102,23 @@ def write_lexical(chunks: DataFrame, tokens, path: str, id_col: str) -> str:
     Negative idf is raised to ``BM25_EPSILON`` times the mean over the vocabulary.
     """
     spark, id_type = chunks.sparkSession, _type_of(chunks, id_col)
-    chunks.select(F.col(id_col), tokens.alias("tokens")).mapInArrow(_raw_blocks, _RAW.format(id=id_type)).write.mode("overwrite").parquet(f"{path}/raw")
+    made = chunks.select(F.col(id_col), tokens.alias("tokens")).mapInArrow(_raw_blocks, _RAW.format(id=id_type))
+    with rows_at_once(spark, TEXTS_AT_ONCE):
+        made.write.options(**LARGE_ROWS).mode("overwrite").parquet(f"{path}/raw")
     raw = spark.read.schema(_RAW.format(id=id_type)).parquet(f"{path}/raw")
     n, words = raw.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     spark.createDataFrame([(n, words)], "n long, words long").write.mode("overwrite").parquet(f"{path}/statistics")
     counts = raw.select("terms", "starts").mapInArrow(_document_counts, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    counts.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).write.mode("overwrite").parquet(f"{path}/counts")
+    with rows_at_once(spark, BLOCKS_AT_ONCE):
+        counts.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
     mean = counts.agg(F.avg("raw")).first()[0] or 0.0
     terms = counts.select("term", "df", F.when(F.col("raw") < 0, F.lit(lx.BM25_EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
     terms.write.mode("overwrite").parquet(f"{path}/terms")
     used = raw.select("ids", "sizes", "kinds", "terms", "starts", "places", "tf")
-    used.mapInArrow(_by_impact(words / n if words else 1.0), _BLOCKS.format(id=id_type)).write.mode("overwrite").parquet(f"{path}/blocks")
+    ordered = used.mapInArrow(_by_impact(words / n if words else 1.0), _BLOCKS.format(id=id_type))
+    with rows_at_once(spark, BLOCKS_AT_ONCE):
+        ordered.write.options(**LARGE_ROWS).mode("overwrite").parquet(f"{path}/blocks")
     return path
 
 
@@ -175,10 +181,14 @@ def _search_blocks(shared, k: int, query_col: str, id_col: str, by_share: bool):
 
 
 def _best_of_tasks(spark, path: str, asked: DataFrame, *, id_col: str, query_col: str, k: int, by_share: bool) -> DataFrame:
-    """``asked`` (question, term, weight) is broadcast in slices of about ``SLICE_TERMS`` rows; each slice reads the blocks once."""
+    """``asked`` (question, term, weight) is broadcast in slices of about ``SLICE_TERMS`` rows; each slice reads the blocks once.
+
+    What is found is kept, a table of at most ``k`` rows for each task and question.
+    """
     blocks = spark.read.parquet(f"{path}/blocks")
     schema = f"{query_col} {_type_of(asked, query_col)}, {id_col} {blocks.schema['ids'].dataType.elementType.simpleString()}, score double"
-    asked = Scratch(spark, "asked").keep(asked.select(F.col(query_col).alias("q"), "term", "weight"))
+    work = Scratch(spark, "asked")
+    asked = work.keep(asked.select(F.col(query_col).alias("q"), "term", "weight"))
     n_slices, out = max(1, -(-asked.count() // SLICE_TERMS)), spark.createDataFrame([], schema)
     for s in range(n_slices):
         rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_slices)) == s).orderBy("q", "term").toArrow()
@@ -189,7 +199,8 @@ def _best_of_tasks(spark, path: str, asked: DataFrame, *, id_col: str, query_col
         cuts = [0, *(i for i in range(1, len(q)) if q[i] != q[i - 1]), len(q)]
         questions = [(q[a], codes[a:b], weight[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         shared = spark.sparkContext.broadcast((questions, coded.dictionary, rows.column("q").type))
-        out = out.unionAll(blocks.mapInArrow(_search_blocks(shared, k, query_col, id_col, by_share), schema))
+        with rows_at_once(spark, BLOCKS_AT_ONCE):
+            out = out.unionAll(work.keep(blocks.mapInArrow(_search_blocks(shared, k, query_col, id_col, by_share), schema)))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from quern.operators import curate, evaluate, gold, index, runs, sketches, vectors
@@ -69,6 +70,40 @@ def test_lexical_index_in_small_blocks(spark, tmp_path, monkeypatch):
     assert [(-round(r.score, 9), r.id) for r in shares] == best
 
 
+def _counting(made, sizes):
+    """A factory of batch functions whose batches are counted."""
+
+    def factory(*a):
+        run = made(*a)
+
+        def counted(batches):
+            def seen():
+                for b in batches:
+                    sizes.add({b.num_rows})
+                    yield b
+
+            yield from run(seen())
+
+        return counted
+
+    return factory
+
+
+def test_blocks_come_in_few_rows_at_once(spark, tmp_path, monkeypatch):
+    sizes = spark.sparkContext.accumulator(set(), type("Sizes", (AccumulatorParam,), {"zero": lambda self, v: set(), "addInPlace": lambda self, a, b: a | b})())
+    docs = spark.createDataFrame([(i, ["w", f"w{i % 9}"]) for i in range(40)], "id long, t array<string>").repartition(20)
+    path = index.write_lexical(docs, F.col("t"), str(tmp_path / "many"), "id")
+    spark.read.parquet(f"{path}/blocks").repartition(1).write.parquet(f"{path}/one")  # a block for each partition, in one file
+    (tmp_path / "many" / "blocks").rename(tmp_path / "many" / "old")
+    (tmp_path / "many" / "one").rename(tmp_path / "many" / "blocks")
+    monkeypatch.setattr(index, "_search_blocks", _counting(index._search_blocks, sizes))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = index.search_lexical(spark, path, spark.createDataFrame([(1, ["w3"])], "q int, t array<string>"), F.col("t"), id_col="id", query_col="q", k=3).orderBy("rank").collect()
+    assert [r.id for r in found] == [39, 30, 21]
+    assert 0 < max(sizes.value) <= 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_a_run_goes_on_where_it_was_cut(spark, tmp_path):
     items = spark.createDataFrame([(i, i * i) for i in range(40)], "item long, v long")
     root, made = str(tmp_path / "runs"), []
