@@ -32,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, workspace
+from .common import LARGE_ROWS, documents, materialise, rows_at_once, workspace
 from .textbatch import IS_ALNUM, LOWER, texts_of, words_of
 
 K = 20
 SHARD_BYTES = 8 << 20
 SLICE_TERMS = 1 << 18
 ROUND = 128
+TEXTS_AT_ONCE, SHARDS_AT_ONCE = 1024, 1
 POSTINGS = "shard long, n_docs long, n_terms long, doc_ids array<bigint>, lengths binary, terms array<string>, starts binary, docs binary, tf binary"
 SHARDS = "shard long, doc_ids array<bigint>, terms array<string>, starts binary, impacts binary, bits binary"
 
@@ -196,11 +197,14 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """(shards, N, L): the table of shards under ``path``, the number of documents with a term, and of their terms."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     posted = chosen.mapInArrow(_postings, POSTINGS)
-    posted.write.option("compression", "zstd").parquet(f"{path}/postings")
+    with rows_at_once(docs.sparkSession, TEXTS_AT_ONCE):
+        posted.write.options(compression="zstd", **LARGE_ROWS).parquet(f"{path}/postings")
     posted = docs.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
     n_all, l_all = posted.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     used = posted.select("shard", "doc_ids", "lengths", "terms", "starts", "docs", "tf")
-    used.mapInArrow(_order(n_all, max(1, l_all)), SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
+    ordered = used.mapInArrow(_order(n_all, max(1, l_all)), SHARDS)
+    with rows_at_once(docs.sparkSession, SHARDS_AT_ONCE):
+        ordered.write.options(compression="zstd", **LARGE_ROWS).parquet(f"{path}/shards")
     return docs.sparkSession.read.schema(SHARDS).parquet(f"{path}/shards"), n_all, l_all
 
 
@@ -238,6 +242,7 @@ def _search(shared, k):
                 starts = np.frombuffer(column["starts"][i].as_buffer(), "<i8")
                 doc_ids = column["doc_ids"][i].values
                 keys = doc_ids.fill_null(NO_ID).to_numpy()
+                shard = None  # the last one goes before the next is built
                 shard = Shard(len(keys), starts, np.frombuffer(column["impacts"][i].as_buffer(), "<i4"), column["bits"][i].as_py())
                 at = pc.index_in(terms, value_set=column["terms"][i].values).fill_null(-1).to_numpy()
                 ids = doc_ids.to_pylist()
@@ -269,7 +274,9 @@ def search(shards: DataFrame, n_all: int, items: DataFrame, k: int = K, id_col:
             continue
         coded = rows.column("term").combine_chunks().dictionary_encode()
         terms = coded.dictionary
-        found = shards.select("terms", "starts").mapInArrow(_frequencies(spark.sparkContext.broadcast(terms)), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toArrow()
+        found = shards.select("terms", "starts").mapInArrow(_frequencies(spark.sparkContext.broadcast(terms)), "at long, df long").groupBy("at").agg(F.sum("df").alias("df"))
+        with rows_at_once(spark, SHARDS_AT_ONCE):
+            found = found.toArrow()
         df = np.zeros(len(terms), np.int64)
         df[found.column("at").to_numpy()] = found.column("df").to_numpy()
         weight = np.array([math.floor(1000 * math.log((2 * n_all + 2) / (2 * int(n) + 1))) for n in df], np.int64)
@@ -283,7 +290,8 @@ def search(shards: DataFrame, n_all: int, items: DataFrame, k: int = K, id_col:
     if out is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    ranked = materialise(out.withColumn("rank", rank).where(F.col("rank") <= k), f"{path}/ranked")
+    with rows_at_once(spark, SHARDS_AT_ONCE):
+        ranked = materialise(out.withColumn("rank", rank).where(F.col("rank") <= k), f"{path}/ranked")
     return ranked.join(known.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
 
 

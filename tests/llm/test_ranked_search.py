@@ -56,6 +56,31 @@ def tables():
     return docs, items
 
 
+def test_a_task_holds_one_shard(spark, tables, tmp_path, monkeypatch):
+    docs, items = tables
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    shards, n_all, _ = ranked_search.build_index(d, workspace(spark, "test-ranked"))
+    assert shards.count() == 5
+    shards.repartition(1).write.parquet(str(tmp_path / "one"))
+    made = ranked_search._search
+
+    def one_by_one(*a):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    assert b.num_rows == 1
+                    yield b
+
+            yield from made(*a)(seen())
+
+        return run
+
+    monkeypatch.setattr(ranked_search, "_search", one_by_one)
+    q = spark.createDataFrame(items, "item_id long, text string")
+    got = ranked_search.search(spark.read.parquet(str(tmp_path / "one")), n_all, q)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
+
+
 def test_brute_force(spark, tables):
     assert found(spark, *tables) == brute(*tables)
 
