@@ -184,3 +184,22 @@ def test_token_matching(spark):
     got = {r.k: (r.precision, r.recall) for r in evaluate.token_matching(spark.createDataFrame(rows, "k string, said array<int>, meant array<int>"), table, ["k"]).collect()}
     half = 0.5**0.5
     assert got["a"] == pytest.approx((half, half)) and got["b"] == pytest.approx((1, 1)) and got["c"] == got["d"] == (0, 0)
+
+
+def test_overlap_pairs_by_rare_tokens(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [{f"c{j}" for j in range(10)} | {f"own{i}-{j}" for j in range(10)} for i in range(60)]
+    apart = spark.createDataFrame([(i, sorted(t), len(t)) for i, t in enumerate(sets)], "id long, tokens array<string>, n int")
+    kept, keep = [], curate.Scratch.keep
+    monkeypatch.setattr(curate.Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    assert curate.overlap_pairs(apart, "id").count() == 0
+    assert kept[0].groupBy("token").count().where("count > 1").count() == 0  # none is looked up under what all hold
+    base = [rng.choice(80, n, replace=False).tolist() for n in rng.integers(1, 40, 25)]
+    for size in (1, 2, 3, 5):
+        base += [rng.choice(6, size, replace=False).tolist() for _ in range(4)]
+    near = [b[: len(b) - int(cut)] + rng.choice(80, int(more)).tolist() for b in base for cut, more in rng.integers(0, 4, (4, 2))]
+    sets = sorted({frozenset(f"w{x}" for x in t) for t in base + near if t}, key=sorted)
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * max(len(sets[a]), len(sets[b]))}
+    df = spark.createDataFrame([(i, sorted(t), len(t)) for i, t in enumerate(sets)], "id long, tokens array<string>, n int").repartition(3)
+    got = [(r.a, r.b) for r in curate.overlap_pairs(df, "id").collect()]
+    assert len(want) > 20 and sorted(got) == sorted(want)
