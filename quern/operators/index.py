@@ -22,55 +22,98 @@ def postings(chunks: DataFrame, tokens: Column, id_col: str = "chunk_id") -> Dat
 # ---- a lexical index: blocks of documents with their lists in order of impact
 
 BLOCK_TOKENS = 1 << 18
-TEXTS_AT_ONCE, BLOCKS_AT_ONCE = 1024, 2
+TEXTS_AT_ONCE, BLOCKS_AT_ONCE = 1024, 1
+SPLIT_BYTES = 1 << 20
 SLICE_TERMS = 1 << 18
-_RAW = "rows long, tokens long, ids array<{id}>, sizes array<int>, kinds array<int>, terms array<string>, starts array<int>, places binary, tf binary"
-_BLOCKS = "ids array<{id}>, kinds array<int>, terms array<string>, starts array<int>, most array<double>, places binary, parts binary"
+# numbers and terms of a block are bytes, so that neither Spark nor its readers make an object for each of them
+_RAW = "rows long, tokens long, ids array<{id}>, sizes binary, kinds binary, term_ends binary, term_bytes binary, starts binary, places binary, tf binary"
+_BLOCKS = "ids array<{id}>, kinds binary, term_ends binary, term_bytes binary, starts binary, most binary, places binary, parts binary"
+_BLOCK_ROWS = LARGE_ROWS | {"parquet.block.size": str(4 << 20), "compression": "zstd"}
 
 
 def _type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _raw_blocks(batches):
-    ids, sizes, parts, rows, held = [], [], [], 0, 0
+def _row(schema: str, id_type: pa.DataType, ids: list, **values) -> pa.RecordBatch:
+    """A batch of one block; what is neither a number nor ``ids`` is bytes."""
+    made = {n: pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for n, v in values.items()} | {"ids": pa.array([ids], pa.list_(id_type))}
+    names = [part.split()[0] for part in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([made[n] for n in names], names)
 
-    def block():
-        coded = pa.concat_arrays([pa.array([], pa.string()), *parts]).dictionary_encode()
-        length = np.array(sizes, np.int64)
-        n, place = len(length), np.repeat(np.arange(len(length)), length)
-        key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + place, return_counts=True)
-        values = [
-            rows, held, ids, sizes, np.bincount(key % n, minlength=n), coded.dictionary.to_pylist(), np.searchsorted(key, np.arange(len(coded.dictionary) + 1) * n),
-            (key % n).astype("<u4").tobytes(), tf.astype("<i4").tobytes(),
-        ]
-        kinds = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["rows", "tokens", "ids", "sizes", "kinds", "terms", "starts", "places", "tf"])
 
-    for batch in batches:
-        id_type, lists = batch.column(0).type, batch.column(1)
-        length = lists.value_lengths().fill_null(0).to_numpy()
-        ends = np.cumsum(length)
-        lo = 0
-        while lo < len(length):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_TOKENS - held, side="right")))
-            some = lists.slice(lo, hi - lo)
-            has = np.flatnonzero(length[lo:hi])
-            ids += batch.column(0).slice(lo, hi - lo).take(pa.array(has)).to_pylist()
-            sizes += length[lo:hi][has].tolist()
-            parts.append(some.flatten())
-            rows, held, lo = rows + hi - lo, held + int(length[lo:hi].sum()), hi
-            if held >= BLOCK_TOKENS:
-                yield block()
-                ids, sizes, parts, rows, held = [], [], [], 0, 0
-    if rows:
-        yield block()
+def _numbers(batch, name: str, i: int, kind: str) -> np.ndarray:
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[i].as_buffer(), kind)
+
+
+def _terms(batch, i: int) -> pa.Array:
+    ends, data = (batch.column(batch.schema.get_field_index(n))[i].as_buffer() for n in ("term_ends", "term_bytes"))
+    return pa.StringArray.from_buffers(len(ends) // 4 - 1, pa.py_buffer(ends.to_pybytes()), data)  # ends may lie anywhere in a batch
+
+
+def _words_of_rows(batch, stopwords: pa.Array):
+    """(ids, words in a row, how many each row has), from lists of words or from lower-cased texts, a megabyte of them at a time."""
+    ids, values = batch.column(0), batch.column(1)
+    if not pa.types.is_string(values.type):
+        yield ids, values.flatten(), values.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        return
+    fold, between = str.maketrans(*lx.FRENCH_FOLD), f"[^a-z0-9{lx.FRENCH_FOLD[0]}]+"
+    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy().astype(np.int64))
+    lo = 0
+    while lo < len(values):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SPLIT_BYTES, side="right")))
+        split = pc.split_pattern_regex(values.slice(lo, hi - lo), between)
+        row, coded = np.repeat(np.arange(hi - lo), split.value_lengths().fill_null(0).to_numpy()), split.flatten().dictionary_encode()
+        distinct = pa.array([w if w.isascii() else w.translate(fold) for w in coded.dictionary.to_pylist()], pa.string())
+        kept = pc.and_(pc.greater_equal(pc.binary_length(distinct), 2), pc.invert(pc.is_in(distinct, value_set=stopwords))).take(coded.indices)
+        yield ids.slice(lo, hi - lo), distinct.take(coded.indices.filter(kept)), np.bincount(row[kept.to_numpy(zero_copy_only=False)], minlength=hi - lo)
+        lo = hi
+
+
+def _raw_blocks(stopwords: list[str]):
+    def run(batches):
+        none = pa.array(stopwords, pa.string())
+        ids, sizes, parts, rows, held = [], [], [], 0, 0
+
+        def block():
+            coded = pa.concat_arrays([pa.array([], pa.string()), *parts]).dictionary_encode()
+            length = np.array(sizes, np.int64)
+            n, place = len(length), np.repeat(np.arange(len(length)), length)
+            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + place, return_counts=True)
+            terms = pa.concat_arrays([coded.dictionary])  # its own, from the first byte on
+            ends, data = np.concatenate([[0], np.cumsum(pc.binary_length(terms).to_numpy())]), terms.buffers()[2]
+            return _row(
+                _RAW, id_type, ids, rows=rows, tokens=held, sizes=length.astype("<i4").tobytes(), kinds=np.bincount(key % n, minlength=n).astype("<i4").tobytes(),
+                term_ends=ends.astype("<i4").tobytes(), term_bytes=data.to_pybytes()[: ends[-1]] if data else b"",
+                starts=np.searchsorted(key, np.arange(len(terms) + 1) * n).astype("<i4").tobytes(),
+                places=(key % n).astype("<u4").tobytes(), tf=tf.astype("<i4").tobytes(),
+            )
+
+        for batch in batches:
+            id_type = batch.column(0).type
+            for of_rows, words, length in _words_of_rows(batch, none):
+                ends = np.concatenate([[0], np.cumsum(length)])
+                lo = 0
+                while lo < len(length):
+                    hi = max(lo + 1, int(np.searchsorted(ends[1:], ends[lo] + BLOCK_TOKENS - held, side="right")))
+                    has = np.flatnonzero(length[lo:hi])
+                    ids += of_rows.slice(lo, hi - lo).take(pa.array(has)).to_pylist()
+                    sizes += length[lo:hi][has].tolist()
+                    parts.append(words.slice(ends[lo], ends[hi] - ends[lo]))
+                    rows, held, lo = rows + hi - lo, held + int(ends[hi] - ends[lo]), hi
+                    if held >= BLOCK_TOKENS:
+                        yield block()
+                        ids, sizes, parts, rows, held = [], [], [], 0, 0
+        if rows:
+            yield block()
+
+    return run
 
 
 def _document_counts(batches):
     for batch in batches:
-        for terms, starts in zip(batch.column(0), batch.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([terms.values, pa.array(np.diff(starts.values.to_numpy()).astype(np.int64))], ["term", "df"])
+        for i in range(batch.num_rows):
+            yield pa.RecordBatch.from_arrays([_terms(batch, i), pa.array(np.diff(_numbers(batch, "starts", i, "<i4")).astype(np.int64))], ["term", "df"])
 
 
 def _by_impact(mean: float):
@@ -79,46 +122,45 @@ def _by_impact(mean: float):
 
     def run(batches):
         for batch in batches:
-            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                starts = column["starts"][i].values.to_numpy()
-                place, tf = (np.frombuffer(column[n][i].as_buffer(), kind) for n, kind in (("places", "<u4"), ("tf", "<i4")))
-                size = column["sizes"][i].values.to_numpy()
+                starts, size, place, tf = (_numbers(batch, n, i, kind) for n, kind in (("starts", "<i4"), ("sizes", "<i4"), ("places", "<u4"), ("tf", "<i4")))
                 part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[place] / mean)) if len(tf) else np.zeros(0)
                 order = np.lexsort((place, -part, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
                 most = part[order][starts[:-1]] if len(tf) else part
-                own = [column[n].slice(i, 1) for n in ("ids", "kinds", "terms", "starts")]
-                made = [pa.array([most.tolist()], pa.list_(pa.float64())), pa.array([place[order].tobytes()], pa.binary()), pa.array([part[order].tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(own + made, ["ids", "kinds", "terms", "starts", "most", "places", "parts"])
+                own = [batch.column(batch.schema.get_field_index(n)).slice(i, 1) for n in ("ids", "kinds", "term_ends", "term_bytes", "starts")]
+                made = [pa.array([x.tobytes()], pa.binary()) for x in (most, place[order], part[order])]
+                yield pa.RecordBatch.from_arrays(own + made, ["ids", "kinds", "term_ends", "term_bytes", "starts", "most", "places", "parts"])
 
     return run
 
 
-def write_lexical(chunks: DataFrame, tokens, path: str, id_col: str) -> str:
+def write_lexical(chunks: DataFrame, tokens, path: str, id_col: str, stopwords: list[str] = lx.FRENCH_STOPWORDS) -> str:
     """Keep a lexical index under ``path``: ``blocks`` of documents, ``terms`` with their idf, and ``statistics``.
 
+    ``tokens`` is a list of words, or a lower-cased text, whose words (as ``french_tokens`` has them) are then found in the tasks without a list in Spark.
+
     A block holds about ``BLOCK_TOKENS`` tokens of whole documents, with a list for each of its terms in order of impact.
     Texts are tokenised once, in the tasks that read them; only the terms of each block are shuffled, for their counts.
     Negative idf is raised to ``BM25_EPSILON`` times the mean over the vocabulary.
     """
     spark, id_type = chunks.sparkSession, _type_of(chunks, id_col)
-    made = chunks.select(F.col(id_col), tokens.alias("tokens")).mapInArrow(_raw_blocks, _RAW.format(id=id_type))
+    made = chunks.select(F.col(id_col), tokens.alias("tokens")).mapInArrow(_raw_blocks(stopwords), _RAW.format(id=id_type))
     with rows_at_once(spark, TEXTS_AT_ONCE):
-        made.write.options(**LARGE_ROWS).mode("overwrite").parquet(f"{path}/raw")
+        made.write.options(**_BLOCK_ROWS).mode("overwrite").parquet(f"{path}/raw")
     raw = spark.read.schema(_RAW.format(id=id_type)).parquet(f"{path}/raw")
     n, words = raw.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     spark.createDataFrame([(n, words)], "n long, words long").write.mode("overwrite").parquet(f"{path}/statistics")
-    counts = raw.select("terms", "starts").mapInArrow(_document_counts, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counts = raw.select("term_ends", "term_bytes", "starts").mapInArrow(_document_counts, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     with rows_at_once(spark, BLOCKS_AT_ONCE):
         counts.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
     mean = counts.agg(F.avg("raw")).first()[0] or 0.0
     terms = counts.select("term", "df", F.when(F.col("raw") < 0, F.lit(lx.BM25_EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
     terms.write.mode("overwrite").parquet(f"{path}/terms")
-    used = raw.select("ids", "sizes", "kinds", "terms", "starts", "places", "tf")
+    used = raw.select("ids", "sizes", "kinds", "term_ends", "term_bytes", "starts", "places", "tf")
     ordered = used.mapInArrow(_by_impact(words / n if words else 1.0), _BLOCKS.format(id=id_type))
     with rows_at_once(spark, BLOCKS_AT_ONCE):
-        ordered.write.options(**LARGE_ROWS).mode("overwrite").parquet(f"{path}/blocks")
+        ordered.write.options(**_BLOCK_ROWS).mode("overwrite").parquet(f"{path}/blocks")
     return path
 
 
@@ -138,16 +180,15 @@ def _search_blocks(shared, k: int, query_col: str, id_col: str, by_share: bool):
         best: list[list[tuple]] = [[] for _ in questions]
         kind = None
         for batch in batches:
-            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            kind = column["ids"].type.value_type
+            held = batch.column(batch.schema.get_field_index("ids"))
+            kind = held.type.value_type
             for i in range(batch.num_rows):
-                at = pc.index_in(terms, value_set=column["terms"][i].values).fill_null(-1).to_numpy()
+                at = pc.index_in(terms, value_set=_terms(batch, i)).fill_null(-1).to_numpy()
                 if (at < 0).all():
                     continue
-                starts, most = column["starts"][i].values.to_numpy(), column["most"][i].values.to_numpy()
-                place, part = (np.frombuffer(column[n][i].as_buffer(), t) for n, t in (("places", "<u4"), ("parts", float)))
-                ids, n_docs = column["ids"][i].values, len(column["ids"][i])
-                share = 1 / column["kinds"][i].values.to_numpy()
+                starts, most, place, part = (_numbers(batch, n, i, t) for n, t in (("starts", "<i4"), ("most", float), ("places", "<u4"), ("parts", float)))
+                ids, n_docs = held[i].values, len(held[i])
+                share = 1 / _numbers(batch, "kinds", i, "<i4")
                 order = pc.sort_indices(ids).to_numpy()
                 rank = np.empty(n_docs, np.int64)
                 rank[order] = np.arange(n_docs) if by_share else -np.arange(n_docs)

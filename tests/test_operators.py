@@ -5,6 +5,7 @@ import pytest
 from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
+from quern.functions import text as t
 from quern.operators import curate, evaluate, gold, index, runs, sketches, vectors
 
 
@@ -104,6 +105,24 @@ def test_blocks_come_in_few_rows_at_once(spark, tmp_path, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_words_of_lower_cased_texts_are_found_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SPLIT_BYTES", 40)
+    monkeypatch.setattr(index, "BLOCK_TOKENS", 7)
+    texts = ["Le café, l'ÉTÉ et la mer", "", None, "a b c", "mer/mer\u00a0x9 \u212aelvin \u0130stanbul", "the the" * 30, "...", "Été d'or " * 9, "\u65e5\u672c mer\u65e5été", "mer"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    words, asked = t.french_tokens(F.col("text")), spark.createDataFrame([(1, "mer été"), (2, "kelvin or x9 the"), (3, "istanbul i stanbul")], "q int, text string")
+    found, sizes = [], spark.sparkContext.accumulator(set(), type("Sizes", (AccumulatorParam,), {"zero": lambda self, v: set(), "addInPlace": lambda self, a, b: a | b})())
+    monkeypatch.setattr(index, "_by_impact", _counting(index._by_impact, sizes))
+    for name, column in (("words", words), ("texts", F.lower("text"))):
+        path = index.write_lexical(docs, column, str(tmp_path / name), "id")
+        blocks, terms = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms")
+        assert [f.name for f in blocks.schema if f.dataType.typeName() == "array"] == ["ids"] and blocks.count() > 2
+        search = [f(spark, path, asked, words, id_col="id", query_col="q", k=6) for f in (index.search_lexical, index.search_share)]
+        found.append([sorted(map(tuple, df.collect())) for df in (terms, *search, spark.read.parquet(f"{path}/statistics"))])
+    assert found[0] == found[1] and len(found[0][1]) > 6
+    assert sizes.value == {1}
+
+
 def test_a_run_goes_on_where_it_was_cut(spark, tmp_path):
     items = spark.createDataFrame([(i, i * i) for i in range(40)], "item long, v long")
     root, made = str(tmp_path / "runs"), []
