@@ -25,10 +25,12 @@ BLOCK_TOKENS = 1 << 18
 TEXTS_AT_ONCE, BLOCKS_AT_ONCE = 1024, 1
 SPLIT_BYTES = 1 << 20
 SLICE_TERMS = 1 << 18
+HITS_SENT = 1 << 17
 # numbers and terms of a block are bytes, so that neither Spark nor its readers make an object for each of them
 _RAW = "rows long, tokens long, ids array<{id}>, sizes binary, kinds binary, term_ends binary, term_bytes binary, starts binary, places binary, tf binary"
 _BLOCKS = "ids array<{id}>, kinds binary, term_ends binary, term_bytes binary, starts binary, most binary, places binary, parts binary"
-_BLOCK_ROWS = LARGE_ROWS | {"parquet.block.size": str(4 << 20), "compression": "zstd"}
+# without statistics: a writer keeps the least and the largest value of each row group until its file ends, so all blocks of a task
+_BLOCK_ROWS = LARGE_ROWS | {"parquet.block.size": str(4 << 20), "compression": "zstd", "parquet.column.statistics.enabled": "false", "parquet.enable.dictionary": "false"}
 
 
 def _type_of(df: DataFrame, column: str) -> str:
@@ -333,6 +335,12 @@ def fuse(dense: DataFrame, sparse: DataFrame, *, query_col: str, id_col: str) ->
     return fused.withColumn("rank", F.row_number().over(order)).select(query_col, id_col, "rrf", "rank")
 
 
+def with_documents(hits: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """``hits`` joined to ``docs`` by their id. Up to ``HITS_SENT`` hits go to the tasks that read the documents, so other texts aren't shuffled."""
+    hits = Scratch(hits.sparkSession, "hits").keep(hits)
+    return (F.broadcast(hits) if hits.count() <= HITS_SENT else hits).join(docs, id_col)
+
+
 def drop_garbage(hits: DataFrame, text: Column, query_col: str) -> DataFrame:
     """Garbage chunks go, unless all of a query's chunks are garbage."""
     flagged = hits.withColumn("garbage", is_garbage(text))

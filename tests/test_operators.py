@@ -1,12 +1,14 @@
 """Kept indexes, runs, sketches and gold sets on small made cases."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.operators import curate, evaluate, gold, index, runs, sketches, vectors
+from quern.plans import catalogue
 
 
 def exact(x, ids, q, k):
@@ -222,3 +224,29 @@ def test_overlap_pairs_by_rare_tokens(spark, monkeypatch):
     df = spark.createDataFrame([(i, sorted(t), len(t)) for i, t in enumerate(sets)], "id long, tokens array<string>, n int").repartition(3)
     got = [(r.a, r.b) for r in curate.overlap_pairs(df, "id").collect()]
     assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["hybrid_retrieve"])
+def test_only_hits_are_joined_to_texts(spark, monkeypatch, name):
+    monkeypatch.setattr(index, "BLOCK_TOKENS", 5000)
+    before, found = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (index.HITS_SENT, 0):
+            monkeypatch.setattr(index, "HITS_SENT", most)
+            df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+            moved = "hashpartitioning(doc_id" in df._jdf.queryExecution().executedPlan().toString()
+            assert moved == (most == 0)  # texts are shuffled for many hits only
+            found.append(sorted(map(tuple, df.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[0] == found[1] and len(found[0]) > 5
+
+
+def test_a_writer_keeps_no_values_of_blocks_for_statistics(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words{i} here") for i in range(50)], "id long, text string")
+    path = index.write_lexical(docs, F.lower("text"), str(tmp_path / "lexical"), "id")
+    for kind in ("raw", "blocks"):
+        groups = [m.row_group(i) for f in (tmp_path / "lexical" / kind).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+        columns = [g.column(j) for g in groups for j in range(g.num_columns)]
+        assert columns and not any(c.is_stats_set for c in columns), path
