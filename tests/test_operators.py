@@ -226,7 +226,7 @@ def test_overlap_pairs_by_rare_tokens(spark, monkeypatch):
     assert len(want) > 20 and sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["hybrid_retrieve"])
+@pytest.mark.parametrize("name", ["hybrid_retrieve", "context_metrics"])
 def test_only_hits_are_joined_to_texts(spark, monkeypatch, name):
     monkeypatch.setattr(index, "BLOCK_TOKENS", 5000)
     before, found = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
