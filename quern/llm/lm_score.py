@@ -41,6 +41,7 @@ from .bpe import coder, tokenizer_definition
 from .common import documents, materialise, workspace
 from .piece_table import TABLE_BITS, PieceTable, Values
 from .textbatch import LOWER, U64, mix64, span_hashes, texts_of, words_of
+from .word_merges import WordMerges
 
 BLOCK_BYTES = 4 << 20
 WINDOW, STRIDE = 32, 24
@@ -54,7 +55,8 @@ BLOCK_SCHEMA = (
     "block long, doc_ids array<bigint>, held array<boolean>, n_words array<int>,"
     " codes binary, sub_ids binary, sub_counts binary, hashes binary, train_counts binary"
 )
-_MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
+_MASK = np.ascontiguousarray(np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32).T)  # (key, query)
+_LEAST = 2.0**-40
 
 
 def held_out(id_col: str = "doc_id"):
@@ -65,7 +67,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 class SubwordIds:
-    """Ids of words by the tokenizers library, each once while a table of fixed size holds it; special tokens' strings are text."""
+    """Ids of words as the tokenizers library gives them, each once while a table of fixed size holds it; special tokens' strings are text."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -74,10 +76,15 @@ class SubwordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
+        self.merges = WordMerges(definition)
         self.table, self.values = PieceTable(), Values(np.uint16)
 
-    def of(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each of distinct words has, and all ids in a row; ``word(i)`` gives the bytes of the i-th."""
+    def of(self, hashes: np.ndarray, word=None, spell=None) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of distinct words has, and all ids in a row.
+
+        ``word(i)`` gives the bytes of the i-th, or ``spell(at)`` the bytes of some in a row and their lengths.
+        """
+        spell = spell or (lambda at: _joined([word(i) for i in at.tolist()]))
         numbers = self.table.find(hashes)
         missing = np.flatnonzero(numbers < 0)
         if self.table.n + len(missing) > self.table.room:
@@ -86,13 +93,32 @@ class SubwordIds:
             self.values = Values(np.uint16)
         for lo in range(0, len(missing), 8192):
             part = missing[lo : lo + 8192]
-            names = [word(i).decode("utf-8", "replace") for i in part.tolist()]
-            got = self.tokenizer.encode(names, is_pretokenized=True, add_special_tokens=False)
-            self.values.add(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)), np.array(got.ids, np.uint16))
+            self.values.add(*self.encode(*spell(part)))
             self.table.add(hashes[part])
         counts, at = self.values.of(self.table.find(hashes))
         return counts, self.values.flat[0][at]
 
+    def encode(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some words has, and all ids in a row: merged in arrays where that can be done, else by the library."""
+        first = np.concatenate([[0], np.cumsum(length)])
+        known = self.merges.known(data, first)
+        counts, parts = np.zeros(len(length), np.int64), [np.zeros(0, np.int64)] * 2
+        if known.any():
+            own = data[np.repeat(known, length)]
+            counts[known], parts[0] = self.merges.encode(own, np.concatenate([[0], np.cumsum(length[known])]))
+        if not known.all():
+            rest = np.flatnonzero(~known)
+            words = [data[first[i] : first[i + 1]].tobytes().decode("utf-8", "replace") for i in rest.tolist()]
+            got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            counts[rest], parts[1] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(rest)), np.array(got.ids, np.int64)
+        ids, own = np.empty(counts.sum(), np.uint16), np.repeat(known, counts)
+        ids[own], ids[~own] = parts
+        return counts, ids
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+
 
 _subwords: dict[str, SubwordIds] = {}
 
@@ -116,15 +142,16 @@ def _make_blocks(definition):
             doc_words = np.concatenate([p[2] for p in parts])
             held = [h for p in parts for h in p[1]]
             training = ~np.repeat(np.array(held, bool), doc_words)
-            part_start = np.cumsum([0, *(len(p[3]) for p in parts)])
-            part = np.searchsorted(part_start, first, side="right") - 1
-            at = first - part_start[part]
+            data = np.concatenate([p[4] for p in parts])
+            data_start = np.cumsum([0, *(len(p[4]) for p in parts)]).tolist()
+            start = np.concatenate([p[5] + lo for p, lo in zip(parts, data_start, strict=False)])[first]
+            length = np.concatenate([p[6] - p[5] for p in parts])[first]
 
-            def word(i):
-                _, _, _, _, data, start, end = parts[part[i]]
-                return data[start[at[i]] : end[at[i]]].tobytes()
+            def spell(at):
+                n = length[at]
+                return data[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
-            counts, ids = subwords.of(own, word)
+            counts, ids = subwords.of(own, spell=spell)
             seen += 1
             row = [
                 TaskContext.get().partitionId() << 32 | seen,
@@ -261,6 +288,18 @@ def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
+def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of long matrices, in pieces of rows that stay in the cache."""
+    rows = 64 if len(a) % 64 == 0 else WINDOW
+    return (a.reshape(-1, rows, a.shape[1]).transpose(0, 2, 1) @ b.reshape(-1, rows, b.shape[1])).sum(axis=0)
+
+
+def summed_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b of wide ``a`` and long ``b``, in pieces as ``summed``."""
+    rows = 64 if len(b) % 64 == 0 else WINDOW
+    return (a.reshape(len(a), -1, rows).transpose(1, 0, 2) @ b.reshape(-1, rows, b.shape[1])).sum(axis=0)
+
+
 def exp_rows(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     """Exponentials of ``z`` less a shift, their sums by row, and the shift: the rows' maxima if a sum would leave the range, else 0."""
     ones, shift = np.ones(z.shape[-1], z.dtype), 0.0
@@ -285,63 +324,95 @@ def logits(model: dict, h1: np.ndarray) -> np.ndarray:
     return times(h1, np.vstack([model["U"], model["b"]]))
 
 
+def inputs(model: dict, ids: np.ndarray) -> np.ndarray:
+    return model["E"].take(ids, axis=0) + model["P"]
+
+
+def joined(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Wq Wk' / sqrt(d) and Wv Wo: queries then meet inputs themselves, and so do weights."""
+    return (model["Wq"] @ model["Wk"].T) * model["Wq"].dtype.type(DIM**-0.5), model["Wv"] @ model["Wo"]
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix transposed, in a row: products with it are about three times as fast as with a view."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def attention(x: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights (key, window, query) before they are divided by their sums, the sums, and the mean inputs that queries see.
+
+    ``queries`` are of the last places.  Weights are relative to the largest of their query; those under 1e-19 of it
+    become 0, which changes no sum of floats, as numbers near the least float take processors a hundred times as long.
+    """
+    n, tail = queries.shape[:2]
+    e = np.empty((WINDOW, n, tail), x.dtype)
+    np.matmul(x, turned(queries), out=e.transpose(1, 0, 2))
+    e += _MASK[:, None, WINDOW - tail :]
+    e -= e.max(axis=0)
+    np.maximum(e, np.full_like(e, -80), out=e)  # an array here is three times as fast as a number
+    np.exp(e, out=e)
+    e += e.dtype.type(_LEAST)
+    e -= e.dtype.type(_LEAST)
+    sums = e.sum(axis=0)
+    seen = e.transpose(1, 2, 0) @ x
+    seen *= (1 / sums)[..., None]
+    return e, sums, seen
+
+
 def forward(model: dict, ids: np.ndarray) -> dict[str, np.ndarray]:
     """All inner values for windows of ids (rows)."""
-    x = model["E"][ids] + model["P"]
-    q, k, v = (times(x, model[w]) for w in ("Wq", "Wk", "Wv"))
-    a = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
-    a += _MASK
-    a, sums, _ = exp_rows(a)
-    a *= (1 / sums)[..., None]
-    o = a @ v
-    h1 = with_one(x + times(o, model["Wo"]))
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h1": h1, "z": logits(model, h1)}
+    x, (ask, give) = inputs(model, ids), joined(model)
+    y = times(x, ask)
+    e, sums, seen = attention(x, y)
+    h1 = with_one(x + times(seen, give))
+    return {"x": x, "y": y, "e": e, "sums": sums, "seen": seen, "h1": h1, "z": logits(model, h1), "ask": ask, "give": give}
 
 
 def gradients(model: dict, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Gradients and value of the mean class loss over scored places."""
     f = forward(model, ids)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    cls, place = model["classes"][targets].ravel(), np.arange(targets.size)
-    weight = scored.ravel() * np.float32(1 / max(1, scored.sum()))
+    x, y, e, seen, ask, give = (f[n] for n in ("x", "y", "e", "seen", "ask", "give"))
+    at = np.arange(targets.size) * CLASSES + model["classes"].take(targets.ravel())
+    weight = scored.ravel() * np.float32(1 / max(1, np.count_nonzero(scored)))
     p, sums, _ = exp_rows(flat(f["z"]))
-    loss = float(-(np.log(np.maximum(p[place, cls] / sums, 1e-30)) * weight).sum())
-    p *= (weight / sums)[:, None]
-    p[place, cls] -= weight
-    dh = (p @ model["U"].T).reshape(f["x"].shape)
-    do = times(dh, model["Wo"].T)
-    ds = do @ f["v"].transpose(0, 2, 1)
-    dv = f["a"].transpose(0, 2, 1) @ do
-    ds -= ((do * f["o"]) @ np.ones(DIM, do.dtype))[..., None]  # the same as of ds * a over a row
-    ds *= f["a"]
-    scale = np.float32(DIM**-0.5)
-    dq, dk = ds @ (f["k"] * scale), ds.transpose(0, 2, 1) @ (f["q"] * scale)
-    last = flat(f["h1"]).T @ p
-    out = {"U": last[:DIM], "b": last[DIM], "Wo": flat(f["o"]).T @ flat(dh)}
-    dx = dh.copy()
-    for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-        out[name] = flat(f["x"]).T @ flat(d)
-        dx += times(d, model[name].T)
-    out["P"] = dx.sum(axis=0)
+    hit = p.ravel()[at]
+    loss = float(-(np.log(np.maximum(hit / sums, 1e-30)) * weight).sum())
+    # p is the gradient of z but for a factor of each row, which its narrower products take
+    p.ravel()[at] = hit - sums
+    factor = (weight / sums)[:, None]
+    last = summed(flat(f["h1"]) * factor, p)
+    dh = p @ model["U"].T
+    dh *= factor
+    d_seen = dh @ give.T
+    d_seen /= f["sums"].reshape(-1, 1)
+    ds = np.empty_like(e)
+    np.matmul(x, turned(d_seen.reshape(x.shape)), out=ds.transpose(1, 0, 2))
+    ds -= ((d_seen * flat(seen)) @ np.ones(DIM, x.dtype)).reshape(e.shape[1:])
+    ds *= e
+    dy = ds.transpose(1, 2, 0) @ x
+    d_ask, d_give = summed(flat(x), flat(dy)), summed(flat(seen), dh)
+    scale = x.dtype.type(DIM**-0.5)
+    out = {"U": last[:DIM], "b": last[DIM], "Wv": d_give @ model["Wo"].T, "Wo": model["Wv"].T @ d_give}
+    out["Wq"], out["Wk"] = d_ask @ model["Wk"] * scale, d_ask.T @ model["Wq"] * scale
+    keys = summed_rows(ds.reshape(WINDOW, -1), flat(y)) + summed_rows(e.reshape(WINDOW, -1), d_seen)
+    out["P"] = dh.reshape(x.shape).sum(axis=0) + dy.sum(axis=0) @ ask.T + keys
     return out, loss
 
 
 def class_scores(model: dict, ids: np.ndarray, tail: int) -> np.ndarray:
     """Class logits at the last ``tail`` places of windows, as ``forward`` gives them."""
-    x = model["E"][ids] + model["P"]
+    x, (ask, give) = inputs(model, ids), joined(model)
     last = x[:, WINDOW - tail :]
-    a = (times(last, model["Wq"]) * np.float32(DIM**-0.5)) @ times(x, model["Wk"]).transpose(0, 2, 1)
-    a += _MASK[WINDOW - tail :]
-    a, sums, _ = exp_rows(a)
-    o = a @ times(x, model["Wv"])
-    o *= (1 / sums)[..., None]
-    return logits(model, with_one(last + times(o, model["Wo"])))
+    seen = attention(x, times(last, ask))[2]
+    return logits(model, with_one(last + times(seen, give)))
 
 
 def score_stream(model: dict, stream: Stream, chunk: int = 64) -> np.ndarray:
     """Natural log of the attention model's probability of each id."""
     logp = np.zeros(len(stream.target))
     start, stop, k = stream.windows()
+    rows = np.arange(chunk * WINDOW) * CLASSES
     for tail, chosen in ((WINDOW, k == 0), (STRIDE, k > 0)):
         at, end = start[chosen], stop[chosen]
         for lo in range(0, len(at), chunk):
@@ -349,10 +420,10 @@ def score_stream(model: dict, stream: Stream, chunk: int = 64) -> np.ndarray:
             held = np.minimum(place, end[lo : lo + chunk, None] - 1)
             z = class_scores(model, stream.before[held], tail)
             target = stream.target[held[:, WINDOW - tail :]]
-            value = np.take_along_axis(z, model["classes"][target][..., None], axis=2)[..., 0]
+            value = z.ravel().take(rows[: target.size].reshape(target.shape) + model["classes"].take(target))
             _, sums, shift = exp_rows(z)
             value -= np.log(sums) + shift
-            value += model["inner"][target]
+            value += model["inner"].take(target)
             scored = (place < end[lo : lo + chunk, None])[:, WINDOW - tail :]
             logp[place[:, WINDOW - tail :][scored]] = value[scored]
     return logp
@@ -390,7 +461,7 @@ def train_windows(model: dict, windows, rate: float = 2e-3) -> tuple[dict, int]:
     step = places = 0
     for ids, targets, scored in windows:
         g = flatten(gradients(model, ids, targets, scored)[0]).astype(float)
-        step, places = step + 1, places + int(scored.sum())
+        step, places = step + 1, places + int(np.count_nonzero(scored))
         first += 0.1 * (g - first)
         second += 0.01 * (g**2 - second)
         own -= (rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -406,6 +477,38 @@ def _streams(batch, names=("n_words", "codes", "sub_ids", "sub_counts")):
         yield i, Stream(batch.column(at[0])[i].values.to_numpy(zero_copy_only=False), *(batch.column(j)[i].as_buffer() for j in at[1:]))
 
 
+class TrainingWords:
+    """The distinct words of a block, how often training texts hold each, and where words of training texts meet."""
+
+    def __init__(self, batch, i: int):
+        column = lambda n: batch.column(batch.schema.get_field_index(n))[i]
+        read = lambda n, kind: np.frombuffer(column(n).as_buffer(), kind)
+        self.train = ~column("held").values.to_numpy(zero_copy_only=False).astype(bool)
+        self.n_words, self.n_texts = column("n_words").values.to_numpy(zero_copy_only=False).astype(np.int64), int(self.train.sum())
+        self.codes, self.ids, self.counts, self.train_counts = read("codes", "<u4"), read("sub_ids", "<u2"), read("sub_counts", "<u4").astype(np.int64), read("train_counts", "<u4").astype(float)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, the ids that follow them in training texts, and how often."""
+        ends = np.cumsum(self.counts)
+        some = self.counts > 0
+        # within words: all but the last id of each
+        inside = np.ones(len(self.ids), bool)
+        inside[ends[some] - 1] = False
+        inside = np.flatnonzero(inside)
+        # between words and at the ends of texts: words without ids don't count
+        codes, of_text = self.codes[np.repeat(self.train, self.n_words)], np.repeat(np.arange(self.n_texts), self.n_words[self.train])
+        has = some[codes]
+        codes, of_text = codes[has], of_text[has]
+        at = np.cumsum(np.bincount(of_text, minlength=self.n_texts)) + np.arange(self.n_texts)  # of each text's end
+        place = np.arange(len(codes)) + of_text
+        last, first = np.full(len(codes) + self.n_texts, END, np.int64), np.full(len(codes) + self.n_texts, END, np.int64)
+        first[place], last[place] = self.ids[(ends - self.counts)[codes]], self.ids[ends[codes] - 1]
+        before = np.concatenate([[START], last[:-1]])[: len(last)]
+        before[at[:-1] + 1] = START
+        n = np.concatenate([np.repeat(self.train_counts, self.counts)[inside], np.ones(len(first))])
+        return np.concatenate([self.ids[inside].astype(np.int64), before]), np.concatenate([self.ids[inside + 1].astype(np.int64), first]), n
+
+
 def training_windows(batches, r: int):
     """Batches of (ids, targets, scored) of the windows of training texts that are in round ``r``; each is in one round.
 
@@ -430,33 +533,35 @@ def training_windows(batches, r: int):
 def fit_model(blocks: DataFrame, ends_word: np.ndarray, rounds: int = ROUNDS) -> dict:
     """Counts, classes, bigrams and rounds of training over all training texts; tables are bounded by the vocabulary."""
     sc, used = blocks.sparkSession.sparkContext, ["held", "n_words", "codes", "sub_ids", "sub_counts"]
+    counted = blocks.select("held", "n_words", "codes", "sub_ids", "sub_counts", "train_counts")
 
     def count(batches):
-        total = np.zeros(IDS, np.int64)
+        total = np.zeros(IDS)
         for batch in batches:
-            for i, s in _streams(batch):
-                train = ~batch.column(0)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                total += np.bincount(s.target[np.repeat(train, s.lengths)], minlength=IDS)
+            for i in range(batch.num_rows):
+                w = TrainingWords(batch, i)
+                total += np.bincount(w.ids, np.repeat(w.train_counts, w.counts), IDS)
+                total[END] += w.n_texts
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["id", "n"])
 
-    found = blocks.select(used).mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = counted.mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(IDS)
     counts[found["id"].to_numpy(int)] = found["n"].to_numpy(float)
 
     def follow(classes):
         def run(batches):
-            total = np.zeros(IDS * CLASSES, np.int64)
+            total = np.zeros(IDS * CLASSES)
             for batch in batches:
-                for i, s in _streams(batch):
-                    train = np.repeat(~batch.column(0)[i].values.to_numpy(zero_copy_only=False).astype(bool), s.lengths)
-                    total += np.bincount(s.before[train].astype(np.int64) * CLASSES + classes[s.target[train]], minlength=len(total))
+                for i in range(batch.num_rows):
+                    before, target, n = TrainingWords(batch, i).pairs()
+                    np.add.at(total, before * CLASSES + classes[target], n)
             at = np.flatnonzero(total)
             for lo in range(0, len(at), 1 << 18):
                 part = at[lo : lo + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["cell", "n"])
 
-        found = blocks.select(used).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        found = counted.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         pairs = np.zeros(IDS * CLASSES)
         pairs[found["cell"].to_numpy(int)] = found["n"].to_numpy(float)
         return pairs.reshape(IDS, CLASSES)

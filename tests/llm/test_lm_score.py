@@ -157,3 +157,54 @@ def test_blocks_stay_where_they_are(spark):
         assert scored.count() == 40 and "Exchange" not in block_side.splitlines()[-2]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_small_attention_weights_are_zero():
+    """Weights far below a row's largest are numbers near the least float, which made each step three times as slow."""
+    model, rng = model_for_test(), np.random.default_rng(6)
+    model = model | {"Wq": model["Wq"] * np.float32(40)}  # inner products of some hundreds, as over the given texts
+    x = lm.inputs(model, rng.integers(0, 49000, (5, lm.WINDOW)))
+    y = lm.times(x, lm.joined(model)[0])
+    z = np.einsum("wid,wjd->wij", y.astype(float), x.astype(float))
+    z[:, ~np.tri(lm.WINDOW, dtype=bool)] = -np.inf
+    assert z.max() > 100
+    want = np.exp(z - z.max(axis=2, keepdims=True))
+    e, sums, seen = lm.attention(x, y)
+    assert not ((e > 0) & (e < 1e-30)).any() and ((want > 0) & (want < 1e-38)).any()
+    assert (e[~(want > 0).transpose(2, 0, 1)] == 0).all()
+    want /= want.sum(axis=2, keepdims=True)
+    assert np.allclose((e / sums).transpose(1, 2, 0), want, atol=1e-3)
+    assert np.allclose(seen, want @ x, atol=1e-2 * np.abs(x).max())
+
+
+def test_merges_in_arrays_are_the_library():
+    definition, rng = tokenizer_definition(None, "word_bpe_49k.json"), np.random.default_rng(7)
+    alphabet = [chr(c) for c in range(33, 127)] + [*"àéßÿÉÀÞ×÷ª日Σ\u0301\u0130\x85\xa0"] + ["a", "e", "th", "tion", "ing"] * 12
+    words = ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(1, 14))) for _ in range(3000)]
+    words += [*alphabet, "\x85", "don't", "'s", "<|endoftext|>", "x" * 300, "aaaaaaa", "12ab34", "..!!"]
+    raw = [w.encode() for w in words] + [b"a\xc3", b"\xa9b", b"\xff"]  # the last aren't UTF-8
+    ids = lm.SubwordIds(definition)
+    counts, flat = ids.encode(*lm._joined(raw))
+    got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+    for w, x in zip(raw, got, strict=True):
+        assert x == ids.tokenizer.encode([w.decode("utf-8", "replace")], is_pretokenized=True, add_special_tokens=False).ids, w
+    known = ids.merges.known(*(lambda d, n: (d, np.concatenate([[0], np.cumsum(n)])))(*lm._joined(raw)))
+    assert known.sum() > 1000 and not known[-3:].any()
+
+
+def test_counts_of_distinct_words_are_those_of_streams(spark):
+    rows = [(1, "one two \x85 three"), (2, None), (3, "\x85"), (4, "two two"), (5, ""), (6, "\x85 one \x85 \x85 one"), (7, "three one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held_seen = 0
+    for part in (docs, docs.where("doc_id = 3"), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        for batch in lm.encode_blocks(part).toArrow().to_batches():
+            for i, s in lm._streams(batch):
+                held = np.array(batch.column(2)[i].as_py(), bool)
+                held_seen += held.sum()
+                train = np.repeat(~held, s.lengths)
+                w = lm.TrainingWords(batch, i)
+                got = Counter()
+                for a, b, n in zip(*(x.tolist() for x in w.pairs()), strict=True):
+                    got[a, b] += n
+                assert +got == Counter(zip(s.before[train].tolist(), s.target[train].tolist(), strict=True))
+    assert held_seen
