@@ -18,9 +18,9 @@ probabilities and ``WORD_SHARE`` of its share of the training tokens, so words t
 counts say of them and others are spelled by attention.  ``attention_score`` is the spelling alone.
 
 Texts are read once into blocks of about ``BLOCK_BYTES``, each with a dictionary of its distinct words, their
-subword ids and the stream of word codes, written in buckets.  Word counts of the base score are summed over blocks in
-Spark by word hash, and sent back to the blocks that hold the word where other blocks have it too, while blocks stay where
-they are; no task or driver holds the vocabulary.  A text longer than a block is a block.
+subword ids and the stream of word codes, written in buckets.  For the base score Spark shuffles the words of blocks by part
+of their hashes, a task sums those of its parts, and counts go back to the blocks that hold the word where other blocks have it
+too, while blocks stay where they are; no task or driver holds the vocabulary.  A text longer than a block is a block.
 
 Nulls: a null text is empty (only the end).  A null id is held out.  Repeated rows get equal results.
 Empty input gives empty output; without training texts all counts are 0 and the model is uniform.
@@ -28,6 +28,7 @@ Empty input gives empty output; without training texts all counts are 0 and the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 
@@ -338,6 +339,12 @@ def turned(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.transpose(0, 2, 1))
 
 
+@functools.lru_cache(4)
+def _whole(n: int, tail: int, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The mask, and the least exponent, at each place of weights: three times as fast as a row or a number."""
+    return np.repeat(_MASK[:, None, WINDOW - tail :], n, axis=1).astype(dtype), np.full((WINDOW, n, tail), -80, dtype)
+
+
 def attention(x: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights (key, window, query) before they are divided by their sums, the sums, and the mean inputs that queries see.
 
@@ -347,9 +354,10 @@ def attention(x: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n, tail = queries.shape[:2]
     e = np.empty((WINDOW, n, tail), x.dtype)
     np.matmul(x, turned(queries), out=e.transpose(1, 0, 2))
-    e += _MASK[:, None, WINDOW - tail :]
+    mask, floor = _whole(n, tail, x.dtype)
+    e += mask
     e -= e.max(axis=0)
-    np.maximum(e, np.full_like(e, -80), out=e)  # an array here is three times as fast as a number
+    np.maximum(e, floor, out=e)
     np.exp(e, out=e)
     e += e.dtype.type(_LEAST)
     e -= e.dtype.type(_LEAST)
@@ -408,7 +416,7 @@ def class_scores(model: dict, ids: np.ndarray, tail: int) -> np.ndarray:
     return logits(model, with_one(last + times(seen, give)))
 
 
-def score_stream(model: dict, stream: Stream, chunk: int = 64) -> np.ndarray:
+def score_stream(model: dict, stream: Stream, chunk: int = 256) -> np.ndarray:
     """Natural log of the attention model's probability of each id."""
     logp = np.zeros(len(stream.target))
     start, stop, k = stream.windows()
@@ -594,19 +602,61 @@ def word_ends(definition: str) -> np.ndarray:
     return out
 
 
-def _requests(batches):
-    """A row per block and distinct word."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            hashes = np.frombuffer(batch.column(1)[i].as_buffer(), "<i8")
-            n = np.frombuffer(batch.column(2)[i].as_buffer(), "<u4").astype(np.int64)
-            for lo in range(0, len(hashes), 1 << 17):
-                part = slice(lo, lo + (1 << 17))
-                m = len(hashes[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, batch.column(0)[i].as_py())), pa.array(np.arange(lo, lo + m, dtype=np.int32)), pa.array(hashes[part]), pa.array(n[part])],
-                    ["block", "at", "hash", "n"],
-                )
+def _slices(n: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values of ``n[i]`` elements each."""
+    offsets = np.concatenate([[0], np.cumsum(n)]) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _elements(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _requests(n_parts: int, room: int = 1 << 19):
+    """The distinct words of blocks in rows by part of their hashes, of about ``room`` words together."""
+
+    def rows(held):
+        hashes, n, block, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (hashes % U64(n_parts)).astype(np.uint16 if n_parts < 1 << 16 else np.int64)
+        order, size = np.argsort(part, kind="stable"), np.bincount(part, minlength=n_parts)
+        some = np.flatnonzero(size)
+        columns = [pa.array(some.astype(np.int32)), *(_slices(size[some], x[order]) for x in (hashes, n, block, at))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "hashes", "n", "blocks", "at"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes, n = np.frombuffer(batch.column(1)[i].as_buffer(), "<u8"), np.frombuffer(batch.column(2)[i].as_buffer(), "<u4")
+                for lo in range(0, len(hashes), room):
+                    m = len(hashes[lo : lo + room])
+                    held.append((hashes[lo : lo + m], n[lo : lo + m], np.full(m, batch.column(0)[i].as_py(), "<i8"), np.arange(lo, lo + m, dtype="<u4")))
+                    size += m
+                    if size >= room:
+                        yield rows(held)
+                        held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _replies(batches):
+    """Of all words of a partition, a row for each block that is to learn of counts in others, and a row with the totals."""
+    held = [[_elements(batch.column(k), kind) for k, kind in enumerate(("<u8", "<u4", "<i8", "<u4"), 1)] for batch in batches]
+    if not held:
+        return
+    hashes, n, block, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    own, word = np.unique(hashes, return_inverse=True)
+    total = np.bincount(word, n, len(own)).astype(np.int64)
+    more = np.flatnonzero(total[word] > n)
+    more = more[np.argsort(block[more], kind="stable")]
+    blocks, size = np.unique(block[more], return_counts=True)
+    columns = [pa.array(blocks), _slices(size, at[more]), _slices(size, total[word[more]])]
+    nothing = [pa.nulls(len(blocks), pa.int64())] * 2
+    yield pa.RecordBatch.from_arrays([*columns, *nothing], ["block", "at", "c", "n_words", "n_distinct"])
+    sums = [pa.array([int(total.sum())]), pa.array([int(np.count_nonzero(total))])]
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in columns), *sums], ["block", "at", "c", "n_words", "n_distinct"])
 
 
 def bucketed(df: DataFrame, path: str, key: str) -> DataFrame:
@@ -625,14 +675,15 @@ def score_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataF
     path = workspace(spark, "lm-score")
     blocks = bucketed(encode_blocks(docs, tokenizer_path), f"{path}/blocks", "block")
 
-    # totals of words by partial sums; only words of several blocks are joined back, where a word of all blocks can be split
-    asked = blocks.select("block", "hashes", "train_counts").mapInArrow(_requests, "block long, at int, hash long, n long")
-    totals = materialise(asked.groupBy("hash").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), f"{path}/totals")
-    n_words, n_distinct = totals.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # words meet by parts of their hashes, many in a row; a block hears of a word only if others have it too
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = blocks.select("block", "hashes", "train_counts").mapInArrow(_requests(parts), "part int, hashes binary, n binary, blocks binary, at binary")
+    told = asked.repartition(parts, "part").mapInArrow(_replies, "block long, at binary, c binary, n_words long, n_distinct long")
+    told = materialise(told, f"{path}/told")
+    n_words, n_distinct = told.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     ends = blocks.select(F.explode("held").alias("held")).where("not held").count()
     n_all, n_kinds = n_words + ends, n_distinct + (ends > 0)
-    told = asked.join(totals.where("blocks > 1 and c > 0").select("hash", "c"), "hash").where("c > n").select("block", "at", "c")
-    answers = told.groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("answers"))
+    answers = told.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("answers"))
 
     definition = tokenizer_definition(tokenizer_path, "word_bpe_49k.json")
     model = spark.sparkContext.broadcast(fit_model(blocks, word_ends(definition)))
@@ -646,7 +697,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataF
                 count = np.frombuffer(batch.column(7)[i].as_buffer(), "<u4").astype(np.int64)  # of this block, unless others have more
                 if batch.column(8)[i].is_valid:
                     pairs = batch.column(8)[i].values
-                    count[pairs.field("at").to_numpy()] = pairs.field("c").to_numpy()
+                    count[_elements(pairs.field("at"), "<u4")] = _elements(pairs.field("c"), "<i8")
                 c = np.full(len(s.is_word), ends)
                 c[s.is_word] = count[codes]
                 base = np.concatenate([[0.0], np.cumsum(np.log10(c + 1) - unit)])[s.first_token]
