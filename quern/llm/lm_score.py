@@ -678,7 +678,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataF
     # words meet by parts of their hashes, many in a row; a block hears of a word only if others have it too
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = blocks.select("block", "hashes", "train_counts").mapInArrow(_requests(parts), "part int, hashes binary, n binary, blocks binary, at binary")
-    told = asked.repartition(parts, "part").mapInArrow(_replies, "block long, at binary, c binary, n_words long, n_distinct long")
+    told = asked.repartitionById(parts, "part").mapInArrow(_replies, "block long, at binary, c binary, n_words long, n_distinct long")
     told = materialise(told, f"{path}/told")
     n_words, n_distinct = told.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     ends = blocks.select(F.explode("held").alias("held")).where("not held").count()
